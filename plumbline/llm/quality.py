@@ -38,7 +38,7 @@ class Rules:
     upper: float = 0.90
     spread: float = 6.0
     #: Clean prose of any source stays below these; no limit goes under them.
-    floors: tuple[int, ...] = (60_000, 250_000, 200_000, 300_000, 12_000)
+    floors: tuple[int, ...] = (60_000, 250_000, 250_000, 300_000, 12_000)
     #: Mean word length (thousandths) below which a document fails.
     min_word_len: int = 2_000
 

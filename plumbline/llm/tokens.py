@@ -24,7 +24,7 @@ TOKENIZER_DIR = os.environ.get("PUBLIC_TOKENIZERS_DIR", "/opt/tokenizers")
 
 #: White space outside ``[\\x20\\t-\\r]``, or counted as such by some library.
 _ODD_SPACE = re.compile("[\x85\xa0 ᠎ -​    ⁠　﻿]")
-_ODD_ASCII = ("\x00", "\x01", "\x1c", "\x1d", "\x1e", "\x1f", "\t", "\r", "\x0b", "\x0c")
+_ODD_ASCII = ("\x00", "\x01", "\x02", "\x1c", "\x1d", "\x1e", "\x1f", "\t", "\r", "\x0b", "\x0c")
 _RUNS = ("  ", " \n", "\n ", "\n\n")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!|]*)")
 _BLOCK_CHARS = 3_000_000
@@ -147,7 +147,8 @@ class Encoder:
         """Keys of the chunks whose ids, joined, are the text's; None where no cut is known to be safe.
 
         A key is the chunk without its leading space; ``\\x00`` stands for a
-        leading line feed, ``\\x01`` for none (the start of the text).
+        leading line feed, ``\\x01`` for none (the start of the text), ``\\x02``
+        for a chunk that the library has to see as it is.
         """
         if any(c in text for c in _ODD_ASCII) or any(c in text for c in _RUNS) or text[0] in " \n":
             return None
@@ -163,10 +164,10 @@ class Encoder:
             self.stems = {}
         parts: list[tuple[str, list[bytes]]] = []
         for key in new:
-            lead = key[0] if key and key[0] in "\x00\x01" else " "
+            lead = key[0] if key and key[0] in "\x00\x01\x02" else " "
             body = key if lead == " " else key[1:]
             m = _PLAIN.fullmatch(body)
-            if not m or len(body) > 60:
+            if not m or len(body) > 60 or lead == "\x02":
                 text = (" " if lead == " " else "\n" if lead == "\x00" else "") + body
                 self.memo[key] = self.library(text) if text else b""
                 continue
