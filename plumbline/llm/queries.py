@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, quality
+from . import chat, fingerprint, packing, quality, simhash, wavelet
 from .common import documents
+from .tokens import tokenizer_path
+
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,16 +28,29 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle=4, distance=4)
+    return d.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.encoded(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path(BYTE_BPE))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path(WORD_BPE))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op7_chat_formatting, op10_fingerprints)}
+    return {f.__name__: f for f in (op2_quality_rules, op5_simhash_near_dedup, op6_token_shards, op7_chat_formatting, op9_best_fit_packing, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
