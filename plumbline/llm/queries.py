@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, packing, quality, simhash, wavelet
+from . import bpe, chat, fingerprint, packing, ppm, quality, simhash, wavelet
 from .common import documents
 from .tokens import tokenizer_path
 
@@ -28,6 +28,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return bpe.encoded(docs, tokenizer_path(BYTE_BPE), bpe.sha256_pair, "ids_sha256 string, decoded_sha256 string")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle=4, distance=4)
     return d.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -41,6 +46,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scored(documents(spark, sf_dir, "doc_id", "text"), ppm.held_out(F.col("doc_id")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path(WORD_BPE))
 
@@ -50,7 +59,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op5_simhash_near_dedup, op6_token_shards, op7_chat_formatting, op9_best_fit_packing, op10_fingerprints)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_bpe, op5_simhash_near_dedup, op6_token_shards, op7_chat_formatting, op8_ppm_scores, op9_best_fit_packing, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
