@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, packing, ppm, quality, simhash, wavelet
-from .common import documents
+from . import bpe, chat, fingerprint, language_id, packing, ppm, quality, sharding, simhash, wavelet
+from .common import documents, new_folder
 from .tokens import tokenizer_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends the table, compacts it, and reads every row back with its shard."""
+    shards = sharding.ShardStore(spark, new_folder(spark, "shards"))
+    shards.append(documents(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars"))
+    shards.compact()
+    shards.vacuum()
+    return shards.read().select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars", "shard")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality.judge(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
     return d.select(
@@ -33,6 +42,17 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(docs, tokenizer_path(BYTE_BPE), bpe.sha256_pair, "ids_sha256 string, decoded_sha256 string")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = language_id.identify(language_id.evidence_of_documents(documents(spark, sf_dir, "doc_id", "text", "lang", "source")))
+    return d.select(F.col("key").alias("doc_id"), "lang", "confidence", "text_lang", "declared", "accepted")
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over pages, which have markup and addresses."""
+    d = language_id.identify(language_id.evidence_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return d.select(F.col("key").alias("page_id"), "lang", "confidence", "text_lang", "declared", "accepted")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle=4, distance=4)
     return d.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -58,8 +78,23 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(documents(spark, sf_dir, "doc_id", "text"))
 
 
+QUERIES = (
+    op1_sharding,
+    op2_quality_rules,
+    op3_bpe,
+    op4_language_id,
+    op5_simhash_near_dedup,
+    op6_token_shards,
+    op7_chat_formatting,
+    op8_ppm_scores,
+    op9_best_fit_packing,
+    op10_fingerprints,
+    pages_language_id,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_bpe, op5_simhash_near_dedup, op6_token_shards, op7_chat_formatting, op8_ppm_scores, op9_best_fit_packing, op10_fingerprints)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -180,3 +180,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 4, key: s
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def keep(docs: DataFrame, shingle: int = 5, distance: int = 4, broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows of ``docs`` (documents), whole, that stand for their group: those of the smallest doc_id.
+
+    Rows of one doc_id are one document: one of them stays.  Rows of null doc_id
+    cannot be told apart and stay.  Up to ``broadcast_rows`` ids to remove
+    (counted first) go to every task, more are joined by a shuffle.
+    """
+    found = store(near_duplicates(docs, shingle, distance), "simhash-groups-of-documents")
+    gone = store(found.filter("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti")
+    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
