@@ -22,6 +22,7 @@ from .common import store
 
 #: Documents of neighbouring ids that one window sorts; neighbours across windows are joined.
 CHUNK = 4096
+BROADCAST_ROWS = 100_000
 
 
 def canonical(text: Column) -> Column:
@@ -41,33 +42,45 @@ def digest(value: Column) -> Column:
     return F.concat(*halves)
 
 
+def _few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (stored, short rows) marked for broadcast if it has been counted to hold few rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each digest: fingerprint, n_texts (different canonical texts in it), n_docs, group_id (smallest key)."""
+    """One row for each digest: fingerprint, n_docs, group_id (smallest key), n_texts (different canonical texts in it).
+
+    Only texts of buckets with more than one document are compared.
+    """
     c = docs.select(F.col(key).alias("k"), canonical(F.coalesce(F.col(text), F.lit(""))).alias("c"))
-    same = c.select("k", "c", digest(F.col("c")).alias("fingerprint")).groupBy("fingerprint", "c").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n"))
-    return same.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_docs"), F.min("k").alias("group_id"))
+    c = c.select("k", "c", digest(F.col("c")).alias("fingerprint"))
+    buckets = store(c.groupBy("fingerprint").agg(F.min("k").alias("group_id"), F.count(F.lit(1)).alias("n_docs")), "fingerprint-buckets")
+    several = store(buckets.filter("n_docs > 1").select("fingerprint"), "fingerprint-several")
+    same = c.join(_few(several), "fingerprint", "left_semi").groupBy("fingerprint", "c").agg(F.count(F.lit(1)).alias("n"))
+    clash = same.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_texts")).filter("n_texts > 1")
+    return buckets.join(clash, "fingerprint", "left").withColumn("n_texts", F.coalesce("n_texts", F.lit(1)))
 
 
 def with_next(docs: DataFrame, key: str, values: list[str]) -> DataFrame:
     """``docs`` (key and values) with struct ``next`` of the next row's values, by descending key.
 
     Rows meet their neighbours in windows of CHUNK ids, one shuffle of the
-    texts.  Only the first row of each window moves again, to the last of the
-    window before; the single-task window sees one id for each window.
+    texts.  Only the first row of each window is read again, for the last of
+    the window before; the single-task window sees one id for each window.
     """
     chunk = F.coalesce(F.floor(F.col(key) / CHUNK), F.lit(-(1 << 62))).cast("long")
     rows = docs.select(F.col(key), *values, chunk.alias("chunk"))
     order = [F.col(key).desc_nulls_last(), *[F.col(v).desc_nulls_last() for v in values]]
-    w = Window.partitionBy("chunk").orderBy(*order)
-    led = rows.withColumn("next", F.lead(F.struct(*values)).over(w))
-    firsts = rows.groupBy("chunk").agg(F.max(F.struct(F.col(key).isNotNull(), F.col(key), *values)).alias("top"))
-    firsts = store(firsts.select("chunk", F.struct(*[F.col(f"top.{v}") for v in values]).alias("first")), "fingerprint-firsts")
+    led = rows.withColumn("next", F.lead(F.struct(*values)).over(Window.partitionBy("chunk").orderBy(*order)))
+    tops = store(docs.select(F.col(key), chunk.alias("top_chunk")).groupBy("top_chunk").agg(F.max(key).alias("top")), "fingerprint-tops")
+    firsts = rows.join(_few(tops), F.col(key).eqNullSafe(F.col("top"))).groupBy("chunk").agg(F.max(F.struct(*values)).alias("first"))
+    firsts = store(firsts, "fingerprint-firsts")
     by = Window.orderBy(F.col("chunk").desc())
-    ids = firsts.select("chunk")
-    after = ids.select("chunk", F.coalesce(F.lead("chunk").over(by), F.first("chunk").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    heads = after.join(firsts.withColumnRenamed("chunk", "after"), "after").select("chunk", F.col("first").alias("head"))
-    lasts = led.filter(F.col("next").isNull())
-    return led.filter(F.col("next").isNotNull()).unionByName(lasts.drop("next").join(heads, "chunk").withColumnRenamed("head", "next")).drop("chunk")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = firsts.select("chunk", F.coalesce(F.lead("chunk").over(by), F.first("chunk").over(whole)).alias("after"))
+    heads = after.join(firsts.withColumnRenamed("chunk", "after"), "after").select(F.col("chunk").alias("head_chunk"), F.col("first").alias("head"))
+    joined = led.join(heads, (F.col("chunk") == F.col("head_chunk")) & F.col("next").isNull(), "left")
+    return joined.select(key, *values, F.coalesce("next", "head").alias("next"))
 
 
 def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
