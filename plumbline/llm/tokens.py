@@ -3,11 +3,10 @@
 A text is cut where a cut cannot change the result: after a character that is
 not white space and before a single space or line feed.  Every pre-token of
 the byte-level and of the word-level tokenizer ends there, so a text's ids are
-its chunks' ids one after the other.  A chunk is encoded when a worker first
-meets it and looked up from then on.  Chunks of plain Latin letters with
-trailing stops are merged for a whole batch at once (`BatchMerges`); every
-other chunk, and every text with white space on which definitions differ, goes
-to the library itself.
+its chunks' ids one after the other.  Equal chunks of a block of texts are encoded
+once.  Chunks of plain Latin letters with trailing stops are merged all at once
+(`BatchMerges`); every other chunk, and every text with white space on which
+definitions differ, goes to the library itself.
 """
 
 from __future__ import annotations
@@ -28,6 +27,16 @@ _ODD_ASCII = ("\x00", "\x01", "\x02", "\x1c", "\x1d", "\x1e", "\x1f", "\t", "\r"
 _RUNS = ("  ", " \n", "\n ", "\n\n")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!|]*)")
 _BLOCK_CHARS = 3_000_000
+DEPTH = 4
+
+
+#: Random odd multipliers by place in a chunk; what a longer chunk needs is left to the library.
+_WEIGHTS = np.random.default_rng(42).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KIND = np.full(256, 9, np.uint8)
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[[ord(c) for c in ".,!|"]] = 2
+_KIND[0xC3] = 3
+_KIND[0x80:0xC0] = 4
 
 
 def tokenizer_path(name: str) -> str:
@@ -46,6 +55,15 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def _latin(word: str) -> bool:
+    """Whether every character is below U+0100."""
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class BatchMerges:
     """Byte-pair merging of many short pieces at once.
 
@@ -64,17 +82,18 @@ class BatchMerges:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([(vocab[a] << 20) | vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.bits = 20
-        while True:  # a table in which each slot holds at most two pairs
+        self.bits = 17
+        while True:  # a table in which each slot holds at most DEPTH pairs
             slot = self._slot(keys)
             order = np.argsort(slot, kind="stable")
             nth = np.arange(len(keys)) - np.searchsorted(slot[order], slot[order])
-            if nth.max(initial=0) < 2:
+            if nth.max(initial=0) < DEPTH:
                 break
             self.bits += 1
-        self.key = np.full((2, 1 << self.bits), -1, np.int64)
-        self.rank = np.full((2, 1 << self.bits), len(keys), np.int32)
+        self.key = np.full((DEPTH, 1 << self.bits), -1, np.int64)
+        self.rank = np.full((DEPTH, 1 << self.bits), len(keys), np.int32)
         self.key[nth, slot[order]], self.rank[nth, slot[order]] = keys[order], order
+        self.fill = np.bincount(slot, minlength=1 << self.bits).astype(np.uint8)
         self.made, self.none = made, len(keys)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -83,18 +102,26 @@ class BatchMerges:
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = (left << 20) | right
         slot = self._slot(keys)
-        a, b = self.key[0][slot] == keys, self.key[1][slot] == keys
-        return np.where(a, self.rank[0][slot], np.where(b, self.rank[1][slot], self.none))
+        out = np.full(len(keys), self.none, np.int32)
+        hit = self.key[0][slot] == keys
+        out[hit] = self.rank[0][slot[hit]]
+        left = np.flatnonzero(~hit & (self.fill[slot] > 1))
+        for level in range(1, DEPTH):
+            at = slot[left]
+            hit = self.key[level][at] == keys[left]
+            out[left[hit]] = self.rank[level][at[hit]]
+            left = left[~hit & (self.fill[at] > level + 1)]
+        return out
 
-    def encode(self, pieces: list[bytes]) -> list[bytes]:
-        """ids of each non-empty piece as little-endian uint32 bytes."""
-        if not pieces:
-            return []
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
-        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    def encode_flat(self, raw: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of pieces that stand one after the other in ``raw`` (n: their lengths, none zero), and how many each has."""
+        counts = np.zeros(len(n), np.int64)
+        if not len(n):
+            return np.empty(0, np.uint32), counts
         ids = self.first[raw]
-        ids[np.cumsum(n) - 1] = self.last[raw[np.cumsum(n) - 1]]
-        word = np.arange(len(pieces))
+        ends = np.cumsum(n) - 1
+        ids[ends] = self.last[raw[ends]]
+        word = np.arange(len(n))
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(word):
             start = np.cumsum(n) - n
@@ -107,26 +134,38 @@ class BatchMerges:
             at = at[np.r_[True, owner[1:] != owner[:-1]]]  # the leftmost of each piece
             live = low < self.none
             if not live.all():
-                over = np.repeat(~live, n)
-                done.append((word[~live], n[~live], ids[over]))
+                done.append((word[~live], n[~live], ids[np.repeat(~live, n)].astype(np.uint32)))
             go = at[live]
             ids[go] = self.made[low[live]]
             keep = np.repeat(live, n)
             keep[go + 1] = False
             ids, n, word = ids[keep], n[live] - 1, word[live]
-        out: list[bytes] = [b""] * len(pieces)
-        for word, n, ids in done:
-            flat, end = ids.astype("<u4").tobytes(), np.cumsum(n) * 4
-            for w, a, b in zip(word.tolist(), (end - n * 4).tolist(), end.tolist(), strict=True):
-                out[w] = flat[a:b]
-        return out
+        for w, k, _ in done:
+            counts[w] = k
+        offset = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), np.uint32)
+        for w, k, x in done:
+            flat[ragged(offset[w], k)] = x
+        return flat, counts
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """ids of each non-empty piece as little-endian uint32 bytes."""
+        flat, counts = self.encode_flat(np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        data, ends = flat.astype("<u4").tobytes(), np.cumsum(counts) * 4
+        return [data[a:z] for a, z in zip((ends - counts * 4).tolist(), ends.tolist(), strict=True)]
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices starts[k], starts[k] + 1, ... (lengths[k] of them) for each k, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
 
 
 class Encoder:
     """``encode_many(texts)`` yields for each text the bytes of the ids that
     ``library.encode(text, add_special_tokens=False)`` returns (null: none)."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -136,8 +175,7 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = BatchMerges(path)
         self.spaced = not self.merges.suffix  # byte-level: the white space before a word is part of it
-        self.memo: dict[str, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.memo: dict[str | bytes, bytes] = {}
         self.limit = limit
 
     def library(self, text: str) -> bytes:
@@ -150,42 +188,47 @@ class Encoder:
         leading line feed, ``\\x01`` for none (the start of the text), ``\\x02``
         for a chunk that the library has to see as it is.
         """
+        return ("\x01" + text).replace("\n", " \x00").split(" ") if self.cuttable(text) else None
+
+    def cuttable(self, text: str) -> bool:
+        """Whether the text's white space is single spaces and line feeds, none at its start, and it has no added token."""
         if any(c in text for c in _ODD_ASCII) or any(c in text for c in _RUNS) or text[0] in " \n":
-            return None
-        if any(t in text for t in self.added) or not text.isascii() and _ODD_SPACE.search(text):
-            return None
-        return ("\x01" + text).replace("\n", " \x00").split(" ")
+            return False
+        return not any(t in text for t in self.added) and (text.isascii() or not _ODD_SPACE.search(text))
 
     def learn(self, new: list[str]) -> None:
         """Puts the ids of chunks that are not known yet into the memo."""
-        if len(self.memo) + len(new) > self.limit:
-            self.memo = {}
-        if len(self.stems) > self.limit:
-            self.stems = {}
-        parts: list[tuple[str, list[bytes]]] = []
+        plain: list[str] = []  # a space and letters: one piece each
+        parts: list[tuple[str, list[bytes]]] = []  # letters with stops or another lead: several pieces
         for key in new:
+            if key.isalpha() and len(key) <= 60 and (key.isascii() or _latin(key)):
+                plain.append(key)
+                continue
             lead = key[0] if key and key[0] in "\x00\x01\x02" else " "
             body = key if lead == " " else key[1:]
-            m = _PLAIN.fullmatch(body)
-            if not m or len(body) > 60 or lead == "\x02":
+            m = _PLAIN.fullmatch(body) if lead != "\x02" and len(body) <= 60 else None
+            if not m:
                 text = (" " if lead == " " else "\n" if lead == "\x00" else "") + body
                 self.memo[key] = self.library(text) if text else b""
                 continue
             stem, stops = m.groups()
             if self.spaced:
-                stem = " " + stem if lead == " " else stem
                 split = [b"\n"] if lead == "\x00" else []
+                split.append((" " + stem if lead == " " else stem).encode())
             else:
-                stem, split = stem.lower(), []
-            split.append(stem.encode())
+                split = [stem.lower().encode()]
             if stops:
                 split.append(stops.encode())
             parts.append((key, split))
-        want = list({p for _, ps in parts for p in ps}.difference(self.stems))
-        self.stems.update(zip(want, self.merges.encode(want), strict=True))
-        self.memo.update((k, b"".join([self.stems[p] for p in ps])) for k, ps in parts)
+        whole = [(" " + k).encode() for k in plain] if self.spaced else [k.lower().encode() for k in plain]
+        few = list({p for _, ps in parts for p in ps})
+        ids = self.merges.encode(whole + few)
+        self.memo.update(zip(plain, ids, strict=False))
+        stems = dict(zip(few, ids[len(whole) :], strict=True))
+        self.memo.update([(k, b"".join([stems[p] for p in ps])) for k, ps in parts])
 
     def encode_many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Works in blocks of about _BLOCK_CHARS, so that memory is bounded."""
         block: list[str] = []
         chars = 0
         for t in texts:
@@ -197,18 +240,91 @@ class Encoder:
         yield from self._block(block)
 
     def _block(self, block: list[str]) -> Iterator[bytes]:
-        cut = [self.chunks(t) if t else [] for t in block]
-        new: set[str] = set()
-        for c in cut:
-            if c:
-                new.update(c)
-        fresh = list(new.difference(self.memo))
-        if len(self.memo) + len(fresh) > self.limit:
-            self.memo, fresh = {}, list(new)
-        self.learn(fresh)
-        get = self.memo.__getitem__
-        for t, c in zip(block, cut, strict=True):
-            yield self.library(t) if c is None else b"".join(map(get, c))
+        safe = [bool(t) and self.cuttable(t) for t in block]
+        found = iter(self._flat([t.encode() for t, s in zip(block, safe, strict=True) if s]))
+        for t, s in zip(block, safe, strict=True):
+            yield next(found) if s else self.library(t) if t else b""
+
+    def _flat(self, texts: list[bytes]) -> list[bytes]:
+        """ids of texts in which every chunk starts with one space or line feed, without an object for each chunk.
+
+        Chunks are told apart by a 64-bit hash and then compared with the chunk
+        that stands for them; equal ones are encoded once a block.
+        """
+        if not texts:
+            return []
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begins = np.cumsum(sizes) - sizes
+        mark = (raw == 0x20) | (raw == 0x0A)
+        mark[begins] = True
+        start = np.flatnonzero(mark)
+        n = np.diff(np.r_[start, len(raw)])
+        place = np.arange(len(raw), dtype=np.int32) - np.repeat(start.astype(np.int32), n)
+        key = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * _WEIGHTS[np.minimum(place, len(_WEIGHTS) - 1)], start)
+        # the first chunk of a text has no lead: its key is its own even where it equals another chunk's tail
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        same = n == n[first][of]
+        twin = np.minimum(np.repeat(start[first][of], n) + place, len(raw) - 1)
+        if not same.all() or (raw[twin] != raw).any() or int(n.max()) >= len(_WEIGHTS):  # a collision or a very long chunk
+            return [self.library(t.decode()) for t in texts]
+        ids, counts = self._distinct(raw, start[first], n[first])
+        offset = np.cumsum(counts) - counts
+        flat = ids[ragged(offset[of], counts[of])].astype("<u4").tobytes()
+        per_text = np.add.reduceat(counts[of], np.searchsorted(start, begins)) * 4
+        ends = np.cumsum(per_text)
+        return [flat[a:z] for a, z in zip((ends - per_text).tolist(), ends.tolist(), strict=True)]
+
+    def _distinct(self, raw: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of distinct chunks, one after the other, and how many each has."""
+        at = ragged(start, n)
+        chars, owner = raw[at], np.repeat(np.arange(len(n)), n)
+        begin = np.cumsum(n) - n
+        lead = np.zeros(len(chars), bool)
+        lead[begin] = (chars[begin] == 0x20) | (chars[begin] == 0x0A)
+        kind = _KIND[chars]  # 1 letter, 2 stop, 3 first byte of a Latin letter, 4 second byte, 9 other
+        before = np.r_[np.uint8(9), kind[:-1]]
+        after = np.r_[kind[1:], np.uint8(9)]
+        odd = (kind == 9) | (kind == 4) & (before != 3) | (kind == 3) & (after != 4) | (before == 3) & ((chars == 0x97) | (chars == 0xB7))
+        kind = np.where((kind == 3) | (kind == 4), np.uint8(1), kind)
+        before = np.r_[np.uint8(0), kind[:-1]]
+        inner = ~lead & ~np.r_[True, lead[:-1]]
+        inner[begin] = False
+        odd |= inner & (kind < before)  # a letter after a stop
+        odd &= ~lead
+        head = np.minimum(begin + lead[begin], len(chars) - 1)
+        plain = (np.bincount(owner, odd, len(n)) == 0) & (kind[head] == 1) & ~lead[head]
+        rare = np.flatnonzero(~plain)
+        own = plain[owner]
+        cut = np.zeros(len(chars), bool)
+        cut[begin] = True
+        after_lead = np.r_[False, lead[:-1]]
+        if self.spaced:
+            cut |= after_lead & np.r_[False, chars[:-1] == 0x0A]
+        else:
+            cut |= after_lead
+            upper = (chars >= 0x41) & (chars <= 0x5A) | np.r_[False, chars[:-1] == 0xC3] & (chars >= 0x80) & (chars <= 0x9E)
+            chars = np.where(upper, chars + np.uint8(0x20), chars)
+        cut |= (kind == 2) & ~lead & (np.r_[np.uint8(0), kind[:-1]] != 2)
+        use = own if self.spaced else own & ~lead
+        flags, stream, whose = cut[use], chars[use], owner[use]
+        piece = np.flatnonzero(flags)
+        ids, counts = self.merges.encode_flat(stream, np.diff(np.r_[piece, len(stream)]))
+        total = np.bincount(whose[piece], counts, len(n)).astype(np.int64)
+        texts = [raw[start[k] : start[k] + n[k]].tobytes() for k in rare.tolist()]
+        if len(self.memo) > self.limit:
+            self.memo = {}
+        for t in texts:
+            if t not in self.memo:
+                self.memo[t] = self.library(t.decode())
+        rest = [np.frombuffer(self.memo[t], "<u4") for t in texts]
+        total[rare] = [len(r) for r in rest]
+        offset = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), np.uint32)
+        out[ragged(offset[plain], total[plain])] = ids
+        if rest:
+            out[ragged(offset[rare], total[rare])] = np.concatenate(rest)
+        return out, total
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_many([text]))
