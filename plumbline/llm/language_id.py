@@ -169,5 +169,6 @@ def keep(docs: DataFrame, s: Settings = Settings(), broadcast_rows: int = 100_00
     """
     gone = store(identify(evidence_of_documents(docs), s).filter(~F.col("accepted")).select(F.col("key").alias("_key"), F.col("digest").alias("_digest")).distinct(), "language-rejected")
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_key")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_digest"))
-    return docs.join(gone, same, "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest"))
+    return rows.join(gone, same, "left_anti").select("row.*")

@@ -224,8 +224,8 @@ def keep(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str
     ``broadcast_rows`` of them (counted first) go to every task, more are
     joined by a shuffle.
     """
-    columns = docs.columns
-    rated = measured(_grouped(docs, lang, source), text)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    rated = measured(_grouped(rows, "lang", "source"))
     lim = store(limits(rated.select("q_lang", "q_source", "q_rates"), rules), "quality-limits")
     lim = F.broadcast(lim) if lim.count() <= broadcast_rows else lim
-    return rated.join(lim, ["q_lang", "q_source"]).filter(kept(rules)).select(*[F.col(f"`{c}`") for c in columns])
+    return rated.join(lim, ["q_lang", "q_source"]).filter(kept(rules)).select("row.*")

@@ -97,5 +97,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+_WORD = "[^\\x20\\x09-\\x0D]"
+
+
+def _quality_sql(rules: quality.Rules = quality.Rules()) -> str:
+    """Counts, sketches by language and source, limits and verdicts, as one statement."""
+    bucket = "CASE WHEN v < 64 THEN v ELSE (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) END"
+    level = lambda name, keys: f"""{name}_run AS (SELECT {keys}metric, b, n, sum(n) OVER (PARTITION BY {keys}metric ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys}metric) AS total
+  FROM (SELECT {keys}metric, b, sum(n) AS n FROM sketch GROUP BY ALL)),
+{name} AS (SELECT {keys}metric, any_value(total) AS total, greatest({rules.floors}[metric + 1]::DOUBLE, min(b) FILTER (upto >= ceil(total * 0.5))
+    + {rules.spread}::DOUBLE * (min(b) FILTER (upto >= ceil(total * {rules.upper}::DOUBLE)) - min(b) FILTER (upto >= ceil(total * 0.5)))) AS lim FROM {name}_run GROUP BY {keys}metric)"""
+    level_sql = ",\n".join(level(n, k).replace(str(rules.floors), str(list(rules.floors))) for n, k in (("own", "lang, source, "), ("by_lang", "lang, "), ("by_all", "")))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeats AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM twice) GROUP BY doc_id),
+tops AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, u, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS u FROM w) WHERE length(u) >= 4 GROUP BY ALL) GROUP BY doc_id),
+m AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(x.n, 0) AS n_top FROM w LEFT JOIN repeats r USING (doc_id) LEFT JOIN tops x USING (doc_id)),
+rated AS (SELECT *, [n_symbols * 1000000 // greatest(word_chars, 1), n_dup_lines * 1000000 // greatest(n_lines, 1), n_repeat_words * 1000000 // greatest(n_words, 1),
+  n_top * 1000000 // greatest(n_words, 1), word_chars * 1000 // greatest(n_words, 1)]::BIGINT[] AS rates FROM m),
+sketch AS (SELECT lang, source, metric, {bucket} AS b, count(*) AS n FROM (SELECT lang, source, unnest(rates) AS v, unnest(range(5)) AS metric FROM rated) GROUP BY ALL),
+{level_sql},
+limits AS (SELECT o.lang, o.source, list(CASE WHEN o.total >= {rules.min_docs} THEN o.lim WHEN l.total >= {rules.min_docs} THEN l.lim ELSE a.lim END ORDER BY o.metric) AS q
+  FROM own o JOIN by_lang l ON l.lang = o.lang AND l.metric = o.metric JOIN by_all a ON a.metric = o.metric GROUP BY o.lang, o.source),
+judged AS (SELECT r.*, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed, q FROM rated r JOIN limits USING (lang, source))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND rates[1] <= q[1] AND rates[2] <= q[2] AND rates[3] <= q[3] AND rates[4] <= q[4] AND rates[5] <= q[5] AND rates[5] >= {rules.min_word_len} AS kept FROM judged"""
+
+
+def _chat_sql() -> str:
+    """Conversations as the texts of their prefixes; those that are a proper prefix of another go, of equal ones the first stays."""
+    return """WITH r AS (SELECT conv_id, turn // 1024 AS part, role, text, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+p AS (SELECT *, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY k) AS prefix FROM r),
+whole AS (SELECT prefix, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE k = n GROUP BY prefix),
+best AS (SELECT conv_id, n_copies FROM whole WHERE prefix NOT IN (SELECT prefix FROM p WHERE k < n))
+SELECT r.conv_id, part, any_value(n) AS n_turns, any_value(n_copies) AS n_copies, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered FROM r JOIN best USING (conv_id) GROUP BY r.conv_id, part"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": _quality_sql(), "op7_chat_formatting": _chat_sql()}
