@@ -40,7 +40,8 @@ def span_tokens(places: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def token_labels(tokens: DataFrame, ops: DataFrame, judged: DataFrame, sides: DataFrame, cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
     """(pair_id, lang, side, idx, tok, label): -1 for punctuation, else 0 (equivalent) to 1 (different)."""
-    base = T.clamp01(cfg.diff_a * (F.col("difference") / 5.0) + cfg.diff_b)
+    # least and greatest pass over nulls, so a missing value is asked for first
+    base = F.when(F.col("difference").isNotNull(), T.clamp01(cfg.diff_a * (F.col("difference") / 5.0) + cfg.diff_b))
     fallback = F.least(F.lit(1.0), (1.0 - F.col("sim")) * cfg.fallback_scale)
     def covered(s: str) -> Column:
         at = F.sequence(f"{s}_start", F.col(f"{s}_end") - 1)
@@ -57,7 +58,7 @@ def token_labels(tokens: DataFrame, ops: DataFrame, judged: DataFrame, sides: Da
     t = tokens.join(levels, ["pair_id", "side", "seg"], "left").join(boosted, ["pair_id", "op_idx", "side", "idx"], "left")
     raised = F.greatest(F.lit(cfg.span_floor), F.least(F.lit(1.0), F.col("base") + cfg.span_boost))
     matched = F.least(F.lit(cfg.boilerplate_cap), F.when(F.coalesce("boost", F.lit(False)), raised).otherwise(F.col("base")))
-    label = F.when(T.is_punctuation(F.col("tok")), -1.0).when(F.col("one_sided"), F.col("base")).otherwise(F.coalesce(matched, F.lit(0.0)))
+    label = F.when(T.is_punctuation(F.col("tok")), -1.0).when(F.col("one_sided"), F.col("base")).when(F.col("base").isNull(), 0.0).otherwise(matched)
     return t.select("pair_id", "lang", "side", "idx", "tok", label.alias("label"))
 
 
