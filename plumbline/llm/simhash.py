@@ -21,6 +21,7 @@ of nothing else has component_id null.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,22 +88,6 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))
 
 
-def run_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that join the fingerprints of one bucket as all its pairs within ``distance`` would."""
-    links, todo = [], fps
-    while len(todo) > 1:
-        front, todo = [int(todo[0])], todo[1:]
-        while front and len(todo):
-            at = np.int64(front.pop())
-            near = _popcount(todo ^ at) <= distance
-            if near.any():
-                hit = todo[near].tolist()
-                links += [(int(at), h) for h in hit]
-                front += hit
-                todo = todo[~near]
-    return links
-
-
 class _Forest:
     """Union-find over the links of one task; `edges` gives each node's root."""
 
@@ -125,6 +110,53 @@ class _Forest:
         return nodes, [self.root(x) for x in nodes]
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first one, cut so that a key's rows stay together."""
+    held: list[np.ndarray] = []
+    for b in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+        if len(held[0]) and (cut := int(np.searchsorted(held[0], held[0][-1]))):  # the last key may go on
+            yield [x[:cut] for x in held]
+            held = [x[cut:] for x in held]
+    if held and len(held[0]):
+        yield held
+
+
+def run_pairs(key: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[np.ndarray]:
+    """(rows, rows) of pairs within ``distance`` in each run of one key.
+
+    Runs of up to SHORT_RUN rows give all such pairs; longer ones as many as
+    join what all pairs would join: a walk that starts at the run's most central
+    fingerprint.
+    """
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    for s, n in zip(start[size > SHORT_RUN].tolist(), size[size > SHORT_RUN].tolist(), strict=True):
+        own = fp[s : s + n]
+        some = own[:: max(1, n // 64)]
+        spread = sum((_popcount(own ^ x).astype(np.int64) for x in some), np.zeros(n, np.int64))
+        todo = np.argsort(spread, kind="stable")
+        found: list[tuple[int, int]] = []
+        while len(todo) > 1:
+            front, todo = [int(todo[0])], todo[1:]
+            while front and len(todo):
+                at = front.pop(0)
+                near = _popcount(own[todo] ^ own[at]) <= distance
+                hit = todo[near].tolist()
+                found += [(at, h) for h in hit]
+                front += hit
+                todo = todo[~near]
+        if found:
+            yield np.array(found, np.int64).T + s
+    short = np.repeat(size <= SHORT_RUN, size)
+    for gap in range(1, SHORT_RUN):
+        at = np.flatnonzero((key[gap:] == key[:-gap]) & short[gap:])
+        at = at[_popcount(fp[at] ^ fp[at + gap]) <= distance]
+        if len(at):
+            yield np.stack([at, at + gap])
+
+
 def links(distinct: DataFrame, distance: int) -> DataFrame:
     """(a, b): links of distinct fingerprints (column fp) whose components are those of all pairs within ``distance``."""
     keyed = distinct.select(F.explode(variant_keys(distance)).alias("key"), "fp")
@@ -132,34 +164,10 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
-        held_key, held_fp = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def settle(key: np.ndarray, fp: np.ndarray) -> None:
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[start, len(key)])
-            for s, n in zip(start[size > SHORT_RUN].tolist(), size[size > SHORT_RUN].tolist(), strict=True):
-                for a, b in run_links(fp[s : s + n], distance):
+        for key, fp in whole_keys(batches):
+            for one, two in run_pairs(key, fp, distance):
+                for a, b in zip(fp[one].tolist(), fp[two].tolist(), strict=True):
                     forest.join(a, b)
-            short = np.repeat(size <= SHORT_RUN, size)
-            for gap in range(1, SHORT_RUN):
-                at = np.flatnonzero((key[gap:] == key[:-gap]) & short[gap:])
-                if not len(at):
-                    break
-                at = at[_popcount(fp[at] ^ fp[at + gap]) <= distance]
-                for a, b in zip(fp[at].tolist(), fp[at + gap].tolist(), strict=True):
-                    forest.join(a, b)
-
-        for b in batches:
-            key = np.concatenate([held_key, b.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([held_fp, b.column(1).to_numpy(zero_copy_only=False)])
-            if not len(key):
-                continue
-            cut = np.searchsorted(key, key[-1])  # the last key's rows may go on in the next batch
-            if cut:
-                settle(key[:cut], fp[:cut])
-            held_key, held_fp = key[cut:], fp[cut:]
-        if len(held_key):
-            settle(held_key, held_fp)
         a, b = forest.edges()
         for at in range(0, len(a), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)], pa.int64()), pa.array(b[at : at + (1 << 16)], pa.int64())], ["a", "b"])
@@ -182,16 +190,96 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep(docs: DataFrame, shingle: int = 5, distance: int = 4, broadcast_rows: int = 200_000) -> DataFrame:
+def word_fingerprints(words: list[bytes], seeds: tuple[int, ...]) -> list[int]:
+    """One fingerprint for each seed over the distinct words, weighted by 1 / sqrt(count).
+
+    A few edited words change few of its bits, while the words that most texts
+    share weigh little.
+    """
+    import xxhash
+
+    counts = Counter(words)
+    weight = 1.0 / np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
+    out = []
+    for seed in seeds:
+        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in counts), np.uint64, len(counts))
+        votes = weight @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(h) else np.zeros(BITS)
+        out.append(int(np.packbits(2 * votes > weight.sum(), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Distinct 32-bit hashes of shingles."""
+    import xxhash
+
+    parts = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(p, 42) for p in parts), np.uint32, len(parts)).view(np.int32))
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 5, seeds: tuple[int, ...] = (1, 2), broadcast_rows: int = 200_000) -> DataFrame:
+    """(doc_id, component_id): groups of documents over verified links.
+
+    Documents of equal word sequence are one node.  Nodes are candidates if one
+    of their word fingerprints is within ``distance``, found by the
+    deletion-variant index; a candidate pair is a link if the Jaccard
+    similarity of its shingle sets is at least ``similarity``.
+    """
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            split = [(t.as_py() or "").encode().lower().split() for t in b.column(1)]
+            same = [xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in split]
+            fps = [word_fingerprints(w, seeds) for w in split]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "same", "fps"])
+
+    seen = store(rows.mapInArrow(sketch, "doc_id long, same string, fps array<long>"), "similar-sketches")
+    nodes = store(seen.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fps").alias("fps")), "similar-nodes")
+    each = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
+    keyed = each.select("seed", F.explode(variant_keys(distance)).alias("key"), "fp", "node")
+    keyed = keyed.select(F.col("key").bitwiseOR(F.shiftleft(F.col("seed").cast("long"), 40)).alias("key"), "fp", "node")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
+        for key, fp, node in whole_keys(batches):
+            found = {(min(a, b), max(a, b)) for one, two in run_pairs(key, fp, distance) for a, b in zip(node[one].tolist(), node[two].tolist(), strict=True)}
+            new = list(found - told)
+            told = told | found if len(told) < 500_000 else found  # spares repeats; the distinct below removes all
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in new], pa.int64()), pa.array([b for _, b in new], pa.int64())], ["a", "b"])
+
+    dealt = keyed.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+    candidates = store(dealt.mapInArrow(pairs, "a long, b long").distinct(), "similar-candidates")
+    wanted = store(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "similar-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes((t.as_py() or "").encode().lower().split(), shingle) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "set"])
+
+    sets = rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingles, "doc_id long, set array<int>")
+    sets = store(sets.groupBy("doc_id").agg(F.max("set").alias("set")), "similar-shingles")
+    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    alike = candidates.join(side("a"), "a").join(side("b"), "b").filter(both >= similarity * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+    groups = store(connected_components(alike), "similar-groups")
+    rooted = nodes.join(groups, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
+    return seen.select("doc_id", "same").join(store(rooted, "similar-roots"), "same").select("doc_id", "component_id")
+
+
+def keep(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows of ``docs`` (documents), whole, that stand for their group: those of the smallest doc_id.
 
     Rows of one doc_id are one document: one of them stays.  Rows of null doc_id
     cannot be told apart and stay.  Up to ``broadcast_rows`` ids to remove
     (counted first) go to every task, more are joined by a shuffle.
     """
-    found = store(near_duplicates(docs, shingle, distance), "simhash-groups-of-documents")
+    found = store(similar(docs, shingle, similarity), "simhash-groups-of-documents")
     gone = store(found.filter("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
     kept = docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
