@@ -34,7 +34,7 @@ from .common import new_folder, partitions, store
 from .tokens import encoder
 
 MAGIC = b"PLWM0001"
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 STEP = 512
 
 
@@ -58,12 +58,12 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """The whole sequence, from the last level up."""
-        x = np.zeros(self.n, np.uint32)
+        x = np.zeros(self.n, np.uint32 if self.levels > 16 else np.uint16)
         for k in range(self.levels - 1, -1, -1):
             bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(x)
             up[~bit] = x[: self.zeros[k]]
-            up[bit] = x[self.zeros[k] :] | np.uint32(1 << (self.levels - 1 - k))
+            up[bit] = x[self.zeros[k] :] | x.dtype.type(1 << (self.levels - 1 - k))
             x = up
         return x
 
