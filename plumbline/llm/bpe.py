@@ -1,8 +1,8 @@
 """BPE encoding and decoding over a table of distinct words.
 
 Documents become sequences of word numbers by block (see `words`).  The
-distinct words of all blocks are grouped, each is encoded once, and the ids are
-joined back to (block, word) and from there to the positions.  Decoding joins
+distinct words of all blocks meet by bucket, each is encoded once, and the ids
+go back to each block that has the word, where they are joined to the positions.  Decoding joins
 each id to its piece and puts the pieces' bytes together.
 
 A word here is a chunk after which the tokenizer always cuts (see `tokens`); a
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import store
+from .common import partitions
 from .tokens import byte_symbols, encoder
 
 _PIECES: dict[str, list[bytes]] = {}
@@ -62,21 +62,27 @@ def _split(tokenizer: str) -> Callable[[], Callable[[str], list]]:
     return make
 
 
-def word_ids(distinct: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, ids): each distinct word encoded; ids as little-endian uint16, or uint32 for large vocabularies, with a length byte."""
+def word_ids(bucketed: DataFrame, tokenizer: str) -> DataFrame:
+    """(block, packed ids) for (block, bucket, packed words): a bucket's words, of all blocks, are encoded once each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         enc = encoder(tokenizer)
-        for b in batches:
-            keys = [w.decode() for w in b.column(0).to_pylist()]
-            enc.memo = {}
-            enc.learn(keys)
-            ids = [np.frombuffer(enc.memo[k], "<u4") for k in keys]
-            small = [x.astype("<u2").tobytes() if not len(x) or x.max() < 1 << 16 else b"\x00" + x.tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(small, pa.binary())], ["word", "ids"])
+        parts = [words.unpack(x) for x in rows["packed"]]
+        distinct = list({w for _, own in parts for w in own})
+        keys = [w.decode() for w in distinct]
         enc.memo = {}
+        enc.learn(keys)
+        ids = {w: _narrow(enc.memo[k]) for w, k in zip(distinct, keys, strict=True)}
+        enc.memo = {}
+        packed = [words.pack(codes, [ids[w] for w in own]) for codes, own in parts]
+        return pd.DataFrame({"block": rows["block"], "packed": packed})
+
+    return bucketed.groupBy("bucket").applyInPandas(run, "block long, packed binary")
+
 
-    return distinct.mapInArrow(run, "word binary, ids binary")
+def _narrow(ids: bytes) -> bytes:
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\x00" + ids
 
 
 def _wide(ids: bytes) -> np.ndarray:
@@ -89,17 +95,17 @@ def encoded(docs: DataFrame, tokenizer: str, finish: Callable[[bytes, bytes], tu
 
     ``ids`` are little-endian uint32, ``decoded`` the text in UTF-8.
     """
-    table = words.coded(docs, _split(tokenizer), F.lit(False), "bpe-words", key, text)
-    pairs = words.words_of(table).select("block", "code", "word")
-    ids = store(word_ids(pairs.select("word").distinct(), tokenizer), "bpe-ids")
-    known = pairs.join(ids, "word").select("block", "code", "ids")
+    table = words.coded(docs, _split(tokenizer), F.lit(False), "bpe-words", key, text, buckets=partitions(docs.sparkSession))
+    known = word_ids(words.bucketed(table), tokenizer)
 
     def run(documents: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
-        book: list[bytes] = [b""] * len(dictionary)
-        back: list[bytes] = [b""] * len(dictionary)
-        for code, x in zip(dictionary["code"].tolist(), dictionary["ids"], strict=True):
-            wide = _wide(x)
-            book[code], back[code] = wide.tobytes(), decode(wide, tokenizer)
+        parts = [words.unpack(x) for x in dictionary["packed"]]
+        book: list[bytes] = [b""] * sum(len(c) for c, _ in parts)
+        back = list(book)
+        for codes, own in parts:
+            for code, x in zip(codes.tolist(), own, strict=True):
+                wide = _wide(x)
+                book[code], back[code] = wide.tobytes(), decode(wide, tokenizer)
         out = []
         for doc, codes in zip(documents["doc_id"].tolist(), documents["codes"], strict=True):
             numbers = unsqueezed(codes)

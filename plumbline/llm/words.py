@@ -6,6 +6,10 @@ numbers in the block, most frequent first, so that numbers are short.  What has
 to be known about a word can then be joined to (block, word) rows, far fewer
 than the words of all documents, and goes back to the positions by number.
 Nothing is kept for longer than a block, so memory is bounded by its size.
+
+The words of a block go either in rows of up to DICTIONARY_ROWS words with their
+counts (`words_of`), or in one packed row for each of a number of buckets by
+word (`bucketed`), which takes a quarter of the room in a shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import store
 
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 16_000_000
 DICTIONARY_ROWS = 20_000
 SCHEMA = "block long, doc_id long, flag boolean, n long, codes binary, base int, words array<binary>, counts array<long>"
 _FIELDS = [
@@ -45,17 +49,36 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return out.view("<u4")[:, 0]
 
 
+def pack(codes: np.ndarray, parts: list[bytes]) -> bytes:
+    """Codes and as many byte strings, compressed."""
+    sizes = np.fromiter(map(len, parts), np.uint32, len(parts))
+    joined = b"".join(parts)
+    return b"".join([len(parts).to_bytes(4, "little"), *(len(x).to_bytes(4, "little") + x for x in (squeeze(codes), squeeze(sizes), zlib.compress(joined, 6)))])
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    blocks, at = [], 4
+    for _ in range(3):
+        n = int.from_bytes(data[at : at + 4], "little")
+        blocks.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    joined, ends = zlib.decompress(blocks[2]), np.cumsum(unsqueeze(blocks[1]), dtype=np.int64)
+    starts = np.r_[0, ends[:-1]]
+    return unsqueeze(blocks[0]), [joined[a:z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 def _tally(n: int, codes: Iterator[np.ndarray]) -> np.ndarray:
     """Occurrences of each code."""
     return np.bincount(np.concatenate([np.empty(0, np.uint32), *codes]), minlength=n)
 
 
-def coded(docs: DataFrame, split: Callable[[], Callable[[str], list]], flag: Column, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def coded(docs: DataFrame, split: Callable[[], Callable[[str], list]], flag: Column, name: str, key: str = "doc_id", text: str = "text", buckets: int = 0) -> DataFrame:
     """The stored table of SCHEMA: a row for each document (its codes) and rows for each block's words.
 
     ``split()`` gives a worker its function from a text to its words (str or
     bytes).  ``flag`` marks documents whose words count; ``counts`` has each
-    word's occurrences in those of the block.
+    word's occurrences in those of the block.  With ``buckets`` the words go in
+    packed rows instead: ``base`` is the bucket, ``codes`` what `pack` makes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +104,12 @@ def coded(docs: DataFrame, split: Callable[[], Callable[[str], list]], flag: Col
             words = [w if isinstance(w, bytes) else w.encode() for w in book]
             counted = counted[order].tolist()
             words = [words[i] for i in order.tolist()]
-            for at in range(0, len(words), DICTIONARY_ROWS):
+            if buckets:
+                of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+                for bucket in np.unique(of).tolist():
+                    mine = sorted(np.flatnonzero(of == bucket).tolist(), key=words.__getitem__)
+                    yield batch(block=[block], base=[bucket], codes=[pack(np.array(mine, np.uint32), [words[i] for i in mine])])
+            for at in range(0, 0 if buckets else len(words), DICTIONARY_ROWS):
                 yield batch(block=[block], base=[at], words=[words[at : at + DICTIONARY_ROWS]], counts=[counted[at : at + DICTIONARY_ROWS]])
             book, kept, chars, block = {}, [], 0, block + 1
 
@@ -108,10 +136,15 @@ def coded(docs: DataFrame, split: Callable[[], Callable[[str], list]], flag: Col
 
 def documents_of(table: DataFrame) -> DataFrame:
     """(block, doc_id, flag, n, codes): a row for each document."""
-    return table.filter("words is null").select(*[F.col(c).alias(c) for c in ("block", "doc_id", "flag", "n", "codes")])
+    return table.filter("base is null").select(*[F.col(c).alias(c) for c in ("block", "doc_id", "flag", "n", "codes")])
 
 
 def words_of(table: DataFrame) -> DataFrame:
     """(block, code, word, count): a row for each block and word."""
     words = table.filter("words is not null").select("block", "base", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
     return words.select("block", (F.col("base") + F.col("at")).alias("code"), F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
+
+
+def bucketed(table: DataFrame) -> DataFrame:
+    """(block, bucket, packed): a row for each block and bucket of words."""
+    return table.filter("base is not null").select("block", F.col("base").alias("bucket"), F.col("codes").alias("packed"))
