@@ -124,19 +124,25 @@ def measures(text: Column) -> Column:
     return F.struct(let(words_of(text), of_words).alias("w"), let(lines, of_lines).alias("l"), symbols.alias("s"))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with struct ``q_m`` of counts and array ``q_rates`` of the rates in METRICS."""
-    m = docs.withColumn("q_m", measures(F.col(text)))
-    w, line = F.col("q_m.w"), F.col("q_m.l")
+def _rates(m: Column) -> Column:
+    w, line = m["w"], m["l"]
     per = lambda a, b, k: F.floor(a * k / F.greatest(b, F.lit(1))).cast("long")
-    rates = F.array(
-        per(F.col("q_m.s"), w["word_chars"], PPM),
+    return F.array(
+        per(m["s"], w["word_chars"], PPM),
         per(line["n_dup_lines"], line["n_lines"], PPM),
         per(w["n_repeat_words"], w["n_words"], PPM),
         per(w["n_top_word"], w["n_words"], PPM),
         per(w["word_chars"], w["n_words"], 1000),
     )
-    return m.withColumn("q_rates", rates)
+
+
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with struct ``q_m`` of counts and array ``q_rates`` of the rates in METRICS.
+
+    Both come out of one expression that the optimizer does not copy to each place where a field of it is used.
+    """
+    both = let(measures(F.col(text)), lambda m: F.struct(m.alias("m"), _rates(m).alias("rates")))
+    return docs.withColumn("q_both", both).withColumns({"q_m": F.col("q_both.m"), "q_rates": F.col("q_both.rates")}).drop("q_both")
 
 
 def bucket(value: Column) -> Column:
