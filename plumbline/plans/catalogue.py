@@ -49,7 +49,8 @@ class Pipeline:
         self.sizes = similarity.sizes(self.segments)
         self.candidates = similarity.candidates(self.sizes)
         self.scored = similarity.scored(self.candidates, self.segments)
-        self.ops = align.operations(self.sizes, self.scored)
+        # few rows, dear to make, and read by judgments, labels and spans; lost parts are made again
+        self.ops = align.operations(self.sizes, self.scored).persist()
         self.judged = judge.judgments(self.ops, self.segments)
 
     def labels(self, cfg: score.ScoreConfig = score.ScoreConfig()) -> DataFrame:
