@@ -21,7 +21,7 @@ of nothing else has component_id null.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +34,9 @@ from .components import connected_components
 
 BITS = 64
 SHORT_RUN = 8
+#: Leading bits of a shingle hash that count how common it is; parts of a set's histogram.
+CELL_BITS = 18
+PARTS = 64
 
 
 def text_fingerprint(text: str | None, shingle: int) -> int:
@@ -190,82 +193,196 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def word_fingerprints(words: list[bytes], seeds: tuple[int, ...]) -> list[int]:
-    """One fingerprint for each seed over the distinct words, weighted by 1 / sqrt(count).
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of shingles, in ascending order; none for no words."""
+    import xxhash
+
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined, 42)], np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size + 1) - 1
+    starts = (ends - size)[: len(words) - shingle + 1].tolist()
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
 
-    A few edited words change few of its bits, while the words that most texts
-    share weigh little.
+def prefix(hashes: np.ndarray, similarity: float, weight: np.ndarray) -> np.ndarray:
+    """The keys of a set: its first n - ceil(similarity * n) + 1 hashes, those of light cells first.
+
+    Two sets of that similarity share ceil(similarity * n) hashes or more, so
+    whatever order all sets are sorted in, they share one of these.
     """
-    import xxhash
+    n = len(hashes)
+    order = np.argsort(weight[hashes >> np.uint64(64 - CELL_BITS)], kind="stable")
+    return hashes[order[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
-    counts = Counter(words)
-    weight = 1.0 / np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
-    out = []
-    for seed in seeds:
-        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in counts), np.uint64, len(counts))
-        votes = weight @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(h) else np.zeros(BITS)
-        out.append(int(np.packbits(2 * votes > weight.sum(), bitorder="little").view("<i8")[0]))
-    return out
 
+def histogram(hashes: np.ndarray) -> bytes:
+    """Hashes in each of 64 parts of their range, 255 at most: two sets differ by the sum of the differences at least."""
+    return np.minimum(np.bincount((hashes & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
 
-def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
-    """Distinct 32-bit hashes of shingles."""
-    import xxhash
 
-    parts = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(p, 42) for p in parts), np.uint32, len(parts)).view(np.int32))
+def heavy_cells(digests: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of hashes that a task sees far more often than most, and how often."""
+    total = np.zeros(1 << CELL_BITS, np.int64)
+    for hashes in digests:
+        np.add.at(total, hashes >> np.uint64(64 - CELL_BITS), 1)
+    cells = np.flatnonzero(total > 4 * total.mean() + 16)
+    return cells, total[cells]
+
 
+def may_link(size: np.ndarray, parts: np.ndarray, one: np.ndarray | int, two: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows can have the similarity: never false for one that has it."""
+    most = (size[one] + size[two]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    fits = np.abs(size[one] - size[two]) <= most
+    apart = np.abs(parts[one].astype(np.int16) - parts[two]).sum(axis=-1)
+    return fits & (apart <= most)
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 5, seeds: tuple[int, ...] = (1, 2), broadcast_rows: int = 200_000) -> DataFrame:
-    """(doc_id, component_id): groups of documents over verified links.
 
-    Documents of equal word sequence are one node.  Nodes are candidates if one
-    of their word fingerprints is within ``distance``, found by the
-    deletion-variant index; a candidate pair is a link if the Jaccard
-    similarity of its shingle sets is at least ``similarity``.
+def bucket_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, parts: np.ndarray, label: np.ndarray, lo: int, hi: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pairs, rows left) of rows sorted by key.
+
+    In each bucket the rows stand in one order, the same in all buckets.  The
+    rows lo to hi - 1 are compared with all that follow and have another label;
+    buckets that have more rows and more than one label are left for a later
+    call.  When no bucket is left, each two rows of a bucket have been compared
+    or had one label.
+    """
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[start, len(key)])
+    none = np.empty((2, 0), np.int64)
+    short = np.repeat(count <= SHORT_RUN, count)
+    for gap in range(1, SHORT_RUN) if lo == 0 else ():
+        at = np.flatnonzero((key[gap:] == key[:-gap]) & short[gap:])
+        at = at[label[at] != label[at + gap]]
+        for cut in range(0, len(at), 1 << 14):
+            part = at[cut : cut + (1 << 14)]
+            part = part[may_link(size, parts, part, part + gap, similarity)]
+            if len(part):
+                yield np.stack([part, part + gap]), none[0]
+    for s, n in zip(start[count > SHORT_RUN].tolist(), count[count > SHORT_RUN].tolist(), strict=True):
+        own = s + np.argsort(node[s : s + n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+        if (label[own] == label[own[0]]).all():
+            continue
+        for k in range(lo, min(hi, n - 1)):
+            for cut in range(k + 1, n, 1 << 14):
+                rest = own[cut : cut + (1 << 14)]
+                rest = rest[label[rest] != label[own[k]]]
+                rest = rest[may_link(size, parts, int(own[k]), rest, similarity)]
+                if len(rest):
+                    yield np.stack([np.full(len(rest), own[k]), rest]), none[0]
+        if hi < n - 1:
+            yield none, own
+
+
+def _compared(rows: DataFrame, lo: int, hi: int, similarity: float, name: str) -> DataFrame:
+    """Stored rows: pairs (a, b) with key null, and the rows (key, a, size, parts) of buckets that are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
+        for key, node, size, parts, label in whole_keys(batches):
+            again = np.r_[False, key[1:] == key[:-1]]
+            several = again | np.r_[again[1:], False]
+            key, node, size, parts, label = (x[several] for x in (key, node, size, parts, label))
+            if not len(key):
+                continue
+            table = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, PARTS)
+            for (one, two), left in bucket_pairs(key, node, size.astype(np.int64), table, label, lo, hi, similarity):
+                x, y = np.minimum(node[one], node[two]), np.maximum(node[one], node[two])
+                new = list(set(zip(x[x != y].tolist(), y[x != y].tolist(), strict=True)) - told)
+                if len(told) > 500_000:  # spares repeats; a distinct removes all
+                    told.clear()
+                told.update(new)
+                n = len(new)
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array([a for a, _ in new], pa.int64()), pa.array([b for _, b in new], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["key", "a", "b", "size", "parts"])
+                if len(left):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[left]), pa.array(node[left]), pa.nulls(len(left), pa.int64()), pa.array(size[left].astype(np.int32)), pa.array(parts[left].tolist(), pa.binary())], ["key", "a", "b", "size", "parts"])
+
+    dealt = rows.select("key", "node", "size", "parts", "label").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    return store(dealt.mapInArrow(run, "key long, a long, b long, size int, parts binary"), name)
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
+    """(doc_id, component_id): groups of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Documents of equal word sequence are one node.  Nodes that share a key of
+    ``prefix`` meet in a bucket; each two of them that ``may_link`` are compared
+    by their shingle sets, unless links found before have put them into one
+    group.  No link is lost to the groups: the first rows of every bucket are
+    compared with all others, and buckets whose rows are not all in one group
+    go on to the next rows until none is left.
     """
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    split = lambda t: (t.as_py() or "").encode().lower().split()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        sampled: list[np.ndarray] = []
+        total: dict[int, int] = {}
         for b in batches:
-            split = [(t.as_py() or "").encode().lower().split() for t in b.column(1)]
-            same = [xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in split]
-            fps = [word_fingerprints(w, seeds) for w in split]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "same", "fps"])
-
-    seen = store(rows.mapInArrow(sketch, "doc_id long, same string, fps array<long>"), "similar-sketches")
-    nodes = store(seen.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fps").alias("fps")), "similar-nodes")
-    each = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
-    keyed = each.select("seed", F.explode(variant_keys(distance)).alias("key"), "fp", "node")
-    keyed = keyed.select(F.col("key").bitwiseOR(F.shiftleft(F.col("seed").cast("long"), 40)).alias("key"), "fp", "node")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[tuple[int, int]] = set()
-        for key, fp, node in whole_keys(batches):
-            found = {(min(a, b), max(a, b)) for one, two in run_pairs(key, fp, distance) for a, b in zip(node[one].tolist(), node[two].tolist(), strict=True)}
-            new = list(found - told)
-            told = told | found if len(told) < 500_000 else found  # spares repeats; the distinct below removes all
-            if new:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in new], pa.int64()), pa.array([b for _, b in new], pa.int64())], ["a", "b"])
-
-    dealt = keyed.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    candidates = store(dealt.mapInArrow(pairs, "a long, b long").distinct(), "similar-candidates")
-    wanted = store(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "similar-wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+            words = [split(t) for t in b.column(1)]
+            same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+            sampled += [shingle_hashes(w, shingle) for w, d in zip(words, same, strict=True) if d[0] % 8 == 0]  # a sample: it only orders the keys
+            if len(sampled) > 2000:
+                for c, n in zip(*(x.tolist() for x in heavy_cells(iter(sampled))), strict=True):
+                    total[c] = total.get(c, 0) + n
+                sampled = []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.nulls(len(same), pa.int32()), pa.nulls(len(same), pa.int64())], ["doc_id", "same", "cell", "n"])
+        for c, n in zip(*(x.tolist() for x in heavy_cells(iter(sampled))), strict=True):
+            total[c] = total.get(c, 0) + n
+        n = len(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["doc_id", "same", "cell", "n"])
+
+    both = store(rows.mapInArrow(sketch, "doc_id long, same binary, cell int, n long"), "similar-sketches")
+    seen = both.filter("cell is null").select("doc_id", "same")
+    weight = np.zeros(1 << CELL_BITS, np.int64)
+    for r in both.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 2^18 rows at most
+        weight[r["cell"]] = r["n"]
+    nodes = store(seen.groupBy("same").agg(F.min("doc_id").alias("node")), "similar-nodes")
+
+    def chosen(ids: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_semi").select("doc_id", "text")
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(split(t), shingle) for t in b.column(1)]
+            keys = [prefix(h, similarity, weight).view(np.int64) for h in sets]
+            columns = [b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array([len(h) for h in sets], pa.int32()), pa.array([histogram(h) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "keys", "size", "parts"])
+
+    keyed = chosen(nodes.select(F.col("node").alias("doc_id")).distinct()).mapInArrow(index, "node long, keys array<long>, size int, parts binary")
+    keyed = keyed.select(F.explode("keys").alias("key"), "node", "size", "parts", F.col("node").alias("label"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_hashes((t.as_py() or "").encode().lower().split(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "set"])
-
-    sets = rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingles, "doc_id long, set array<int>")
-    sets = store(sets.groupBy("doc_id").agg(F.max("set").alias("set")), "similar-shingles")
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    alike = candidates.join(side("a"), "a").join(side("b"), "b").filter(both >= similarity * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
-    groups = store(connected_components(alike), "similar-groups")
+            sets = [shingle_hashes(split(t), shingle).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        wanted = store(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "similar-wanted")
+        sets = chosen(wanted).mapInArrow(shingles, "doc_id long, set array<long>")
+        sets = store(sets.groupBy("doc_id").agg(F.max("set").alias("set")), "similar-shingles")
+        side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}"))
+        shared = F.size(F.array_intersect("set_a", "set_b"))
+        alike = candidates.join(side("a"), "a").join(side("b"), "b").filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared))
+        return store(alike.select("a", "b"), "similar-links")
+
+    lo, hi = 0, SHORT_RUN
+    links = groups = None
+    while True:
+        found = _compared(keyed, lo, hi, similarity, "similar-candidates")
+        new = verified(store(found.filter("key is null").select("a", "b").distinct(), "similar-pairs"))
+        links = new if links is None else links.unionByName(new)
+        groups = store(connected_components(links), "similar-groups")
+        left = found.filter("key is not null").select("key", F.col("a").alias("node"), "size", "parts")
+        if left.isEmpty():
+            break
+        keyed = left.join(groups.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        lo, hi = hi, hi * 8
     rooted = nodes.join(groups, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return seen.select("doc_id", "same").join(store(rooted, "similar-roots"), "same").select("doc_id", "component_id")
 
