@@ -76,3 +76,22 @@ def test_edited_copies_of_every_kind_are_found(spark):
     want, got = brute_groups(texts), grouped(spark, texts)
     assert got == want
     assert all(want[10 * k + j] == 10 * k for k in range(60) for j in (1, 2))
+
+
+def test_chains_of_versions_in_large_groups_stay_whole(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(3000)}"
+    common = [word() for _ in range(12)]
+    texts = {}
+    for g in range(3):
+        versions = [[word() for _ in range(150)]]
+        while len(versions) < 80:
+            w = list(rng.choice(versions[-12:]))
+            for at in rng.sample(range(len(w)), 2):
+                w[at] = word()
+            versions.append(w)
+        texts |= {1000 * g + k: " ".join(w) for k, w in enumerate(versions)}
+    texts |= {5000 + k: " ".join(common + [word() for _ in range(30)]) for k in range(80)}
+    want = brute_groups(texts)
+    assert len(set(want.values())) == 3 + 80
+    assert grouped(spark, texts) == want
