@@ -37,6 +37,7 @@ SHORT_RUN = 8
 #: Leading bits of a shingle hash that count how common it is; parts of a set's histogram.
 CELL_BITS = 18
 PARTS = 64
+FINE_PARTS = 1024  # for pairs: tells long texts apart
 
 
 def text_fingerprint(text: str | None, shingle: int) -> int:
@@ -219,9 +220,9 @@ def prefix(hashes: np.ndarray, similarity: float, weight: np.ndarray) -> np.ndar
     return hashes[order[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
-def histogram(hashes: np.ndarray) -> bytes:
-    """Hashes in each of 64 parts of their range, 255 at most: two sets differ by the sum of the differences at least."""
-    return np.minimum(np.bincount((hashes & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+def histogram(hashes: np.ndarray, parts: int = PARTS) -> bytes:
+    """Hashes by their last bits, 255 at most in each part: two sets differ by the sum of the differences at least."""
+    return np.minimum(np.bincount((hashes & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
 
 
 def heavy_cells(digests: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -362,7 +363,35 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcas
             sets = [shingle_hashes(split(t), shingle).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
 
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(split(t), shingle) for t in b.column(1)]
+            columns = [b.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([histogram(h, FINE_PARTS) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "parts"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1 << 12):
+                c = b.slice(at, 1 << 12)
+                n = c.num_rows
+                size = np.concatenate([c.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 4)])
+                parts = np.frombuffer(b"".join(c.column(3).to_pylist() + c.column(5).to_pylist()), np.uint8).reshape(-1, FINE_PARTS)
+                hit = pa.array(may_link(size, parts, np.arange(n), np.arange(n, 2 * n), similarity))
+                yield pa.RecordBatch.from_arrays([c.column(0).filter(hit), c.column(1).filter(hit)], ["a", "b"])
+
+    def of_near(candidates: DataFrame) -> DataFrame:
+        """Candidates that a finer histogram leaves; it goes to the pairs in the place of the much larger sets."""
+        wanted = store(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "similar-wanted")
+        # rows of one doc_id are one node with one of their sets: nothing is ruled out by another's
+        parts = chosen(wanted).mapInArrow(fine, "doc_id long, size int, parts binary")
+        parts = store(parts.groupBy("doc_id").agg(F.max(F.struct("size", "parts")).alias("m"), F.count_distinct("parts").alias("n")), "similar-parts")
+        side = lambda c: parts.select(F.col("doc_id").alias(c), F.col("m.size").alias(f"size_{c}"), F.col("m.parts").alias(f"parts_{c}"), F.col("n").alias(f"n_{c}"))
+        joined = store(candidates.join(side("a"), "a").join(side("b"), "b"), "similar-sided")
+        passed = joined.filter("n_a = 1 and n_b = 1").select("a", "b", "size_a", "parts_a", "size_b", "parts_b").mapInArrow(near, "a long, b long")
+        return store(passed.unionByName(joined.filter("n_a > 1 or n_b > 1").select("a", "b")), "similar-near")
+
     def verified(candidates: DataFrame) -> DataFrame:
+        candidates = of_near(candidates)
         wanted = store(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "similar-wanted")
         sets = chosen(wanted).mapInArrow(shingles, "doc_id long, set array<long>")
         sets = store(sets.groupBy("doc_id").agg(F.max("set").alias("set")), "similar-shingles")
@@ -376,13 +405,14 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcas
     while True:
         found = _compared(keyed, lo, hi, similarity, "similar-candidates")
         new = verified(store(found.filter("key is null").select("a", "b").distinct(), "similar-pairs"))
-        links = new if links is None else links.unionByName(new)
-        groups = store(connected_components(links), "similar-groups")
+        if groups is None or not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            groups = store(connected_components(links), "similar-groups")
         left = found.filter("key is not null").select("key", F.col("a").alias("node"), "size", "parts")
         if left.isEmpty():
             break
         keyed = left.join(groups.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        lo, hi = hi, hi * 8
+        lo, hi = hi, hi * 16
     rooted = nodes.join(groups, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return seen.select("doc_id", "same").join(store(rooted, "similar-roots"), "same").select("doc_id", "component_id")
 
