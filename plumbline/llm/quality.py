@@ -1,17 +1,25 @@
 """Quality rules with adaptive thresholds (native DataFrame functions only).
 
-Each document gets integer rates.  A quantile sketch of every rate is kept per
-language and source: values below 64 count exactly, larger ones under their six
-leading bits, so a quantile is low by 1/32 at most.  Sketches are counts by
-bucket; they merge by addition, in any order and with the same result, and the
-sketches of a language, or of everything, are the sums of their parts.  Limits
-come from the sketch of the document's language and source, or from the
-language's or everything's where too few documents were seen, and are joined
-back for the filter.
+Each document gets counts and integer rates.  Of the documents that pass the
+base rule a quantile sketch of every rate is kept per language and source:
+values below 128 count exactly, larger ones under their seven leading bits, so a
+quantile is low by 1/64 at most.  Sketches are counts by bucket; they merge by
+addition, in any order and with the same result, and the sketches of a language,
+or of everything, are the sums of their parts.  A group's quantiles are shrunk
+towards its language's, and those towards everything's, by a weight in
+documents, so a group moves away from its language as it grows, without a step.
+
+Median and quartiles bear a group of which nearly a quarter is junk.  A count c
+of n fails where sqrt(c) > sqrt(n * usual) + slack: ``usual`` is the rate up to
+which the group's quartile explains it, and the square roots make the slack the
+same number of standard deviations for a short text and for a long one.  The mean
+word length fails outside its group's median by a multiple of the quartile
+distance, wider for short texts.
 
 Defined cases: a null or empty text has no words and fails the base rule.  Null
-language or source is a group of its own.  Repeated rows are judged each for
-itself.  An empty table gives an empty result.  Other columns are untouched.
+language or source is a group of its own, apart from any value.  Repeated rows
+are judged each for itself.  An empty table gives an empty result.  Other columns
+are untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,17 +38,21 @@ METRICS = ("symbol_ppm", "dup_line_ppm", "repeat_ppm", "top_word_ppm", "word_len
 
 @dataclass(frozen=True)
 class Rules:
-    """A rate fails above median + ``spread`` * (q90 - median), and never below ``floors``."""
+    """Limits are made from quantiles at ``quartiles`` of a document's language and source."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
-    min_docs: int = 200  # a group with fewer documents takes the limits of the next larger one
-    upper: float = 0.90
-    spread: float = 6.0
-    #: Clean prose of any source stays below these; no limit goes under them.
-    floors: tuple[int, ...] = (60_000, 250_000, 250_000, 300_000, 12_000)
-    #: Mean word length (thousandths) below which a document fails.
-    min_word_len: int = 2_000
+    weight: int = 200  # documents of the larger group that shrink a group's quantiles
+    quartiles: tuple[float, float, float] = (0.25, 0.50, 0.75)
+    spread: float = 2.0  # usual rate: ``spread`` * (upper quartile + ``least``)
+    slack: float = 2.5  # standard deviations of a count over what is usual
+    #: Smallest differences of the four shares that mean anything, in millionths.
+    least: tuple[int, ...] = (5_000, 50_000, 50_000, 10_000)
+    #: How many units of a count come at once: a repeated window has its words in both places.
+    clump: tuple[int, ...] = (1, 1, 2 * 8, 1)
+    len_spread: float = 4.0
+    len_least: int = 100  # thousandths of a letter
+    len_short: float = 4_000.0  # widens the range of mean word lengths by this over sqrt(words)
 
 
 def words_of(text: Column) -> Column:
@@ -139,16 +151,16 @@ def _rates(m: Column) -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with struct ``q_m`` of counts and array ``q_rates`` of the rates in METRICS.
 
-    Both come out of one expression that the optimizer does not copy to each place where a field of it is used.
+    Store the result before it is read twice: the counts cost far more than a scan.
     """
     both = let(measures(F.col(text)), lambda m: F.struct(m.alias("m"), _rates(m).alias("rates")))
     return docs.withColumn("q_both", both).withColumns({"q_m": F.col("q_both.m"), "q_rates": F.col("q_both.rates")}).drop("q_both")
 
 
 def bucket(value: Column) -> Column:
-    """Lower end of a value's sketch bucket: the value itself, or its six leading bits."""
-    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0)).cast("int")
-    return F.when(value < 64, value).otherwise(F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift))
+    """Lower end of a value's sketch bucket: the value itself, or its seven leading bits."""
+    shift = F.greatest(F.length(F.bin(value)) - 7, F.lit(0)).cast("int")
+    return F.when(value < 128, value).otherwise(F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift))
 
 
 def sketches(rated: DataFrame, rates: str, *keys: str) -> DataFrame:
@@ -163,7 +175,7 @@ def merge(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, probabilities: dict[str, float], *keys: str) -> DataFrame:
-    """Rows (keys..., metric, total, one column for each quantile)."""
+    """Rows (keys..., metric, total, one column for each quantile). A group is its few hundred buckets, however many rows it has."""
     w = Window.partitionBy(*keys, "metric")
     run = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
     cuts = [
@@ -173,30 +185,29 @@ def quantiles(sketch: DataFrame, probabilities: dict[str, float], *keys: str) ->
     return run.groupBy(*keys, "metric").agg(F.max("total").alias("total"), *cuts)
 
 
-def limits(rated: DataFrame, rules: Rules, lang: str = "q_lang", source: str = "q_source") -> DataFrame:
-    """One row (q_lang, q_source, q_limits array by metric) for each group of ``rated``."""
-    fine = store(sketches(rated, "q_rates", lang, source), "quality-sketch")
-    probabilities = {"mid": 0.5, "high": rules.upper}
-
-    def limit(prefix: str) -> Column:
-        floor = F.element_at(F.array(*[F.lit(x).cast("double") for x in rules.floors]), F.col("metric") + 1)
-        return F.greatest(floor, F.col("mid") + rules.spread * (F.col("high") - F.col("mid"))).alias(prefix)
-
-    one = quantiles(fine, probabilities, lang, source).select(lang, source, "metric", F.col("total"), limit("own"))
-    by_lang = quantiles(merge(fine, lang), probabilities, lang).select(lang, "metric", F.col("total").alias("lang_total"), limit("of_lang"))
-    everything = quantiles(merge(fine), probabilities).select("metric", limit("of_all"))
-    chosen = F.when(F.col("total") >= rules.min_docs, F.col("own")).when(F.col("lang_total") >= rules.min_docs, F.col("of_lang")).otherwise(F.col("of_all"))
-    return (
-        one.join(by_lang, [lang, "metric"])
-        .join(F.broadcast(everything), "metric")  # five rows
-        .groupBy(lang, source)
-        .agg(F.sort_array(F.collect_list(F.struct("metric", chosen.alias("limit")))).alias("q"))
-        .select(lang, source, F.col("q.limit").alias("q_limits"))
-    )
+def _shrunk(n: Column, own: Column, wider: Column, weight: int) -> Column:
+    return (n * own + F.lit(weight) * wider) / (n + F.lit(weight))
+
 
+def limits(rated: DataFrame, rules: Rules) -> DataFrame:
+    """One row (g_lang, g_source, q_limits) for each group of ``rated`` (q_lang, q_source, q_rates).
 
-def _grouped(docs: DataFrame, lang: str, source: str) -> DataFrame:
-    return docs.withColumn("q_lang", F.coalesce(F.col(lang), F.lit("\x00"))).withColumn("q_source", F.coalesce(F.col(source), F.lit("\x00")))
+    q_limits: the usual rate of each share, then the middle of the mean word lengths and their range.
+    """
+    fine = store(sketches(rated, "q_rates", "q_lang", "q_source"), "quality-sketch")
+    names = ("lo", "mid", "hi")
+    probabilities = dict(zip(names, rules.quartiles, strict=True))
+    everything = quantiles(merge(fine), probabilities).select("metric", *[F.col(c).alias(f"all_{c}") for c in names])
+    by_lang = quantiles(merge(fine, "q_lang"), probabilities, "q_lang").join(F.broadcast(everything), "metric")  # five rows
+    by_lang = by_lang.select(F.col("q_lang").alias("l_lang"), F.col("metric").alias("l_metric"), *[_shrunk(F.col("total"), F.col(c), F.col(f"all_{c}"), rules.weight).alias(f"lang_{c}") for c in names])
+    one = quantiles(fine, probabilities, "q_lang", "q_source")
+    one = one.join(by_lang, F.col("q_lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
+    shrunk = [_shrunk(F.col("total"), F.col(c), F.col(f"lang_{c}"), rules.weight).alias(c) for c in names]
+    grouped = one.groupBy("q_lang", "q_source").agg(F.sort_array(F.collect_list(F.struct("metric", *shrunk))).alias("q"))  # five a group
+    at = lambda k, c: F.get("q", F.lit(k))[c]
+    usual = [F.lit(rules.spread) * (at(k, "hi") + F.lit(rules.least[k])) for k in range(4)]
+    around = F.lit(rules.len_spread) * (at(4, "hi") - at(4, "lo") + F.lit(rules.len_least))
+    return grouped.select(F.col("q_lang").alias("g_lang"), F.col("q_source").alias("g_source"), F.array(*usual, at(4, "mid"), around).alias("q_limits"))
 
 
 def base_failed(rules: Rules) -> Column:
@@ -205,33 +216,45 @@ def base_failed(rules: Rules) -> Column:
 
 
 def kept(rules: Rules) -> Column:
-    inside = F.forall(F.arrays_zip(F.col("q_rates").alias("r"), F.col("q_limits").alias("t")), lambda x: x["r"] <= x["t"])
-    return ~base_failed(rules) & inside & (F.element_at("q_rates", -1) >= rules.min_word_len)
+    w, line = F.col("q_m.w"), F.col("q_m.l")
+    counts = ((F.col("q_m.s"), w["word_chars"]), (line["n_dup_lines"], line["n_lines"]), (w["n_repeat_words"], w["n_words"]), (w["n_top_word"], w["n_words"]))
+    inside = ~F.col("base_failed")
+    for k, (c, n) in enumerate(counts):
+        usual = n * F.get("q_limits", F.lit(k)) / F.lit(float(PPM * rules.clump[k]))
+        inside &= F.sqrt(c / F.lit(float(rules.clump[k]))) <= F.sqrt(usual) + F.lit(rules.slack)
+    off = F.abs(F.get("q_rates", F.lit(4)) - F.get("q_limits", F.lit(4)))
+    inside &= off <= F.get("q_limits", F.lit(5)) + F.lit(rules.len_short) / F.sqrt(F.greatest(w["n_words"], F.lit(1)).cast("double"))
+    return F.coalesce(inside, F.lit(False))  # a group whose documents all fail the base rule has no limits
+
+
+def _judged(rated: DataFrame, rules: Rules, broadcast_rows: int) -> DataFrame:
+    """Stored rows (q_lang, q_source, q_m, q_rates, ...) with base_failed, kept and q_limits.
+
+    Limits are one small row for each language and source: up to
+    ``broadcast_rows`` of them (counted first) go to every task, more are
+    joined by a shuffle.
+    """
+    rated = rated.withColumn("base_failed", base_failed(rules))
+    lim = store(limits(rated.filter(~F.col("base_failed")).select("q_lang", "q_source", "q_rates"), rules), "quality-limits")
+    lim = F.broadcast(lim) if lim.count() <= broadcast_rows else lim
+    same = F.col("q_lang").eqNullSafe(F.col("g_lang")) & F.col("q_source").eqNullSafe(F.col("g_source"))
+    return rated.join(lim, same, "left").drop("g_lang", "g_source").withColumn("kept", kept(rules))
 
 
-def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
+def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id", broadcast_rows: int = 100_000) -> DataFrame:
     """One row for each row of ``docs``: key, counts, base_failed, kept, rates and limits.
 
     The counts are written once; sketch and filter both read them.
     """
-    rated = measured(_grouped(docs.select(key, text, lang, source), lang, source), text).drop(text)
-    rated = store(rated, "quality-rates")
-    return (
-        rated.join(store(limits(rated, rules), "quality-limits"), ["q_lang", "q_source"], "left")
-        .withColumn("base_failed", base_failed(rules))
-        .withColumn("kept", kept(rules))
-    )
+    rated = measured(docs.select(F.col(key), F.col(text).alias("q_text"), F.col(lang).alias("q_lang"), F.col(source).alias("q_source")), "q_text").drop("q_text")
+    return _judged(store(rated, "quality-rates"), rules, broadcast_rows)
 
 
 def keep(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", source: str = "source", broadcast_rows: int = 100_000) -> DataFrame:
     """The rows of ``docs`` that pass, whole and with their own columns.
 
-    Limits are one small row for each language and source: up to
-    ``broadcast_rows`` of them (counted first) go to every task, more are
-    joined by a shuffle.
+    Rows are written once with their counts; sketch and filter read them back.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    rated = measured(_grouped(rows, "lang", "source"))
-    lim = store(limits(rated.select("q_lang", "q_source", "q_rates"), rules), "quality-limits")
-    lim = F.broadcast(lim) if lim.count() <= broadcast_rows else lim
-    return rated.join(lim, ["q_lang", "q_source"]).filter(kept(rules)).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("q_text"), F.col(lang).alias("q_lang"), F.col(source).alias("q_source"))
+    rated = store(measured(rows, "q_text").drop("q_text"), "quality-rows")
+    return _judged(rated, rules, broadcast_rows).filter("kept").select("row.*")

@@ -101,15 +101,21 @@ _WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def _quality_sql(rules: quality.Rules = quality.Rules()) -> str:
-    """Counts, sketches by language and source, limits and verdicts, as one statement."""
-    bucket = "CASE WHEN v < 64 THEN v ELSE (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) END"
-    level = lambda name, keys: f"""{name}_run AS (SELECT {keys}metric, b, n, sum(n) OVER (PARTITION BY {keys}metric ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys}metric) AS total
-  FROM (SELECT {keys}metric, b, sum(n) AS n FROM sketch GROUP BY ALL)),
-{name} AS (SELECT {keys}metric, any_value(total) AS total, greatest({rules.floors}[metric + 1]::DOUBLE, min(b) FILTER (upto >= ceil(total * 0.5))
-    + {rules.spread}::DOUBLE * (min(b) FILTER (upto >= ceil(total * {rules.upper}::DOUBLE)) - min(b) FILTER (upto >= ceil(total * 0.5)))) AS lim FROM {name}_run GROUP BY {keys}metric)"""
-    level_sql = ",\n".join(level(n, k).replace(str(rules.floors), str(list(rules.floors))) for n, k in (("own", "lang, source, "), ("by_lang", "lang, "), ("by_all", "")))
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '{_WORD}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
+    """Counts, sketches by language and source, shrunk quantiles, limits and verdicts, as one statement."""
+    bucket = "CASE WHEN v < 128 THEN v ELSE (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) END"
+    cut = ", ".join(f"min(b) FILTER (upto >= ceil(total * {p}::DOUBLE)) AS {c}" for c, p in zip(("lo", "mid", "hi"), rules.quartiles, strict=True))
+    level = lambda name, keys: f"""{name} AS (SELECT {keys}metric, any_value(total) AS total, {cut}
+  FROM (SELECT {keys}metric, b, sum(n) OVER (PARTITION BY {keys}metric ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys}metric) AS total
+    FROM (SELECT {keys}metric, b, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {keys}metric)"""
+    level_sql = ",\n".join(level(n, k) for n, k in (("own", "lang, source, "), ("by_lang", "lang, "), ("by_all", "")))
+    shrunk = lambda n, a, b: ", ".join(f"({n}.total::DOUBLE * {n}.{c} + {rules.weight} * {b}.{c}) / ({n}.total::DOUBLE + {rules.weight}) AS {c}" for c in ("lo", "mid", "hi"))
+    usual = ", ".join(f"{rules.spread}::DOUBLE * (q[{k + 1}].hi + {rules.least[k]})" for k in range(4))
+    counts = (("n_symbols", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("n_top", "n_words"))
+    inside = " AND ".join(
+        f"sqrt({c} / {rules.clump[k]}::DOUBLE) <= sqrt({n} * lim[{k + 1}] / {quality.PPM * rules.clump[k]}::DOUBLE) + {rules.slack}::DOUBLE" for k, (c, n) in enumerate(counts)
+    )
+    return f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, lang, source, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
 twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 repeats AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM twice) GROUP BY doc_id),
@@ -117,14 +123,16 @@ tops AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, u, count(*) AS n FROM (
 m AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
   len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(x.n, 0) AS n_top FROM w LEFT JOIN repeats r USING (doc_id) LEFT JOIN tops x USING (doc_id)),
 rated AS (SELECT *, [n_symbols * 1000000 // greatest(word_chars, 1), n_dup_lines * 1000000 // greatest(n_lines, 1), n_repeat_words * 1000000 // greatest(n_words, 1),
-  n_top * 1000000 // greatest(n_words, 1), word_chars * 1000 // greatest(n_words, 1)]::BIGINT[] AS rates FROM m),
-sketch AS (SELECT lang, source, metric, {bucket} AS b, count(*) AS n FROM (SELECT lang, source, unnest(rates) AS v, unnest(range(5)) AS metric FROM rated) GROUP BY ALL),
+  n_top * 1000000 // greatest(n_words, 1), word_chars * 1000 // greatest(n_words, 1)]::BIGINT[] AS rates, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM m),
+sketch AS (SELECT lang, source, metric, {bucket} AS b, count(*) AS n FROM (SELECT lang, source, unnest(rates) AS v, unnest(range(5)) AS metric FROM rated WHERE NOT base_failed) GROUP BY ALL),
 {level_sql},
-limits AS (SELECT o.lang, o.source, list(CASE WHEN o.total >= {rules.min_docs} THEN o.lim WHEN l.total >= {rules.min_docs} THEN l.lim ELSE a.lim END ORDER BY o.metric) AS q
-  FROM own o JOIN by_lang l ON l.lang = o.lang AND l.metric = o.metric JOIN by_all a ON a.metric = o.metric GROUP BY o.lang, o.source),
-judged AS (SELECT r.*, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed, q FROM rated r JOIN limits USING (lang, source))
+of_lang AS (SELECT l.lang, l.metric, {shrunk("l", "l", "a")} FROM by_lang l JOIN by_all a USING (metric)),
+of_own AS (SELECT o.lang, o.source, o.metric, {shrunk("o", "o", "l")} FROM own o JOIN of_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric),
+limits AS (SELECT lang, source, [{usual}, q[5].mid, {rules.len_spread}::DOUBLE * (q[5].hi - q[5].lo + {rules.len_least})] AS lim
+  FROM (SELECT lang, source, list({{'lo': lo, 'mid': mid, 'hi': hi}} ORDER BY metric) AS q FROM of_own GROUP BY lang, source)),
+judged AS (SELECT r.*, lim FROM rated r LEFT JOIN limits l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND rates[1] <= q[1] AND rates[2] <= q[2] AND rates[3] <= q[3] AND rates[4] <= q[4] AND rates[5] <= q[5] AND rates[5] >= {rules.min_word_len} AS kept FROM judged"""
+  coalesce(NOT base_failed AND {inside} AND abs(rates[5] - lim[5]) <= lim[6] + {rules.len_short}::DOUBLE / sqrt(greatest(n_words, 1)::DOUBLE), false) AS kept FROM judged"""
 
 
 def _chat_sql() -> str:
