@@ -38,6 +38,8 @@ SHORT_RUN = 8
 CELL_BITS = 18
 PARTS = 64
 FINE_PARTS = 1024  # for pairs: tells long texts apart
+#: Keys of a set under which nodes meet first, so that large groups are known before all keys are used.
+SEEDS = 3
 
 
 def text_fingerprint(text: str | None, shingle: int) -> int:
@@ -234,140 +236,202 @@ def heavy_cells(digests: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return cells, total[cells]
 
 
+def may_meet(size: np.ndarray, place: np.ndarray, one: np.ndarray | int, two: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows of one key can have the similarity if this key is the first that their sets share.
+
+    The sets then share this key and, at most, what follows it in the shorter
+    rest.  A pair that has the similarity passes in the bucket of its first shared key.
+    """
+    need = np.ceil((size[one] + size[two]) * (similarity / (1 + similarity)) - 1e-6)
+    return np.minimum(size[one] - place[one], size[two] - place[two]) >= need
+
+
 def may_link(size: np.ndarray, parts: np.ndarray, one: np.ndarray | int, two: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs of rows can have the similarity: never false for one that has it."""
+    """Which pairs of rows can have the similarity, by their histograms: never false for one that has it."""
     most = (size[one] + size[two]) * ((1 - similarity) / (1 + similarity)) + 1e-6
     fits = np.abs(size[one] - size[two]) <= most
     apart = np.abs(parts[one].astype(np.int16) - parts[two]).sum(axis=-1)
     return fits & (apart <= most)
 
 
-def bucket_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, parts: np.ndarray, label: np.ndarray, lo: int, hi: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(pairs, rows left) of rows sorted by key.
-
-    In each bucket the rows stand in one order, the same in all buckets.  The
-    rows lo to hi - 1 are compared with all that follow and have another label;
-    buckets that have more rows and more than one label are left for a later
-    call.  When no bucket is left, each two rows of a bucket have been compared
-    or had one label.
-    """
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    count = np.diff(np.r_[start, len(key)])
-    none = np.empty((2, 0), np.int64)
-    short = np.repeat(count <= SHORT_RUN, count)
-    for gap in range(1, SHORT_RUN) if lo == 0 else ():
-        at = np.flatnonzero((key[gap:] == key[:-gap]) & short[gap:])
-        at = at[label[at] != label[at + gap]]
-        for cut in range(0, len(at), 1 << 14):
-            part = at[cut : cut + (1 << 14)]
-            part = part[may_link(size, parts, part, part + gap, similarity)]
-            if len(part):
-                yield np.stack([part, part + gap]), none[0]
-    for s, n in zip(start[count > SHORT_RUN].tolist(), count[count > SHORT_RUN].tolist(), strict=True):
-        own = s + np.argsort(node[s : s + n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
-        if (label[own] == label[own[0]]).all():
-            continue
-        for k in range(lo, min(hi, n - 1)):
-            for cut in range(k + 1, n, 1 << 14):
-                rest = own[cut : cut + (1 << 14)]
-                rest = rest[label[rest] != label[own[k]]]
-                rest = rest[may_link(size, parts, int(own[k]), rest, similarity)]
-                if len(rest):
-                    yield np.stack([np.full(len(rest), own[k]), rest]), none[0]
-        if hi < n - 1:
-            yield none, own
+class _Bucket:
+    """Rows of one key or more, sorted by key, and which of their pairs are worth a comparison."""
+
+    def __init__(self, key: np.ndarray, node: np.ndarray, spot: np.ndarray, parts: np.ndarray, label: np.ndarray, similarity: float):
+        self.key, self.node, self.label, self.similarity = key, node, label, similarity
+        self.size, self.place = spot >> 32, spot & 0xFFFFFFFF
+        self.parts = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, PARTS) if len(parts) and parts[0] is not None else None
+
+    def worth(self, one: np.ndarray | int, two: np.ndarray) -> np.ndarray:
+        fits = (self.label[one] != self.label[two]) & may_meet(self.size, self.place, one, two, self.similarity)
+        if self.parts is None or not fits.any():
+            return fits
+        at = np.flatnonzero(fits)
+        fits[at] = may_link(self.size, self.parts, one if isinstance(one, int) else one[at], two[at], self.similarity)
+        return fits
+
+    def pairs(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(pairs, rows left).
+
+        In each bucket the rows stand in one order, the same in all buckets.
+        The rows lo to hi - 1 are compared with all that follow and have
+        another label; buckets that have more rows and more than one label are
+        left for a later call.  When no bucket is left, each two rows of a
+        bucket have been compared or had one label.
+        """
+        key, node = self.key, self.node
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[start, len(key)])
+        none = np.empty((2, 0), np.int64)
+        short = np.repeat(count <= SHORT_RUN, count)
+        for gap in range(1, SHORT_RUN) if lo == 0 else ():
+            at = np.flatnonzero((key[gap:] == key[:-gap]) & short[gap:])
+            for cut in range(0, len(at), 1 << 14):
+                part = at[cut : cut + (1 << 14)]
+                part = part[self.worth(part, part + gap)]
+                if len(part):
+                    yield np.stack([part, part + gap]), none[0]
+        for s, n in zip(start[count > SHORT_RUN].tolist(), count[count > SHORT_RUN].tolist(), strict=True):
+            own = s + np.argsort(node[s : s + n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+            if (self.label[own] == self.label[own[0]]).all():
+                continue
+            for k in range(lo, min(hi, n - 1)):
+                for cut in range(k + 1, n, 1 << 14):
+                    rest = own[cut : cut + (1 << 14)]
+                    rest = rest[self.worth(int(own[k]), rest)]
+                    if len(rest):
+                        yield np.stack([np.full(len(rest), own[k]), rest]), none[0]
+            if hi < n - 1:
+                yield none, own
 
 
 def _compared(rows: DataFrame, lo: int, hi: int, similarity: float, name: str) -> DataFrame:
-    """Stored rows: pairs (a, b) with key null, and the rows (key, a, size, parts) of buckets that are left."""
+    """Stored rows for (key, node, spot, parts, label): pairs (a, b) with key null, and the rows (key, a, b: spot) of buckets that are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[int, int]] = set()
-        for key, node, size, parts, label in whole_keys(batches):
+        for key, node, spot, parts, label in whole_keys(batches):
             again = np.r_[False, key[1:] == key[:-1]]
             several = again | np.r_[again[1:], False]
-            key, node, size, parts, label = (x[several] for x in (key, node, size, parts, label))
-            if not len(key):
+            if not several.any():
                 continue
-            table = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, PARTS)
-            for (one, two), left in bucket_pairs(key, node, size.astype(np.int64), table, label, lo, hi, similarity):
-                x, y = np.minimum(node[one], node[two]), np.maximum(node[one], node[two])
-                new = list(set(zip(x[x != y].tolist(), y[x != y].tolist(), strict=True)) - told)
+            rows = _Bucket(*(x[several] for x in (key, node, spot, parts, label)), similarity)
+            for (one, two), left in rows.pairs(lo, hi):
+                x, y = np.minimum(rows.node[one], rows.node[two]), np.maximum(rows.node[one], rows.node[two])
+                new = list(set(zip(x.tolist(), y.tolist(), strict=True)) - told)
                 if len(told) > 500_000:  # spares repeats; a distinct removes all
                     told.clear()
                 told.update(new)
-                n = len(new)
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array([a for a, _ in new], pa.int64()), pa.array([b for _, b in new], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["key", "a", "b", "size", "parts"])
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(new), pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*new, strict=True))], ["key", "a", "b"])
                 if len(left):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[left]), pa.array(node[left]), pa.nulls(len(left), pa.int64()), pa.array(size[left].astype(np.int32)), pa.array(parts[left].tolist(), pa.binary())], ["key", "a", "b", "size", "parts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows.key[left]), pa.array(rows.node[left]), pa.array(rows.size[left] << 32 | rows.place[left])], ["key", "a", "b"])
 
-    dealt = rows.select("key", "node", "size", "parts", "label").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    return store(dealt.mapInArrow(run, "key long, a long, b long, size int, parts binary"), name)
+    dealt = rows.select("key", "node", "spot", "parts", "label").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    return store(dealt.mapInArrow(run, "key long, a long, b long"), name)
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
-    """(doc_id, component_id): groups of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+def _words(text: pa.Scalar) -> list[bytes]:
+    return (text.as_py() or "").encode().lower().split()
 
-    Documents of equal word sequence are one node.  Nodes that share a key of
-    ``prefix`` meet in a bucket; each two of them that ``may_link`` are compared
-    by their shingle sets, unless links found before have put them into one
-    group.  No link is lost to the groups: the first rows of every bucket are
-    compared with all others, and buckets whose rows are not all in one group
-    go on to the next rows until none is left.
-    """
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    split = lambda t: (t.as_py() or "").encode().lower().split()
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+class _Texts:
+    """Rows (doc_id, digest, text), their nodes (distinct word sequences), and the shingle sets of chosen nodes."""
 
-        sampled: list[np.ndarray] = []
-        total: dict[int, int] = {}
-        for b in batches:
-            words = [split(t) for t in b.column(1)]
-            same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-            sampled += [shingle_hashes(w, shingle) for w, d in zip(words, same, strict=True) if d[0] % 8 == 0]  # a sample: it only orders the keys
-            if len(sampled) > 2000:
+    def __init__(self, docs: DataFrame, shingle: int, similarity: float, broadcast_rows: int):
+        self.shingle, self.similarity, self.broadcast_rows = shingle, similarity, broadcast_rows
+        text = F.coalesce("text", F.lit(""))
+        self.rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), "text")
+
+        def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import xxhash
+
+            sampled: list[np.ndarray] = []
+            total: dict[int, int] = {}
+
+            def count() -> None:
                 for c, n in zip(*(x.tolist() for x in heavy_cells(iter(sampled))), strict=True):
                     total[c] = total.get(c, 0) + n
-                sampled = []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.nulls(len(same), pa.int32()), pa.nulls(len(same), pa.int64())], ["doc_id", "same", "cell", "n"])
-        for c, n in zip(*(x.tolist() for x in heavy_cells(iter(sampled))), strict=True):
-            total[c] = total.get(c, 0) + n
-        n = len(total)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["doc_id", "same", "cell", "n"])
-
-    both = store(rows.mapInArrow(sketch, "doc_id long, same binary, cell int, n long"), "similar-sketches")
-    seen = both.filter("cell is null").select("doc_id", "same")
-    weight = np.zeros(1 << CELL_BITS, np.int64)
-    for r in both.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 2^18 rows at most
-        weight[r["cell"]] = r["n"]
-    nodes = store(seen.groupBy("same").agg(F.min("doc_id").alias("node")), "similar-nodes")
-
-    def chosen(ids: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_semi").select("doc_id", "text")
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_hashes(split(t), shingle) for t in b.column(1)]
-            keys = [prefix(h, similarity, weight).view(np.int64) for h in sets]
-            columns = [b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array([len(h) for h in sets], pa.int32()), pa.array([histogram(h) for h in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "keys", "size", "parts"])
+                sampled.clear()
+
+            for b in batches:
+                words = [_words(t) for t in b.column(2)]
+                same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+                sampled += [shingle_hashes(w, shingle) for w, d in zip(words, same, strict=True) if d[0] % 8 == 0]  # a sample: it only orders the keys
+                if len(sampled) > 2000:
+                    count()
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], ["doc_id", "digest", "same", "cell", "n"])
+            count()
+            n = len(total)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary())), pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["doc_id", "digest", "same", "cell", "n"])
+
+        both = store(self.rows.mapInArrow(sketch, "doc_id long, digest long, same binary, cell int, n long"), "similar-sketches")
+        self.seen = both.filter("cell is null").select("doc_id", "digest", "same")
+        self.weight = np.zeros(1 << CELL_BITS, np.int64)
+        for r in both.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 2^18 rows at most
+            self.weight[r["cell"]] = r["n"]
+        nodes = self.seen.groupBy("same").agg(F.min(F.struct("doc_id", "digest")).alias("low"))
+        self.nodes = store(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "low"), "similar-nodes")  # written once: ids stay
+
+    def sets(self, nodes: DataFrame, make, columns: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
+        """(node, columns...): what ``make(hashes)`` gives for the shingle set of each of ``nodes`` (node)."""
+        at = self.nodes.select("node", F.col("low.doc_id").alias("_doc"), F.col("low.digest").alias("_digest"))
+        at = at.join(nodes, "node", "left_semi")
+        at = F.broadcast(at) if nodes.count() <= self.broadcast_rows else at
+        texts = self.rows.join(at, (F.col("doc_id") == F.col("_doc")) & (F.col("digest") == F.col("_digest"))).select("node", "text")
+        shingle = self.shingle
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = [make(shingle_hashes(_words(t), shingle)) for t in b.column(1)]
+                out = [pa.array([m[k] for m in made], t) for k, (_, t) in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *out], ["node", *(c for c, _ in columns)])
+
+        found = texts.mapInArrow(run, f"node long, {schema}")
+        first = F.first(F.struct(*[c for c, _ in columns])).alias("x")  # repeated rows are equal
+        return found.groupBy("node").agg(first).select("node", "x.*")
+
+
+def _fingerprint_of(hashes: np.ndarray) -> int:
+    """Fingerprint of a shingle set."""
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype("<u8")
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcast_rows: int = 200_000, distance: int = 4) -> DataFrame:
+    """(doc_id, digest, component_id, first): groups of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Rows are told by doc_id and ``digest``, the hash of the text; ``first`` marks
+    the row that stands for the group, the one of the smallest doc_id.  Rows of
+    equal word sequence are one node.  The first candidates are the fingerprint
+    links of the deletion-variant index (`links`) and the nodes that share one of
+    their first SEEDS keys.  Fingerprints of so similar sets differ in more bits
+    than the index spans, so links they miss are found by `prefix` keys: nodes
+    that share a key meet in a bucket, and each two of them that can have the
+    similarity are compared by their sets, unless links found before have put
+    them into one group.  No link is lost to the groups: the first rows of every
+    bucket are compared with all others, and buckets whose rows are not all in
+    one group go on to the next rows until none is left.
+    """
+    texts = _Texts(docs, shingle, similarity, broadcast_rows)
+    weight, nodes = texts.weight, texts.nodes
 
-    keyed = chosen(nodes.select(F.col("node").alias("doc_id")).distinct()).mapInArrow(index, "node long, keys array<long>, size int, parts binary")
-    keyed = keyed.select(F.explode("keys").alias("key"), "node", "size", "parts", F.col("node").alias("label"))
+    def index_row(h: np.ndarray) -> tuple:
+        return prefix(h, similarity, weight).view(np.int64), len(h), histogram(h), _fingerprint_of(h)
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_hashes(split(t), shingle).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
+    indexed = texts.sets(nodes.select("node"), index_row, [("keys", pa.list_(pa.int64())), ("size", pa.int32()), ("parts", pa.binary()), ("fp", pa.int64())], "keys array<long>, size int, parts binary, fp long")
+    index = store(indexed, "similar-index")
 
-    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_hashes(split(t), shingle) for t in b.column(1)]
-            columns = [b.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([histogram(h, FINE_PARTS) for h in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "parts"])
+    def keyed(keys: Column, parts: Column) -> DataFrame:
+        rows = index.select("node", "size", parts.alias("parts"), F.posexplode(keys).alias("place", "key"))
+        return rows.select("key", "node", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("spot"), "parts", F.col("node").alias("label"))
+
+    def pairs_of(found: DataFrame) -> DataFrame:
+        return found.filter("key is null").select("a", "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -379,54 +443,73 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcas
                 hit = pa.array(may_link(size, parts, np.arange(n), np.arange(n, 2 * n), similarity))
                 yield pa.RecordBatch.from_arrays([c.column(0).filter(hit), c.column(1).filter(hit)], ["a", "b"])
 
-    def of_near(candidates: DataFrame) -> DataFrame:
-        """Candidates that a finer histogram leaves; it goes to the pairs in the place of the much larger sets."""
-        wanted = store(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "similar-wanted")
-        # rows of one doc_id are one node with one of their sets: nothing is ruled out by another's
-        parts = chosen(wanted).mapInArrow(fine, "doc_id long, size int, parts binary")
-        parts = store(parts.groupBy("doc_id").agg(F.max(F.struct("size", "parts")).alias("m"), F.count_distinct("parts").alias("n")), "similar-parts")
-        side = lambda c: parts.select(F.col("doc_id").alias(c), F.col("m.size").alias(f"size_{c}"), F.col("m.parts").alias(f"parts_{c}"), F.col("n").alias(f"n_{c}"))
-        joined = store(candidates.join(side("a"), "a").join(side("b"), "b"), "similar-sided")
-        passed = joined.filter("n_a = 1 and n_b = 1").select("a", "b", "size_a", "parts_a", "size_b", "parts_b").mapInArrow(near, "a long, b long")
-        return store(passed.unionByName(joined.filter("n_a > 1 or n_b > 1").select("a", "b")), "similar-near")
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        candidates = of_near(candidates)
-        wanted = store(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "similar-wanted")
-        sets = chosen(wanted).mapInArrow(shingles, "doc_id long, set array<long>")
-        sets = store(sets.groupBy("doc_id").agg(F.max("set").alias("set")), "similar-shingles")
-        side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}"))
+    def sided(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        for c in ("a", "b"):
+            pairs = pairs.join(of.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]), c)
+        return pairs
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-wanted")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that have the similarity. A finer histogram goes to the pairs first, in the place of the much larger sets."""
+        fine = texts.sets(ends(pairs), lambda h: (len(h), histogram(h, FINE_PARTS)), [("size", pa.int32()), ("parts", pa.binary())], "size int, parts binary")
+        fine = store(fine, "similar-parts")
+        pairs = store(sided(pairs, fine, "size", "parts").select("a", "b", "size_a", "parts_a", "size_b", "parts_b").mapInArrow(near, "a long, b long"), "similar-near")
+        sets = store(texts.sets(ends(pairs), lambda h: (h.view(np.int64),), [("set", pa.list_(pa.int64()))], "set array<long>"), "similar-shingles")
         shared = F.size(F.array_intersect("set_a", "set_b"))
-        alike = candidates.join(side("a"), "a").join(side("b"), "b").filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared))
+        alike = sided(pairs, sets, "set").filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared))
         return store(alike.select("a", "b"), "similar-links")
 
-    lo, hi = 0, SHORT_RUN
-    links = groups = None
+    # first candidates: fingerprints that link, nodes of one fingerprint, nodes that share an early key
+    fps = store(index.groupBy("fp").agg(F.min("node").alias("node")), "similar-fingerprints")
+    one_of = lambda c: fps.select(F.col("fp").alias(c), F.col("node").alias(f"node_{c}"))
+    by_bits = links(fps.select("fp"), distance).join(one_of("a"), "a").join(one_of("b"), "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    equal = index.select(F.col("node").alias("b"), "fp").join(fps.withColumnRenamed("node", "a"), "fp").filter("a < b").select("a", "b")
+    early = pairs_of(_compared(keyed(F.slice("keys", 1, SEEDS), F.col("parts")), 0, 1, similarity, "similar-seeds"))
+    edges = verified(store(by_bits.unionByName(equal).unionByName(early).distinct(), "similar-pairs"))
+    groups = store(connected_components(edges), "similar-groups")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.drop("label").join(groups.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    lo, hi = 0, 4
+    rows = labelled(keyed(F.col("keys"), F.lit(None).cast("binary")))
     while True:
-        found = _compared(keyed, lo, hi, similarity, "similar-candidates")
-        new = verified(store(found.filter("key is null").select("a", "b").distinct(), "similar-pairs"))
-        if groups is None or not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            groups = store(connected_components(links), "similar-groups")
-        left = found.filter("key is not null").select("key", F.col("a").alias("node"), "size", "parts")
+        found = _compared(rows, lo, hi, similarity, "similar-candidates")
+        pairs = store(pairs_of(found).distinct(), "similar-pairs")
+        if not pairs.isEmpty() and not (new := verified(pairs)).isEmpty():
+            edges = edges.unionByName(new)
+            groups = store(connected_components(edges), "similar-groups")
+        left = found.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("spot"))
         if left.isEmpty():
             break
-        keyed = left.join(groups.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rows = labelled(left.join(index.select("node", "parts"), "node"))
         lo, hi = hi, hi * 16
-    rooted = nodes.join(groups, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
-    return seen.select("doc_id", "same").join(store(rooted, "similar-roots"), "same").select("doc_id", "component_id")
+    rooted = store(nodes.join(groups, "node", "left").select("same", "low", F.coalesce("root", "node").alias("root")), "similar-roots")
+    lows = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
+    of_text = store(rooted.join(lows, "root").select("same", "lowest"), "similar-lowest")
+    found = texts.seen.join(of_text, "same")
+    return found.select("doc_id", "digest", F.col("lowest.doc_id").alias("component_id"), F.struct("doc_id", "digest").eqNullSafe(F.col("lowest")).alias("first"))
 
 
 def keep(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows of ``docs`` (documents), whole, that stand for their group: those of the smallest doc_id.
 
-    Rows of one doc_id are one document: one of them stays.  Rows of null doc_id
-    cannot be told apart and stay.  Up to ``broadcast_rows`` ids to remove
-    (counted first) go to every task, more are joined by a shuffle.
+    Of rows of one doc_id with different texts in one group, the smallest text
+    hash stays; of rows equal in doc_id and text, the smallest in all columns'
+    hash.  Rows of null doc_id cannot be told apart and stay.  Up to
+    ``broadcast_rows`` rows to remove (counted first) go to every task, more are
+    joined by a shuffle.
     """
-    found = store(similar(docs, shingle, similarity), "simhash-groups-of-documents")
-    gone = store(found.filter("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti")
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    found = store(similar(docs, shingle, similarity, broadcast_rows), "simhash-groups-of-documents")
+    gone = store(found.filter("not first").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).distinct(), "simhash-gone")
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    rows = rows.join(gone, (F.col("id") == F.col("_doc")) & (F.col("digest") == F.col("_digest")), "left_anti")
+    twice = store(found.filter("first").groupBy("doc_id", "digest").count().filter("count > 1").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")), "simhash-twice")
+    if twice.isEmpty():
+        return rows.select("row.*")
+    same = (F.col("id") == F.col("_doc")) & (F.col("digest") == F.col("_digest"))
+    lowest = rows.join(twice, same, "left_semi").groupBy("id", "digest").agg(F.min_by("row", F.xxhash64(F.to_json(F.struct("row")))).alias("row"))
+    return rows.join(twice, same, "left_anti").select("row.*").unionByName(lowest.select("row.*"))
