@@ -34,10 +34,10 @@ from .components import connected_components
 
 BITS = 64
 SHORT_RUN = 8
-#: Leading bits of a shingle hash that count how common it is; parts of a set's histogram.
+#: Leading bits of a shingle hash that count how common it is.
 CELL_BITS = 18
-PARTS = 64
-FINE_PARTS = 1024  # for pairs: tells long texts apart
+#: Most bits of a set's parity bitmap; smaller sets have two to four bits a hash.
+MOST_PARITIES = 1 << 14
 #: Keys of a set under which nodes meet first, so that large groups are known before all keys are used.
 SEEDS = 3
 
@@ -222,9 +222,39 @@ def prefix(hashes: np.ndarray, similarity: float, weight: np.ndarray) -> np.ndar
     return hashes[order[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
-def histogram(hashes: np.ndarray, parts: int = PARTS) -> bytes:
-    """Hashes by their last bits, 255 at most in each part: two sets differ by the sum of the differences at least."""
-    return np.minimum(np.bincount((hashes & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
+def parities(hashes: np.ndarray) -> bytes:
+    """Bitmap of a power of two bits: whether an odd number of hashes end in a bit's number."""
+    bits = min(MOST_PARITIES, max(64, 1 << (2 * len(hashes)).bit_length()))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class _Parities:
+    """Parity bitmaps of several sets. Two sets differ in as many hashes as their bitmaps, folded to one length, differ in bits, at least."""
+
+    def __init__(self, bitmaps: list[bytes]):
+        self.n = np.fromiter(map(len, bitmaps), np.int64, len(bitmaps)) // 8
+        self.at = np.cumsum(self.n) - self.n
+        self.flat = np.frombuffer(b"".join(bitmaps), "<u8")
+
+    def _folded(self, rows: np.ndarray, n: int) -> np.ndarray:
+        out = np.empty((len(rows), n), np.uint64)
+        own = self.n[rows]
+        for wide in np.unique(own).tolist():
+            mine = own == wide
+            x = self.flat[self.at[rows[mine], None] + np.arange(wide)]
+            out[mine] = x if wide == n else np.bitwise_xor.reduce(x.reshape(-1, wide // n, n), axis=1)
+        return out
+
+    def apart(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        least = np.minimum(self.n[one], self.n[two])
+        out = np.empty(len(one), np.int64)
+        for n in np.unique(least).tolist():
+            mine = np.flatnonzero(least == n)
+            for cut in range(0, len(mine), 1 << 12):
+                at = mine[cut : cut + (1 << 12)]
+                out[at] = np.bitwise_count(self._folded(one[at], n) ^ self._folded(two[at], n)).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def heavy_cells(digests: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -246,45 +276,42 @@ def may_meet(size: np.ndarray, place: np.ndarray, one: np.ndarray | int, two: np
     return np.minimum(size[one] - place[one], size[two] - place[two]) >= need
 
 
-def may_link(size: np.ndarray, parts: np.ndarray, one: np.ndarray | int, two: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs of rows can have the similarity, by their histograms: never false for one that has it."""
-    most = (size[one] + size[two]) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    fits = np.abs(size[one] - size[two]) <= most
-    apart = np.abs(parts[one].astype(np.int16) - parts[two]).sum(axis=-1)
-    return fits & (apart <= most)
+def may_link(size: np.ndarray, bitmaps: _Parities, one: np.ndarray, two: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows can have the similarity, by their bitmaps: never false for one that has it."""
+    return bitmaps.apart(one, two) <= (size[one] + size[two]) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
 class _Bucket:
     """Rows of one key or more, sorted by key, and which of their pairs are worth a comparison."""
 
-    def __init__(self, key: np.ndarray, node: np.ndarray, spot: np.ndarray, parts: np.ndarray, label: np.ndarray, similarity: float):
+    def __init__(self, key: np.ndarray, node: np.ndarray, spot: np.ndarray, odd: np.ndarray, label: np.ndarray, similarity: float):
         self.key, self.node, self.label, self.similarity = key, node, label, similarity
         self.size, self.place = spot >> 32, spot & 0xFFFFFFFF
-        self.parts = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, PARTS) if len(parts) and parts[0] is not None else None
+        self.bitmaps = _Parities(odd.tolist()) if len(odd) and odd[0] is not None else None
 
     def worth(self, one: np.ndarray | int, two: np.ndarray) -> np.ndarray:
         fits = (self.label[one] != self.label[two]) & may_meet(self.size, self.place, one, two, self.similarity)
-        if self.parts is None or not fits.any():
-            return fits
-        at = np.flatnonzero(fits)
-        fits[at] = may_link(self.size, self.parts, one if isinstance(one, int) else one[at], two[at], self.similarity)
+        if self.bitmaps and fits.any():
+            at = np.flatnonzero(fits)
+            fits[at] = may_link(self.size, self.bitmaps, np.full(len(at), one) if isinstance(one, int) else one[at], two[at], self.similarity)
         return fits
 
-    def pairs(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, hi: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(pairs, rows left).
 
         In each bucket the rows stand in one order, the same in all buckets.
-        The rows lo to hi - 1 are compared with all that follow and have
-        another label; buckets that have more rows and more than one label are
-        left for a later call.  When no bucket is left, each two rows of a
-        bucket have been compared or had one label.
+        The first ``hi`` rows are compared with all that follow and have another
+        label, until a bucket has given ``most`` pairs a row: alike rows are
+        then better told by new labels.  Buckets with rows not compared and
+        more than one label are left for a later call, which starts over.  When
+        none is left, each two rows of a bucket have been compared or had one label.
         """
         key, node = self.key, self.node
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         count = np.diff(np.r_[start, len(key)])
         none = np.empty((2, 0), np.int64)
         short = np.repeat(count <= SHORT_RUN, count)
-        for gap in range(1, SHORT_RUN) if lo == 0 else ():
+        for gap in range(1, SHORT_RUN):
             at = np.flatnonzero((key[gap:] == key[:-gap]) & short[gap:])
             for cut in range(0, len(at), 1 << 14):
                 part = at[cut : cut + (1 << 14)]
@@ -295,39 +322,57 @@ class _Bucket:
             own = s + np.argsort(node[s : s + n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
             if (self.label[own] == self.label[own[0]]).all():
                 continue
-            for k in range(lo, min(hi, n - 1)):
+            given = 0
+            for k in range(n - 1):
+                if k == hi or given > most * n:
+                    yield none, own
+                    break
                 for cut in range(k + 1, n, 1 << 14):
                     rest = own[cut : cut + (1 << 14)]
                     rest = rest[self.worth(int(own[k]), rest)]
+                    given += len(rest)
                     if len(rest):
                         yield np.stack([np.full(len(rest), own[k]), rest]), none[0]
-            if hi < n - 1:
-                yield none, own
 
 
-def _compared(rows: DataFrame, lo: int, hi: int, similarity: float, name: str) -> DataFrame:
-    """Stored rows for (key, node, spot, parts, label): pairs (a, b) with key null, and the rows (key, a, b: spot) of buckets that are left."""
+def _compared(rows: DataFrame, hi: int, most: int, similarity: float, name: str) -> DataFrame:
+    """Stored rows for (key, node, spot, odd, label): pairs (a, b) with key null, and the rows (key, a, b: spot) of buckets that are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[int, int]] = set()
-        for key, node, spot, parts, label in whole_keys(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        pairs: list[tuple[int, int]] = []
+
+        def full(rows: int) -> Iterator[pa.RecordBatch]:
+            nonlocal held, pairs
+            if len(pairs) >= rows and pairs:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*pairs, strict=True))], ["key", "a", "b"])
+                pairs = []
+            if sum(len(x[0]) for x in held) >= rows and held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["key", "a", "b"])
+                held = []
+
+        for key, node, spot, odd, label in whole_keys(batches):
             again = np.r_[False, key[1:] == key[:-1]]
             several = again | np.r_[again[1:], False]
             if not several.any():
                 continue
-            rows = _Bucket(*(x[several] for x in (key, node, spot, parts, label)), similarity)
-            for (one, two), left in rows.pairs(lo, hi):
+            rows = _Bucket(*(x[several] for x in (key, node, spot, odd, label)), similarity)
+            for (one, two), left in rows.pairs(hi, most):
                 x, y = np.minimum(rows.node[one], rows.node[two]), np.maximum(rows.node[one], rows.node[two])
-                new = list(set(zip(x.tolist(), y.tolist(), strict=True)) - told)
-                if len(told) > 500_000:  # spares repeats; a distinct removes all
+                new = [p for p in zip(x.tolist(), y.tolist(), strict=True) if p not in told]
+                if len(told) > 200_000:  # spares repeats; a distinct removes all
                     told.clear()
                 told.update(new)
-                if new:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(new), pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*new, strict=True))], ["key", "a", "b"])
+                pairs += new
                 if len(left):
-                    yield pa.RecordBatch.from_arrays([pa.array(rows.key[left]), pa.array(rows.node[left]), pa.array(rows.size[left] << 32 | rows.place[left])], ["key", "a", "b"])
+                    held.append((rows.key[left], rows.node[left], rows.size[left] << 32 | rows.place[left]))
+                if len(pairs) >= 20_000:
+                    yield from full(20_000)
+            yield from full(20_000)
+        yield from full(0)
 
-    dealt = rows.select("key", "node", "spot", "parts", "label").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    dealt = rows.select("key", "node", "spot", "odd", "label").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
     return store(dealt.mapInArrow(run, "key long, a long, b long"), name)
 
 
@@ -421,14 +466,14 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcas
     weight, nodes = texts.weight, texts.nodes
 
     def index_row(h: np.ndarray) -> tuple:
-        return prefix(h, similarity, weight).view(np.int64), len(h), histogram(h), _fingerprint_of(h)
+        return prefix(h, similarity, weight).view(np.int64), len(h), parities(h), _fingerprint_of(h)
 
-    indexed = texts.sets(nodes.select("node"), index_row, [("keys", pa.list_(pa.int64())), ("size", pa.int32()), ("parts", pa.binary()), ("fp", pa.int64())], "keys array<long>, size int, parts binary, fp long")
+    indexed = texts.sets(nodes.select("node"), index_row, [("keys", pa.list_(pa.int64())), ("size", pa.int32()), ("odd", pa.binary()), ("fp", pa.int64())], "keys array<long>, size int, odd binary, fp long")
     index = store(indexed, "similar-index")
 
-    def keyed(keys: Column, parts: Column) -> DataFrame:
-        rows = index.select("node", "size", parts.alias("parts"), F.posexplode(keys).alias("place", "key"))
-        return rows.select("key", "node", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("spot"), "parts", F.col("node").alias("label"))
+    def keyed(keys: Column, odd: Column) -> DataFrame:
+        rows = index.select("node", "size", odd.alias("odd"), F.posexplode(keys).alias("place", "key"))
+        return rows.select("key", "node", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("spot"), "odd", F.col("node").alias("label"))
 
     def pairs_of(found: DataFrame) -> DataFrame:
         return found.filter("key is null").select("a", "b")
@@ -439,8 +484,8 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcas
                 c = b.slice(at, 1 << 12)
                 n = c.num_rows
                 size = np.concatenate([c.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 4)])
-                parts = np.frombuffer(b"".join(c.column(3).to_pylist() + c.column(5).to_pylist()), np.uint8).reshape(-1, FINE_PARTS)
-                hit = pa.array(may_link(size, parts, np.arange(n), np.arange(n, 2 * n), similarity))
+                both = _Parities(c.column(3).to_pylist() + c.column(5).to_pylist())
+                hit = pa.array(may_link(size, both, np.arange(n), np.arange(n, 2 * n), similarity))
                 yield pa.RecordBatch.from_arrays([c.column(0).filter(hit), c.column(1).filter(hit)], ["a", "b"])
 
     def sided(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
@@ -452,10 +497,9 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcas
         return store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-wanted")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that have the similarity. A finer histogram goes to the pairs first, in the place of the much larger sets."""
-        fine = texts.sets(ends(pairs), lambda h: (len(h), histogram(h, FINE_PARTS)), [("size", pa.int32()), ("parts", pa.binary())], "size int, parts binary")
-        fine = store(fine, "similar-parts")
-        pairs = store(sided(pairs, fine, "size", "parts").select("a", "b", "size_a", "parts_a", "size_b", "parts_b").mapInArrow(near, "a long, b long"), "similar-near")
+        """The pairs that have the similarity. Bitmaps go to the pairs first, in the place of the much larger sets."""
+        both = sided(pairs, index, "size", "odd").select("a", "b", "size_a", "odd_a", "size_b", "odd_b")
+        pairs = store(both.mapInArrow(near, "a long, b long"), "similar-near")
         sets = store(texts.sets(ends(pairs), lambda h: (h.view(np.int64),), [("set", pa.list_(pa.int64()))], "set array<long>"), "similar-shingles")
         shared = F.size(F.array_intersect("set_a", "set_b"))
         alike = sided(pairs, sets, "set").filter(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared))
@@ -466,17 +510,17 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcas
     one_of = lambda c: fps.select(F.col("fp").alias(c), F.col("node").alias(f"node_{c}"))
     by_bits = links(fps.select("fp"), distance).join(one_of("a"), "a").join(one_of("b"), "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
     equal = index.select(F.col("node").alias("b"), "fp").join(fps.withColumnRenamed("node", "a"), "fp").filter("a < b").select("a", "b")
-    early = pairs_of(_compared(keyed(F.slice("keys", 1, SEEDS), F.col("parts")), 0, 1, similarity, "similar-seeds"))
+    early = pairs_of(_compared(keyed(F.slice("keys", 1, SEEDS), F.col("odd")), 1, 1, similarity, "similar-seeds"))
     edges = verified(store(by_bits.unionByName(equal).unionByName(early).distinct(), "similar-pairs"))
     groups = store(connected_components(edges), "similar-groups")
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.drop("label").join(groups.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    lo, hi = 0, 4
+    hi, most = 4, 4
     rows = labelled(keyed(F.col("keys"), F.lit(None).cast("binary")))
     while True:
-        found = _compared(rows, lo, hi, similarity, "similar-candidates")
+        found = _compared(rows, hi, most, similarity, "similar-candidates")
         pairs = store(pairs_of(found).distinct(), "similar-pairs")
         if not pairs.isEmpty() and not (new := verified(pairs)).isEmpty():
             edges = edges.unionByName(new)
@@ -484,8 +528,8 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcas
         left = found.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("spot"))
         if left.isEmpty():
             break
-        rows = labelled(left.join(index.select("node", "parts"), "node"))
-        lo, hi = hi, hi * 16
+        rows = labelled(left.join(index.select("node", "odd"), "node"))
+        hi, most = (1 << 10, 4) if hi == 4 else (hi << 4, most << 4)
     rooted = store(nodes.join(groups, "node", "left").select("same", "low", F.coalesce("root", "node").alias("root")), "similar-roots")
     lows = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
     of_text = store(rooted.join(lows, "root").select("same", "lowest"), "similar-lowest")
