@@ -4,9 +4,9 @@ A text is cut where a cut cannot change the result: after a character that is
 not white space and before a single space or line feed.  Every pre-token of
 the byte-level and of the word-level tokenizer ends there, so a text's ids are
 its chunks' ids one after the other.  Equal chunks of a block of texts are encoded
-once.  Chunks of plain Latin letters with trailing stops are merged all at once
-(`BatchMerges`); every other chunk, and every text with white space on which
-definitions differ, goes to the library itself.
+once, and remembered up to a bound (`Known`).  Chunks of plain Latin letters with
+trailing stops are merged all at once (`BatchMerges`); every other chunk, and
+every text with white space on which definitions differ, goes to the library itself.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ _ODD_SPACE = re.compile("[\x85\xa0 ᠎ -​    ⁠　﻿]")
 _ODD_ASCII = ("\x00", "\x01", "\x02", "\x1c", "\x1d", "\x1e", "\x1f", "\t", "\r", "\x0b", "\x0c")
 _RUNS = ("  ", " \n", "\n ", "\n\n")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!|]*)")
-_BLOCK_CHARS = 3_000_000
+_BLOCK_CHARS = 1_000_000
 DEPTH = 4
 
 
@@ -161,6 +161,47 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
 
 
+class Known:
+    """Chunks seen before and their ids, found by a 64-bit hash and confirmed by their bytes; emptied when ``limit`` is passed."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted by key
+        self.n, self.at, self.count, self.first = (np.empty(0, np.int64) for _ in range(4))  # by row
+        self.raw, self.ids = np.empty(0, np.uint8), np.empty(0, np.uint32)
+
+    def find(self, key: np.ndarray, raw: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The row of each chunk, or -1."""
+        out = np.full(len(key), -1, np.int64)
+        if not len(self.key):
+            return out
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        row = self.row[at]
+        hit = np.flatnonzero((self.key[at] == key) & (self.n[row] == n))
+        row, size = row[hit], n[hit]
+        differs = raw[ragged(start[hit], size)] != self.raw[ragged(self.at[row], size)]
+        if differs.any():
+            same = np.bincount(np.repeat(np.arange(len(hit)), size), differs, len(hit)) == 0
+            hit, row = hit[same], row[same]
+        out[hit] = row
+        return out
+
+    def add(self, key: np.ndarray, raw: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """New chunks; ``key`` is sorted. One whose hash another chunk has is found under neither's place but by the other's bytes."""
+        if len(self.key) + len(key) > self.limit:
+            self.clear()
+        rows = len(self.n) + np.arange(len(key))
+        place = np.searchsorted(self.key, key)
+        self.key, self.row = np.insert(self.key, place, key), np.insert(self.row, place, rows)
+        self.at = np.r_[self.at, len(self.raw) + np.cumsum(n) - n]
+        self.first = np.r_[self.first, len(self.ids) + np.cumsum(counts) - counts]
+        self.n, self.count = np.r_[self.n, n], np.r_[self.count, counts]
+        self.raw, self.ids = np.r_[self.raw, raw[ragged(start, n)]], np.r_[self.ids, ids]
+
+
 class Encoder:
     """``encode_many(texts)`` yields for each text the bytes of the ids that
     ``library.encode(text, add_special_tokens=False)`` returns (null: none)."""
@@ -177,6 +218,7 @@ class Encoder:
         self.spaced = not self.merges.suffix  # byte-level: the white space before a word is part of it
         self.memo: dict[str | bytes, bytes] = {}
         self.limit = limit
+        self.known = Known(2 * limit)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -268,13 +310,29 @@ class Encoder:
         twin = np.minimum(np.repeat(start[first][of], n) + place, len(raw) - 1)
         if not same.all() or (raw[twin] != raw).any() or int(n.max()) >= len(_WEIGHTS):  # a collision or a very long chunk
             return [self.library(t.decode()) for t in texts]
-        ids, counts = self._distinct(raw, start[first], n[first])
+        ids, counts = self._remembered(key[first], raw, start[first], n[first])
         offset = np.cumsum(counts) - counts
         flat = ids[ragged(offset[of], counts[of])].astype("<u4").tobytes()
         per_text = np.add.reduceat(counts[of], np.searchsorted(start, begins)) * 4
         ends = np.cumsum(per_text)
         return [flat[a:z] for a, z in zip((ends - per_text).tolist(), ends.tolist(), strict=True)]
 
+    def _remembered(self, key: np.ndarray, raw: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `_distinct`; chunks of earlier blocks are not encoded again."""
+        known = self.known
+        row = known.find(key, raw, start, n)
+        old = row >= 0
+        new = np.flatnonzero(~old)
+        ids, counts = self._distinct(raw, start[new], n[new]) if len(new) else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        total = np.empty(len(key), np.int64)
+        total[new], total[old] = counts, known.count[row[old]]
+        offset = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), np.uint32)
+        out[ragged(offset[new], counts)] = ids
+        out[ragged(offset[old], total[old])] = known.ids[ragged(known.first[row[old]], total[old])]
+        known.add(key[new], raw, start[new], n[new], ids, counts)
+        return out, total
+
     def _distinct(self, raw: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of distinct chunks, one after the other, and how many each has."""
         at = ragged(start, n)

@@ -1,8 +1,8 @@
 """Token ids in succinct binary shards: one wavelet matrix a file.
 
 File format: magic ``PLWM0001``; a little-endian uint32 and that many bytes of
-JSON header; then blocks, each zstandard-compressed, whose sizes the header
-lists: document ids (int64), document token counts (uint32), and for each bit
+JSON header, which also says how many tokens the same task has written before;
+then blocks, each zstandard-compressed, whose sizes the header lists: document ids (int64), document token counts (uint32), and for each bit
 of a token, highest first, the bits of that level, eight to a byte.  A level
 holds the sequence in the order left by the levels above: zeros first, ones
 after, each in their old order.  Ranks come from counts kept for every 512 bits,
@@ -105,6 +105,34 @@ class WaveletMatrix:
             lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if one else (lo - a, hi - b)
         return lo, hi
 
+    def _ones_many(self, k: int, i: np.ndarray) -> np.ndarray:
+        """As `_ones`, for many positions: counts kept for every byte of the level."""
+        plane = self.planes[k]
+        upto = np.r_[0, np.cumsum(np.bitwise_count(plane), dtype=np.int64)]
+        part = np.r_[plane, np.uint8(0)][i >> 3] & ((1 << (i & 7)) - 1).astype(np.uint8)
+        return upto[i >> 3] + np.bitwise_count(part)
+
+    def access_many(self, i: np.ndarray) -> np.ndarray:
+        """The tokens at many positions."""
+        value, i = np.zeros(len(i), np.int64), np.asarray(i, np.int64)
+        for k in range(self.levels):
+            bit = (self.planes[k][i >> 3] >> (i & 7).astype(np.uint8)) & 1
+            ones = self._ones_many(k, i)
+            value = value << 1 | bit
+            i = np.where(bit == 1, self.zeros[k] + ones, i - ones)
+        return value
+
+    def rank_many(self, symbol: int, upto: np.ndarray) -> np.ndarray:
+        """How often ``symbol`` stands before each of many positions."""
+        if symbol >> self.levels:
+            return np.zeros(len(upto), np.int64)
+        lo, hi = np.zeros(1, np.int64), np.asarray(upto, np.int64)
+        for k in range(self.levels):
+            a, b = self._ones_many(k, lo), self._ones_many(k, hi)
+            one = symbol >> (self.levels - 1 - k) & 1
+            lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if one else (lo - a, hi - b)
+        return hi - lo
+
     def rank(self, symbol: int, upto: int) -> int:
         """How often ``symbol`` stands before position ``upto``."""
         lo, hi = self._range(symbol, upto)
@@ -139,26 +167,29 @@ class WaveletMatrix:
         return [self.select(symbol, k) for k in range(self.count(symbol))]
 
 
-def to_bytes(doc_ids: np.ndarray, counts: np.ndarray, tokens: np.ndarray, levels: int) -> bytes:
-    """A shard file. doc_ids: int64, the smallest one for null."""
+def to_bytes(doc_ids: np.ndarray, counts: np.ndarray, tokens: np.ndarray, levels: int, before: int = 0) -> bytes:
+    """A shard file. doc_ids: int64, the smallest one for null; before: tokens of the same task in earlier files."""
     import zstandard
 
     press = zstandard.ZstdCompressor(level=1).compress
     planes = WaveletMatrix.build(tokens, levels).planes
     blocks = [press(x.tobytes()) for x in (doc_ids.astype("<i8"), counts.astype("<u4"), *planes)]
-    header = json.dumps({"tokens": len(tokens), "docs": len(doc_ids), "levels": levels, "blocks": [len(b) for b in blocks]}).encode()
+    header = json.dumps({"tokens": len(tokens), "docs": len(doc_ids), "levels": levels, "before": before, "blocks": [len(b) for b in blocks]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *blocks])
 
 
+def header_of(data: bytes) -> dict:
+    if data[:8] != MAGIC:
+        raise ValueError("not a shard file")
+    return json.loads(data[12 : 12 + struct.unpack("<I", data[8:12])[0]])
+
+
 def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     """Document ids, token counts and the wavelet matrix of a shard file."""
     import zstandard
 
-    if data[:8] != MAGIC:
-        raise ValueError("not a shard file")
-    size = struct.unpack("<I", data[8:12])[0]
-    header = json.loads(data[12 : 12 + size])
-    at, blocks = 12 + size, []
+    header, blocks = header_of(data), []
+    at = 12 + struct.unpack("<I", data[8:12])[0]
     for n in header["blocks"]:
         blocks.append(zstandard.ZstdDecompressor().decompress(data[at : at + n]))
         at += n
@@ -178,22 +209,22 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, levels:
 
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         store_at, base = fs.FileSystem.from_uri(folder)
-        task, made = TaskContext.get().partitionId(), 0
+        task, made, before = TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
         keys: list[int] = []
         tokens = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, keys, tokens, made
+            nonlocal ids, keys, tokens, made, before
             name = f"shard-{task:06d}-{made:06d}.plwm"
             counts = np.fromiter((len(x) // 4 for x in ids), np.uint32, len(ids))
-            data = to_bytes(np.array(keys, np.int64), counts, np.frombuffer(b"".join(ids), "<u4"), levels)
+            data = to_bytes(np.array(keys, np.int64), counts, np.frombuffer(b"".join(ids), "<u4").astype("<u2" if levels <= 16 else "<u4"), levels, before)
             temporary = f"{base}/.{name}.{uuid.uuid4().hex}"
             with store_at.open_output_stream(temporary) as f:
                 f.write(data)
             store_at.move(temporary, f"{base}/{name}")
             row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(keys)], pa.int64()), pa.array([tokens], pa.int64())], ["shard", "n_docs", "n_tokens"])
-            ids, keys, tokens, made = [], [], 0, made + 1
+            ids, keys, tokens, made, before = [], [], 0, made + 1, before + tokens
             return row
 
         store_at.create_dir(base, recursive=True)
@@ -212,31 +243,38 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, levels:
     return dealt.mapInArrow(run, "shard string, n_docs long, n_tokens long")
 
 
-def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files in ``folder``.
+def read(spark: SparkSession, folder: str, shards: DataFrame, end_id: int = 2) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, first_id, n_end_ids) of every document, from the files in ``folder``.
 
-    ``shards`` is what `write` returned: one row a file, so the running count
-    over them sees as many rows as there are files.
+    ``shards`` is what `write` returned.  A file says what its task wrote
+    before it, so only one sum a task is needed: no more rows than partitions.
+    The last two columns come by access and rank from the bit planes.
     """
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
+    task = F.element_at(F.split("shard", "-"), 2).cast("int")
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = shards.groupBy(task.alias("task")).agg(F.sum("n_tokens").alias("n"))
+    starts = store(tasks.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "token-starts")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.plwm").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content").select(task.alias("task"), "content")
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "first_id", "n_end_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                keys, counts, matrix = from_bytes(content.as_py())
+                data = content.as_py()
+                keys, counts, matrix = from_bytes(data)
+                first += header_of(data)["before"]
                 flat = memoryview(matrix.decode().astype("<u4").tobytes())
                 ends = np.cumsum(counts, dtype=np.int64)
                 starts = ends - counts
                 crcs = [zlib.crc32(flat[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+                ranks = matrix.rank_many(end_id, np.r_[0, ends])
                 doc = pa.array(keys, pa.int64(), mask=keys == NULL_ID)
-                yield pa.RecordBatch.from_arrays(
-                    [doc, pa.array(starts + first), pa.array(counts.astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
-                )
+                columns = [starts + first, counts.astype(np.int64), np.array(crcs, np.int64), matrix.access_many(starts), np.diff(ranks)]
+                yield pa.RecordBatch.from_arrays([doc, *map(pa.array, columns)], names)
 
-    return files.join(F.broadcast(starts), "shard").select("first", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    few = F.broadcast(starts)  # one row a write task, two numbers each
+    return files.join(few, "task").select("first", "content").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2, levels: int = 16, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -245,5 +283,5 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2, levels: int = 16,
     folder = new_folder(spark, "token-shards")
     shards = store(write(docs, tokenizer, folder, end_id, levels, shard_tokens), "token-manifest")
     if shards.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read(spark, folder, shards)
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long, n_end_ids long")
+    return read(spark, folder, shards, end_id)
