@@ -42,6 +42,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As `store`, in files by hash of ``key``: what groups the rows by ``key`` into ``buckets`` partitions needs no shuffle of them.
+
+    The files' layout is known to Spark by a table entry, which is only needed
+    to make the result and dropped at once; the files stay.
+    """
+    spark = df.sparkSession
+    path, table = new_folder(spark, name), f"plumbline_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once for the row, however often a lambda in ``use`` needs it."""
     return F.element_at(F.transform(F.array(value), use), 1)

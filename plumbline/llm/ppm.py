@@ -134,6 +134,25 @@ def read_steps(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(words.unsqueeze(key).astype(np.int64)), words.unsqueeze(count).astype(np.int64)
 
 
+class Finder:
+    """Places of values in sorted distinct keys, mostly by one look into a hash table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(10, (4 * len(keys)).bit_length()))
+        self.table = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.table[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(_MIX)) >> self.shift
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self.table[self._slot(keys)].astype(np.int64)
+        missed = np.flatnonzero(self.keys[at] != keys)
+        at[missed] = np.searchsorted(self.keys, keys[missed])
+        return at
+
+
 class Level:
     """Counts of one order: for each context its n and d, and what the next longer contexts exclude."""
 
@@ -311,6 +330,7 @@ def scored(docs: DataFrame, test: Column, key: str = "doc_id", text: str = "text
         order, _ = deal.order(keys)
         cost = np.empty(len(keys))
         cost[order] = np.concatenate([np.empty(0), *(-words.unsqueeze(x, "<f8") for x in answers[answers["kind"] == words.EXTRA].sort_values("bucket")["data"])])
+        finder = Finder(keys)
         base = np.log10((c + 1) / (total + kinds + 1))
         end_base, known = np.log10((n_train + 1) / (total + kinds + 1)), c > 0
         frames = []
@@ -320,7 +340,7 @@ def scored(docs: DataFrame, test: Column, key: str = "doc_id", text: str = "text
             score = np.zeros(len(texts))
             for some, key, n in batches(texts, book):
                 z = np.cumsum(n)
-                score[some] += np.add.reduceat(cost[np.searchsorted(keys, key)], z - n)
+                score[some] += np.add.reduceat(cost[finder.find(key)], z - n)
             frames.append(pd.DataFrame({
                 "doc_id": pd.array(doc_ids, "Int64"), "held_out": [not f for f in flags], "n_tokens": sizes + 1,
                 "n_known": [int(known[t].sum()) + (n_train > 0) for t in texts], "train_tokens": total,

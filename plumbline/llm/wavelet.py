@@ -50,10 +50,15 @@ class WaveletMatrix:
     def build(cls, values: np.ndarray, levels: int) -> WaveletMatrix:
         planes, x = [], values.astype(np.uint32 if levels > 16 else np.uint16)
         for level in range(levels - 1, -1, -1):
-            bit = (x >> level) & 1 == 1
+            bit = (x & x.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(bit, bitorder="little"))
             if level:
-                x = np.concatenate([x[~bit], x[bit]])
+                up = np.empty_like(x)
+                zeros = len(x) - int(np.count_nonzero(bit))
+                np.compress(bit, x, out=up[zeros:])
+                np.logical_not(bit, out=bit)
+                np.compress(bit, x, out=up[:zeros])
+                x = up
         return cls(len(values), planes)
 
     def decode(self) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import store_by
 from .tokens import ragged
 
 BLOCK_CHARS = 16_000_000
@@ -109,7 +109,7 @@ Extra = Callable[[list[np.ndarray], list[bool], list[bytes]], bytes]
 
 
 def coded(docs: DataFrame, cut: Callable[[], Callable[[str], list]], flag: Column, name: str, buckets: int, key: str = "doc_id", text: str = "text", extra: Extra | None = None) -> DataFrame:
-    """The stored rows of SCHEMA for all documents.
+    """The stored rows of SCHEMA for all documents, in files by hash of block: they are grouped by block without a shuffle.
 
     ``cut()`` gives a worker its function from a text to its words (str or
     bytes).  ``flag`` marks documents whose words count: a WORDS row holds the
@@ -168,7 +168,7 @@ def coded(docs: DataFrame, cut: Callable[[], Callable[[str], list]], flag: Colum
             yield from rows()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), flag.alias("flag"), F.col(text).alias("text"))
-    return store(rows.mapInArrow(run, SCHEMA), name)
+    return store_by(rows.mapInArrow(run, SCHEMA), name, "block", buckets)
 
 
 def words_of(table: DataFrame) -> DataFrame:
