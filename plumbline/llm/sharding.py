@@ -7,17 +7,21 @@ group of ``min_merge`` or more as one file.  Files never change.  What a reader
 sees is the newest manifest; a writer commits by renaming a finished manifest to
 the next version number, which fails if another writer was first (it then plans
 anew), so a reader or a crash never meets half a change.  Files that no kept
-version names are removed by `vacuum`.
+version names are removed by `vacuum` once they are too old to belong to an
+append or a compaction that is still at work.
 
 The manifest has one entry a file; rows never pass the driver.
 
-Defined cases: nulls, repeated rows and any columns are kept as they are; an
-empty append adds nothing; an empty store reads as no rows.
+Defined cases: nulls, repeated rows and columns of any names are kept as they are;
+an empty append adds nothing; an empty store reads as no rows.  The column that
+tells a row's file is ``shard``, with underscores after it where the table has
+such a column.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -81,11 +85,16 @@ class ShardStore:
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def _files(self, folder: str, deep: bool = True) -> list[Shard]:
+    def _files(self, folder: str, deep: bool = True, before: float | None = None) -> list[Shard]:
+        """Files of a folder; with ``before``, those last changed at that time (in milliseconds) or earlier."""
+        if not self.fs.exists(self._path(folder)):
+            return []
         found, it = [], self.fs.listFiles(self._path(folder), deep)
         prefix = self.fs.makeQualified(self._path("")).toString() + "/"
         while it.hasNext():
             f = it.next()
+            if before is not None and f.getModificationTime() > before:
+                continue
             found.append(Shard(f.getPath().toString().removeprefix(prefix), f.getLen()))
         return sorted(found, key=lambda s: s.file)
 
@@ -134,37 +143,50 @@ class ShardStore:
                     raise
         return old
 
-    def compact(self) -> Manifest:
-        """Rewrites every group of `plan`; rows keep their file until the commit. A lost race leaves the store as it was."""
+    def compact(self, broadcast_files: int = 100_000) -> Manifest:
+        """Rewrites every group of `plan`, and then what can be merged on, until no group is left; rows keep their file until the commit.
+
+        A group is a task and a file.  A lost race leaves the store as the last commit left it.
+        """
         old = self.manifest()
-        groups = plan(old.shards, self.target, self.min_merge)
-        if not groups:
-            return old
-        folder = f"data/c-{uuid.uuid4().hex}"
-        inputs = [(s.file.rsplit("/", 1)[-1], k) for k, g in enumerate(groups) for s in g]
-        # one short row for each file to rewrite
-        of = F.broadcast(self.spark.createDataFrame(inputs, "_file string, _group int"))
-        rows = self.spark.read.schema(StructType.fromJson(json.loads(old.schema))).parquet(*[f"{self.root}/{s.file}" for g in groups for s in g])
-        rows = rows.select("*", F.col("_metadata.file_name").alias("_file")).join(of, "_file").drop("_file")
-        rows.repartition(len(groups), "_group").write.partitionBy("_group").option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        gone = {s.file for g in groups for s in g}
-        new = [s for s in self._files(folder) if s.file.endswith(".parquet")]
-        return self._commit(old, old.schema, [s for s in old.shards if s.file not in gone] + new)
+        while groups := plan(old.shards, self.target, self.min_merge):
+            folder = f"data/c-{uuid.uuid4().hex}"
+            inputs = [(s.file.rsplit("/", 1)[-1], k) for k, g in enumerate(groups) for s in g]
+            of = self.spark.createDataFrame(inputs, "file string, group_no int")  # one short row for each file to rewrite
+            of = F.broadcast(of) if len(inputs) <= broadcast_files else of
+            rows = self._rows([s for g in groups for s in g], old.schema).join(of, "file")
+            rows.repartitionById(len(groups), F.col("group_no")).select("row.*").write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+            gone = {s.file for g in groups for s in g}
+            new = [s for s in self._files(folder) if s.file.endswith(".parquet")]
+            old = self._commit(old, old.schema, [s for s in old.shards if s.file not in gone] + new)
+        return old
+
+    def _rows(self, shards: list[Shard] | tuple[Shard, ...], schema: str) -> DataFrame:
+        """(row, file): whole rows and the names of their files."""
+        rows = self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*[f"{self.root}/{s.file}" for s in shards])
+        return rows.select(F.struct("*").alias("row"), F.col("_metadata.file_name").alias("file"))
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with column ``shard`` (the file's name)."""
         m = self.manifest(version)
+        schema = StructType.fromJson(json.loads(m.schema)) if m.schema else StructType()
+        name = "shard"
+        while name in (f.name.lower() for f in schema):
+            name += "_"
         if not m.shards:
-            return self.spark.createDataFrame([], StructType.fromJson(json.loads(m.schema)) if m.schema else StructType()).withColumn("shard", F.lit(""))
-        rows = self.spark.read.schema(StructType.fromJson(json.loads(m.schema))).parquet(*[f"{self.root}/{s.file}" for s in m.shards])
-        return rows.select("*", F.col("_metadata.file_name").alias("shard"))
+            return self.spark.createDataFrame([], schema).withColumn(name, F.lit(""))
+        return self._rows(m.shards, m.schema).select("row.*", F.col("file").alias(name))
+
+    def vacuum(self, keep_versions: int = 1, min_age_s: float = 7 * 86_400) -> int:
+        """Removes manifests of versions older than the newest ``keep_versions``, and data files that no kept version names.
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Removes data files and manifests of versions older than the newest ``keep_versions``."""
+        A file younger than ``min_age_s`` stays: an append may have written and not yet committed it.
+        """
         versions = self.versions()
         kept = versions[-keep_versions:]
         named = {s.file for v in kept for s in self.manifest(v).shards}
-        gone = [s.file for s in self._files("data") if s.file.endswith(".parquet") and s.file not in named]
+        before = (time.time() - min_age_s) * 1000
+        gone = [s.file for s in self._files("data", before=before) if s.file.endswith(".parquet") and s.file not in named]
         for name in [*gone, *(f"_manifest/v{v:08d}.json" for v in versions if v not in kept)]:
             self.fs.delete(self._path(name), False)
         return len(gone)
