@@ -5,14 +5,22 @@ under the language's byte-bigram model, the log-probability of the declared
 language given the true one, and the log-prior of the row's host.  A host's
 prior is its own counts smoothed towards its address suffix's, which are
 smoothed towards those of all rows, so a host with few rows follows its suffix.
+
+Languages are the declared values of the rows themselves, the most frequent
+``most_languages`` of those that ``min_rows`` rows declare.  One more hypothesis, UNKNOWN,
+stands for every other language and for noise: its model is the bigrams of all
+rows mixed with a uniform one, so a text that fits no language better than it
+fits all of them is not accepted.
+
 Models and counts come from all rows by grouped aggregation; what reaches the
 driver is bounded: bigrams x languages, declared x languages, and one count for
 each language.
 
 Defined cases: null text is empty; a row without letters has no text evidence
 and is not accepted.  Null declared language, host or suffix are values of
-their own.  Declared languages outside ``languages`` count as one value.
-Repeated rows are judged each for itself; with no rows there is no result.
+their own.  Declared values that are no language here count as one value.
+Repeated rows are judged each for itself; with no rows there is no result; with
+no declared language everything is UNKNOWN.
 """
 
 from __future__ import annotations
@@ -28,13 +36,16 @@ from pyspark.sql import functions as F
 
 from .common import store
 
-LANGUAGES = ("de", "en", "es", "fr")
+UNKNOWN = "und"
 CODES = 1 << 16
 
 
 @dataclass(frozen=True)
 class Settings:
-    languages: tuple[str, ...] = LANGUAGES
+    languages: tuple[str, ...] | None = None  # None: from the declared values
+    most_languages: int = 64
+    min_rows: int = 20
+    uniform: float = 0.2  # share of the uniform model in UNKNOWN's
     smoothing: float = 0.5  # added to each bigram count
     text_weight: float = 0.25  # neighbouring bigrams tell much of the same
     host_weight: float = 20.0  # rows that a suffix's counts weigh in a host's prior
@@ -52,12 +63,20 @@ def letters(text: str) -> int:
     return int(np.count_nonzero((raw >= 97) & (raw <= 122) | (raw >= 128)))
 
 
-def train(rows: DataFrame, s: Settings) -> np.ndarray:
-    """log P(second byte | first byte, language) as an array [bigram, language], from all rows (text, declared)."""
+def languages_of(rows: DataFrame, s: Settings) -> tuple[str, ...]:
+    """The declared values that are languages, in order; at most ``most_languages``."""
+    if s.languages is not None:
+        return s.languages
+    found = rows.filter("declared <> ''").groupBy("declared").count().filter(F.col("count") >= s.min_rows)
+    return tuple(sorted(r["declared"] for r in found.orderBy(F.col("count").desc(), "declared").limit(s.most_languages).collect()))
+
+
+def train(rows: DataFrame, languages: tuple[str, ...], s: Settings) -> np.ndarray:
+    """log P(second byte | first byte, language) as an array [bigram, language], UNKNOWN last, from all rows (text, declared)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(s.languages), CODES), np.int64)
-        at = {x: k for k, x in enumerate(s.languages)}
+        total = np.zeros((len(languages), CODES), np.int64)
+        at = {x: k for k, x in enumerate(languages)}
         for b in batches:
             by: dict[int, list[np.ndarray]] = {}
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
@@ -69,10 +88,14 @@ def train(rows: DataFrame, s: Settings) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(total[k, code])], ["k", "code", "n"])
 
     counted = rows.select("text", "declared").mapInArrow(count, "k int, code int, n long").groupBy("k", "code").agg(F.sum("n").alias("n"))
-    table = np.full((len(s.languages), 256, 256), s.smoothing)
+    table = np.zeros((len(languages) + 1, 256, 256))
     for r in counted.collect():  # at most 65,536 rows a language
-        table[r["k"], r["code"] >> 8, r["code"] & 255] += r["n"]
-    return np.ascontiguousarray(np.log(table / table.sum(axis=2, keepdims=True)).reshape(len(s.languages), CODES).T)
+        table[r["k"], r["code"] >> 8, r["code"] & 255] = r["n"]
+    table[-1] = table[:-1].sum(axis=0)
+    table += s.smoothing
+    table /= table.sum(axis=2, keepdims=True)
+    table[-1] = (1 - s.uniform) * table[-1] + s.uniform / 256
+    return np.ascontiguousarray(np.log(table).reshape(len(languages) + 1, CODES).T)
 
 
 def text_evidence(rows: DataFrame, model: np.ndarray, s: Settings) -> DataFrame:
@@ -84,20 +107,20 @@ def text_evidence(rows: DataFrame, model: np.ndarray, s: Settings) -> DataFrame:
             for text in b.column("text"):
                 t = text.as_py() or ""
                 n.append(letters(t))
-                ll = np.zeros(len(s.languages))
+                ll = np.zeros(model.shape[1])
                 codes = bigrams(t)
                 for at in range(0, len(codes), 1 << 20):
                     ll += model[codes[at : at + (1 << 20)]].sum(axis=0)
-                evidence.append((s.text_weight * (ll - ll.max())).tolist() if n[-1] else [0.0] * len(s.languages))
+                evidence.append((s.text_weight * (ll - ll.max())).tolist() if n[-1] else [0.0] * model.shape[1])
             keep = [b.column(c) for c in ("key", "digest", "declared", "host", "suffix")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(n, pa.int64()), pa.array(evidence, pa.list_(pa.float64()))], ["key", "digest", "declared", "host", "suffix", "letters", "evidence"])
 
     return rows.mapInArrow(run, "key long, digest long, declared string, host string, suffix string, letters long, evidence array<double>")
 
 
-def _counts(best: Column, s: Settings) -> Column:
+def _counts(best: Column, width: int) -> Column:
     """Rows by best language, as an array."""
-    return F.array(*[F.count_if(best == k + 1).cast("double") for k in range(len(s.languages))])
+    return F.array(*[F.count_if(best == k + 1).cast("double") for k in range(width)])
 
 
 def _smooth(own: Column, wider: Column, weight: float) -> Column:
@@ -107,22 +130,24 @@ def _smooth(own: Column, wider: Column, weight: float) -> Column:
 
 def identify(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     """For rows (key, text, declared, host, suffix): key, digest of the text, lang, confidence, text_lang, declared, accepted."""
-    known = F.when(F.col("declared").isin(*s.languages), F.col("declared")).when(F.col("declared").isNull(), "").otherwise("other")
+    languages = languages_of(rows, s)
+    known = F.when(F.col("declared").isin(*languages), F.col("declared")).when(F.col("declared").isNull(), "").otherwise("other")
     rows = rows.select(
         "key", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text", known.alias("declared"),
         F.coalesce("host", F.lit("\x00")).alias("host"), F.coalesce("suffix", F.lit("\x00")).alias("suffix"),
     )
-    model = train(rows, s)
+    model = train(rows, languages, s)
     seen = store(text_evidence(rows, model, s), "language-evidence")
     seen = seen.withColumn("best", F.when(F.col("letters") > 0, F.array_position("evidence", F.array_max("evidence"))))
-    width = len(s.languages)
-    declared_as: dict[str, list[float]] = {d: [1.0] * width for d in (*s.languages, "other", "")}
+    names = [*languages, UNKNOWN]
+    width = len(names)
+    declared_as: dict[str, list[float]] = {d: [1.0] * width for d in (*languages, "other", "")}
     for r in seen.filter("best is not null").groupBy("declared", "best").count().collect():  # declared values x languages
         declared_as[r["declared"]][r["best"] - 1] += r["count"]
     by_lang = [sum(v[k] for v in declared_as.values()) for k in range(width)]
     told = F.create_map(*[x for d, v in declared_as.items() for x in (F.lit(d), F.array(*[F.lit(math.log(v[k] / by_lang[k])) for k in range(width)]))])
     overall = F.array(*[F.lit(x / sum(by_lang)) for x in by_lang])
-    hosts = seen.groupBy("host", "suffix").agg(_counts(F.col("best"), s).alias("n"))
+    hosts = seen.groupBy("host", "suffix").agg(_counts(F.col("best"), width).alias("n"))
     sums = [F.sum(F.get("n", k)) for k in range(width)]
     suffixes = store(hosts.groupBy("suffix").agg(F.array(*sums).alias("of_suffix")), "language-suffixes")
     priors = hosts.join(suffixes, "suffix").select("host", "suffix", _smooth(F.col("n"), _smooth(F.col("of_suffix"), overall, s.suffix_weight), s.host_weight).alias("prior"))
@@ -130,7 +155,7 @@ def identify(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     fused = F.zip_with(F.zip_with("evidence", "prior", lambda e, p: e + F.log(p)), F.element_at(told, F.col("declared")), lambda a, b: a + b)
     joined = joined.withColumn("fused", fused)
     top = F.array_max("fused")
-    names = F.array(*map(F.lit, s.languages))
+    names = F.array(*map(F.lit, names))
     joined = joined.withColumn("confidence", 1.0 / F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - top)))
     return joined.select(
         "key",
@@ -139,7 +164,7 @@ def identify(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
         "confidence",
         F.get(names, F.col("best").cast("int") - 1).alias("text_lang"),
         F.nullif("declared", F.lit("")).alias("declared"),
-        ((F.col("letters") > 0) & (F.col("confidence") >= s.min_confidence)).alias("accepted"),
+        ((F.col("letters") > 0) & (F.col("confidence") >= s.min_confidence) & (F.array_position("fused", top) < width)).alias("accepted"),
     )
 
 
