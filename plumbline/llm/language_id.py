@@ -10,7 +10,8 @@ Languages are the declared values of the rows themselves, the most frequent
 ``most_languages`` of those that ``min_rows`` rows declare.  One more hypothesis, UNKNOWN,
 stands for every other language and for noise: its model is the bigrams of all
 rows mixed with a uniform one, so a text that fits no language better than it
-fits all of them is not accepted.
+fits all of them is not accepted.  A row's own bigrams are taken out of the models
+that learnt from it before it is scored.
 
 Models and counts come from all rows by grouped aggregation; what reaches the
 driver is bounded: bigrams x languages, declared x languages, and one count for
@@ -72,7 +73,7 @@ def languages_of(rows: DataFrame, s: Settings) -> tuple[str, ...]:
 
 
 def train(rows: DataFrame, languages: tuple[str, ...], s: Settings) -> np.ndarray:
-    """log P(second byte | first byte, language) as an array [bigram, language], UNKNOWN last, from all rows (text, declared)."""
+    """Counts of bigrams as an array [bigram, language], all languages' in the last column, from all rows (text, declared)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), CODES), np.int64)
@@ -88,30 +89,52 @@ def train(rows: DataFrame, languages: tuple[str, ...], s: Settings) -> np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(total[k, code])], ["k", "code", "n"])
 
     counted = rows.select("text", "declared").mapInArrow(count, "k int, code int, n long").groupBy("k", "code").agg(F.sum("n").alias("n"))
-    table = np.zeros((len(languages) + 1, 256, 256))
+    table = np.zeros((len(languages) + 1, CODES))
     for r in counted.collect():  # at most 65,536 rows a language
-        table[r["k"], r["code"] >> 8, r["code"] & 255] = r["n"]
+        table[r["k"], r["code"]] = r["n"]
     table[-1] = table[:-1].sum(axis=0)
-    table += s.smoothing
-    table /= table.sum(axis=2, keepdims=True)
-    table[-1] = (1 - s.uniform) * table[-1] + s.uniform / 256
-    return np.ascontiguousarray(np.log(table).reshape(len(languages) + 1, CODES).T)
+    return np.ascontiguousarray(table.T)
 
 
-def text_evidence(rows: DataFrame, model: np.ndarray, s: Settings) -> DataFrame:
+class Model:
+    """log P(second byte | first byte, language) from `train`'s counts; the last column is UNKNOWN's."""
+
+    def __init__(self, table: np.ndarray, s: Settings):
+        self.table, self.s = table, s
+        self.firsts = table.reshape(256, 256, -1).sum(axis=1)
+        self.logs = self._log(table, np.repeat(self.firsts, 256, axis=0))
+
+    def _log(self, n: np.ndarray, of: np.ndarray) -> np.ndarray:
+        p = (n + self.s.smoothing) / (of + 256 * self.s.smoothing)
+        p[:, -1] = (1 - self.s.uniform) * p[:, -1] + self.s.uniform / 256
+        return np.log(p)
+
+    def score(self, codes: np.ndarray, own: int | None) -> np.ndarray:
+        """Log-likelihood of bigrams under each language; ``own``: the language that learnt from them."""
+        code, n = np.unique(codes, return_counts=True)
+        logs = self.logs[code]
+        if own is not None:
+            first = code >> 8
+            mine = [own, -1]
+            logs = logs.copy()
+            logs[:, mine] = self._log(self.table[np.ix_(code, mine)] - n[:, None], (self.firsts[:, mine] - np.bincount(first, n, 256)[:, None])[first])
+        return n @ logs
+
+
+def text_evidence(rows: DataFrame, languages: tuple[str, ...], table: np.ndarray, s: Settings) -> DataFrame:
     """(key, digest, declared, host, suffix, letters, evidence): evidence is each language's weighted log-likelihood, best at 0."""
 
+    at, width = {x: k for k, x in enumerate(languages)}, len(languages) + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(table, s)
         for b in batches:
             evidence, n = [], []
-            for text in b.column("text"):
+            for text, declared in zip(b.column("text"), b.column("declared").to_pylist(), strict=True):
                 t = text.as_py() or ""
                 n.append(letters(t))
-                ll = np.zeros(model.shape[1])
-                codes = bigrams(t)
-                for at in range(0, len(codes), 1 << 20):
-                    ll += model[codes[at : at + (1 << 20)]].sum(axis=0)
-                evidence.append((s.text_weight * (ll - ll.max())).tolist() if n[-1] else [0.0] * model.shape[1])
+                ll = model.score(bigrams(t), at.get(declared))
+                evidence.append((s.text_weight * (ll - ll.max())).tolist() if n[-1] else [0.0] * width)
             keep = [b.column(c) for c in ("key", "digest", "declared", "host", "suffix")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(n, pa.int64()), pa.array(evidence, pa.list_(pa.float64()))], ["key", "digest", "declared", "host", "suffix", "letters", "evidence"])
 
@@ -136,8 +159,8 @@ def identify(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
         "key", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text", known.alias("declared"),
         F.coalesce("host", F.lit("\x00")).alias("host"), F.coalesce("suffix", F.lit("\x00")).alias("suffix"),
     )
-    model = train(rows, languages, s)
-    seen = store(text_evidence(rows, model, s), "language-evidence")
+    table = train(rows, languages, s)
+    seen = store(text_evidence(rows, languages, table, s), "language-evidence")
     seen = seen.withColumn("best", F.when(F.col("letters") > 0, F.array_position("evidence", F.array_max("evidence"))))
     names = [*languages, UNKNOWN]
     width = len(names)

@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block string, fp string, q_m int, next int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block string, fp string, q_m int, next int, shard string, _group int, row string, key long, file string"
 
 
 @pytest.fixture(scope="session")
@@ -15,7 +15,7 @@ def awkward(spark):
         (8, "one two three four five six seven eight one two three four five six seven eight", "en", "s2"), (9, "x", "xx", "s3"), (9, "x", "xx", "s3"),
         (10, "line a b c\nline a b c\nother\n\nline a b c", "en", "s1"),
     ]
-    return spark.createDataFrame([(*r, None, "b", "f", 1, 2) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, None, "b", "f", 1, 2, "s", 0, "r", 7, "f") for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

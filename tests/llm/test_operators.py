@@ -48,14 +48,39 @@ def test_sharding_round_trip(spark, awkward, empty):
     before, old = store.manifest(), rows(store.read(), *awkward.columns)
     assert old == Counter({k: 2 * v for k, v in rows(awkward, "*").items()})
     after = store.compact()
-    assert after.version == before.version + 1 and len(after.shards) < len(before.shards)
+    assert after.version > before.version and len(after.shards) < len(before.shards)
     assert rows(store.read(), *awkward.columns) == rows(store.read(before.version), *awkward.columns) == old
     with pytest.raises(sharding.Conflict):
         store._commit(before, before.schema, list(before.shards))
-    assert store.vacuum() > 0 and rows(store.read(), *awkward.columns) == old
+    assert store.vacuum() == 0 and store.vacuum(min_age_s=0) > 0 and rows(store.read(), *awkward.columns) == old
+    assert not sharding.plan(store.manifest().shards, store.target, store.min_merge) and "shard_" in store.read().columns
     assert len({sharding.tier(s) for s in (0, 1 << 19)}) == 1 and sharding.tier(1 << 20) < sharding.tier(1 << 22) < sharding.tier(1 << 24)
 
 
+def test_vacuum_spares_an_append_that_has_not_committed(spark, awkward):
+    store = sharding.ShardStore(spark, new_folder(spark, "t-shards"), small_rows=4)
+    store.append(awkward)
+    commit = store._commit
+
+    def late(*args):
+        sharding.ShardStore(spark, store.root).vacuum()
+        return commit(*args)
+
+    store._commit = late
+    store.append(awkward)
+    assert store.read().count() == 2 * awkward.count()
+
+
+def test_every_compaction_group_is_one_file(spark):
+    store = sharding.ShardStore(spark, new_folder(spark, "t-shards"), target=40_000, small_rows=100, min_merge=2)
+    store.append(spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text")))
+    before = store.manifest()
+    groups = sharding.plan(before.shards, store.target, store.min_merge)
+    after = store.compact()
+    assert after.version == before.version + 1 and len(after.shards) == len(groups) + len(before.shards) - sum(map(len, groups))
+    assert len(groups) > 4 and max(s.bytes for s in after.shards) < 40_000 and store.read().count() == 4000
+
+
 def test_quality_counts(awkward, empty):
     got = {r["doc_id"]: r for r in quality.judge(awkward).collect()}
     for doc, text in texts(awkward):
@@ -71,6 +96,16 @@ def test_quality_counts(awkward, empty):
     assert kept.columns == awkward.columns and {r["doc_id"] for r in kept.collect()} <= {1, 2, 5}
 
 
+def test_limits_follow_the_group_and_bear_junk(spark):
+    clean = lambda k: " ".join(f"w{(k * 31 + j * 17) % 997}xy" for j in range(80))
+    long = lambda k: " ".join(f"longerword{(k * 31 + j * 17) % 997}" for j in range(80))
+    junk = lambda k: " ".join(f"w{j}##$$" for j in range(60))
+    docs = [(k, clean(k), "en", "a") for k in range(800)] + [(1000 + k, long(k), "en", "b") for k in range(800)] + [(2000 + k, junk(k), "en", "a") for k in range(150)] + [(3000, long(3), "en", "a")]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k]["kept"] for k in (*range(800), *range(1000, 1800))) and not any(got[2000 + k]["kept"] for k in range(150))
+    assert not got[3000]["kept"] and got[0]["q_limits"][4] != got[1000]["q_limits"][4]  # fine in its own source only
+
+
 def test_sketches_merge_and_bound_their_error(spark):
     df = spark.createDataFrame([(f"g{k % 3}", [k * k]) for k in range(2000)], "g string, r array<long>")
     fine = quality.sketches(df, "r", "g")
@@ -79,7 +114,7 @@ def test_sketches_merge_and_bound_their_error(spark):
     assert rows(merged, "bucket", "n") == rows(direct, "bucket", "n")
     exact = sorted(k * k for k in range(2000))[math.ceil(2000 * 0.9) - 1]
     got = quality.quantiles(merged, q).first()["q"]
-    assert exact * (1 - 1 / 32) <= got <= exact
+    assert exact * (1 - 1 / 64) <= got <= exact
 
 
 def test_bpe_and_its_decoding(awkward, empty):
@@ -92,10 +127,18 @@ def test_bpe_and_its_decoding(awkward, empty):
     assert run(awkward) == want and not run(empty)
 
 
-def test_packed_words_come_back():
-    parts = [b"", b"a\x00b", "é".encode() * 50]
-    codes, back = words.unpack(words.pack(np.array([3, 70_000, 1 << 25], np.uint32), parts))
-    assert codes.tolist() == [3, 70_000, 1 << 25] and back == parts
+def test_packed_words_and_numbers_come_back():
+    some = sorted([b"", b"a", b"a\x00", b"a\x00b", b"ab" * 40, b"ab" * 41, "é".encode() * 50])
+    assert words.unpack_words(words.pack_words(some)) == some and words.unpack_words(words.pack_words([])) == []
+    for x in (np.array([3, 70_000, 1 << 45], np.int64), np.array([0.5, -1.25]), np.empty(0, np.int64)):
+        assert words.unsqueeze(words.squeeze(x), "<f8" if x.dtype.kind == "f" else "<u8").tolist() == x.tolist()
+
+
+def test_remembered_chunks_with_one_hash_are_told_apart():
+    raw = np.frombuffer(b"abcabdxy", np.uint8)
+    known, at, n = tokens.Known(10), np.array([0]), np.array([3])
+    known.add(np.array([7], np.uint64), raw, at, n, np.array([1, 2], np.uint32), np.array([2]))
+    assert known.find(np.array([7, 7, 8], np.uint64), raw, np.array([0, 3, 0]), np.array([3, 3, 3])).tolist() == [0, -1, -1]
 
 
 def test_language(awkward, empty):
@@ -106,6 +149,59 @@ def test_language(awkward, empty):
     assert kept.columns == awkward.columns and not kept.filter("doc_id in (3, 4, 6)").count()
 
 
+def test_posterior_by_hand(spark):
+    s = language_id.Settings(min_rows=2)
+    data = [("abab ab", "aa", "h1", "x"), ("ab abba", "aa", "h1", "x"), ("cdcd cd", "cc", "h2", "x"), ("dc cddc", "cc", "h2", "y"), ("abcd", None, "h2", "y"), ("ab", "zz", "h1", None)]
+    df = spark.createDataFrame([(k, *d) for k, d in enumerate(data)], "key long, text string, declared string, host string, suffix string")
+    langs = ["aa", "cc"]
+    pair = lambda t: list(zip(t.encode(), t.encode()[1:]))
+    counts = {x: Counter(p for t, d, *_ in data if d == x for p in pair(t)) for x in langs}
+    counts["und"] = counts["aa"] + counts["cc"]
+
+    def log(lang, a, b, text, declared):
+        left = Counter(counts[lang])
+        if declared in langs and lang in (declared, "und"):  # what the text itself taught
+            left.subtract(pair(text))
+        p = (left[a, b] + 0.5) / (sum(n for (x, _), n in left.items() if x == a) + 128)
+        return math.log(0.8 * p + 0.2 / 256 if lang == "und" else p)
+
+    names = [*langs, "und"]
+    text = [[sum(log(x, a, b, t, d) for a, b in pair(t)) for x in names] for t, d, *_ in data]
+    best = [t.index(max(t)) for t in text]
+    said = [d if d in langs else "" if d is None else "other" for _, d, *_ in data]
+    told = {d: [1 + sum(x == d and b == k for x, b in zip(said, best)) for k in range(3)] for d in (*langs, "other", "")}
+    of = [sum(v[k] for v in told.values()) for k in range(3)]
+    share = lambda key, k: sum(d[key] == v[key] and b == k for v, b in zip(data, best))
+    got = {r["key"]: r for r in language_id.identify(df, s).collect()}
+    for i, d in enumerate(data):
+        fused = []
+        for k in range(3):
+            suffix = [x for x, y in zip(best, data) if y[3] == d[3]]
+            host = [x for x, y in zip(best, data) if y[2:] == d[2:]]
+            wide = (suffix.count(k) + 50 * of[k] / sum(of)) / (len(suffix) + 50)
+            prior = (host.count(k) + 20 * wide) / (len(host) + 20)
+            fused.append(0.25 * (text[i][k] - max(text[i])) + math.log(told[said[i]][k] / of[k]) + math.log(prior))
+        top = max(fused)
+        assert got[i]["lang"] == names[fused.index(top)] and got[i]["confidence"] == pytest.approx(1 / sum(math.exp(f - top) for f in fused), rel=1e-9)
+
+
+def test_foreign_and_garbled_texts_are_not_accepted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd = [(-1, "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 5), (-2, "xqzj kvwq zzkx jqxv wqkz vxjq qzxk " * 9), (-3, "Zażółć gęślą jaźń i pchnąć w tę łódź jeża lub ośm skrzyń fig. " * 4)]
+    both = docs.unionByName(spark.createDataFrame([(k, t, "en", "src1") for k, t in odd], docs.schema))
+    got = {r["key"]: r["accepted"] for r in language_id.identify(language_id.evidence_of_documents(both)).collect()}
+    assert not any(got[k] for k in (-1, -2, -3)) and sum(got.values()) >= 0.99 * (len(got) - 3)
+
+
+def test_pages_use_markup_and_address(spark):
+    page = lambda k, lang, body, url: (k, url, f"<html lang='{lang}'><script>var x = 'ignored';</script><p>{body}</p></html>")
+    df = spark.createDataFrame([page(k, "en" if k % 2 else "de", "the house and the tree" if k % 2 else "das haus und der baum", f"https://www.h{k % 2}.{'com' if k % 2 else 'de'}/a") for k in range(60)] + [(99, None, None)], "page_id long, url string, html string")
+    rows = {r["key"]: r for r in language_id.evidence_of_pages(df).collect()}
+    assert rows[0]["declared"] == "de" and rows[0]["suffix"] == "de" and rows[0]["host"] == "www.h0.de" and "ignored" not in rows[0]["text"]
+    got = {r["key"]: r for r in language_id.identify(language_id.evidence_of_pages(df)).collect()}
+    assert got[1]["lang"] == "en" and got[2]["lang"] == "de" and got[1]["accepted"] and not got[99]["accepted"]
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     hidden = F.col("doc_id") % 5 == 0
@@ -172,7 +268,9 @@ def test_wavelet_matrix():
     assert [m.access(i) for i in range(0, 3000, 97)] == x[::97].tolist()
     for s in (0, 7, 299, 300, 70_000):
         at = np.flatnonzero(x == s).tolist()
+        assert m.rank_many(s, np.array([0, 1500, 3000])).tolist() == [0, sum(a < 1500 for a in at), len(at)]
         assert m.count(s) == len(at) and m.occurrences(s) == at and m.rank(s, 1500) == sum(a < 1500 for a in at)
+    assert m.access_many(np.arange(3000)).tolist() == x.tolist()
     assert wavelet.WaveletMatrix.build(np.empty(0, np.uint32), 16).decode().tolist() == []
 
 
@@ -183,7 +281,7 @@ def test_token_shards(awkward, empty):
         ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
         want[doc, start, len(ids), zlib.crc32(ids.tobytes())] += 1
         start += len(ids)
-    assert rows(wavelet.encoded(awkward, BYTE, shard_tokens=40), "*") == want
+    assert rows(wavelet.encoded(awkward, BYTE, shard_tokens=40), "doc_id", "start", "n_tokens", "ids_crc32") == want
     assert wavelet.encoded(empty, BYTE).count() == 0
 
 
@@ -210,9 +308,56 @@ def test_ppm(awkward, empty):
     assert ppm.scored(empty, ppm.held_out(F.col("doc_id"))).count() == 0
 
 
+def symbols_of(text):
+    return b"".join(w + b" " for w in text.encode().lower().split()) + b"\n"
+
+
+def brute_ppm(train, text, order):
+    """log10 probability by tries of every order, one symbol after the other."""
+    tries = [defaultdict(Counter) for _ in range(order + 1)]
+    start = b"\n" * order
+    for t in train:
+        s = start + symbols_of(t)
+        for i in range(order, len(s)):
+            for o in range(order + 1):
+                tries[o][s[i - o : i]][s[i]] += 1
+    s, total = start + symbols_of(text), 0.0
+    for i in range(order, len(s)):
+        seen = set()
+        for o in range(order, -1, -1):
+            live = {x: n for x, n in tries[o][s[i - o : i]].items() if x not in seen} if s[i - o : i] in tries[o] else {}
+            n = sum(live.values())
+            if s[i] in live:
+                total += math.log10((2 * live[s[i]] - 1) / (2 * n))
+                break
+            total += math.log10(len(live) / (2 * n)) if live else 0.0
+            seen |= set(live)
+        else:
+            total -= math.log10(256 - len(seen))
+    return total
+
+
+@pytest.mark.parametrize("batch_words", [ppm.BATCH_WORDS, 3])
+def test_ppm_scores_equal_brute_force(spark, monkeypatch, batch_words):
+    monkeypatch.setattr(ppm, "BATCH_WORDS", batch_words)
+    text = ["The cat sat on the mat.", "the cat ate the rat", None, "", "A dog; a log, ä fog", "the cat sat", "zebra the cat sat on", "cat " * 30, "the mat sat on the cat"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(text)], "doc_id long, text string").repartition(3)
+    train = [t or "" for k, t in enumerate(text) if zlib.crc32(str(k).encode()) % 7 != 2]
+    assert len(train) < len(text)
+    for r in ppm.scored(df, ppm.held_out(F.col("doc_id"))).collect():
+        assert r["score"] == pytest.approx(brute_ppm(train, text[r["doc_id"]] or "", ppm.ORDER), rel=1e-12)
+
+
+def test_ppm_hears_what_came_before(spark):
+    docs = [(k, "red apple " * 20 + "blue berry " * 20) for k in range(20)] + [(100, "red apple blue berry"), (101, "red berry blue apple")]
+    got = {r["doc_id"]: r["score"] for r in ppm.scored(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
+    assert got[100] > got[101]
+
+
 def test_ppm_probabilities_sum_to_one():
-    key, size = ppm.steps([b"banana", b"band", b"\n"])
-    counts = np.repeat([3.0, 1.0, 2.0], size)
+    book = ppm.Book([b"banana", b"band"])
+    key = np.concatenate([k for _, k, _ in ppm.batches([np.array([0, 1]), np.array([0, 0])], book)])
+    counts = np.ones(len(key))
     levels = {o: ppm.Level(((key >> 8 & ppm.MASKS[o]) << 8) | (key & 255), counts) for o in range(ppm.ORDER + 1)}
     for context in (*np.unique(key >> 8).tolist(), 12345):
         assert (10 ** ppm.step_costs(np.array([context << 8 | s for s in range(256)]), levels)).sum() == pytest.approx(1.0)
@@ -248,6 +393,7 @@ def test_fingerprints(awkward, empty):
     def canonical(t):
         return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())).strip(" ")
 
+    # rows of one doc_id are equal here, and there is one without
     found = sorted(texts(awkward), key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
     want = Counter()
     for k, (doc, t) in enumerate(found):
