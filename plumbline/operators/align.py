@@ -1,7 +1,9 @@
 """Monotone alignment of segments: one-to-one, split, merge, omission, addition.
 
 The recurrence depends on itself cell by cell, which no relational operator
-expresses; it runs as one Arrow function over a pair's size and band cells.
+expresses; it runs as one Arrow function over a pair's size and band cells.  Cells
+of one anti-diagonal do not need each other, so a step works on a whole diagonal
+of many pairs of about the same size.
 """
 
 from __future__ import annotations
@@ -9,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,49 +32,90 @@ class Costs:
     penalty: float = 0.35
 
 
-def align(n: int, m: int, cells: dict[tuple[int, int], float], costs: Costs = Costs()) -> list[tuple]:
-    """Operations (op, a_start, a_end, b_start, b_end, sim), in order; absent sides are -1.
+#: Cells of the pairs that are aligned at once.
+GROUP_CELLS = 1 << 20
 
-    Without an A side nothing is emitted, not even additions: the matrix then
-    has no row that could tell how many B segments there are.
+
+def _choices(sim: np.ndarray, costs: Costs) -> np.ndarray:
+    """[pair, i, j]: which of OPS ends the cheapest way to cell (i, j); ``sim`` is [pair, i, j], zero beyond a pair's size.
+
+    Costs are added in one order, so that ties fall the same everywhere.
     """
-    if n == 0:
-        return []
-    sim = lambda i, j: cells.get((i, j), 0.0)
-
-    def price(op: str, i: int, j: int) -> tuple[float, float]:
-        """Cost and similarity of ``op`` ending at cell (i, j)."""
-        if op == "1:1":
-            s = sim(i - 1, j - 1)
-            return (1.0 - s) + (costs.penalty if s < costs.floor else 0.0), s
-        if op == "1:2":
-            s = (sim(i - 1, j - 2) + sim(i - 1, j - 1)) / 2.0
-            return (1.0 - s) + costs.split, s
-        if op == "2:1":
-            s = (sim(i - 2, j - 1) + sim(i - 1, j - 1)) / 2.0
-            return (1.0 - s) + costs.merge, s
-        return (costs.omit if op == "1:0" else costs.add), 0.0
-
-    best: dict[tuple[int, int], tuple[float, str, float]] = {(0, 0): (0.0, "", 0.0)}
-    for i in range(n + 1):
-        for j in range(m + 1):
-            for op in OPS:
-                di, dj = STEPS[op]
-                if i >= di and j >= dj and i + j:
-                    cost, s = price(op, i, j)
-                    total = best[i - di, j - dj][0] + cost
-                    if (i, j) not in best or total < best[i, j][0]:
-                        best[i, j] = (total, op, s)
+    pairs, n, m = sim.shape
+    flat = np.concatenate([sim.reshape(pairs, n * m), np.zeros((pairs, 1))], axis=1)  # the last cell stands for none
+    choice = np.zeros((pairs, n + 1, m + 1), np.uint8)
+    last = [np.full((pairs, n + 1), np.inf) for _ in range(3)]  # diagonals d - 1, d - 2, d - 3 by i
+    last[0][:, 0] = 0.0
+    for d in range(1, n + m + 1):
+        i = np.arange(max(0, d - m), min(n, d) + 1)
+        j = d - i
+        cell = lambda di, dj: flat[:, np.where((i >= di) & (j >= dj), (i - di) * m + (j - dj), n * m)]  # noqa: E731, B023
+        before = lambda k, di, dj: np.where((i >= di) & (j >= dj), last[k][:, np.maximum(i - di, 0)], np.inf)  # noqa: E731, B023
+        s = cell(1, 1)
+        best = before(1, 1, 1) + ((1.0 - s) + np.where(s < costs.floor, costs.penalty, 0.0))
+        which = np.zeros(best.shape, np.uint8)
+        others = (
+            (1, before(2, 1, 2) + ((1.0 - (cell(1, 2) + s) / 2.0) + costs.split)),
+            (2, before(2, 2, 1) + ((1.0 - (cell(2, 1) + s) / 2.0) + costs.merge)),
+            (3, before(0, 1, 0) + costs.omit),
+            (4, before(0, 0, 1) + costs.add),
+        )
+        for k, total in others:
+            better = total < best
+            best, which = np.where(better, total, best), np.where(better, np.uint8(k), which)
+        choice[:, i, j] = which
+        now = np.full((pairs, n + 1), np.inf)
+        now[:, i] = best
+        last = [now, *last[:2]]
+    return choice
+
+
+def _path(n: int, m: int, sim: np.ndarray, choice: np.ndarray) -> list[tuple]:
     out = []
     i, j = n, m
     while i or j:
-        _, op, s = best[i, j]
+        op = OPS[choice[i, j]]
         di, dj = STEPS[op]
-        out.append((op, i - di if di else -1, i if di else -1, j - dj if dj else -1, j if dj else -1, s))
+        s = (sim[i - di, j - dj] + sim[i - 1, j - 1]) / 2.0 if di + dj == 3 else sim[i - 1, j - 1] if di and dj else 0.0
+        out.append((op, i - di if di else -1, i if di else -1, j - dj if dj else -1, j if dj else -1, float(s)))
         i, j = i - di, j - dj
     return out[::-1]
 
 
+def align_many(sizes: list[tuple[int, int]], cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]], costs: Costs = Costs()) -> list[list[tuple]]:
+    """For each pair (n, m) with cells (i, j, sim): operations (op, a_start, a_end, b_start, b_end, sim), in order; absent sides are -1.
+
+    Without an A side nothing is emitted, not even additions: the matrix then
+    has no row that could tell how many B segments there are.
+    """
+    out: list[list[tuple]] = [[] for _ in sizes]
+    todo = sorted((k for k, (n, _) in enumerate(sizes) if n), key=lambda k: (sizes[k][0] + sizes[k][1], sizes[k]))
+    while todo:
+        size, wide, high = 0, 0, 0
+        while size < len(todo):  # as many pairs as have room when all are as large as the largest
+            n, m = sizes[todo[size]]
+            wide, high = max(wide, n), max(high, m)
+            if size and (size + 1) * (wide + 1) * (high + 1) > GROUP_CELLS:
+                break
+            size += 1
+        group, todo = todo[:size], todo[size:]
+        n, m = max(sizes[k][0] for k in group), max(sizes[k][1] for k in group)
+        sim = np.zeros((len(group), n, m))
+        for at, k in enumerate(group):
+            i, j, value = cells[k]
+            sim[at, i, j] = value
+        choice = _choices(sim, costs)
+        for at, k in enumerate(group):
+            out[k] = _path(*sizes[k], sim[at], choice[at])
+    return out
+
+
+def align(n: int, m: int, cells: dict[tuple[int, int], float], costs: Costs = Costs()) -> list[tuple]:
+    """The operations of one pair, from its cells by (i, j)."""
+    i, j = (np.fromiter((c[k] for c in cells), np.int64, len(cells)) for k in (0, 1))
+    return align_many([(n, m)], [(i, j, np.fromiter(cells.values(), np.float64, len(cells)))], costs)[0]
+
+
 def operations(sizes: DataFrame, scored: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """(pair_id, lang, n, m, op_idx, op, a_start, a_end, b_start, b_end, sim) of every pair, empty sides included."""
     cells = scored.groupBy("pair_id").agg(F.collect_list(F.struct("i", "j", "sim")).alias("cells"))
@@ -78,13 +123,21 @@ def operations(sizes: DataFrame, scored: DataFrame, costs: Costs = Costs()) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["pair_id", "lang", "n", "m", "op_idx", "op", "a_start", "a_end", "b_start", "b_end", "sim"]
-        types = [pa.int64() if kind == "bigint" else pa.string(), pa.string(), *[pa.int32()] * 3, pa.string(), *[pa.int32()] * 4, pa.float64()]
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                known = {(c["i"], c["j"]): c["sim"] for c in r["cells"] or ()}
-                rows += [(r["pair_id"], r["lang"], r["n"], r["m"], k, *op) for k, op in enumerate(align(r["n"], r["m"], known, costs))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+        types = [*[pa.int32()] * 3, pa.string(), *[pa.int32()] * 4, pa.float64()]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                lists = b.column(4)
+                counts = np.array([c or 0 for c in pa.compute.list_value_length(lists).to_pylist()], np.int64)
+                ends = np.cumsum(counts)
+                i, j, sim = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+                parts = [(i[z - c : z], j[z - c : z], sim[z - c : z]) for c, z in zip(counts.tolist(), ends.tolist(), strict=True)]
+                dims = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
+                found = align_many(dims, parts, costs)
+                pick = pa.array(np.repeat(np.arange(b.num_rows), [len(f) for f in found]))
+                rows = [(*dims[k], x, *op) for k, f in enumerate(found) for x, op in enumerate(f)]
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), *columns], names)
 
     joined = sizes.join(cells, "pair_id", "left").select("pair_id", "lang", "n", "m", "cells")
     return joined.mapInArrow(run, f"pair_id {kind}, lang string, n int, m int, op_idx int, op string, a_start int, a_end int, b_start int, b_end int, sim double")

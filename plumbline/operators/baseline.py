@@ -26,11 +26,14 @@ def labels(tokens: DataFrame, seed: int = 0) -> DataFrame:
     return t.select("pair_id", "lang", "side", "idx", "tok", code.cast("int").alias("code")).withColumn("label", difference(F.col("code")))
 
 
-def gold(tokens: DataFrame) -> DataFrame:
-    """Synthetic gold: a hash of (pair, side, place), -1 on punctuation. It tests arithmetic, never quality."""
+def gold_label() -> Column:
+    """Synthetic gold of a token row: a hash of (pair, side, place), -1 on punctuation. It tests arithmetic, never quality."""
     h = T.hash8(F.col("pair_id").cast("string"), F.col("side"), F.col("idx").cast("string"))
-    label = F.when(T.is_punctuation(F.col("tok")), -1.0).otherwise(F.pmod(h, F.lit(6)) / 5.0)
-    return tokens.select("pair_id", "lang", "side", "idx", label.alias("label"))
+    return F.when(T.is_punctuation(F.col("tok")), -1.0).otherwise(F.pmod(h, F.lit(6)) / 5.0)
+
+
+def gold(tokens: DataFrame) -> DataFrame:
+    return tokens.select("pair_id", "lang", "side", "idx", gold_label().alias("label"))
 
 
 def records(labels: DataFrame) -> DataFrame:

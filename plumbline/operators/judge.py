@@ -23,11 +23,10 @@ def _joined(ops: DataFrame, segments: DataFrame, side: str) -> DataFrame:
     )
 
 
-def differing_span(own: Column, other: Column) -> Column:
-    """The first three words of ``own`` that ``other`` has in no case, joined by a space; null without any."""
-    low = F.transform(T.split_words(other), F.lower)
-    words = T.let(low, lambda seen: F.slice(F.filter(T.split_words(own), lambda t: ~F.array_contains(seen, F.lower(t))), 1, 3))
-    return F.when(F.size(words) > 0, F.array_join(words, " "))
+def differing_span(words: Column, low: Column, other_low: Column) -> Column:
+    """The first three of ``words`` whose lower form ``low`` is not in ``other_low``, joined by a space; null without any."""
+    own = T.let(other_low, lambda seen: F.slice(F.filter(F.arrays_zip(words.alias("w"), low.alias("l")), lambda t: ~F.array_contains(seen, t["l"])), 1, 3))
+    return T.let(own, lambda x: F.when(F.size(x) > 0, F.array_join(F.transform(x, lambda t: t["w"]), " ")))
 
 
 def judgments(ops: DataFrame, segments: DataFrame, seed: int = 0) -> DataFrame:
@@ -38,6 +37,10 @@ def judgments(ops: DataFrame, segments: DataFrame, seed: int = 0) -> DataFrame:
     sim = T.lexical_similarity(F.array_distinct(T.norm_tokens(a)), F.array_distinct(T.norm_tokens(b)))
     level = F.rint(5 * (1.0 - sim) + T.noise(a, b, seed) * 3)
     j = j.withColumn("difference", F.greatest(F.lit(0.0), F.least(F.lit(5.0), level)).cast("int"))
-    wide = F.col("difference") >= 2
-    verbatim = lambda s, own, other: F.when(wide & F.contains(own, differing_span(own, other)), differing_span(own, other)).alias(s)
-    return j.select("*", verbatim("span_a", a, b), verbatim("span_b", b, a))
+    lower = lambda words: F.transform(words, F.lower)
+
+    def verbatim(own: str, other: str) -> Column:
+        span = T.let(T.split_words(F.col(own)), lambda w: differing_span(w, lower(w), F.array_distinct(lower(T.split_words(F.col(other))))))
+        return F.when(F.col("difference") >= 2, T.let(span, lambda x: F.when(F.contains(F.col(own), x), x)))
+
+    return j.withColumns({"span_a": verbatim("text_a", "text_b"), "span_b": verbatim("text_b", "text_a")})

@@ -38,8 +38,8 @@ def span_tokens(places: DataFrame, tokens: DataFrame) -> DataFrame:
     return places.filter("pos is not null").join(t, ["pair_id", "side"]).filter(hit).drop("start", "end")
 
 
-def token_labels(tokens: DataFrame, ops: DataFrame, judged: DataFrame, sides: DataFrame, cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
-    """(pair_id, lang, side, idx, tok, label): -1 for punctuation, else 0 (equivalent) to 1 (different)."""
+def token_levels(tokens: DataFrame, ops: DataFrame, judged: DataFrame, sides: DataFrame, cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
+    """(pair_id, lang, side, idx, tok, op, level, boost): all that a token's label is made of, whatever the labels of omissions, additions and spans."""
     # least and greatest pass over nulls, so a missing value is asked for first
     base = F.when(F.col("difference").isNotNull(), T.clamp01(cfg.diff_a * (F.col("difference") / 5.0) + cfg.diff_b))
     fallback = F.least(F.lit(1.0), (1.0 - F.col("sim")) * cfg.fallback_scale)
@@ -49,17 +49,24 @@ def token_labels(tokens: DataFrame, ops: DataFrame, judged: DataFrame, sides: Da
         return F.when(F.col(f"{s}_start") >= 0, one).otherwise(F.array().cast("array<struct<side:string,seg:int>>"))
 
     seg = F.explode(F.concat(covered("a"), covered("b")))
-    levels = ops.join(judged.select("pair_id", "op_idx", "difference"), ["pair_id", "op_idx"], "left").select(
-        "pair_id", "op_idx", seg.alias("s"),
-        F.when(F.col("op") == "1:0", cfg.omit_label).when(F.col("op") == "0:1", cfg.add_label).otherwise(F.coalesce(base, fallback)).alias("base"),
-        F.col("op").isin("1:0", "0:1").alias("one_sided"),
-    ).select("pair_id", "op_idx", "s.side", "s.seg", "base", "one_sided")
+    levels = ops.join(judged.select("pair_id", "op_idx", "difference"), ["pair_id", "op_idx"], "left")
+    levels = levels.select("pair_id", "op_idx", seg.alias("s"), "op", F.coalesce(base, fallback).alias("level")).select("pair_id", "op_idx", "s.side", "s.seg", "op", "level")
     boosted = span_tokens(span_places(judged, sides), tokens).filter("idx >= tok_lo and idx < tok_hi").select("pair_id", "op_idx", "side", "idx").distinct().withColumn("boost", F.lit(True))
     t = tokens.join(levels, ["pair_id", "side", "seg"], "left").join(boosted, ["pair_id", "op_idx", "side", "idx"], "left")
-    raised = F.greatest(F.lit(cfg.span_floor), F.least(F.lit(1.0), F.col("base") + cfg.span_boost))
-    matched = F.least(F.lit(cfg.boilerplate_cap), F.when(F.coalesce("boost", F.lit(False)), raised).otherwise(F.col("base")))
-    label = F.when(T.is_punctuation(F.col("tok")), -1.0).when(F.col("one_sided"), F.col("base")).when(F.col("base").isNull(), 0.0).otherwise(matched)
-    return t.select("pair_id", "lang", "side", "idx", "tok", label.alias("label"))
+    return t.select("pair_id", "lang", "side", "idx", "tok", "op", "level", F.coalesce("boost", F.lit(False)).alias("boost"))
+
+
+def label(cfg: ScoreConfig = ScoreConfig(), omit: Column | None = None, add: Column | None = None, boost: Column | None = None) -> Column:
+    """The label of a row of `token_levels`: -1 for punctuation, else 0 (equivalent) to 1 (different). Columns can stand for three of the settings."""
+    omit, add, boost = (F.lit(v) if c is None else c for c, v in ((omit, cfg.omit_label), (add, cfg.add_label), (boost, cfg.span_boost)))
+    raised = F.greatest(F.lit(cfg.span_floor), F.least(F.lit(1.0), F.col("level") + boost))
+    matched = F.least(F.lit(cfg.boilerplate_cap), F.when(F.col("boost"), raised).otherwise(F.col("level")))
+    return F.when(T.is_punctuation(F.col("tok")), -1.0).when(F.col("op") == "1:0", omit).when(F.col("op") == "0:1", add).when(F.col("level").isNull(), 0.0).otherwise(matched)
+
+
+def token_labels(tokens: DataFrame, ops: DataFrame, judged: DataFrame, sides: DataFrame, cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
+    """(pair_id, lang, side, idx, tok, label) of every token."""
+    return token_levels(tokens, ops, judged, sides, cfg).select("pair_id", "lang", "side", "idx", "tok", label(cfg).alias("label"))
 
 
 def label_stats(judged: DataFrame, sides: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import align, baseline, evaluate, guard, judge, pairs, resample, runs, score, segment, similarity
+from ..operators.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -45,13 +46,13 @@ class Pipeline:
     def __init__(self, spark: SparkSession, sf: str, view: str = "conv"):
         self.sides = _sides(spark, sf, view)
         self.tokens = segment.tokens(self.sides)
-        self.segments = segment.segments(self.tokens)
+        self.segments = stored(segment.segments(self.tokens), "segments")
         self.sizes = similarity.sizes(self.segments)
         self.candidates = similarity.candidates(self.sizes)
         self.scored = similarity.scored(self.candidates, self.segments)
-        # few rows, dear to make, and read by judgments, labels and spans; lost parts are made again
-        self.ops = align.operations(self.sizes, self.scored).persist()
-        self.judged = judge.judgments(self.ops, self.segments)
+        # few rows, dear to make, and read by judgments, labels and spans
+        self.ops = stored(align.operations(self.sizes, self.scored), "operations")
+        self.judged = stored(judge.judgments(self.ops, self.segments), "judgments")
 
     def labels(self, cfg: score.ScoreConfig = score.ScoreConfig()) -> DataFrame:
         return score.token_labels(self.tokens, self.ops, self.judged, self.sides, cfg)
@@ -302,22 +303,24 @@ def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Macro for each of 27 configurations; segments, alignment and judgments are made once."""
     p = Pipeline(spark, sf)
-    base = score.token_labels(p.tokens, p.ops, p.judged, p.sides, score.ScoreConfig(span_boost=0.0, span_floor=0.0, omit_label=3.0, add_label=4.0, boilerplate_cap=9.0))
-    marked = score.token_labels(p.tokens, p.ops, p.judged, p.sides, score.ScoreConfig(span_boost=0.0, span_floor=7.0, omit_label=3.0, add_label=4.0, boilerplate_cap=9.0))
-    b = base.select("pair_id", "lang", "side", "idx", F.col("label").alias("base"))
-    b = b.join(marked.select("pair_id", "side", "idx", (F.col("label") == 7.0).alias("boosted")), ["pair_id", "side", "idx"])
-    g = baseline.gold(p.tokens).select("pair_id", "side", "idx", F.col("label").alias("gold"))
-    few = b.join(g, ["pair_id", "side", "idx"]).filter("gold <> -1").groupBy("lang", "base", "boosted", "gold").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return _grid(spark, score.token_levels(p.tokens, p.ops, p.judged, p.sides))
+
+
+def _grid(spark: SparkSession, levels: DataFrame) -> DataFrame:
+    """Tokens are labelled once; what the 27 configurations meet is counts of (operation, level, boost, gold)."""
+    few = levels.withColumn("gold", baseline.gold_label()).filter("gold <> -1").groupBy("lang", "op", "level", "boost", "gold").agg(F.count(F.lit(1)).cast("double").alias("w"))
     grid = score.grid(spark)
-    pred = (
-        F.when(F.col("base") == 3.0, F.col("omit_label")).when(F.col("base") == 4.0, F.col("add_label"))
-        .when(F.col("boosted"), F.greatest(F.lit(0.6), F.least(F.lit(1.0), F.col("base") + F.col("span_boost")))).otherwise(F.col("base"))
-    )
-    cells = few.crossJoin(F.broadcast(grid)).groupBy("grid_idx", "lang", pred.alias("pred"), "gold").agg(F.sum("w").alias("w"))
+    pred = score.label(omit=F.col("omit_label"), add=F.col("add_label"), boost=F.col("span_boost"))
+    cells = few.withColumn("tok", F.lit("w")).crossJoin(F.broadcast(grid)).groupBy("grid_idx", "lang", pred.alias("pred"), "gold").agg(F.sum("w").alias("w"))
     macro = evaluate.spearman(cells, "grid_idx", "lang").groupBy("grid_idx").agg(F.avg("spearman").alias("macro"))
     return grid.join(macro, "grid_idx").select("grid_idx", "span_boost", "omit_label", "add_label", _r("macro"))
 
 
+@query
+def best_config(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.best_config(grid_search(spark, sf)).select("grid_idx", "macro")
+
+
 def _completed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     intended = pairs.pair_docs(spark, sf).select("pair_id", "lang")
     good = _table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("pair_id")).distinct()
