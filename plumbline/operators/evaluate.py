@@ -78,10 +78,6 @@ def kendall(contingency: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, tau.alias("kendall"))
 
 
-def invalid_reason(rho: Column, samples: Column) -> Column:
-    return F.when(rho.isNotNull(), F.lit(None).cast("string")).when(samples == 0, "no matched predictions").otherwise("undefined correlation")
-
-
 def strict_macro(per_lang: DataFrame, required: int, value: str = "spearman") -> DataFrame:
     """Mean over languages, null unless all ``required`` have a value; and the mean over those that have one."""
     v = F.col(value)

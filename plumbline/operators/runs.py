@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def language_status(intended: DataFrame, completed: DataFrame, started: DataFrame) -> DataFrame:
     """(lang, n_intended, n_completed, n_remaining, status) for each intended language."""
@@ -71,24 +73,53 @@ class Budget:
         self.unknown += unknown
 
 
+def numbered(requests: DataFrame, by: str) -> DataFrame:
+    """``requests`` with distinct numbers ``order`` from 0, by ``by``: runs of rows are counted, then numbered within their task."""
+    spark = requests.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(requests.repartitionByRange(parts, by).withColumn("_task", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))  # a row a task
+    before = sizes.select("_task", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_task").orderBy(by)) - 1
+    return dealt.withColumn("_at", place).join(F.broadcast(before), "_task").withColumn("order", F.col("_before") + F.col("_at")).drop("_task", "_at", "_before")
+
+
+def union(frames: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    out = spark.createDataFrame([], schema)
+    for f in frames:
+        out = out.unionByName(f.select(*out.columns))
+    return out
+
+
 def within_budget(requests: DataFrame, order: str, call: Callable[[DataFrame], DataFrame], budget: Budget, batch: int = 20) -> tuple[list[DataFrame], bool]:
     """Calls a backend on ordered micro-batches until done or the budget stops it: (answers, capped).
 
     ``requests`` needs an ordered column ``order`` of distinct numbers from 0;
-    ``call`` answers a batch with a column ``tokens`` (null where unknown).
+    ``call`` answers a batch with a column ``tokens`` (null where unknown) and,
+    if it has one, ``attempts``.  A batch is as large as what the request cap leaves, up to
+    ``batch`` requests a task; its answers are written once, charged from what
+    was written, and read from there.
     """
     n = requests.count()
     answers: list[DataFrame] = []
-    for at in range(0, n, batch):
+    at = 0
+    while at < n:
         try:
             budget.preflight()
         except BudgetExceeded:
             return answers, True
         size = min(batch, n - at, budget.max_requests - budget.requests)
-        answer = call(requests.filter((F.col(order) >= at) & (F.col(order) < at + size)))
-        told = answer.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.count_if(F.col("tokens").isNull()).alias("u")).first()
-        budget.charge(told["n"], told["t"] or 0, told["u"])
+        answer = written(call(requests.filter((F.col(order) >= at) & (F.col(order) < at + size))))
+        tries = F.sum("attempts") if "attempts" in answer.columns else F.count(F.lit(1))
+        told = answer.agg(tries.alias("n"), F.sum("tokens").alias("t"), F.count_if(F.col("tokens").isNull()).alias("u")).first()
+        budget.charge(told["n"] or 0, told["t"] or 0, told["u"])
         answers.append(answer)
-        if size < min(batch, n - at):
-            return answers, True
+        at += size
     return answers, False
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Rows that are made exactly once: in the shared folder, or, where none is set, on the driver, since a batch is small."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", ""):
+        return stored(df, "answers")
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

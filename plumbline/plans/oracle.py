@@ -281,6 +281,7 @@ done AS (SELECT i.lang, n_intended, coalesce(n, 0) AS done, true AS started FROM
         "bootstrap_ci": _with(boot, "SELECT lang, round(quantile_cont(spearman, 0.025), 6) AS lo, round(quantile_cont(spearman, 0.975), 6) AS hi FROM rho GROUP BY lang"),
         "paired_bootstrap": _with(paired, "SELECT round(avg(d), 6) AS mean_diff, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, round(avg((d <= 0)::INT), 6) AS p_not_above, quantile_cont(d, 0.025) <= 0 AND quantile_cont(d, 0.975) >= 0 AS includes_zero FROM (SELECT one.v - two.v AS d FROM one JOIN two USING (rep))"),
         "grid_search": _with(gridded, "SELECT grid_idx, round(gb, 2) AS span_boost, round(go, 2) AS omit_label, round(ga, 2) AS add_label, round(macro, 6) AS macro FROM (SELECT grid_idx, avg(spearman) AS macro FROM rho GROUP BY grid_idx) JOIN grid USING (grid_idx)"),
+        "best_config": _with(gridded, "SELECT grid_idx, round(macro, 6) AS macro FROM (SELECT grid_idx, avg(spearman) AS macro FROM rho GROUP BY grid_idx) ORDER BY round(macro, 6) DESC, grid_idx LIMIT 1"),
         "lang_status": f"WITH {lang_done} SELECT lang, n_intended, done AS n_completed, n_intended - done AS n_remaining, {status} AS status FROM done",
         "remaining_ids": f"WITH {DOCS} SELECT pair_id, lang FROM pair_docs WHERE pair_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
         "coverage_of_split": f"WITH {lang_done} SELECT lang, round(done / n_intended::DOUBLE, 4) AS coverage FROM done",

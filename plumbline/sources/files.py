@@ -31,13 +31,22 @@ def read_gold(spark: SparkSession, path: str, manifest: DataFrame | None = None)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Prediction records with ``file`` they came from; one file a language is expected."""
-    return spark.read.schema(PREDICTION).json(path).withColumn("file", F.col("_metadata.file_path"))
+    """Prediction records of one language with ``file`` they came from; more than one file is an error."""
+    df = spark.read.schema(PREDICTION).json(path).withColumn("file", F.col("_metadata.file_path"))
+    found = [r["file"] for r in df.select("file").distinct().limit(3).collect()]
+    if len(found) > 1:
+        raise ValueError(f"several prediction files: {sorted(found)}")
+    return df
+
+
+def write_predictions(df: DataFrame, path: str, partial: bool = False) -> None:
+    """One folder for each mode, backend and language; what a cap cut short goes to a place of its own."""
+    df.write.partitionBy("mode", "backend", "lang").mode("append").json(f"{path}/partial" if partial else f"{path}/predictions")
 
 
-def write_predictions(df: DataFrame, path: str) -> None:
-    """One folder for each mode, backend and language."""
-    df.write.partitionBy("mode", "backend", "lang").mode("append").json(path)
+def write_details(df: DataFrame, path: str) -> None:
+    """Nested detail records, failed items among them; null fields are left out."""
+    df.write.mode("append").json(f"{path}/details")
 
 
 def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -71,15 +80,19 @@ def append_calls(df: DataFrame, path: str) -> None:
 
 def put_cache(df: DataFrame, path: str) -> None:
     """New entries only: keys that the cache has already are left alone."""
-    spark = df.sparkSession
-    try:
-        df = df.join(spark.read.schema(CACHE).parquet(path).select("key"), "key", "left_anti")
-    except Exception as e:  # no cache yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    df = df.join(read_cache(df.sparkSession, path).select("key"), "key", "left_anti")
     df.dropDuplicates(["key"]).write.mode("append").parquet(path)
 
 
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """One entry a key, whatever two writers at once have added; no entries where there is no folder. An entry without text is a miss."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], CACHE)
+    first = F.min(F.struct("text", "model", "backend")).alias("e")
+    return spark.read.schema(CACHE).parquet(path).filter("text is not null").groupBy("key").agg(first).select("key", "e.*")
+
+
 def export_evidence(document: DataFrame, path: str) -> None:
     """A one-row frame as a script that sets ``window.EVIDENCE``; nulls stay null, NaN becomes null."""
     row = document.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()["j"]

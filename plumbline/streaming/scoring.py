@@ -21,5 +21,9 @@ def call_rates(calls: DataFrame, width: str = "1 minute", late: str = "10 minute
 
 
 def each_batch(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Scores every micro-batch with a batch operator and appends the result."""
-    return stream.writeStream.foreachBatch(lambda df, _: score(df).write.mode("append").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Scores every micro-batch with a batch operator and writes it to a folder of its number: a batch that is tried again replaces what it wrote."""
+
+    def write(df: DataFrame, number: int) -> None:
+        score(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
