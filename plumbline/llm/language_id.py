@@ -78,13 +78,24 @@ def train(rows: DataFrame, languages: tuple[str, ...], s: Settings) -> np.ndarra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), CODES), np.int64)
         at = {x: k for k, x in enumerate(languages)}
+
+        def add(by: dict[int, list[np.ndarray]]) -> None:
+            for k, codes in by.items():
+                total[k] += np.bincount(np.concatenate(codes), minlength=CODES)
+            by.clear()
+
         for b in batches:
             by: dict[int, list[np.ndarray]] = {}
+            held = 0
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 if lang in at and (t := text.as_py()):
-                    by.setdefault(at[lang], []).append(bigrams(t))
-            for k, codes in by.items():
-                total[k] += np.bincount(np.concatenate(codes), minlength=CODES)
+                    codes = bigrams(t)
+                    by.setdefault(at[lang], []).append(codes)
+                    held += len(codes)
+                if held > 1 << 21:
+                    add(by)
+                    held = 0
+            add(by)
         k, code = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(total[k, code])], ["k", "code", "n"])
 

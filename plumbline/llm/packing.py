@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
         item = TaskContext.get().partitionId() << 33
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_many(x.as_py() for x in b.column(1)), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

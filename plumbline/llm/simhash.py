@@ -400,10 +400,13 @@ class _Texts:
                 sampled.clear()
 
             for b in batches:
-                words = [_words(t) for t in b.column(2)]
-                same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-                sampled += [shingle_hashes(w, shingle) for w, d in zip(words, same, strict=True) if d[0] % 8 == 0]  # a sample: it only orders the keys
-                if len(sampled) > 2000:
+                same = []
+                for t in b.column(2):  # one text's words at a time
+                    words = _words(t)
+                    same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    if same[-1][0] % 8 == 0:  # a sample: it only orders the keys
+                        sampled.append(shingle_hashes(words, shingle))
+                if len(sampled) > 500:
                     count()
                 n = b.num_rows
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], ["doc_id", "digest", "same", "cell", "n"])
@@ -428,10 +431,12 @@ class _Texts:
         shingle = self.shingle
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                made = [make(shingle_hashes(_words(t), shingle)) for t in b.column(1)]
-                out = [pa.array([m[k] for m in made], t) for k, (_, t) in enumerate(columns)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *out], ["node", *(c for c, _ in columns)])
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    b = whole.slice(at, 1000)
+                    made = [make(shingle_hashes(_words(t), shingle)) for t in b.column(1)]
+                    out = [pa.array([m[k] for m in made], t) for k, (_, t) in enumerate(columns)]
+                    yield pa.RecordBatch.from_arrays([b.column(0), *out], ["node", *(c for c, _ in columns)])
 
         found = texts.mapInArrow(run, f"node long, {schema}")
         first = F.first(F.struct(*[c for c, _ in columns])).alias("x")  # repeated rows are equal

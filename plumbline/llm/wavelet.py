@@ -234,7 +234,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, levels:
 
         store_at.create_dir(base, recursive=True)
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist()), strict=True):
+            for k, x in zip(b.column(0).to_pylist(), enc.encode_many(x.as_py() for x in b.column(1)), strict=True):
                 if ids and tokens + len(x) // 4 >= shard_tokens:
                     yield flush()
                 keys.append(NULL_ID if k is None else k)
