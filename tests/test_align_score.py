@@ -18,20 +18,28 @@ def kinds(matrix):
     return [o[0] for o in ops(matrix)]
 
 
-def test_known_alignments():
-    assert kinds([[float(i == j) for j in range(4)] for i in range(4)]) == ["1:1"] * 4
-    got = kinds([[0.9 if i == j else 0.0 for j in range(5)] for i in range(3)])
-    assert got[0] == "1:1" and got[-2:] == ["0:1", "0:1"]
-    assert kinds([[0.8, 0.8]]) == ["1:2"]
-    assert ops([[0.8], [0.8]])[0][:3] == ("2:1", 0, 2)
-    assert kinds([[0.95], [0.1]]) == ["1:1", "1:0"]
-    assert kinds([[0.8, 0.0], [0.8, 0.0], [0.0, 0.9]]) == ["2:1", "1:1"]
-    assert align.align(1, 0, {}) == [("1:0", 0, 1, -1, -1, 0.0)]
-    assert align.align(0, 3, {}) == []  # without an A side nothing is emitted
+def test_each_operation_where_it_is_cheapest():
+    high, low = 0.95, 0.05
+    assert ops([[high, low], [low, high]]) == [("1:1", 0, 1, 0, 1, high), ("1:1", 1, 2, 1, 2, high)]
+    # one A against two halves, and the other way round, between two plain matches
+    split = [[high, low, low, low], [low, high, high, low], [low, low, low, high]]
+    assert kinds(split) == ["1:1", "1:2", "1:1"] and kinds([list(c) for c in zip(*split)]) == ["1:1", "2:1", "1:1"]
+    # a segment without a counterpart costs less left out than matched below the floor
+    assert kinds([[high, low], [low, low], [low, high]]) == ["1:1", "1:0", "1:1"] and kinds([[high, low, low], [low, low, high]]) == ["1:1", "0:1", "1:1"]
+    assert align.align(2, 0, {}) == [("1:0", 0, 1, -1, -1, 0.0), ("1:0", 1, 2, -1, -1, 0.0)]
+    assert align.align(0, 2, {}) == []  # without an A side nothing is emitted
+
+
+def test_pairs_aligned_together_are_aligned_as_alone(monkeypatch):
+    monkeypatch.setattr(align, "GROUP_CELLS", 300)
+    r = random.Random(9)
+    many = [cells([[round(r.random(), 1) for _ in range(r.randrange(1, 9))]] * r.randrange(1, 7)) for _ in range(40)]
+    arrays = [tuple(map(__import__("numpy").array, ([i for i, _ in c], [j for _, j in c], list(c.values())))) for _, _, c in many]
+    assert align.align_many([(n, m) for n, m, _ in many], arrays) == [align.align(*x) for x in many]
 
 
 def test_random_matrix_is_covered_in_order_at_least_cost():
-    r = random.Random(0)
+    r = random.Random(23)
     n, m, known = cells([[r.random() for _ in range(9)] for _ in range(7)])
     found = align.align(n, m, known)
     for side, size in ((1, n), (3, m)):
@@ -76,7 +84,7 @@ def run(spark, a, b):
 
 
 def test_a_pair_end_to_end(spark):
-    a, b = "Water policy . Switzerland protects its lakes .", "Wasserpolitik . Die Schweiz schützt ihre Seen ."
+    a, b = "Trains run late . Nobody minds .", "Züge fahren spät . Keiner klagt . Warum ."
     sides, tokens, found, judged = run(spark, a, b)
     labels = score.token_labels(tokens, found, judged, sides).collect()
     assert len(labels) == len(a.split()) + len(b.split())
@@ -93,17 +101,16 @@ def test_pairs_with_an_empty_side(spark):
 
 
 def test_scores_with_given_judgments(spark):
-    sides = pairs.sides(spark.createDataFrame([("p", "de", "alpha beta gamma", "alpha beta delta")], "pair_id string, lang string, text_a string, text_b string"))
+    sides = pairs.sides(spark.createDataFrame([("p", "de", "red green", "rot blau")], "pair_id string, lang string, text_a string, text_b string"))
     tokens = segment.tokens(sides)
-    op = spark.createDataFrame([("p", 0, "1:1", 0, 1, 0, 1, 0.5)], "pair_id string, op_idx int, op string, a_start int, a_end int, b_start int, b_end int, sim double")
+    op = spark.createDataFrame([("p", 0, "1:1", 0, 1, 0, 1, 0.25)], "pair_id string, op_idx int, op string, a_start int, a_end int, b_start int, b_end int, sim double")
     schema = "pair_id string, op_idx int, difference int, span_a string, span_b string, tok_lo_a int, tok_hi_a int, char_lo_a int, tok_lo_b int, tok_hi_b int, char_lo_b int"
-    judged = spark.createDataFrame([("p", 0, 2, "gamma", "delta", 0, 3, 0, 0, 3, 0)], schema)
-    cfg = score.ScoreConfig(span_boost=0.3, span_floor=0.6)
+    judged = spark.createDataFrame([("p", 0, 3, "green", None, 0, 2, 0, 0, 2, 0)], schema)
+    cfg = score.ScoreConfig(span_boost=0.15, span_floor=0.7)
     got = score.token_labels(tokens, op, judged, sides, cfg).orderBy("side", "idx").collect()
-    assert [round(r["label"], 6) for r in got] == [0.4, 0.4, 0.7] * 2
-    none = judged.filter("false")
-    low = op.withColumn("sim", F.lit(0.2))
-    assert {round(r["label"], 6) for r in score.token_labels(tokens, low, none, sides).collect()} == {0.8}
+    assert [round(r["label"], 6) for r in got] == [0.6, 0.75, 0.6, 0.6]
+    without = score.token_labels(tokens, op, judged.filter("false"), sides).collect()
+    assert {round(r["label"], 6) for r in without} == {0.75}
 
 
 def test_band(spark):

@@ -28,19 +28,18 @@ def test_scores_last_wins():
     assert P.scores('{"scores": [{"i": 0, "j": 1, "score": 2}, 5, {"i": 0}, {"i": 0, "j": 1, "score": 3}]}') == {(0, 1): 3.0}
 
 
-@pytest.mark.parametrize(
-    ("tokens", "entries", "fallback", "want"),
-    [
-        ("abc", [["a", 5], ["x", 9], ["c", 3]], 0, [5, 0, 3]),
-        ("abc", None, 2, [2, 2, 2]),
-        ("abc", [["a", 1], ["b", 1], ["c", 1], ["d", 1]], 0, [1, 1, 1]),
-        ("ab", ["a", ["b", 4]], 0, [0, 4]),
-        ("ab", [["a", "oops"], ["b", 2]], 0, [0, 2]),
-        ("ab", [[], 7, {"a": 1}, ["a", 1], ["b", 2]], 0, [1, 2]),
-    ],
-)
-def test_label_walk(tokens, entries, fallback, want):
-    assert P.walk_labels(list(tokens), entries, fallback) == want
+def walked(tokens, *entries, fallback=9):
+    return P.walk_labels(tokens.split(), list(entries), fallback)
+
+
+def test_label_walk():
+    assert walked("to be or not", ["to", 1], ["be", 2], ["or", 3], ["not", 4]) == [1, 2, 3, 4]
+    assert walked("to be or not", ["be", 2], ["not", 4]) == [9, 2, 9, 4]  # the token after the cursor may be meant
+    assert walked("to be or not", ["not", 4], ["to", 1]) == [1, 9, 9, 9]  # what lies further is passed over
+    assert walked("to be", "to", ["be"], ["be", 3]) == [9, 9]  # a name alone moves on without a label
+    assert walked("to be", ["to", {}], ["to", 2]) == [2, 9]  # a label that is no number leaves the cursor
+    assert walked("to be", 3, None, [], [4, 4], ["to", "1.5"]) == [1.5, 9]
+    assert P.walk_labels(["to"], None, 0.0) == [0.0]
 
 
 @given(st.lists(st.sampled_from("abc"), max_size=6), st.lists(st.tuples(st.sampled_from("abcx"), st.integers(0, 5)).map(list), max_size=8))
@@ -49,10 +48,21 @@ def test_label_walk_never_fails(tokens, entries):
 
 
 def test_salvage_and_walker(spark):
-    broken = '{"sentence1": [["a", 1], ["b", "2"], ["c", ], "sentence2": [["d", 3]'
-    assert P.salvage(broken, "sentence1") == [["a", 1.0], ["b", 2.0]] and P.salvage(broken, "none") == []
-    df = spark.createDataFrame([(["a", "b"], broken), (["d"], '{"sentence1": [["d", 0]]}')], "t array<string>, r string")
-    assert [r[0] for r in df.select(P.label_walker()(F.col("t"), F.col("r"), "sentence1")).collect()] == [[1.0, 2.0], [0.0]]
+    broken = '{"sentence1": [["one [", 4], ["two", "0.5"], ["three", null], ["four" 1], "sentence2": [["five", 2], ['
+    assert P.salvage(broken, "sentence1") == [["one [", 4.0], ["two", 0.5]] and P.salvage(broken, "sentence2") == [["five", 2.0]] and P.salvage(broken, "none") == []
+    assert P.salvage('{"sentence1": [["a", 1], ["b", 2]], "x', "sentence1") == [["a", 1.0], ["b", 2.0]]
+    df = spark.createDataFrame([(["one [", "two"], broken), (["d"], '{"sentence1": [["d", 0]]}')], "t array<string>, r string")
+    assert [r[0] for r in df.select(P.label_walker()(F.col("t"), F.col("r"), "sentence1")).collect()] == [[4.0, 0.5], [0.0]]
+
+
+@given(st.recursive(st.none() | st.booleans() | st.floats() | st.integers() | st.text(max_size=3), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.sampled_from(["semantic_difference", "differing_spans", "side_a", "side_b", "scores", "i"]), x, max_size=4)))
+def test_hostile_replies_never_fail(value):
+    import json
+
+    reply = json.dumps(value)
+    for r in (reply, reply[: len(reply) // 2], '{"semantic_difference": 1e999}', '{"semantic_difference": 1, "differing_spans": {"side_a": 5}}', "[" * 5000):
+        P.judgment(r, "a", "b"), P.scores(r), P.salvage(r, "sentence1")
+    assert P.judgment('{"semantic_difference": 1e999}', "", "") is None and P.judgment('{"semantic_difference": 1, "differing_spans": {"side_a": 5}}', "", "") is None
 
 
 def ranks(values):
@@ -97,9 +107,9 @@ def test_padding_and_skipped_side(spark):
 
 
 def test_guards(spark, tmp_path):
-    names = ["train", "VAL", "dev_train", "test", "full", "dev/test", "gold/test", "TEST"]
+    names = ["train", " Dev_VAL ", "dev/train", "test", "full", "val/test", "other"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select("n", guard.normal_split(F.col("n")).alias("s"))
-    assert {r["n"]: r["s"] for r in df.collect()} == {"train": "dev/train", "VAL": "dev/val", "dev_train": "dev/train"} | dict.fromkeys(names[3:])
+    assert {r["n"]: r["s"] for r in df.collect()} == {"train": "dev/train", " Dev_VAL ": "dev/val", "dev/train": "dev/train"} | dict.fromkeys(names[3:])
     (tmp_path / "dev").mkdir()
     (tmp_path / "link").symlink_to(tmp_path / "dev")
     assert guard.assert_inside(str(tmp_path / "dev"), str(tmp_path))
@@ -117,11 +127,27 @@ def test_budget_stops_between_batches(spark):
     answers, capped = runs.within_budget(requests, "n", call, runs.Budget(max_requests=30))
     assert capped and sum(a.count() for a in answers) == 30
     answers, capped = runs.within_budget(requests, "n", call, runs.Budget(max_tokens=200))
-    assert capped and len(answers) == 1
+    assert capped and len(answers) == 1 and answers[0].count() == 20
     answers, capped = runs.within_budget(requests, "n", call, runs.Budget())
     assert not capped and sum(a.count() for a in answers) == 50
 
 
+def test_every_answer_is_paid_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def call(df):
+        def run(frames):
+            for f in frames:
+                calls.add(len(f))
+                yield f.assign(tokens=1)
+
+        return df.mapInPandas(run, "n long, tokens long")
+
+    budget = runs.Budget()
+    answers, _ = runs.within_budget(spark.range(40).withColumnRenamed("id", "n"), "n", call, budget)
+    assert sum(a.count() + len(a.collect()) for a in answers) == 80 and calls.value == budget.requests == budget.tokens == 40
+
+
 def test_run_status(spark):
     rows = lambda *x: spark.createDataFrame(list(x), "lang string, pair_id int")
     intended = rows(("de", 1), ("de", 2), ("fr", 3), ("it", 4), ("en", 5))
