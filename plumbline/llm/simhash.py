@@ -257,13 +257,30 @@ class _Parities:
         return out
 
 
-def heavy_cells(digests: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of hashes that a task sees far more often than most, and how often."""
-    total = np.zeros(1 << CELL_BITS, np.int64)
-    for hashes in digests:
-        np.add.at(total, hashes >> np.uint64(64 - CELL_BITS), 1)
-    cells = np.flatnonzero(total > 4 * total.mean() + 16)
-    return cells, total[cells]
+class _Cells:
+    """How often a task sees each cell of shingle hashes, over all its texts."""
+
+    def __init__(self) -> None:
+        self.total = np.zeros(1 << CELL_BITS, np.int64)
+        self.held: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.held.append((hashes >> np.uint64(64 - CELL_BITS)).astype(np.int32))
+        self.n += len(hashes)
+        if self.n >= 1 << CELL_BITS:
+            self._count()
+
+    def _count(self) -> None:
+        if self.held:
+            self.total += np.bincount(np.concatenate(self.held), minlength=1 << CELL_BITS)
+        self.held, self.n = [], 0
+
+    def heavy(self) -> tuple[np.ndarray, np.ndarray]:
+        """The cells seen far more often than most, and how often: what the others lack is under the bound."""
+        self._count()
+        cells = np.flatnonzero(self.total > 4 * self.total.mean() + 16)
+        return cells, self.total[cells]
 
 
 def may_meet(size: np.ndarray, place: np.ndarray, one: np.ndarray | int, two: np.ndarray, similarity: float) -> np.ndarray:
@@ -391,28 +408,18 @@ class _Texts:
         def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
 
-            sampled: list[np.ndarray] = []
-            total: dict[int, int] = {}
-
-            def count() -> None:
-                for c, n in zip(*(x.tolist() for x in heavy_cells(iter(sampled))), strict=True):
-                    total[c] = total.get(c, 0) + n
-                sampled.clear()
-
+            seen = _Cells()
             for b in batches:
                 same = []
                 for t in b.column(2):  # one text's words at a time
                     words = _words(t)
                     same.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    if same[-1][0] % 8 == 0:  # a sample: it only orders the keys
-                        sampled.append(shingle_hashes(words, shingle))
-                if len(sampled) > 500:
-                    count()
+                    seen.add(shingle_hashes(words, shingle))
                 n = b.num_rows
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], ["doc_id", "digest", "same", "cell", "n"])
-            count()
-            n = len(total)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary())), pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["doc_id", "digest", "same", "cell", "n"])
+            cells, counts = seen.heavy()
+            n = len(cells)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary())), pa.array(cells, pa.int32()), pa.array(counts, pa.int64())], ["doc_id", "digest", "same", "cell", "n"])
 
         both = store(self.rows.mapInArrow(sketch, "doc_id long, digest long, same binary, cell int, n long"), "similar-sketches")
         self.seen = both.filter("cell is null").select("doc_id", "digest", "same")
