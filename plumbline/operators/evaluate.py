@@ -67,15 +67,23 @@ def spearman(contingency: DataFrame, *keys: str) -> DataFrame:
 
 
 def kendall(contingency: DataFrame, *keys: str) -> DataFrame:
-    """(keys..., kendall): tau-b from pairs of contingency cells, never of tokens."""
-    a = contingency.select(*keys, F.col("pred").alias("p1"), F.col("gold").alias("g1"), F.col("w").alias("w1"))
-    b = contingency.select(*keys, F.col("pred").alias("p2"), F.col("gold").alias("g2"), F.col("w").alias("w2"))
-    s = a.join(b, list(keys)) if keys else a.crossJoin(F.broadcast(b))
-    dp, dg = F.signum(F.col("p1") - F.col("p2")), F.signum(F.col("g1") - F.col("g2"))
-    w = F.col("w1") * F.col("w2")
-    sums = s.groupBy(*keys).agg(F.sum(w * dp * dg).alias("c"), F.sum(w * dp * dp).alias("p"), F.sum(w * dg * dg).alias("g"))
-    tau = F.when((F.col("p") > 0) & (F.col("g") > 0), F.col("c") / F.sqrt(F.greatest(F.col("p"), F.lit(1e-300))) / F.sqrt(F.greatest(F.col("g"), F.lit(1e-300))))
-    return sums.select(*keys, tau.alias("kendall"))
+    """(keys..., kendall): tau-b from running sums over contingency cells, never from pairs of tokens or cells.
+
+    The work is distinct predictions times distinct gold labels, of which there
+    are few.  Null where a side is constant.
+    """
+    c = contingency if keys else contingency.withColumn("_all", F.lit(0))
+    keys_ = list(keys) or ["_all"]
+    preds, golds = (c.groupBy(*keys_, x).agg(F.sum("w").alias("t")) for x in ("pred", "gold"))
+    cells = preds.drop("t").join(golds.drop("t"), keys_).join(c, [*keys_, "pred", "gold"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    by_pred, by_gold = Window.partitionBy(*keys_, "gold").orderBy("pred"), Window.partitionBy(*keys_, "pred").orderBy("gold")
+    lower = cells.withColumn("under", F.coalesce(F.sum("w").over(by_pred.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    part = lambda lo, hi: F.coalesce(F.sum("under").over(by_gold.rowsBetween(lo, hi)), F.lit(0.0))
+    signed = lower.select(*keys_, (F.col("w") * (part(Window.unboundedPreceding, -1) - part(1, Window.unboundedFollowing))).alias("s"))
+    untied = lambda d, name: d.groupBy(*keys_).agg(((F.sum("t") * F.sum("t") - F.sum(F.col("t") * F.col("t"))) / 2).alias(name))
+    j = signed.groupBy(*keys_).agg(F.sum("s").alias("s")).join(untied(preds, "p"), keys_).join(untied(golds, "g"), keys_)
+    tau = F.when((F.col("p") > 0) & (F.col("g") > 0), F.col("s") / F.sqrt(F.greatest(F.col("p"), F.lit(1e-300))) / F.sqrt(F.greatest(F.col("g"), F.lit(1e-300))))
+    return j.select(*keys, tau.alias("kendall"))
 
 
 def strict_macro(per_lang: DataFrame, required: int, value: str = "spearman") -> DataFrame:

@@ -5,6 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
+
+def ranked(rows: DataFrame, groups: list[str], order: str) -> DataFrame:
+    """``rows`` with r, the place from 1 of a row in its group, in the order of ``order``.
+
+    Rows are sorted by range, so a group of any size is spread over tasks: a
+    row's place is its place in its partition and what earlier partitions hold of
+    the group.  Only those counts, a row a partition and group in it, meet in a window.
+    """
+    dealt = rows.repartitionByRange(*groups, order).sortWithinPartitions(*groups, order)
+    at = stored(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "ranked")
+    runs = at.groupBy(*groups, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*groups, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return at.join(runs, [*groups, "_part"]).withColumn("r", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
 
 def pair_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, lang, text_a, text_b): the r-th English document of a source with its r-th other one.
@@ -12,11 +29,10 @@ def pair_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Only ids are ranked; texts are joined afterwards.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    english = F.col("lang") == "en"
-    rank = F.row_number().over(Window.partitionBy("source", english).orderBy("doc_id"))
-    ranked = docs.filter("lang is not null").select("doc_id", "lang", "source", english.alias("english"), rank.alias("r"))
-    a = ranked.filter("english").select("source", "r", F.col("doc_id").alias("pair_id"))
-    b = ranked.filter("not english").select("source", "r", "lang", F.col("doc_id").alias("id_b"))
+    some = docs.filter("lang is not null and source is not null").select("doc_id", "lang", "source", (F.col("lang") == "en").alias("english"))
+    r = ranked(some, ["source", "english"], "doc_id")
+    a = r.filter("english").select("source", "r", F.col("doc_id").alias("pair_id"))
+    b = r.filter("not english").select("source", "r", "lang", F.col("doc_id").alias("id_b"))
     ids = a.join(b, ["source", "r"]).select("pair_id", "lang", "id_b")
     text = docs.select("doc_id", "text")
     return (
