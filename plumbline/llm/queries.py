@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, language_id, packing, ppm, quality, sharding, simhash, wavelet
+from . import bpe, chat, fingerprint, language_id, packing, periods, ppm, quality, sharding, simhash, spelling, wavelet
 from .common import documents, new_folder
 from .tokens import tokenizer_path
 
@@ -78,6 +79,37 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def _planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's text: in a tenth of the documents the words from place a on repeat with period p."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = periods.periodic_runs(documents(spark, sf_dir, "doc_id", "text"), rewrite=_planted_run)
+    best = F.col("strongest")
+    return d.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(periods.describe(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return spelling.group_variants(spelling.word_counts(docs, word=spelling.edited_word(F.col("doc_id"), 97)))
+
+
 QUERIES = (
     op1_sharding,
     op2_quality_rules,
@@ -89,6 +121,8 @@ QUERIES = (
     op8_ppm_scores,
     op9_best_fit_packing,
     op10_fingerprints,
+    op12_periodic_runs,
+    op13_spelling_variants,
     pages_language_id,
 )
 
