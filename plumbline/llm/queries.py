@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, language_id, packing, periods, ppm, quality, sharding, simhash, spelling, wavelet
+from . import bpe, chat, fingerprint, grid_join, language_id, packing, periods, ppm, quality, sharding, simhash, spelling, wavelet
 from .common import documents, new_folder
 from .tokens import tokenizer_path
 
@@ -79,6 +79,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.93)
+
+
 def _planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The contract's text: in a tenth of the documents the words from place a on repeat with period p."""
     h, n = zlib.crc32(str(doc_id).encode()), len(words)
@@ -121,6 +125,7 @@ QUERIES = (
     op8_ppm_scores,
     op9_best_fit_packing,
     op10_fingerprints,
+    op11_grid_join,
     op12_periodic_runs,
     op13_spelling_variants,
     pages_language_id,
