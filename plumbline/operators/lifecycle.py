@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import guard
 
 BACKENDS = ("mock", "hosted")
-MODES = ("splitalign", "baseline")
+MODES = ("align", "baseline")
 MANIFEST = "run_id string, mode string, at long, backend string, split string, started string, note string, lang string, ids array<string>"
 
 

@@ -150,11 +150,11 @@ def generated_drop_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
     d = _table(spark, sf, "documents")
-    mode = F.when(F.col("doc_id") % 2 == 0, "splitalign").otherwise("baseline")
+    mode = F.when(F.col("doc_id") % 2 == 0, "align").otherwise("baseline")
     return d.select(F.col("source").alias("run_id"), mode.alias("mode"), F.col("doc_id").alias("seq"), F.col("lang").alias("note"), "n_chars")
 
 
-_ENTRIES = "e AS (SELECT source AS run_id, CASE WHEN doc_id % 2 = 0 THEN 'splitalign' ELSE 'baseline' END AS mode, doc_id AS seq, lang, lang AS note, n_chars FROM documents)"
+_ENTRIES = "e AS (SELECT source AS run_id, CASE WHEN doc_id % 2 = 0 THEN 'align' ELSE 'baseline' END AS mode, doc_id AS seq, lang, lang AS note, n_chars FROM documents)"
 
 
 @says(f"WITH {_ENTRIES} SELECT run_id, mode, max(seq) AS seq, any_value(first_note) AS note, max_by(n_chars, seq) AS n_chars FROM (SELECT *, first_value(note) OVER (PARTITION BY run_id ORDER BY seq) AS first_note FROM e) GROUP BY run_id, mode")
@@ -164,7 +164,7 @@ def manifest_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
     d = _table(spark, sf, "documents")
-    mode = F.when(F.col("doc_id") % 2 == 0, "splitalign").otherwise("baseline")
+    mode = F.when(F.col("doc_id") % 2 == 0, "align").otherwise("baseline")
     intended = d.select(F.col("source").alias("run_id"), mode.alias("mode"), "lang", F.col("doc_id").alias("id"))
     failures = _table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("failed"))
     outcomes = intended.drop("lang").join(failures, "id")
@@ -184,7 +184,7 @@ def run_summaries(spark: SparkSession, sf: str) -> DataFrame:
 @says(f"""WITH {_SUMMARIES}, z AS (SELECT lang, count(*) AS n_split FROM documents GROUP BY lang),
 m AS (SELECT run_id, mode, sum(n_completed) AS done, sum(n_intended) AS planned, sum(n_split) AS n_split FROM t JOIN z USING (lang) GROUP BY ALL),
 r AS (SELECT run_id, list_sort(list(mode) FILTER (done > 0)) AS made, bool_or(done < planned) AS short, round(sum(done) / sum(n_split)::DOUBLE, 4) AS coverage FROM m GROUP BY run_id)
-SELECT run_id, coalesce(array_to_string(made, ','), '') AS produced, array_to_string(list_filter(['splitalign', 'baseline'], lambda x: NOT list_contains(coalesce(made, []), x)), ',') AS not_produced, coverage,
+SELECT run_id, coalesce(array_to_string(made, ','), '') AS produced, array_to_string(list_filter(['align', 'baseline'], lambda x: NOT list_contains(coalesce(made, []), x)), ',') AS not_produced, coverage,
   run_id = 'src1' OR coalesce(len(made), 0) < 2 OR short AS partial FROM r""")
 def run_rollup(spark: SparkSession, sf: str) -> DataFrame:
     split = _table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
