@@ -183,5 +183,75 @@ best AS (SELECT conv_id, n_copies FROM whole WHERE prefix NOT IN (SELECT prefix
 SELECT r.conv_id, part, any_value(n) AS n_turns, any_value(n_copies) AS n_copies, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered FROM r JOIN best USING (conv_id) GROUP BY r.conv_id, part"""
 
 
+def _join_sql(cosine: float = 0.93) -> str:
+    """Every pair of a label, and what each vector reaches."""
+    norm = lambda x: f"sqrt(list_dot_product({x}, {x}))"
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / {norm('a.e')} / {norm('b.e')} >= {cosine}::DOUBLE),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.vec_id, p.b FROM reach JOIN p ON p.a = reach.r),
+low AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM low LEFT JOIN n USING (vec_id)"""
+
+
+#: The table of byte steps of crc32, made by its rule, and the crc32 of a list of bytes.
+_CRC_TABLE = """steps AS (SELECT list(c ORDER BY i) AS tab FROM
+  (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c FROM range(256) t(i)))"""
+
+
+def _crc_sql(octets: str) -> str:
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+_KEY_OCTETS = "list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)"
+
+
+def _runs_sql() -> str:
+    """Stretches of equal eight-word windows p apart, without those that a stretch of a divisor of p holds."""
+    return f"""WITH {_CRC_TABLE},
+docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS ws, {_crc_sql(_KEY_OCTETS)} AS h FROM documents, steps),
+placed AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM (SELECT *, len(ws) AS n, h // 10 AS g FROM docs)),
+texts AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w FROM placed),
+windows AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 8], ' ') AS x FROM (SELECT *, unnest(range(n - 7)) AS i FROM texts WHERE n >= 24)),
+twins AS (SELECT a.doc_id, a.i, b.i - a.i AS p FROM windows a JOIN windows b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND b.i - a.i <= a.n // 3),
+stretches AS (SELECT doc_id, p, min(i) AS s, count(*) + 7 + p AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS block FROM twins) GROUP BY doc_id, p, block),
+long AS (SELECT * FROM stretches WHERE l >= greatest(24, 3 * p)),
+runs AS (SELECT * FROM long x WHERE NOT EXISTS (SELECT 1 FROM long y WHERE y.doc_id = x.doc_id AND y.p < x.p AND x.p % y.p = 0 AND y.s <= x.s AND y.s + y.l >= x.s + x.l)),
+best AS (SELECT doc_id, s, l, p FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l / p::DOUBLE DESC, s, p) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS t FROM runs GROUP BY doc_id),
+dropped AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(s + p, s + l)) AS i FROM runs) GROUP BY doc_id),
+kept AS (SELECT t.doc_id, CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)), ' ') END AS t FROM texts t LEFT JOIN dropped USING (doc_id))
+SELECT k.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, p::BIGINT AS period, (1000 * l // p)::BIGINT AS exponent_milli,
+  sha256(coalesce(e.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256 FROM kept k LEFT JOIN best USING (doc_id) LEFT JOIN listed e USING (doc_id)"""
+
+
+def _spelling_sql() -> str:
+    """Near words as pairs, which a table of this size can bear; forms by rank, roots by walking."""
+    letters = "list_transform(string_split(run, ''), lambda c: ord(c)::BIGINT)"
+    octets = f"flatten(list_transform({letters}, lambda c: CASE WHEN c < 128 THEN [c] ELSE [195, c - 64] END))"
+    return f"""WITH RECURSIVE {_CRC_TABLE},
+found AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc_sql(f"list_concat({_KEY_OCTETS}, [58], {octets})")} AS h FROM found, steps),
+edited AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+open_at AS (SELECT word, unnest(range(length(word))) AS i FROM v),
+wild AS (SELECT word, i, left(word, i) AS l, substr(word, i + 2) AS r FROM open_at),
+near AS (SELECT a.word, b.word AS other FROM wild a JOIN wild b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT w.word, v.word FROM wild w JOIN v ON v.word = w.l || w.r UNION SELECT v.word, w.word FROM wild w JOIN v ON v.word = w.l || w.r),
+counts AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+best AS (SELECT near.word, other, v.n FROM near JOIN v ON v.word = other QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, other) = 1),
+forms AS (SELECT v.word, other AS form, best.n AS form_n FROM v JOIN best USING (word) WHERE best.n >= 2 * v.n),
+walk AS (SELECT word, form AS root FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.root),
+roots AS (SELECT word, root FROM walk WHERE root NOT IN (SELECT word FROM forms))
+SELECT v.word, form, coalesce(root, v.word) AS root, v.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n FROM v LEFT JOIN counts USING (word) LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _quality_sql(), "op7_chat_formatting": _chat_sql()}
+    return {
+        "op2_quality_rules": _quality_sql(),
+        "op7_chat_formatting": _chat_sql(),
+        "op11_grid_join": _join_sql(),
+        "op12_periodic_runs": _runs_sql(),
+        "op13_spelling_variants": _spelling_sql(),
+    }
