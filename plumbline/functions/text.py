@@ -54,6 +54,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def locate(part: Column, text: Column, begin: Column) -> Column:
+    """Place from 1 of ``part`` in ``text`` at or after ``begin``, 0 without one."""
+    return F.call_function("locate", part, text, begin)
+
+
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
@@ -118,4 +123,8 @@ def hash8(*parts: Column) -> Column:
 
 def noise(a: Column, b: Column, seed: int = 0) -> Column:
     """Deterministic noise in [-0.15, 0.15]."""
-    return (hash8(a, b, F.lit(str(seed))).cast("double") / 4294967295.0 - 0.5) * 0.3
+    return noise_of(hash8(a, b, F.lit(str(seed))))
+
+
+def noise_of(hash8: Column) -> Column:
+    return (hash8.cast("double") / 4294967295.0 - 0.5) * 0.3

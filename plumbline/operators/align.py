@@ -4,11 +4,16 @@ The recurrence depends on itself cell by cell, which no relational operator
 expresses; it runs as one Arrow function over a pair's size and band cells.  Cells
 of one anti-diagonal do not need each other, so a step works on a whole diagonal
 of many pairs of about the same size.
+
+A pair of long texts goes by itself, in memory that grows with the cells of its
+band and with n * sqrt(n + m), not with n * m: the costs of three
+diagonals are kept at every so many, and on the way back the choices between two
+such places are made again (`align_long`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +37,7 @@ class Costs:
     penalty: float = 0.35
 
 
-#: Cells of the pairs that are aligned at once.
+#: Cells of the pairs that are aligned at once; a pair of more is aligned by `align_long`.
 GROUP_CELLS = 1 << 20
 
 
@@ -70,15 +75,113 @@ def _choices(sim: np.ndarray, costs: Costs) -> np.ndarray:
     return choice
 
 
+def _operation(op: str, i: int, j: int, sim: Callable[[int, int], float]) -> tuple:
+    """What ``op`` takes when it ends at (i, j)."""
+    di, dj = STEPS[op]
+    s = (sim(i - di, j - dj) + sim(i - 1, j - 1)) / 2.0 if di + dj == 3 else sim(i - 1, j - 1) if di and dj else 0.0
+    return op, i - di if di else -1, i if di else -1, j - dj if dj else -1, j if dj else -1, float(s)
+
+
 def _path(n: int, m: int, sim: np.ndarray, choice: np.ndarray) -> list[tuple]:
     out = []
     i, j = n, m
     while i or j:
         op = OPS[choice[i, j]]
-        di, dj = STEPS[op]
-        s = (sim[i - di, j - dj] + sim[i - 1, j - 1]) / 2.0 if di + dj == 3 else sim[i - 1, j - 1] if di and dj else 0.0
-        out.append((op, i - di if di else -1, i if di else -1, j - dj if dj else -1, j if dj else -1, float(s)))
-        i, j = i - di, j - dj
+        out.append(_operation(op, i, j, lambda a, b: sim[a, b]))
+        i, j = i - STEPS[op][0], j - STEPS[op][1]
+    return out[::-1]
+
+
+def _grid(size: tuple[int, int]) -> int:
+    return (size[0] + 1) * (size[1] + 1)
+
+
+class _Diagonals:
+    """Steps over anti-diagonals of one pair, with the costs of the last three as all there is to go on from."""
+
+    def __init__(self, n: int, m: int, cells: tuple[np.ndarray, np.ndarray, np.ndarray], costs: Costs):
+        self.n, self.m, self.costs = n, m, costs
+        i, j, value = (np.asarray(c) for c in cells)
+        order = np.argsort(i + j, kind="stable")
+        self.i, self.value = i[order], value[order]
+        self.start = np.searchsorted((i + j)[order], np.arange(n + m + 1))
+
+    def sims(self, d: int) -> np.ndarray:
+        """The similarity of cells (k, d - k) at place k + 2, zero beyond the band."""
+        out = np.zeros(self.n + 3)
+        if 0 <= d < self.n + self.m:
+            own = slice(self.start[d], self.start[d + 1])
+            out[self.i[own] + 2] = self.value[own]
+        return out
+
+    def first(self) -> list[np.ndarray]:
+        """Costs of diagonals 0, -1 and -2 by i, at place i + 2."""
+        last = [np.full(self.n + 3, np.inf) for _ in range(3)]
+        last[0][2] = 0.0
+        return last
+
+    def walk(self, last: list[np.ndarray], begin: int, end: int, choice: np.ndarray | None = None) -> list[np.ndarray]:
+        """Costs after diagonals begin..end - 1; ``choice`` gets a row of choices, by i, for each."""
+        n, m, c = self.n, self.m, self.costs
+        near, far = self.sims(begin - 2), self.sims(begin - 3)
+        for d in range(begin, end):
+            lo, hi = max(0, d - m), min(n, d) + 1
+            at = lambda x, back: x[lo + 2 - back : hi + 2 - back]  # noqa: E731, B023
+            i = np.arange(lo, hi)
+            j = d - i
+            s = at(near, 1)
+            best = np.where((i >= 1) & (j >= 1), at(last[1], 1), np.inf) + ((1.0 - s) + np.where(s < c.floor, c.penalty, 0.0))
+            which = np.zeros(hi - lo, np.uint8)
+            others = (
+                (1, np.where((i >= 1) & (j >= 2), at(last[2], 1), np.inf) + ((1.0 - (at(far, 1) + s) / 2.0) + c.split)),
+                (2, np.where((i >= 2) & (j >= 1), at(last[2], 2), np.inf) + ((1.0 - (at(far, 2) + s) / 2.0) + c.merge)),
+                (3, np.where(i >= 1, at(last[0], 1), np.inf) + c.omit),
+                (4, np.where(j >= 1, at(last[0], 0), np.inf) + c.add),
+            )
+            for k, total in others:
+                better = total < best
+                best, which = np.where(better, total, best), np.where(better, np.uint8(k), which)
+            now = np.full(n + 3, np.inf)
+            now[lo + 2 : hi + 2] = best
+            if choice is not None:
+                choice[d - begin, lo:hi] = which
+            last = [now, last[0], last[1]]
+            near, far = self.sims(d - 1), near
+        return last
+
+
+def align_long(n: int, m: int, cells: tuple[np.ndarray, np.ndarray, np.ndarray], costs: Costs = Costs()) -> list[tuple]:
+    """The operations of one pair, as `align_many` has them, from the cells (i, j, sim) of its band.
+
+    With stretches of the square root of all diagonals, both what is kept of the
+    way there and the choices of one stretch take that times the A side.
+    """
+    steps = _Diagonals(n, m, cells, costs)
+    stretch = max(1, int((24 * (n + m)) ** 0.5))
+    last, kept = steps.first(), []
+    for begin in range(1, n + m + 1, stretch):
+        kept.append(last)
+        last = steps.walk(last, begin, min(begin + stretch, n + m + 1))
+    i, j, value = (np.asarray(c) for c in cells)
+    order = np.argsort(i, kind="stable")
+    row = np.searchsorted(i[order], np.arange(n + 1))
+
+    def sim(a: int, b: int) -> float:
+        own = order[row[a] : row[a + 1]]
+        found = own[j[own] == b]
+        return float(value[found[0]]) if len(found) else 0.0
+
+    out = []
+    a, b = n, m
+    for part in reversed(range(len(kept))):
+        begin = 1 + part * stretch
+        end = min(begin + stretch, n + m + 1)
+        choice = np.zeros((end - begin, n + 1), np.uint8)
+        steps.walk(kept[part], begin, end, choice)
+        while (a or b) and a + b >= begin:
+            op = OPS[choice[a + b - begin, a]]
+            out.append(_operation(op, a, b, sim))
+            a, b = a - STEPS[op][0], b - STEPS[op][1]
     return out[::-1]
 
 
@@ -90,6 +193,10 @@ def align_many(sizes: list[tuple[int, int]], cells: list[tuple[np.ndarray, np.nd
     """
     out: list[list[tuple]] = [[] for _ in sizes]
     todo = sorted((k for k, (n, _) in enumerate(sizes) if n), key=lambda k: (sizes[k][0] + sizes[k][1], sizes[k]))
+    for k in todo:
+        if _grid(sizes[k]) > GROUP_CELLS:
+            out[k] = align_long(*sizes[k], cells[k], costs)
+    todo = [k for k in todo if _grid(sizes[k]) <= GROUP_CELLS]
     while todo:
         size, wide, high = 0, 0, 0
         while size < len(todo):  # as many pairs as have room when all are as large as the largest
@@ -119,7 +226,12 @@ def align(n: int, m: int, cells: dict[tuple[int, int], float], costs: Costs = Co
 def operations(sizes: DataFrame, scored: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """(pair_id, lang, n, m, op_idx, op, a_start, a_end, b_start, b_end, sim) of every pair, empty sides included."""
     cells = scored.groupBy("pair_id").agg(F.collect_list(F.struct("i", "j", "sim")).alias("cells"))
-    kind = sizes.schema["pair_id"].dataType.simpleString()
+    return operations_of(sizes.join(cells, "pair_id", "left"), costs)
+
+
+def operations_of(matrix: DataFrame, costs: Costs = Costs()) -> DataFrame:
+    """As `operations`, from a row a pair: ``matrix`` (pair_id, lang, n, m, cells); nothing is shuffled."""
+    kind = matrix.schema["pair_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["pair_id", "lang", "n", "m", "op_idx", "op", "a_start", "a_end", "b_start", "b_end", "sim"]
@@ -139,8 +251,8 @@ def operations(sizes: DataFrame, scored: DataFrame, costs: Costs = Costs()) -> D
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), *columns], names)
 
-    joined = sizes.join(cells, "pair_id", "left").select("pair_id", "lang", "n", "m", "cells")
-    return joined.mapInArrow(run, f"pair_id {kind}, lang string, n int, m int, op_idx int, op string, a_start int, a_end int, b_start int, b_end int, sim double")
+    few = F.transform("cells", lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), c["sim"].alias("sim"))).alias("cells")
+    return matrix.select("pair_id", "lang", "n", "m", few).mapInArrow(run, f"pair_id {kind}, lang string, n int, m int, op_idx int, op string, a_start int, a_end int, b_start int, b_end int, sim double")
 
 
 def histogram(ops: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import parsing
 from ..functions import text as T
+from . import model
 
 
 def difference(similarity: Column) -> Column:
@@ -16,11 +18,13 @@ def difference(similarity: Column) -> Column:
 def labels(tokens: DataFrame, seed: int = 0) -> DataFrame:
     """(pair_id, lang, side, idx, tok, code, label) for every token of both sides.
 
-    Whether the other side has a token is an equality join with its distinct words.
+    Whether the other side has a token is asked of the pair's equal words, in a
+    window over the pair and the word: tokens spread by pair are not moved.
     """
     norm = T.strip(F.lower("tok"), T.MATCH_STRIP)
-    other = tokens.select("pair_id", F.when(F.col("side") == "a", "b").otherwise("a").alias("side"), norm.alias("norm")).distinct().withColumn("there", F.lit(True))
-    t = tokens.select("pair_id", "lang", "side", "idx", "tok", norm.alias("norm")).join(other, ["pair_id", "side", "norm"], "left")
+    equal = Window.partitionBy("pair_id", "norm")
+    t = tokens.select("pair_id", "lang", "side", "idx", "tok", norm.alias("norm"))
+    t = t.withColumn("there", F.min("side").over(equal) != F.max("side").over(equal))
     guess = F.pmod((2 + T.noise(F.col("tok"), F.col("side"), seed) * 6).cast("int"), F.lit(4))
     code = F.when(F.col("tok").rlike(T.ALL_PUNCTUATION), -1).when(F.col("there") | F.col("tok").rlike(r"^\p{Nd}+$"), 5).otherwise(guess)
     return t.select("pair_id", "lang", "side", "idx", "tok", code.cast("int").alias("code")).withColumn("label", difference(F.col("code")))
@@ -40,3 +44,26 @@ def records(labels: DataFrame) -> DataFrame:
     """(pair_id, lang, labels_a, labels_b): labels of a pair as arrays in token order."""
     arr = lambda s: F.coalesce(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("idx", "label")))).getField("label"), F.array().cast("array<double>")).alias(f"labels_{s}")
     return labels.groupBy("pair_id", "lang").agg(arr("a"), arr("b"))
+
+
+def requests(pairs: DataFrame, name: str) -> DataFrame:
+    """(pair_id, lang, tokens_a, tokens_b, key, prompt): the whole-document request of each pair (pair_id, lang, text_a, text_b)."""
+    p = pairs.select("pair_id", "lang", *[T.split_words(F.coalesce(f"text_{s}", F.lit(""))).alias(f"tokens_{s}") for s in "ab"])
+    p = p.withColumn("prompt", model.baseline_prompt(F.col("lang"), F.col("tokens_a"), F.col("tokens_b")))
+    return p.withColumn("key", model.call_key(F.lit(name), F.col("prompt"), F.lit(0)))
+
+
+def complete(text: str, prompt: str) -> bool:
+    """Whether a reply labels half the tokens of either side of its request, or more; what a broken reply still tells counts."""
+    asked = parsing.first_json(prompt[prompt.rfind(model.REQUEST_MARKS[0]) :]) or {}
+    found = parsing.first_json(text) or {}
+    emitted = {k: found[k] if isinstance(found.get(k), list) else parsing.salvage(text, k) for k in ("sentence1", "sentence2")}
+    return all(2 * len(emitted[k]) >= len(asked.get(k) or []) for k in emitted)
+
+
+def replied(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """(pair_id, lang, labels_a, labels_b, answered) from answers (key, text): a token that the reply leaves out counts as equal."""
+    j = requests.join(answers.select("key", "text"), "key", "left")
+    walk = parsing.label_walker(5.0)
+    read = j.select("pair_id", "lang", *[walk(F.col(f"tokens_{s}"), F.col("text"), name).alias(f"c_{s}") for s, name in (("a", "sentence1"), ("b", "sentence2"))], F.col("text").isNotNull().alias("answered"))
+    return read.select("pair_id", "lang", *[F.transform(f"c_{s}", difference).alias(f"labels_{s}") for s in "ab"], "answered")

@@ -58,9 +58,13 @@ def spearman(contingency: DataFrame, *keys: str) -> DataFrame:
     rp = ranks(contingency, "pred", *keys).select(*keys, "pred", F.col("rank").alias("x"))
     rg = ranks(contingency, "gold", *keys).select(*keys, "gold", F.col("rank").alias("y"))
     j = contingency.join(rp, [*keys, "pred"]).join(rg, [*keys, "gold"])
+    return pearson(j, F.col("x"), F.col("y"), *keys)
+
+
+def pearson(rows: DataFrame, x: Column, y: Column, *keys: str) -> DataFrame:
+    """(keys..., n, spearman): correlation of ``x`` and ``y`` over rows of weight w; null where constant or under two rows."""
     s = lambda e: F.sum(F.col("w") * e)
-    x, y = F.col("x"), F.col("y")
-    sums = j.groupBy(*keys).agg(F.sum("w").alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * y).alias("sxy"), s(x * x).alias("sxx"), s(y * y).alias("syy"))
+    sums = rows.groupBy(*keys).agg(F.sum("w").alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * y).alias("sxy"), s(x * x).alias("sxx"), s(y * y).alias("syy"))
     n, vx, vy = F.col("n"), F.expr("n * sxx - sx * sx"), F.expr("n * syy - sy * sy")
     rho = F.when((n >= 2) & (vx > 0) & (vy > 0), (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(F.greatest(vx, F.lit(1e-300))) / F.sqrt(F.greatest(vy, F.lit(1e-300))))
     return sums.select(*keys, n.cast("long").alias("n"), rho.alias("spearman"))
@@ -72,18 +76,34 @@ def kendall(contingency: DataFrame, *keys: str) -> DataFrame:
     The work is distinct predictions times distinct gold labels, of which there
     are few.  Null where a side is constant.
     """
-    c = contingency if keys else contingency.withColumn("_all", F.lit(0))
-    keys_ = list(keys) or ["_all"]
-    preds, golds = (c.groupBy(*keys_, x).agg(F.sum("w").alias("t")) for x in ("pred", "gold"))
-    cells = preds.drop("t").join(golds.drop("t"), keys_).join(c, [*keys_, "pred", "gold"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    if not keys:
+        return kendall(contingency.withColumn("_all", F.lit(0)), "_all").drop("_all")
+    ties = [untied(contingency, c, name, *keys) for c, name in (("pred", "p"), ("gold", "g"))]
+    return tau(order_sum(contingency, *keys).join(ties[0], list(keys)).join(ties[1], list(keys)), *keys)
+
+
+def order_sum(contingency: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., s): over pairs of cells the product of their weights, positive where predictions and gold labels order them alike, else negative."""
+    keys_ = list(keys)
+    preds, golds = (contingency.select(*keys_, x).distinct() for x in ("pred", "gold"))
+    cells = preds.join(golds, keys_).join(contingency, [*keys_, "pred", "gold"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     by_pred, by_gold = Window.partitionBy(*keys_, "gold").orderBy("pred"), Window.partitionBy(*keys_, "pred").orderBy("gold")
     lower = cells.withColumn("under", F.coalesce(F.sum("w").over(by_pred.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     part = lambda lo, hi: F.coalesce(F.sum("under").over(by_gold.rowsBetween(lo, hi)), F.lit(0.0))
     signed = lower.select(*keys_, (F.col("w") * (part(Window.unboundedPreceding, -1) - part(1, Window.unboundedFollowing))).alias("s"))
-    untied = lambda d, name: d.groupBy(*keys_).agg(((F.sum("t") * F.sum("t") - F.sum(F.col("t") * F.col("t"))) / 2).alias(name))
-    j = signed.groupBy(*keys_).agg(F.sum("s").alias("s")).join(untied(preds, "p"), keys_).join(untied(golds, "g"), keys_)
-    tau = F.when((F.col("p") > 0) & (F.col("g") > 0), F.col("s") / F.sqrt(F.greatest(F.col("p"), F.lit(1e-300))) / F.sqrt(F.greatest(F.col("g"), F.lit(1e-300))))
-    return j.select(*keys, tau.alias("kendall"))
+    return signed.groupBy(*keys_).agg(F.sum("s").alias("s"))
+
+
+def untied(cells: DataFrame, column: str, name: str, *keys: str) -> DataFrame:
+    """(keys..., name): pairs of rows that differ in ``column``."""
+    t = cells.groupBy(*keys, column).agg(F.sum("w").cast("double").alias("t"))
+    return t.groupBy(*keys).agg(((F.sum("t") * F.sum("t") - F.sum(F.col("t") * F.col("t"))) / 2).alias(name))
+
+
+def tau(sums: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., kendall) from s, and the untied pairs p and g of either side; null where a side is constant."""
+    found = F.when((F.col("p") > 0) & (F.col("g") > 0), F.col("s") / F.sqrt(F.greatest(F.col("p"), F.lit(1e-300))) / F.sqrt(F.greatest(F.col("g"), F.lit(1e-300))))
+    return sums.select(*keys, found.alias("kendall"))
 
 
 def strict_macro(per_lang: DataFrame, required: int, value: str = "spearman") -> DataFrame:

@@ -29,10 +29,15 @@ def differing_span(words: Column, low: Column, other_low: Column) -> Column:
     return T.let(own, lambda x: F.when(F.size(x) > 0, F.array_join(F.transform(x, lambda t: t["w"]), " ")))
 
 
+def passages(ops: DataFrame, segments: DataFrame) -> DataFrame:
+    """Two-sided operations with the texts of both sides and where they stand."""
+    two = ops.filter("a_start >= 0 and b_start >= 0")
+    return two.join(_joined(two, segments, "a"), ["pair_id", "op_idx"]).join(_joined(two, segments, "b"), ["pair_id", "op_idx"])
+
+
 def judgments(ops: DataFrame, segments: DataFrame, seed: int = 0) -> DataFrame:
     """Two-sided operations with difference (0 to 5) and the differing spans that occur verbatim."""
-    two = ops.filter("a_start >= 0 and b_start >= 0")
-    j = two.join(_joined(two, segments, "a"), ["pair_id", "op_idx"]).join(_joined(two, segments, "b"), ["pair_id", "op_idx"])
+    j = passages(ops, segments)
     a, b = F.col("text_a"), F.col("text_b")
     sim = T.lexical_similarity(F.array_distinct(T.norm_tokens(a)), F.array_distinct(T.norm_tokens(b)))
     level = F.rint(5 * (1.0 - sim) + T.noise(a, b, seed) * 3)

@@ -26,7 +26,8 @@ def ranked(rows: DataFrame, groups: list[str], order: str) -> DataFrame:
 def pair_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, lang, text_a, text_b): the r-th English document of a source with its r-th other one.
 
-    Only ids are ranked; texts are joined afterwards.
+    Only ids are ranked; texts are joined afterwards, pair_id last: rows are then spread
+    by pair, and what works on a pair's tokens or segments needs no shuffle.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     some = docs.filter("lang is not null and source is not null").select("doc_id", "lang", "source", (F.col("lang") == "en").alias("english"))
@@ -36,8 +37,8 @@ def pair_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = a.join(b, ["source", "r"]).select("pair_id", "lang", "id_b")
     text = docs.select("doc_id", "text")
     return (
-        ids.join(text.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("text_a")), "pair_id")
-        .join(text.select(F.col("doc_id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
+        ids.join(text.select(F.col("doc_id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
+        .join(text.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("text_a")), "pair_id")
         .select("pair_id", "lang", "text_a", "text_b")
     )
 

@@ -9,6 +9,10 @@ from ..functions import text as T
 from . import evaluate
 
 
+#: Largest mean whose draws are inverted term by term.
+POISSON_EXACT = 30.0
+
+
 def poisson1(u: Column) -> Column:
     """Poisson(1) by inversion of u in [0, 1)."""
     cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
@@ -19,15 +23,40 @@ def uniform(*parts: Column) -> Column:
     return T.hash8(*parts).cast("double") / 4294967296.0
 
 
-def token_interval(scored: DataFrame, replicates: int = 20) -> DataFrame:
+def poisson(mean: Column, *key: Column) -> Column:
+    """A Poisson draw of the given mean (0 or more), the same for the same ``key``.
+
+    The sum of c draws of mean 1 is one draw of mean c, so a cell of c tokens
+    needs one number, not c.  Up to POISSON_EXACT it is the inversion of a uniform
+    number, term by term; beyond, a normal one by Box and Muller, corrected
+    for skewness.
+    """
+    # terms of the distribution: e^-c, then each times c / k
+    start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("upto"))
+    steps = F.sequence(F.lit(1), F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int"))
+
+    def step(u: Column, s: Column, k: Column) -> Column:
+        p = s["p"] * mean / k
+        return F.when(u >= s["upto"], F.struct(k.alias("k"), p.alias("p"), (s["upto"] + p).alias("upto"))).otherwise(s)
+
+    walk = lambda u: F.reduce(steps, start, lambda s, k: step(u, s, k), lambda s: s["k"].cast("double"))
+    exact = T.let(uniform(*key, F.lit("u")), walk)
+    z = F.sqrt(-2.0 * F.log(uniform(*key, F.lit("r")) + 1.1641532182693481e-10)) * F.cos(6.283185307179586 * uniform(*key, F.lit("a")))
+    large = F.greatest(F.lit(0.0), F.floor(mean + F.sqrt(mean) * z + (z * z - 1.0) / 6.0 + 0.5).cast("double"))
+    return F.when(mean <= POISSON_EXACT, exact).otherwise(large)
+
+
+def token_interval(scored: DataFrame, replicates: int = 2000) -> DataFrame:
     """(lang, lo, hi): 2.5 and 97.5 percentiles of Spearman over token bootstraps, by Poisson weights.
 
-    A replicate is a contingency, so what is joined and ranked stays small.
+    Tokens are counted once, by (prediction, gold); a replicate draws a weight for
+    each such cell, so the work after the count does not depend on the tokens.
     """
-    reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
-    drawn = scored.filter("gold <> -1").select("lang", "pred", "gold", "pair_id", "side", "k", reps)
-    w = poisson1(uniform(F.col("rep").cast("string"), F.col("pair_id").cast("string"), "side", F.col("k").cast("string")))
-    rho = evaluate.spearman(evaluate.table(drawn, "lang", "rep", weight=w).filter("w > 0"), "lang", "rep")
+    cells = evaluate.table(scored, "lang")
+    drawn = cells.select("lang", "pred", "gold", "w", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).repartition("rep")
+    millionths = lambda c: F.round(F.col(c) * 1e6).cast("long").cast("string")
+    w = poisson(F.col("w"), F.col("rep").cast("string"), F.col("lang"), millionths("pred"), millionths("gold"))
+    rho = evaluate.spearman(drawn.withColumn("w", w).filter("w > 0"), "lang", "rep")
     return rho.groupBy("lang").agg(F.percentile("spearman", F.lit(0.025)).alias("lo"), F.percentile("spearman", F.lit(0.975)).alias("hi"))
 
 

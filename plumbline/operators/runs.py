@@ -91,14 +91,15 @@ def union(frames: list[DataFrame], spark: SparkSession, schema: str) -> DataFram
     return out
 
 
-def within_budget(requests: DataFrame, order: str, call: Callable[[DataFrame], DataFrame], budget: Budget, batch: int = 20) -> tuple[list[DataFrame], bool]:
-    """Calls a backend on ordered micro-batches until done or the budget stops it: (answers, capped).
+def within_budget(requests: DataFrame, order: str, call: Callable[[DataFrame], DataFrame], budget: Budget, batch: int = 20, worst: int = 1) -> tuple[list[DataFrame], bool]:
+    """Calls a backend on ordered batches until done or the budget stops it: (answers, capped).
 
     ``requests`` needs an ordered column ``order`` of distinct numbers from 0;
     ``call`` answers a batch with a column ``tokens`` (null where unknown) and,
-    if it has one, ``attempts``.  A batch is as large as what the request cap leaves, up to
-    ``batch`` requests a task; its answers are written once, charged from what
-    was written, and read from there.
+    if it has one, ``attempts``.  A batch, one Spark job, is of ``batch`` requests, or as
+    many as what the request cap leaves bears at ``worst`` attempts each; its answers are
+    written once, charged from what was written, and read from there.  For many
+    requests, or caps that hold at each attempt, see `waves`.
     """
     n = requests.count()
     answers: list[DataFrame] = []
@@ -108,7 +109,9 @@ def within_budget(requests: DataFrame, order: str, call: Callable[[DataFrame], D
             budget.preflight()
         except BudgetExceeded:
             return answers, True
-        size = min(batch, n - at, budget.max_requests - budget.requests)
+        size = min(batch, n - at, (budget.max_requests - budget.requests) // worst)
+        if not size:
+            return answers, True
         answer = written(call(requests.filter((F.col(order) >= at) & (F.col(order) < at + size))))
         tries = F.sum("attempts") if "attempts" in answer.columns else F.count(F.lit(1))
         told = answer.agg(tries.alias("n"), F.sum("tokens").alias("t"), F.count_if(F.col("tokens").isNull()).alias("u")).first()

@@ -22,38 +22,76 @@ class ScoreConfig:
     boilerplate_cap: float = 1.0
 
 
+def _spans(judged: DataFrame, side: str) -> Column:
+    """The differing spans of a side: column spans_x (several), or span_x (one, or null)."""
+    return F.col(f"spans_{side}") if f"spans_{side}" in judged.columns else F.array(f"span_{side}")
+
+
 def span_places(judged: DataFrame, sides: DataFrame) -> DataFrame:
-    """(pair_id, op_idx, side, span, pos, tok_lo, tok_hi): where each span first occurs at or after its operation's
-    first segment, else anywhere in the text; pos is null where it does not occur."""
-    one = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"span_{s}").alias("span"), F.col(f"tok_lo_{s}").alias("tok_lo"), F.col(f"tok_hi_{s}").alias("tok_hi"), F.col(f"char_lo_{s}").alias("char_lo")) for s in "ab"]))
-    spans = judged.select("pair_id", "op_idx", one.alias("s")).select("pair_id", "op_idx", "s.*").filter("span is not null")
-    found = F.coalesce(F.expr("nullif(locate(span, text, char_lo + 1), 0)"), F.expr("nullif(locate(span, text), 0)")) - 1
-    return spans.join(sides.select("pair_id", "side", "text"), ["pair_id", "side"]).select("pair_id", "op_idx", "side", "span", found.alias("pos"), "tok_lo", "tok_hi")
+    """(pair_id, op_idx, side, span, pos, tok_lo, tok_hi, lo, hi): where each span first occurs at or after its operation's
+    first segment, else anywhere in the text, and the tokens lo..hi - 1 that it overlaps; pos is null where it does not occur.
+
+    A text meets all its spans in one row.  Tokens are counted from the segment's
+    first one to the span, so no token is a row and no offsets are needed.
+    """
+    one = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), _spans(judged, s).alias("spans"), F.col(f"tok_lo_{s}").alias("tok_lo"), F.col(f"tok_hi_{s}").alias("tok_hi"), F.col(f"char_lo_{s}").alias("char_lo")) for s in "ab"]))
+    spans = judged.select("pair_id", "op_idx", one.alias("s")).select("pair_id", "op_idx", "s.*").withColumn("span", F.explode("spans")).filter("span is not null")
+    of_text = spans.groupBy("pair_id", "side").agg(F.collect_list(F.struct("op_idx", "span", "tok_lo", "tok_hi", "char_lo")).alias("spans"))
+    count = lambda text: F.size(T.split_words(text))
+
+    def place(s: Column) -> Column:
+        text, n = F.col("text"), F.length(s["span"])
+
+        def tokens(pos: Column) -> Column:
+            here = pos >= s["char_lo"]
+            char, tok = F.when(here, s["char_lo"]).otherwise(0), F.when(here, s["tok_lo"]).otherwise(0)
+            before = F.substring(text, char + 1, pos - char)
+            inside = before.rlike(f"[^{T.WS}]\\z") & F.substring(text, pos + 1, F.lit(1)).rlike(T.WORD)
+            lo, hi = tok + count(before) - inside.cast("int"), tok + count(F.substring(text, char + 1, pos - char + n))
+            named = [s[c].alias(c) for c in ("op_idx", "span", "tok_lo", "tok_hi")]
+            return F.struct(*named, pos.alias("pos"), F.when(pos.isNotNull(), lo).alias("lo"), F.when(pos.isNotNull(), hi).alias("hi"))
+
+        first = F.coalesce(F.nullif(T.locate(s["span"], text, s["char_lo"] + 1), F.lit(0)), F.nullif(T.locate(s["span"], text, F.lit(1)), F.lit(0))) - 1
+        return T.let(first, tokens)
 
+    found = of_text.join(sides.select("pair_id", "side", "text"), ["pair_id", "side"]).select("pair_id", "side", F.inline(F.transform("spans", place)))
+    return found.select("pair_id", "op_idx", "side", "span", "pos", "tok_lo", "tok_hi", "lo", "hi")
 
-def span_tokens(places: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(pair_id, op_idx, side, span, pos, tok_lo, tok_hi, idx): tokens that overlap a placed span."""
-    t = tokens.select("pair_id", "side", "idx", "start", "end")
-    hit = (F.col("start") < F.col("pos") + F.length("span")) & (F.col("end") > F.col("pos"))
-    return places.filter("pos is not null").join(t, ["pair_id", "side"]).filter(hit).drop("start", "end")
+
+def span_tokens(places: DataFrame) -> DataFrame:
+    """The rows of placed spans that hold a token, once for each (idx)."""
+    return places.filter("lo < hi").withColumn("idx", F.explode(F.expr("sequence(lo, hi - 1)"))).drop("lo", "hi")
+
+
+def _by_segment(side: str) -> Column:
+    """What covers each segment of a side, by segment number: null where nothing does. Operations of a side do not overlap."""
+    own = F.sort_array(F.collect_list(F.when(F.col(f"{side}_start") >= 0, F.struct(F.col(f"{side}_start").alias("start"), F.col(f"{side}_end").alias("end"), "op", "level", F.col(f"ranges_{side}").alias("ranges")))))
+
+    def spread(ops: Column) -> Column:
+        return F.flatten(F.transform(ops, lambda o, k: F.concat(F.array_repeat(F.when(F.lit(False), o), o["start"] - F.coalesce(F.get(ops, k - 1)["end"], F.lit(0))), F.array_repeat(o, o["end"] - o["start"]))))
+
+    return T.let(own, spread).alias(side)
 
 
 def token_levels(tokens: DataFrame, ops: DataFrame, judged: DataFrame, sides: DataFrame, cfg: ScoreConfig = ScoreConfig()) -> DataFrame:
-    """(pair_id, lang, side, idx, tok, op, level, boost): all that a token's label is made of, whatever the labels of omissions, additions and spans."""
+    """(pair_id, lang, side, idx, tok, op, level, boost): all that a token's label is made of, whatever the labels of omissions, additions and spans.
+
+    Operations with their levels and spans become one row a pair, arrays by
+    segment, so tokens that are spread by pair already are not moved again.
+    """
     # least and greatest pass over nulls, so a missing value is asked for first
     base = F.when(F.col("difference").isNotNull(), T.clamp01(cfg.diff_a * (F.col("difference") / 5.0) + cfg.diff_b))
     fallback = F.least(F.lit(1.0), (1.0 - F.col("sim")) * cfg.fallback_scale)
-    def covered(s: str) -> Column:
-        at = F.sequence(f"{s}_start", F.col(f"{s}_end") - 1)
-        one = F.transform(at, lambda k: F.struct(F.lit(s).alias("side"), k.alias("seg")))
-        return F.when(F.col(f"{s}_start") >= 0, one).otherwise(F.array().cast("array<struct<side:string,seg:int>>"))
-
-    seg = F.explode(F.concat(covered("a"), covered("b")))
-    levels = ops.join(judged.select("pair_id", "op_idx", "difference"), ["pair_id", "op_idx"], "left")
-    levels = levels.select("pair_id", "op_idx", seg.alias("s"), "op", F.coalesce(base, fallback).alias("level")).select("pair_id", "op_idx", "s.side", "s.seg", "op", "level")
-    boosted = span_tokens(span_places(judged, sides), tokens).filter("idx >= tok_lo and idx < tok_hi").select("pair_id", "op_idx", "side", "idx").distinct().withColumn("boost", F.lit(True))
-    t = tokens.join(levels, ["pair_id", "side", "seg"], "left").join(boosted, ["pair_id", "op_idx", "side", "idx"], "left")
-    return t.select("pair_id", "lang", "side", "idx", "tok", "op", "level", F.coalesce("boost", F.lit(False)).alias("boost"))
+    part = F.struct(F.greatest("lo", "tok_lo").alias("lo"), F.least("hi", "tok_hi").alias("hi"))
+    ranges = lambda s: F.collect_list(F.when(F.col("side") == s, part)).alias(f"ranges_{s}")
+    boosted = span_places(judged, sides).filter("lo < hi").groupBy("pair_id", "op_idx").agg(ranges("a"), ranges("b"))
+    levels = ops.join(judged.select("pair_id", "op_idx", "difference"), ["pair_id", "op_idx"], "left").join(boosted, ["pair_id", "op_idx"], "left")
+    levels = levels.withColumn("level", F.coalesce(base, fallback))
+    marks = levels.groupBy("pair_id").agg(_by_segment("a"), _by_segment("b"))
+    own = F.get(F.when(F.col("side") == "a", F.col("a")).otherwise(F.col("b")), F.col("seg"))
+    t = tokens.join(marks, "pair_id", "left").select("pair_id", "lang", "side", "idx", "tok", own.alias("m"))
+    boost = F.exists("m.ranges", lambda r: (F.col("idx") >= r["lo"]) & (F.col("idx") < r["hi"]))
+    return t.select("pair_id", "lang", "side", "idx", "tok", "m.op", "m.level", F.coalesce(boost, F.lit(False)).alias("boost"))
 
 
 def label(cfg: ScoreConfig = ScoreConfig(), omit: Column | None = None, add: Column | None = None, boost: Column | None = None) -> Column:

@@ -1,7 +1,20 @@
-"""Banded candidate pairs of segments and their similarity."""
+"""Banded candidate pairs of segments and their similarity.
+
+`matrix` makes all cells of a pair from one row that holds its segments, so what
+is moved grows with segments, not with cells.  Words are numbered, and the words
+that two segments share are counted for all cells of a stretch of rows at once,
+from the segments of either side that hold a word.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +55,148 @@ def scored(candidates: DataFrame, segments: DataFrame, seed: int = 0) -> DataFra
     raw = T.lexical_similarity(F.col("words_a"), F.col("words_b"))
     score = F.bround(5 * T.clamp01(raw + T.noise(F.col("text_a"), F.col("text_b"), seed)), 1)
     return c.select("pair_id", "lang", "n", "m", "i", "j", raw.alias("lexical"), score.alias("score")).withColumn("sim", T.clamp01(F.col("score") / 5))
+
+
+#: Cells of a stretch of rows, and meetings of equal words in it, about.
+STRETCH = 1 << 20
+#: Pairs handled at once.
+PAIRS = 128
+
+
+def band_of_row(i: np.ndarray, n: int, m: int, width: float, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the band cells of rows ``i``."""
+    nn, mm = max(n - 1, 1), max(m - 1, 1)
+    low = np.floor(np.minimum(i * m / n - near, (i / nn - width) * mm)) - 1
+    high = np.ceil(np.maximum(i * m / n + near, (i / nn + width) * mm)) + 1
+    low, high = np.maximum(low, 0).astype(np.int64), np.minimum(high, m - 1).astype(np.int64)
+    size = np.maximum(high - low + 1, 0)
+    j = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+    i = np.repeat(i, size)
+    inside = (np.abs(i / nn - j / mm) <= width) | (np.abs(i * m / n - j) <= near)
+    return i[inside], j[inside]
+
+
+class _Words:
+    """Words of many segments by number: which are numbers, and the cognates of those that have some."""
+
+    def __init__(self, values: pa.StringArray):
+        coded = values.dictionary_encode()
+        self.ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = coded.dictionary.to_pylist()
+        number = re.compile(T.NUMBER.replace(r"\p{Nd}", r"\d"))
+        self.numeric = np.array([number.match(w) is not None for w in known] or [], bool)
+        place = {w: k for k, w in enumerate(known)}
+        self.cognates = {place[w]: [place[c] for c in others if c in place] for w, others in T.COGNATES.items() if w in place}
+
+
+class _Side:
+    """Segments of one text: ``word`` holds the word numbers of all, ``seg`` the segment of each."""
+
+    def __init__(self, sizes: np.ndarray, word: np.ndarray, numeric: np.ndarray):
+        self.n, self.size, self.word = len(sizes), sizes, word
+        self.seg = np.repeat(np.arange(len(sizes)), sizes)
+        self.number = numeric[word] if len(word) else np.empty(0, bool)
+        self.numbers = np.bincount(self.seg, self.number, self.n).astype(np.int64)
+        self.start = np.cumsum(sizes) - sizes
+
+
+def lexical_cells(a: _Side, b: _Side, words: _Words, width: float, near: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, similarity) of the band cells, a stretch of rows at a time; the similarity is that of `text.lexical_similarity`."""
+    order = np.argsort(b.word, kind="stable")
+    sorted_words, holder = b.word[order], b.seg[order]
+    lo, hi = np.searchsorted(sorted_words, a.word, "left"), np.searchsorted(sorted_words, a.word, "right")
+    meetings = np.cumsum(np.bincount(a.seg, hi - lo, a.n)) if len(a.word) else np.zeros(a.n)
+    cognate_of = {}
+    for w, others in words.cognates.items():
+        there = np.zeros(b.n, bool)
+        there[b.seg[np.isin(b.word, others)]] = True
+        there[b.seg[b.word == w]] = False
+        cognate_of[w] = there
+    begin = 0
+    while begin < a.n:
+        done = meetings[begin - 1] if begin else 0
+        end = max(begin + 1, min(a.n, begin + STRETCH // b.n, int(np.searchsorted(meetings, done + STRETCH, "right"))))
+        own = slice(a.start[begin], a.start[end] if end < a.n else len(a.word))
+        times = (hi - lo)[own]
+        at = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo[own], times)
+        cell = np.repeat(a.seg[own] - begin, times) * b.n + holder[at]
+        area = (end - begin) * b.n
+        shared = np.bincount(cell, minlength=area)
+        both = np.bincount(cell[np.repeat(a.number[own], times)], minlength=area)
+        foreign = np.zeros((end - begin, b.n), np.int64)
+        for w, there in cognate_of.items():
+            foreign[a.seg[own][a.word[own] == w] - begin] += there
+        i, j = band_of_row(np.arange(begin, end), a.n, b.n, width, near)
+        k = (i - begin) * b.n + j
+        by_number = (both[k] + 0.5 * np.minimum(a.numbers[i], b.numbers[j])) - 0.5 * both[k]
+        overlap = (shared[k] + 0.9 * foreign.ravel()[k]) + by_number
+        total = a.size[i] + b.size[j]
+        value = np.maximum(0.0, np.minimum(1.0, 2 * overlap / np.maximum(total, 1)))
+        yield i, j, np.where((a.size[i] == 0) | (b.size[j] == 0), 0.0, value)
+        begin = end
+
+
+def text_hashes(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray, seed: int) -> np.ndarray:
+    """The leading 32 bits of SHA-256 over the two texts and the seed, as `text.noise` takes them; each text of side A is hashed once."""
+    tails = [f"{t}|{seed}".encode() for t in b]
+    out = np.empty(len(i), np.int64)
+    row, begun = -1, None
+    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        if x != row:
+            row, begun = x, hashlib.sha256(f"{a[x]}|".encode())
+        h = begun.copy()
+        h.update(tails[y])
+        out[k] = int.from_bytes(h.digest()[:4], "big")
+    return out
+
+
+def matrix(segments: DataFrame, seed: int = 0, width: float = 0.2, near: int = 2) -> DataFrame:
+    """(pair_id, lang, n, m, cells): a row a pair; cells are structs of i, j, lexical, score (0 to 5 in tenths) and sim, in order of i and j.
+
+    Pairs without segments on one side have no cells.
+    """
+    words = segments.select("pair_id", "lang", "side", "seg", "text", F.array_distinct(T.norm_tokens(F.col("text"))).alias("words"))
+    side = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("seg", "text", "words")))).alias(s)
+    whole = words.groupBy("pair_id").agg(F.first("lang").alias("lang"), side("a"), side("b"))
+    kind = segments.schema["pair_id"].dataType.simpleString()
+    cell = pa.struct([("i", pa.int32()), ("j", pa.int32()), ("lexical", pa.float64()), ("hash", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for full in batches:
+            for part in (full.slice(k, PAIRS) for k in range(0, full.num_rows, PAIRS)):
+                sides = []
+                for c in (2, 3):
+                    count = pc.list_value_length(part.column(c)).to_numpy(zero_copy_only=False).astype(np.int64)
+                    _, text, own = part.column(c).flatten().flatten()
+                    sides.append((count, text.to_pylist(), pc.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.int64), own.flatten()))
+                book = _Words(pa.concat_arrays([sides[0][3], sides[1][3]]))
+                ids = np.split(book.ids, [len(sides[0][3])])
+                starts = [(np.r_[0, np.cumsum(s[0])], np.r_[0, np.cumsum(s[2])]) for s in sides]
+                cells = []
+                for k in range(part.num_rows):
+                    made, texts = [], []
+                    for (_, text, sizes, _), (seg, word), own in zip(sides, starts, ids, strict=True):
+                        lo, hi = seg[k], seg[k + 1]
+                        made.append(_Side(sizes[lo:hi], own[word[lo] : word[hi]], book.numeric))
+                        texts.append(text[lo:hi])
+                    found = list(lexical_cells(*made, book, width, near)) if made[0].n and made[1].n else []
+                    i, j, value = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+                    cells.append((i, j, value, text_hashes(*texts, i, j, seed)))
+                flat = [np.concatenate(x) for x in zip(*cells, strict=True)]
+                ends = pa.array(np.r_[0, np.cumsum([len(c[0]) for c in cells])], pa.int32())
+                struct = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(flat, cell, strict=True)], fields=list(cell))
+                sizes = [pa.array(s[0], pa.int32()) for s in sides]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *sizes, pa.ListArray.from_arrays(ends, struct)], ["pair_id", "lang", "n", "m", "cells"])
+
+    raw = whole.mapInArrow(run, f"pair_id {kind}, lang string, n int, m int, cells array<struct<i:int,j:int,lexical:double,hash:long>>")
+
+    def finished(c: Column) -> Column:
+        score = F.bround(5 * T.clamp01(c["lexical"] + T.noise_of(c["hash"])), 1)
+        return T.let(score, lambda s: F.struct(c["i"].alias("i"), c["j"].alias("j"), c["lexical"].alias("lexical"), s.alias("score"), T.clamp01(s / 5).alias("sim")))
+
+    return raw.withColumn("cells", F.transform("cells", finished))
+
+
+def cells(matrix: DataFrame) -> DataFrame:
+    """`matrix` with a row for each cell."""
+    return matrix.select("pair_id", "lang", "n", "m", F.inline("cells"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, baseline, evaluate, guard, judge, pairs, resample, runs, score, segment, similarity
+from ..operators import align, baseline, continuous, evaluate, guard, judge, pairs, resample, runs, score, segment, similarity
 from ..operators.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,11 +47,9 @@ class Pipeline:
         self.sides = _sides(spark, sf, view)
         self.tokens = segment.tokens(self.sides)
         self.segments = stored(segment.segments(self.tokens), "segments")
-        self.sizes = similarity.sizes(self.segments)
-        self.candidates = similarity.candidates(self.sizes)
-        self.scored = similarity.scored(self.candidates, self.segments)
+        self.matrix = similarity.matrix(self.segments)
         # few rows, dear to make, and read by judgments, labels and spans
-        self.ops = stored(align.operations(self.sizes, self.scored), "operations")
+        self.ops = stored(align.operations_of(self.matrix), "operations")
         self.judged = stored(judge.judgments(self.ops, self.segments), "judgments")
 
     def labels(self, cfg: score.ScoreConfig = score.ScoreConfig()) -> DataFrame:
@@ -126,8 +124,7 @@ def norm_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    s = _segments(spark, sf)
-    return similarity.scored(similarity.candidates(similarity.sizes(s)), s)
+    return similarity.cells(similarity.matrix(_segments(spark, sf)))
 
 
 @query
@@ -172,9 +169,17 @@ def verbatim_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def span_token_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    p = Pipeline(spark, sf)
-    t = score.span_tokens(score.span_places(p.judged, p.sides), p.tokens)
-    return t.groupBy("pair_id", "op_idx", "side", F.col("pos").cast("int").alias("pos")).agg(F.min("idx").alias("lo"), (F.max("idx") + 1).alias("hi"))
+    return _span_ranges(Pipeline(spark, sf))
+
+
+@query
+def span_token_ranges_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over document pairs, whose segments and spans are many."""
+    return _span_ranges(Pipeline(spark, sf, "docs"))
+
+
+def _span_ranges(p: Pipeline) -> DataFrame:
+    return score.span_places(p.judged, p.sides).filter("lo < hi").select("pair_id", "op_idx", "side", F.col("pos").cast("int").alias("pos"), "lo", "hi")
 
 
 @query
@@ -271,6 +276,26 @@ def kendall_lang(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.kendall(_cells(spark, sf), "lang").select("lang", _r("kendall"))
 
 
+def _continuous(spark: SparkSession, sf: str) -> DataFrame:
+    """(lang, pred, gold, w): a system with a score of its own for every token, against the gold labels; punctuation left out."""
+    t = _tokens(spark, sf).withColumn("gold", baseline.gold_label()).filter("gold <> -1")
+    noise = resample.uniform(F.lit("score"), F.col("pair_id").cast("string"), F.col("side"), F.col("idx").cast("string"))
+    return t.select("lang", (F.col("gold") / 4 + noise).alias("pred"), "gold").groupBy("lang", "pred", "gold").agg(F.count(F.lit(1)).alias("w"))
+
+
+@query
+def continuous_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """Spearman and Kendall of scores with a value a token."""
+    cells = stored(_continuous(spark, sf), "continuous")
+    both = continuous.spearman(cells, "lang").join(continuous.kendall(cells, "lang"), "lang")
+    return both.select("lang", "n", _r("spearman"), _r("kendall"))
+
+
+@query
+def continuous_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return continuous.ranks(_continuous(spark, sf), "pred", "lang").select("lang", F.round("pred", 9).alias("pred"), F.round("rank", 1).alias("rank"))
+
+
 @query
 def strict_macro(spark: SparkSession, sf: str) -> DataFrame:
     m = evaluate.strict_macro(evaluate.spearman(_cells(spark, sf), "lang"), 3)
@@ -286,7 +311,7 @@ def matched_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.token_interval(_evaluated(spark, sf), 20).select("lang", _r("lo"), _r("hi"))
+    return resample.token_interval(_evaluated(spark, sf), 2000).select("lang", _r("lo"), _r("hi"))
 
 
 @query
@@ -357,8 +382,11 @@ def id_allowlist(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def split_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    names = ("train", " VAL ", "dev_train", "dev/val", "test", "full", "dev/test", "gold_test", "TEST", "other")
-    return spark.createDataFrame([(n,) for n in names], "name string").select("name", guard.normal_split(F.col("name")).alias("split"))
+    """Split names as people write them, one a document: case, white space and separators by its id and length."""
+    names = F.array(*map(F.lit, ("train", "val", "dev_train", "dev/val", "test", "full", "dev/test", "gold_test", "dev/train", "other")))
+    plain = F.get(names, (F.col("doc_id") % 10).cast("int"))
+    name = F.concat(F.when(F.col("n_chars") % 2 == 0, F.upper(plain)).otherwise(plain), F.when(F.col("n_chars") % 3 == 0, "  ").otherwise(""))
+    return _table(spark, sf, "documents").select("doc_id", guard.normal_split(name).alias("split"))
 
 
 @query

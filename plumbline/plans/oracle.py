@@ -135,7 +135,7 @@ ops AS (SELECT o0.pair_id, z.lang, z.n, z.m, op_idx, ['1:1', '1:2', '2:1', '1:0'
   FROM ops0 o0 JOIN sizes z USING (pair_id))"""
 
 
-def _judged() -> str:
+def _judged(spans_of: str = "", difference: str = "j0.difference") -> str:
     own = lambda x, y: f"list_filter(regexp_extract_all({x}, {_q(T.WORD)}), lambda t: NOT list_contains(list_transform(regexp_extract_all({y}, {_q(T.WORD)}), lambda u: lower(u)), lower(t)))"
     span = lambda x, y: f"CASE WHEN difference >= 2 AND len({own(x, y)}) > 0 THEN array_to_string(({own(x, y)})[:3], ' ') END"
     side = lambda s: f"""(SELECT o.pair_id, o.op_idx, string_agg(g.text, ' ' ORDER BY g.seg) AS text, min(g.tok_lo) AS tok_lo, max(g.tok_hi) AS tok_hi, min(g.char_lo) AS char_lo
@@ -146,22 +146,30 @@ texts AS (SELECT o.*, a.text AS text_a, b.text AS text_b, a.tok_lo AS tok_lo_a,
   FROM ops o JOIN {side('a')} a ON a.pair_id = o.pair_id AND a.op_idx = o.op_idx JOIN {side('b')} b ON b.pair_id = o.pair_id AND b.op_idx = o.op_idx),
 judged0 AS (SELECT *, greatest(0, least(5, round_even(5 * (1::DOUBLE - ({_lexical('wa', 'wb')})) + {_noise('text_a', 'text_b')} * 3, 0)))::INT AS difference FROM texts),
 judged1 AS (SELECT *, {span('text_a', 'text_b')} AS sa, {span('text_b', 'text_a')} AS sb FROM judged0),
-judged AS (SELECT *, CASE WHEN contains(text_a, sa) THEN sa END AS span_a, CASE WHEN contains(text_b, sb) THEN sb END AS span_b FROM judged1),
-spans AS (SELECT pair_id, op_idx, 'a' AS side, span_a AS span, tok_lo_a AS tok_lo, tok_hi_a AS tok_hi, char_lo_a AS char_lo FROM judged WHERE span_a IS NOT NULL
-  UNION ALL SELECT pair_id, op_idx, 'b', span_b, tok_lo_b, tok_hi_b, char_lo_b FROM judged WHERE span_b IS NOT NULL),
+judged AS (SELECT j0.* EXCLUDE (difference), {difference} AS difference, CASE WHEN contains(text_a, sa) THEN sa END AS span_a, CASE WHEN contains(text_b, sb) THEN sb END AS span_b FROM judged1 j0),
+spans AS ({spans_of or f"""SELECT pair_id, op_idx, 'a' AS side, span_a AS span, tok_lo_a AS tok_lo, tok_hi_a AS tok_hi, char_lo_a AS char_lo FROM judged WHERE span_a IS NOT NULL
+  UNION ALL SELECT pair_id, op_idx, 'b', span_b, tok_lo_b, tok_hi_b, char_lo_b FROM judged WHERE span_b IS NOT NULL"""}),
 places AS (SELECT sp.pair_id, sp.op_idx, sp.side, sp.span, sp.tok_lo, sp.tok_hi,
     CASE WHEN instr(t.text[sp.char_lo + 1:], sp.span) > 0 THEN instr(t.text[sp.char_lo + 1:], sp.span) - 1 + sp.char_lo WHEN instr(t.text, sp.span) > 0 THEN instr(t.text, sp.span) - 1 END AS pos
   FROM spans sp JOIN sides t ON t.pair_id = sp.pair_id AND t.side = sp.side),
 span_toks AS (SELECT p.*, t.idx FROM places p JOIN tokens t ON t.pair_id = p.pair_id AND t.side = p.side AND t.s < p.pos + length(p.span) AND t.e > p.pos WHERE p.pos IS NOT NULL)"""
 
 
-def _labels(boost: str = "0.25::DOUBLE", omit: str = "0.9::DOUBLE", add: str = "0.9::DOUBLE", extra: str = "", cross: str = "") -> str:
-    return _judged() + f""",
+def _replied() -> str:
+    """Judgments as replies tell them: up to three differing words, each a span of its own; every fifth operation without an understood reply."""
+    own = lambda x, y: f"(list_filter(regexp_extract_all({x}, {_q(T.WORD)}), lambda t: NOT list_contains(list_transform(regexp_extract_all({y}, {_q(T.WORD)}), lambda u: lower(u)), lower(t))))[:3]"
+    one = lambda s, o: f"SELECT pair_id, op_idx, '{s}' AS side, span, tok_lo, tok_hi, char_lo FROM (SELECT pair_id, op_idx, tok_lo_{s} AS tok_lo, tok_hi_{s} AS tok_hi, char_lo_{s} AS char_lo, {own(f'text_{s}', f'text_{o}')} AS l FROM judged WHERE difference IS NOT NULL) q, unnest(q.l) t(span)"
+    return _judged(one("a", "b") + " UNION ALL " + one("b", "a"), "CASE WHEN op_idx % 5 <> 3 THEN j0.difference END")
+
+
+def _labels(boost: str = "0.25::DOUBLE", omit: str = "0.9::DOUBLE", add: str = "0.9::DOUBLE", extra: str = "", cross: str = "", judged: str = "") -> str:
+    level = "coalesce(l.difference / 5::DOUBLE, least(1::DOUBLE, 1::DOUBLE - l.sim))"
+    return (judged or _judged()) + f""",
 levels AS (SELECT o.pair_id, o.op_idx, 'a' AS side, unnest(range(o.a_start, o.a_end)) AS seg, o.op, j.difference, o.sim FROM ops o LEFT JOIN judged j ON j.pair_id = o.pair_id AND j.op_idx = o.op_idx WHERE o.a_start >= 0
   UNION ALL SELECT o.pair_id, o.op_idx, 'b', unnest(range(o.b_start, o.b_end)), o.op, j.difference, o.sim FROM ops o LEFT JOIN judged j ON j.pair_id = o.pair_id AND j.op_idx = o.op_idx WHERE o.b_start >= 0),
 boosted AS (SELECT DISTINCT pair_id, op_idx, side, idx FROM span_toks WHERE idx >= tok_lo AND idx < tok_hi),
 token_labels AS (SELECT {extra} t.pair_id, t.lang, t.side, t.idx, t.tok, CASE WHEN regexp_matches(t.tok, {_q(T.PUNCTUATION)}) THEN -1::DOUBLE WHEN l.op = '1:0' THEN {omit} WHEN l.op = '0:1' THEN {add}
-    WHEN l.op IS NULL THEN 0::DOUBLE WHEN b.idx IS NOT NULL THEN least(1::DOUBLE, greatest(0.6::DOUBLE, least(1::DOUBLE, l.difference / 5::DOUBLE + {boost}))) ELSE l.difference / 5::DOUBLE END AS label
+    WHEN l.op IS NULL THEN 0::DOUBLE WHEN b.idx IS NOT NULL THEN least(1::DOUBLE, greatest(0.6::DOUBLE, least(1::DOUBLE, {level} + {boost}))) ELSE {level} END AS label
   FROM tokens t {cross} LEFT JOIN levels l ON l.pair_id = t.pair_id AND l.side = t.side AND l.seg = t.seg
   LEFT JOIN boosted b ON b.pair_id = t.pair_id AND b.op_idx = l.op_idx AND b.side = t.side AND b.idx = t.idx)"""
 
@@ -204,6 +212,10 @@ def _spearman(source: str, *keys: str, name: str = "rho") -> str:
 {name} AS (SELECT {k} n, CASE WHEN n >= 2 AND n * sxx - sx * sx > 0 AND n * syy - sy * sy > 0 THEN (n * sxy - sx * sy) / sqrt(n * sxx - sx * sx) / sqrt(n * syy - sy * sy) END AS spearman FROM {name}_sums)"""
 
 
+def _unit(key: str) -> str:
+    return f"({_hash8(key)})::DOUBLE / 4294967296::DOUBLE"
+
+
 def _table(name: str, source: str, *keys: str) -> str:
     k = "".join(f"{x}, " for x in keys)
     return f"{name} AS (SELECT {k} pred, gold, count(*)::DOUBLE AS w FROM {source} WHERE gold <> -1 GROUP BY ALL)"
@@ -227,11 +239,24 @@ tagged AS (SELECT 'all' AS variant, * FROM scored UNION ALL SELECT 'excluding',
     tau = """SELECT lang, round(CASE WHEN p > 0 AND g > 0 THEN c / sqrt(p) / sqrt(g) END, 6) AS kendall FROM (
   SELECT a.lang, sum(a.w * b.w * sign(a.pred - b.pred) * sign(a.gold - b.gold)) AS c, sum(a.w * b.w * abs(sign(a.pred - b.pred))) AS p, sum(a.w * b.w * abs(sign(a.gold - b.gold))) AS g
   FROM cells a JOIN cells b ON a.lang = b.lang GROUP BY a.lang)"""
-    u_tok = f"({_hash8(chr(39).join(['rep::VARCHAR || ', '|', ' || pair_id::VARCHAR || ', '|', ' || side || ', '|', ' || k::VARCHAR']))})::DOUBLE / 4294967296::DOUBLE"
     u_doc = f"({_hash8(chr(39).join(['rep::VARCHAR || ', '|', ' || pair_id::VARCHAR']))})::DOUBLE / 4294967296::DOUBLE"
-    boot = ev + f""",
-drawn AS (SELECT lang, rep, pred, gold, {_poisson(u_tok)} AS pw FROM (SELECT *, unnest(range(20)) AS rep FROM scored WHERE gold <> -1)),
-cells AS (SELECT lang, rep, pred, gold, sum(pw)::DOUBLE AS w FROM drawn GROUP BY ALL HAVING sum(pw) > 0),""" + _spearman("cells", "lang", "rep")
+    boot = by_lang + f""",
+reps AS (SELECT lang, pred, gold, w AS mean, rep, rep::VARCHAR || '|' || lang || '|' || round(pred * 1000000)::BIGINT || '|' || round(gold * 1000000)::BIGINT || '|' AS key FROM cells, range(2000) r(rep)),
+hashed AS (SELECT *, {_unit("key || 'u'")} AS u, sqrt(-2 * ln({_unit("key || 'r'")} + 1.1641532182693481e-10)) * cos(6.283185307179586::DOUBLE * {_unit("key || 'a'")}) AS z FROM reps),
+terms AS (SELECT lang, pred, gold, list(p ORDER BY k) AS ps FROM (SELECT lang, pred, gold, k, exp(-mean + sum(CASE WHEN k = 0 THEN 0::DOUBLE ELSE ln(mean / k) END) OVER (PARTITION BY lang, pred, gold ORDER BY k)) AS p
+  FROM (SELECT lang, pred, gold, w AS mean, unnest(range(ceil(w + 12 * sqrt(w) + 21)::BIGINT)) AS k FROM cells WHERE w <= 30)) GROUP BY ALL),
+upto AS (SELECT lang, pred, gold, list(s ORDER BY k) AS sums FROM (SELECT lang, pred, gold, k, sum(p) OVER (PARTITION BY lang, pred, gold ORDER BY k) AS s FROM (SELECT lang, pred, gold, unnest(ps) AS p, unnest(range(len(ps))) AS k FROM terms)) GROUP BY ALL),
+drawn AS (SELECT lang, rep, pred, gold, CASE WHEN mean <= 30 THEN len(list_filter(sums, lambda s: s <= u))::DOUBLE ELSE greatest(0::DOUBLE, floor(mean + sqrt(mean) * z + (z * z - 1::DOUBLE) / 6::DOUBLE + 0.5::DOUBLE)) END AS w
+  FROM hashed LEFT JOIN upto USING (lang, pred, gold)),
+weighed AS (SELECT * FROM drawn WHERE w > 0),""" + _spearman("weighed", "lang", "rep")
+    many = ev + f""",
+tokens_scored AS (SELECT lang, gold / 4::DOUBLE + ({_hash8("'score|' || pair_id::VARCHAR || '|' || side || '|' || idx::VARCHAR")})::DOUBLE / 4294967296::DOUBLE AS pred, gold FROM (SELECT pair_id, lang, side, idx, label AS gold FROM gold)),""" + _table("cells", "tokens_scored", "lang") + "," + _spearman("cells", "lang") + f""",
+by_pred AS (SELECT lang, pred, {", ".join(f"sum(w) FILTER (gold = {k} / 5::DOUBLE) AS g{k}" for k in range(6))} FROM cells GROUP BY lang, pred),
+under AS (SELECT lang, pred, {", ".join(f"coalesce(g{k}, 0) AS g{k}, coalesce(sum(coalesce(g{k}, 0)) OVER (PARTITION BY lang ORDER BY pred ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u{k}" for k in range(6))} FROM by_pred),
+inversions AS (SELECT lang, sum({" + ".join(f"g{a} * u{b} * {1 if b < a else -1}" for a in range(6) for b in range(6) if a != b)}) AS s FROM under GROUP BY lang),
+ties AS (SELECT lang, (n * n - pp) / 2 AS p, (n * n - gg) / 2 AS g FROM (SELECT lang, sum(w) AS n FROM cells GROUP BY lang)
+  JOIN (SELECT lang, sum(t * t) AS pp FROM (SELECT lang, sum(w) AS t FROM cells GROUP BY lang, pred) GROUP BY lang) USING (lang)
+  JOIN (SELECT lang, sum(t * t) AS gg FROM (SELECT lang, sum(w) AS t FROM cells GROUP BY lang, gold) GROUP BY lang) USING (lang))"""
     second = ev + """,
 constant AS (SELECT pair_id, lang, side, k, CASE WHEN length(t.tok) > 4 THEN 1::DOUBLE ELSE 0::DOUBLE END AS pred, gold FROM scored s JOIN tokens t USING (pair_id, lang, side) WHERE t.idx = s.k)"""
     macro = lambda src, n: f"""{n}_docs AS (SELECT lang, pair_id, pred, gold, count(*)::DOUBLE AS w FROM {src} WHERE gold <> -1 GROUP BY ALL),
@@ -276,6 +301,8 @@ done AS (SELECT i.lang, n_intended, coalesce(n, 0) AS done, true AS started FROM
         "avg_ranks": _with(by_lang, "SELECT lang, pred, n::BIGINT AS n, round(coalesce(sum(n) OVER (PARTITION BY lang ORDER BY pred ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2::DOUBLE, 1) AS rank FROM (SELECT lang, pred, sum(w) AS n FROM cells GROUP BY ALL)"),
         "spearman_lang": _with(by_lang + "," + _spearman("cells", "lang"), "SELECT lang, n::BIGINT AS n, round(spearman, 6) AS spearman FROM rho"),
         "kendall_lang": _with(by_lang, tau),
+        "continuous_correlation": _with(many, "SELECT lang, n::BIGINT AS n, round(spearman, 6) AS spearman, round(s / sqrt(p) / sqrt(g), 6) AS kendall FROM rho JOIN inversions USING (lang) JOIN ties USING (lang)"),
+        "continuous_ranks": _with(many, "SELECT lang, round(pred, 9) AS pred, round(coalesce(sum(n) OVER (PARTITION BY lang ORDER BY pred ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2::DOUBLE, 1) AS rank FROM (SELECT lang, pred, sum(w) AS n FROM cells GROUP BY ALL)"),
         "strict_macro": _with(by_lang + "," + _spearman("cells", "lang"), "SELECT round(CASE WHEN count(spearman) = 3 THEN avg(spearman) END, 6) AS strict_macro, round(avg(spearman), 6) AS descriptive_macro, count(spearman) AS n_defined FROM rho"),
         "matched_ids": _with(ev, "SELECT lang, count(*) AS n_matched, round(count(*) / (SELECT count(*) FROM pair_docs q WHERE q.lang = p.lang)::DOUBLE, 4) AS coverage FROM pair_docs p SEMI JOIN predicted USING (pair_id) GROUP BY lang"),
         "bootstrap_ci": _with(boot, "SELECT lang, round(quantile_cont(spearman, 0.025), 6) AS lo, round(quantile_cont(spearman, 0.975), 6) AS hi FROM rho GROUP BY lang"),
@@ -287,7 +314,7 @@ done AS (SELECT i.lang, n_intended, coalesce(n, 0) AS done, true AS started FROM
         "coverage_of_split": f"WITH {lang_done} SELECT lang, round(done / n_intended::DOUBLE, 4) AS coverage FROM done",
         "provenance_consensus": "SELECT key, CASE WHEN n = 1 THEN lo END AS value, CASE WHEN n > 1 THEN seen END AS conflict FROM (SELECT source AS key, count(DISTINCT lang) AS n, min(lang) AS lo, string_agg(DISTINCT lang, ',' ORDER BY lang) AS seen FROM documents GROUP BY source)",
         "id_allowlist": "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)",
-        "split_normalize": "SELECT name, CASE WHEN NOT list_has_any(string_split(low, '/'), ['test', 'full']) THEN MAP {'train': 'dev/train', 'dev/train': 'dev/train', 'val': 'dev/val', 'dev/val': 'dev/val'}[low] END AS split FROM (SELECT name, replace(lower(trim(name)), '_', '/') AS low FROM (VALUES ('train'), (' VAL '), ('dev_train'), ('dev/val'), ('test'), ('full'), ('dev/test'), ('gold_test'), ('TEST'), ('other')) v(name))",
+        "split_normalize": "SELECT doc_id, CASE WHEN NOT list_has_any(string_split(low, '/'), ['test', 'full']) THEN MAP {'train': 'dev/train', 'dev/train': 'dev/train', 'val': 'dev/val', 'dev/val': 'dev/val'}[low] END AS split FROM (SELECT doc_id, replace(lower(trim(CASE WHEN n_chars % 2 = 0 THEN upper(name) ELSE name END || CASE WHEN n_chars % 3 = 0 THEN '  ' ELSE '' END)), '_', '/') AS low FROM (SELECT *, ['train', 'val', 'dev_train', 'dev/val', 'test', 'full', 'dev/test', 'gold_test', 'dev/train', 'other'][doc_id % 10 + 1] AS name FROM documents))",
         "forbidden_paths": f"SELECT page_id, list_has_any(regexp_split_to_array(lower(url), '[/.]'), {_list(guard.FORBIDDEN)}) AS forbidden FROM pages",
         "cache_hits_misses": "SELECT lang, count(*) AS n_requests, count(*) FILTER (h) AS n_hits FROM (SELECT lang, (lang, text) IN (SELECT (lang, text) FROM documents WHERE source = 'src0') AS h FROM documents) GROUP BY lang",
         "content_keys": "SELECT doc_id, sha256('[\"' || lang || '\",\"' || source || '\",\"' || doc_id::VARCHAR || '\"]') AS key FROM documents",

@@ -98,14 +98,6 @@ def judge_repairs(spark: SparkSession, sf: str) -> DataFrame:
     return model.answered(r, _Echo, lambda text: text.startswith("R:")).select(F.col("key").cast("long").alias("doc_id"), "text", "repairs", "attempts", "tokens")
 
 
-@says("SELECT least(count(*), 45)::BIGINT AS answered, count(*) > 45 AS capped FROM labels")
-def budget_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Micro-batches until the request cap; a cap is the feature."""
-    r = runs.numbered(_table(spark, sf, "labels").select(F.expr(_ID).alias("key"), F.lit("p2").alias("prompt")), "key")
-    answers, capped = runs.within_budget(r, "order", lambda d: model.answered(d, _Echo), runs.Budget(max_requests=45))
-    return runs.union(answers, spark, model.ANSWER).agg(F.count(F.lit(1)).alias("answered")).withColumn("capped", F.lit(capped))
-
-
 @says(f"WITH {oracle.DOCS} SELECT pair_id, 'judge' AS kind, sha256(text_a) AS sha_a, sha256(text_b) AS sha_b, CASE lang WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE lang END AS language FROM pair_docs")
 def prompt_requests(spark: SparkSession, sf: str) -> DataFrame:
     """A prompt's request, taken out of it again, holds both passages unchanged."""

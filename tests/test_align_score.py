@@ -124,3 +124,34 @@ def test_baseline_labels(spark):
     df = spark.createDataFrame([("p", "de", "same 42 ... other", "Same! thing")], "pair_id string, lang string, text_a string, text_b string")
     got = {(r["side"], r["tok"]): r["code"] for r in baseline.labels(segment.tokens(pairs.sides(df))).collect()}
     assert got["a", "same"] == got["b", "Same!"] == got["a", "42"] == 5 and got["a", "..."] == -1 and got["a", "other"] in (1, 2)
+
+
+def sparse(known):
+    import numpy as np
+
+    return tuple(np.array(x) for x in ([i for i, _ in known], [j for _, j in known], list(known.values()))) if known else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+def test_long_pairs_are_aligned_as_short_ones(monkeypatch):
+    """Ties, empty sides and cells beyond the band included."""
+    r = random.Random(31)
+    for _ in range(150):
+        n, m = r.randint(0, 13), r.randint(0, 13)
+        known = {(i, j): r.choice([0, 0.05, 0.1, 0.3, 0.5, 0.8, 0.9, round(r.random(), 1)]) for i in range(n) for j in range(m) if r.random() < 0.6}
+        want = align.align_many([(n, m)], [sparse(known)])[0]
+        assert not n or align.align_long(n, m, sparse(known)) == want
+        monkeypatch.setattr(align, "GROUP_CELLS", 40)
+        assert align.align_many([(n, m), (2, 2)], [sparse(known), sparse({(0, 0): 0.9, (1, 1): 0.9})]) == [want, [("1:1", 0, 1, 0, 1, 0.9), ("1:1", 1, 2, 1, 2, 0.9)]]
+        monkeypatch.undo()
+
+
+def test_a_long_pair_needs_memory_for_its_band_only():
+    import tracemalloc
+
+    n = 3000
+    known = {(i, j): 0.9 if i == j else 0.2 for i in range(n) for j in range(max(0, i - 2), min(n, i + 3))}
+    tracemalloc.start()
+    found = align.align_long(n, n, sparse(known))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [o[0] for o in found] == ["1:1"] * n and peak < 20e6  # 9 million cells of choices and 72 MB of similarities if dense
