@@ -8,8 +8,8 @@ long as the vocabulary, so each task holds it whole, and the join is a gather.
 All three joins are over arrays of a block rather than over rows of one word,
 which would move some forty bytes for each word of the corpus.
 
-A word here is a chunk after which the tokenizer always cuts (see `tokens`); a
-text in which no cut is known to be safe is one word.
+A word here is a chunk after which the tokenizer always cuts (see `tokens`): a
+word with the white space before it, or the rest of a longer run of white space.
 
 Defined cases: null text is empty: no ids.  Repeated rows and rows of null
 doc_id keep a row each.  No rows: no result rows.
@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import partitions
 from .tokens import byte_symbols, encoder, ragged
 
 
@@ -64,10 +63,7 @@ def _cut(tokenizer: str) -> Callable[[], Callable[[str], list]]:
         enc = encoder(tokenizer)
 
         def cut(text: str) -> list[str]:
-            if not text:
-                return []
-            found = enc.chunks(text)
-            return ["\x02" + text] if found is None else found
+            return enc.chunks(text) if text else []
 
         return cut
 
@@ -108,7 +104,7 @@ def encoded(docs: DataFrame, tokenizer: str, finish: Callable[[bytes, bytes], tu
 
     ``ids`` are little-endian uint32, ``decoded`` the text in UTF-8.
     """
-    table = words.coded(docs, _cut(tokenizer), F.lit(False), "bpe-words", partitions(docs.sparkSession), key, text)
+    table = words.coded(docs, _cut(tokenizer), F.lit(False), "bpe-words", words.bucket_count(docs, text), key, text)
     known = word_ids(words.words_of(table), tokenizer)
     schema = f"doc_id long, n_tokens long, {schema}"
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import partitions, store
+from .common import store
 from .tokens import ragged
 
 ORDER = 5
@@ -311,7 +311,7 @@ def word_counts(of_words: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, test: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; rows with ``test`` true are not learnt from."""
-    buckets = partitions(docs.sparkSession)
+    buckets = words.bucket_count(docs, text)
     table = words.coded(docs, _splitter, ~test, "ppm-words", buckets, key, text, extra=_steps)
     counts = store(word_counts(words.words_of(table)), "ppm-counts")
     row = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()

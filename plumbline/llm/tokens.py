@@ -1,12 +1,16 @@
 """Whole-text encoding as the ``tokenizers`` library does it, each distinct chunk once.
 
-A text is cut where a cut cannot change the result: after a character that is
-not white space and before a single space or line feed.  Every pre-token of
-the byte-level and of the word-level tokenizer ends there, so a text's ids are
-its chunks' ids one after the other.  Equal chunks of a block of texts are encoded
-once, and remembered up to a bound (`Known`).  Chunks of plain Latin letters with
-trailing stops are merged all at once (`BatchMerges`); every other chunk, and
-every text with white space on which definitions differ, goes to the library itself.
+A text is cut around its runs of white space, where a cut cannot change the
+result: at the start of a run, and before the last place of a run that a word
+follows.  The byte-level tokenizer takes all but the last place of a run as one
+piece, and the last one with the word if it is a space, else alone; the
+word-level one drops white space.  So every pre-token ends at a cut, and a text's
+ids are its chunks' ids one after the other.  A chunk is a word with the
+character of white space before it, or what else there is of a run.  Next to
+white space on which definitions differ, and before a special token, no cut is
+made.  Equal chunks of a block of texts are encoded once, and remembered up to a
+bound (`Known`).  Chunks of plain Latin letters with trailing stops are merged all
+at once (`BatchMerges`); every other chunk goes to the library itself.
 """
 
 from __future__ import annotations
@@ -21,10 +25,15 @@ import numpy as np
 
 TOKENIZER_DIR = os.environ.get("PUBLIC_TOKENIZERS_DIR", "/opt/tokenizers")
 
-#: White space outside ``[\\x20\\t-\\r]``, or counted as such by some library.
-_ODD_SPACE = re.compile("[\x85\xa0 ᠎ -​    ⁠　﻿]")
-_ODD_ASCII = ("\x00", "\x01", "\x02", "\x1c", "\x1d", "\x1e", "\x1f", "\t", "\r", "\x0b", "\x0c")
-_RUNS = ("  ", " \n", "\n ", "\n\n")
+#: White space outside ``[\\x20\\t-\\r]``, or counted as such by some library, and what else is kept away from cuts.
+_ODD = "\x00-\x02\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
+_ODD_CHAR = re.compile(f"[{_ODD}]")
+#: A run but for its last place; a word and the place before it; a run at the end.
+_CHUNK = re.compile(r"[\t-\r ]+(?![^\t-\r ])|[\t-\r ]?[^\t-\r ]+")
+_SIMPLE = re.compile(r"[\t\x0b-\r]|[ \n][ \n]|^[ \n]")
+_SPACES = "\t\n\x0b\x0c\r "
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[*range(0x09, 0x0E), 0x20]] = True
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!|]*)")
 _BLOCK_CHARS = 1_000_000
 DEPTH = 4
@@ -213,7 +222,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.merges = BatchMerges(path)
         self.spaced = not self.merges.suffix  # byte-level: the white space before a word is part of it
         self.memo: dict[str | bytes, bytes] = {}
@@ -223,20 +232,45 @@ class Encoder:
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def chunks(self, text: str) -> list[str] | None:
-        """Keys of the chunks whose ids, joined, are the text's; None where no cut is known to be safe.
+    def chunks(self, text: str) -> list[str]:
+        """Keys of the chunks whose ids, joined, are the text's.
 
         A key is the chunk without its leading space; ``\\x00`` stands for a
         leading line feed, ``\\x01`` for none (the start of the text), ``\\x02``
         for a chunk that the library has to see as it is.
         """
-        return ("\x01" + text).replace("\n", " \x00").split(" ") if self.cuttable(text) else None
+        if self.cuttable(text) and not _SIMPLE.search(text):  # single spaces and line feeds between words
+            return ("\x01" + text).replace("\n", " \x00").split(" ")
+        return [self._key(c) for c in self.cut(text)]
+
+    def _key(self, chunk: str) -> str:
+        lead, body = chunk[0], chunk[1:]
+        if not body or body[0] in "\x00\x01\x02" or lead not in " \n" and lead in _SPACES:
+            return "\x02" + chunk
+        return body if lead == " " else "\x00" + body if lead == "\n" else "\x02" + chunk
+
+    def cut(self, text: str) -> list[str]:
+        """The chunks of a text, one after the other."""
+        found = _CHUNK.findall(text)
+        if self.cuttable(text):
+            return found
+        out: list[str] = []
+        at = 0
+        for c in found:
+            # a run starts here, or its last place: what stands before it, or after it, decides
+            before, after = text[at - 1] if at else "x", text[at + 1 : at + 2]
+            run = c[0] in _SPACES and before not in _SPACES
+            held = _ODD_CHAR.match(before) if run else _ODD_CHAR.match(after) or text.startswith(self.added, at + 1)
+            if out and held:
+                out[-1] += c
+            else:
+                out.append(c)
+            at += len(c)
+        return out
 
     def cuttable(self, text: str) -> bool:
-        """Whether the text's white space is single spaces and line feeds, none at its start, and it has no added token."""
-        if any(c in text for c in _ODD_ASCII) or any(c in text for c in _RUNS) or text[0] in " \n":
-            return False
-        return not any(t in text for t in self.added) and (text.isascii() or not _ODD_SPACE.search(text))
+        """Whether every run of white space can be cut around: no odd white space, no special token."""
+        return not _ODD_CHAR.search(text) and not any(t in text for t in self.added)
 
     def learn(self, new: list[str]) -> None:
         """Puts the ids of chunks that are not known yet into the memo."""
@@ -285,10 +319,18 @@ class Encoder:
         safe = [bool(t) and self.cuttable(t) for t in block]
         found = iter(self._flat([t.encode() for t, s in zip(block, safe, strict=True) if s]))
         for t, s in zip(block, safe, strict=True):
-            yield next(found) if s else self.library(t) if t else b""
+            yield next(found) if s else b"".join(map(self._remember, self.cut(t))) if t else b""
+
+    def _remember(self, chunk: str) -> bytes:
+        key = chunk.encode()
+        if key not in self.memo:
+            if len(self.memo) > self.limit:
+                self.memo = {}
+            self.memo[key] = self.library(chunk)
+        return self.memo[key]
 
     def _flat(self, texts: list[bytes]) -> list[bytes]:
-        """ids of texts in which every chunk starts with one space or line feed, without an object for each chunk.
+        """ids of texts that can be cut around every run of white space, without an object for each chunk.
 
         Chunks are told apart by a 64-bit hash and then compared with the chunk
         that stands for them; equal ones are encoded once a block.
@@ -298,7 +340,11 @@ class Encoder:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         begins = np.cumsum(sizes) - sizes
-        mark = (raw == 0x20) | (raw == 0x0A)
+        space = _IS_SPACE[raw]
+        before, after = np.r_[False, space[:-1]], np.r_[space[1:], True]
+        before[begins] = False
+        after[begins[1:] - 1] = True  # a run at the end of a text is one piece
+        mark = space & (~before | ~after)
         mark[begins] = True
         start = np.flatnonzero(mark)
         n = np.diff(np.r_[start, len(raw)])
@@ -339,7 +385,7 @@ class Encoder:
         chars, owner = raw[at], np.repeat(np.arange(len(n)), n)
         begin = np.cumsum(n) - n
         lead = np.zeros(len(chars), bool)
-        lead[begin] = (chars[begin] == 0x20) | (chars[begin] == 0x0A)
+        lead[begin] = _IS_SPACE[chars[begin]]
         kind = _KIND[chars]  # 1 letter, 2 stop, 3 first byte of a Latin letter, 4 second byte, 9 other
         before = np.r_[np.uint8(9), kind[:-1]]
         after = np.r_[kind[1:], np.uint8(9)]
@@ -351,14 +397,14 @@ class Encoder:
         odd |= inner & (kind < before)  # a letter after a stop
         odd &= ~lead
         head = np.minimum(begin + lead[begin], len(chars) - 1)
-        plain = (np.bincount(owner, odd, len(n)) == 0) & (kind[head] == 1) & ~lead[head]
+        plain = (np.bincount(owner, odd, len(n)) == 0) & (kind[head] == 1) & ~lead[head] & (n > lead[begin])
         rare = np.flatnonzero(~plain)
         own = plain[owner]
         cut = np.zeros(len(chars), bool)
         cut[begin] = True
         after_lead = np.r_[False, lead[:-1]]
         if self.spaced:
-            cut |= after_lead & np.r_[False, chars[:-1] == 0x0A]
+            cut |= after_lead & np.r_[False, chars[:-1] != 0x20]
         else:
             cut |= after_lead
             upper = (chars >= 0x41) & (chars <= 0x5A) | np.r_[False, chars[:-1] == 0xC3] & (chars >= 0x80) & (chars <= 0x9E)

@@ -28,11 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store_by
+from .common import partitions, store_by
 from .tokens import ragged
 
 BLOCK_CHARS = 16_000_000
 PART_DOCS = 2000
+BUCKET_BYTES = 64_000_000
 DOCUMENTS, WORDS, ORDER, EXTRA = range(4)
 SCHEMA = "block long, kind int, at int, doc_id array<long>, flag array<boolean>, n array<long>, data binary"
 _FIELDS = [
@@ -171,6 +172,12 @@ def coded(docs: DataFrame, cut: Callable[[], Callable[[str], list]], flag: Colum
     return store_by(rows.mapInArrow(run, SCHEMA), name, "block", buckets)
 
 
+def bucket_count(docs: DataFrame, text: str = "text") -> int:
+    """Buckets of words: one a shuffle partition, and more where a bucket's words would come from over BUCKET_BYTES of text."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
 def words_of(table: DataFrame) -> DataFrame:
     """(block, bucket, data): a row for each block and bucket of words; `read_words` reads data."""
     return table.filter(F.col("kind") == WORDS).select("block", F.col("at").alias("bucket"), "data")

@@ -406,3 +406,36 @@ def test_fingerprints(awkward, empty):
     assert fingerprint.compare_with_edits(empty).count() == 0
     same = {r["doc_id"]: r["fingerprint"] for r in got.collect()}
     assert same[1] == same[2] and same[3] == same[4] == same[6] != same[1]
+
+
+PARTS = ["a", "the", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", " \n ", "\xa0", "  ", "é", "é", "ß", "日本", "😀", "'s", "'ll", "23", ".", "...", "<|endoftext|>", "<|startoftext|>", "\x1c", "\x00", "\x01x", "x" * 70, "​", "\x85", "|"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_are_cut_around_all_white_space(name):
+    """Runs of any white space, odd white space, special tokens: the ids are the library's, whole or by chunk."""
+    import random
+
+    r = random.Random(8)
+    encoder = tokens.Encoder(tokens.tokenizer_path(name))
+    texts = ["".join(r.choice(PARTS if r.random() < 0.5 else ["the ", "word, ", "Of ", "\n\n", "  ", "\t"]) for _ in range(r.randint(1, 25))) for _ in range(1500)]
+    want = [encoder.library(t) for t in texts]
+    assert list(encoder.encode_many(texts)) == want
+    for t, w in zip(texts, want, strict=True):
+        keys = encoder.chunks(t)
+        encoder.learn([k for k in keys if k not in encoder.memo])
+        assert b"".join(encoder.memo[k] for k in keys) == w
+
+
+def test_paragraphs_make_a_table_of_words(spark):
+    """Empty lines, tabs and double spaces do not make a text one word."""
+    some = [f"word{k}" for k in range(200)]
+    texts = ["\n\n".join("  ".join(some[(k * 7 + j * 3 + i) % 200] for i in range(12)) + "\tend." for j in range(6)) for k in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    table = words.coded(docs, bpe._cut(path), F.lit(False), "test-words", 4)
+    known = [w for r in words.words_of(table).collect() for w in words.read_words(bytes(r.data))[0]]
+    assert len(set(known)) <= 3 * 200 + 5 and sum(map(len, set(known))) * 50 < sum(map(len, texts))
+    got = {r.doc_id: r.ids for r in bpe.encoded(docs, path, lambda ids, decoded: (ids, decoded), "ids binary, decoded string").collect()}
+    encoder = tokens.Encoder(path)
+    assert all(bytes(got[k]) == encoder.library(t) for k, t in enumerate(texts[:50]))
