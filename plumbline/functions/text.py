@@ -13,6 +13,7 @@ PIECE = f"[{WS}]*[^{WS}]+"
 WORD = f"[^{WS}]+"
 LEAD = f"^[{WS}]+"
 PUNCTUATION = r"^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]$"
+SYMBOLS = r"^[\p{P}\p{S}]+$"
 CLOSERS = r"""["'»”’)\]}]+$"""
 TERMINAL = "[.!?…。！？]$"
 ENUMERATION = r"^[(\[{]?[0-9a-z]{1,3}[)\].:]$"
@@ -77,6 +78,11 @@ def is_punctuation(token: Column) -> Column:
     return token.rlike(PUNCTUATION)
 
 
+def is_symbols(token: Column) -> Column:
+    """Nothing but punctuation and symbols, of any script."""
+    return token.rlike(SYMBOLS)
+
+
 def ends_terminal(token: Column) -> Column:
     return F.regexp_replace(token, CLOSERS, "").rlike(TERMINAL)
 

@@ -269,3 +269,14 @@ def coverage(ops: DataFrame) -> DataFrame:
         return used == want
 
     return ops.groupBy("pair_id").agg(complete("a", "n").alias("a_complete"), complete("b", "m").alias("b_complete"), F.count(F.lit(1)).alias("n_ops"))
+
+
+def op_tokens(ops: DataFrame, segments: DataFrame) -> DataFrame:
+    """(pair_id, op_idx, side, lo, hi): the tokens lo..hi - 1 of each side that an operation covers; none of an absent side."""
+    parts = []
+    for side in "ab":
+        covered = ops.filter(f"{side}_start >= 0").select("pair_id", "op_idx", F.lit(side).alias("side"), F.explode(F.expr(f"sequence({side}_start, {side}_end - 1)")).alias("seg"))
+        parts.append(covered)
+    s = segments.select("pair_id", "side", "seg", "tok_lo", "tok_hi")
+    j = parts[0].unionByName(parts[1]).join(s, ["pair_id", "side", "seg"])
+    return j.groupBy("pair_id", "op_idx", "side").agg(F.min("tok_lo").alias("lo"), F.max("tok_hi").alias("hi"))

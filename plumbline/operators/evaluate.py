@@ -24,19 +24,27 @@ def aligned(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """
     p = predictions.select("pair_id", F.col("labels_a").alias("pa"), F.col("labels_b").alias("pb"))
     j = gold.join(p, "pair_id")
+    return j.select("pair_id", "lang", F.explode(zipped()).alias("x")).select("pair_id", "lang", "x.*")
+
+
+def b_counts() -> Column:
+    """Whether a gold label of side B is not -1."""
+    return ~F.forall("labels_b", lambda v: v == -1.0)
+
+
+def zipped() -> Column:
+    """Array of (side, k, pred, gold) of a row with labels_a, labels_b (gold) and pa, pb (predicted), as `aligned` explodes it."""
     padded = lambda g, p: F.transform(g, lambda v, k: F.struct(k.alias("k"), F.coalesce(F.get(p, k), F.lit(0.0)).alias("pred"), v.alias("gold")))
     side = lambda s, zipped: F.transform(zipped, lambda x: F.struct(F.lit(s).alias("side"), x["k"].alias("k"), x["pred"].alias("pred"), x["gold"].alias("gold")))
-    b = F.when(F.forall("labels_b", lambda v: v == -1.0), F.slice("labels_b", 1, 0)).otherwise(F.col("labels_b"))
-    both = F.concat(side("a", padded(F.col("labels_a"), "pa")), side("b", padded(b, "pb")))
-    return j.select("pair_id", "lang", F.explode(both).alias("x")).select("pair_id", "lang", "x.*")
+    b = F.when(b_counts(), F.col("labels_b")).otherwise(F.slice("labels_b", 1, 0))
+    return F.concat(side("a", padded(F.col("labels_a"), "pa")), side("b", padded(b, "pb")))
 
 
 def length_mismatches(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     p = predictions.select("pair_id", F.size("labels_a").alias("pa"), F.size("labels_b").alias("pb"))
-    b_counts = ~F.forall("labels_b", lambda v: v == -1.0)
     return gold.join(p, "pair_id").groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_samples"), F.count_if(F.size("labels_a") != F.col("pa")).alias("len_mismatch_a"),
-        F.count_if(b_counts & (F.size("labels_b") != F.col("pb"))).alias("len_mismatch_b"),
+        F.count_if(b_counts() & (F.size("labels_b") != F.col("pb"))).alias("len_mismatch_b"),
     )
 
 

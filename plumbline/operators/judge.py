@@ -39,7 +39,8 @@ def judgments(ops: DataFrame, segments: DataFrame, seed: int = 0) -> DataFrame:
     """Two-sided operations with difference (0 to 5) and the differing spans that occur verbatim."""
     j = passages(ops, segments)
     a, b = F.col("text_a"), F.col("text_b")
-    sim = T.lexical_similarity(F.array_distinct(T.norm_tokens(a)), F.array_distinct(T.norm_tokens(b)))
+    words = lambda text: F.array_distinct(T.norm_tokens(text))
+    sim = T.let(words(a), lambda x: T.let(words(b), lambda y: T.lexical_similarity(x, y)))  # each text's words once, not once a word
     level = F.rint(5 * (1.0 - sim) + T.noise(a, b, seed) * 3)
     j = j.withColumn("difference", F.greatest(F.lit(0.0), F.least(F.lit(5.0), level)).cast("int"))
     lower = lambda words: F.transform(words, F.lower)

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import guard
+from . import guard, pairs
 
 BACKENDS = ("mock", "hosted")
 MODES = ("align", "baseline")
@@ -68,8 +68,16 @@ def assert_dev_path(path: str) -> str:
 
 def sliced(items: DataFrame, order: str, offset: int = 0, limit: int | None = None) -> DataFrame:
     """Items from ``offset`` on in an order; a limit of 0 or none is no limit."""
-    rows = items.orderBy(order).offset(offset)
-    return rows.limit(limit) if limit else rows
+    if not limit:
+        return sliced_by(items.withColumn("_all", F.lit(0)), "_all", order, offset).drop("_all")
+    return items.orderBy(order).offset(offset).limit(limit)
+
+
+def sliced_by(items: DataFrame, group: str, order: str, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """As `sliced`, in each group: places come from a sort by range, so no partition gets all rows."""
+    place = pairs.ranked(items, [group], order)
+    last = F.col("r") <= offset + limit if limit else F.lit(True)
+    return place.filter((F.col("r") > offset) & last).select(*items.columns)
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:

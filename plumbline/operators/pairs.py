@@ -53,6 +53,10 @@ def pair_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(pairs: DataFrame) -> DataFrame:
-    """(pair_id, lang, side, text): a row for each text of a pair."""
+    """(pair_id, lang, side, text): a row for each text of a pair.
+
+    Texts are dealt by pair here, unless they are already: their tokens, many
+    times as many rows, then need no shuffle for what is asked of a pair or a text.
+    """
     one = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"text_{s}").alias("text")) for s in "ab"])).alias("s")
-    return pairs.select("pair_id", "lang", one).select("pair_id", "lang", "s.side", "s.text")
+    return pairs.repartition("pair_id").select("pair_id", "lang", one).select("pair_id", "lang", "s.side", "s.text")

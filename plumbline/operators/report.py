@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import evaluate as E
 from . import guard
+from .stored import stored
 
 # Numbers of the ids that the second evaluation leaves out.
 SUFFIXES = (18, 100, 106, 153, 196)
@@ -44,31 +45,43 @@ def evaluate(predictions: DataFrame, gold: DataFrame, languages: list[str], drop
     """One row for each variant (all ids; those not in ``drop``) and language with every measure.
 
     (variant, lang, n_gold_items, n_samples, n_tokens, len_mismatch_a, len_mismatch_b, coverage, missing, spearman, kendall, invalid_reason).
-    Missing ids are counted before any are dropped; coverage after.
+    Missing ids are counted before any are dropped; coverage after.  Predictions and
+    gold meet once; all measures of both variants come from what that wrote.
     """
     if require_full and (g := gaps(gold, predictions, languages).collect()):
         raise Incomplete("; ".join(f"{r['lang']}: {'none' if r['absent'] else r['n_missing']} missing {r['first_missing']}" for r in g))
     predictions = E.last_wins(predictions, "pair_id", "at") if "at" in predictions.columns else predictions
-    missing = E.missing(gold, predictions).groupBy("lang").agg(F.count(F.lit(1)).alias("missing"))
-    wanted = gold.sparkSession.createDataFrame([(x,) for x in languages], "lang string")
-    out = None
-    for variant in ("all", "excluding") if drop is not None else ("all",):
-        g = gold if variant == "all" else gold.join(drop, "pair_id", "left_anti")
-        scored = E.aligned(g, predictions)
-        cells = E.table(scored, "lang")
-        items = g.groupBy("lang").agg(F.count(F.lit(1)).alias("n_gold_items"))
-        tokens = scored.groupBy("lang").agg(F.count(F.lit(1)).alias("n_tokens"))
-        rows = wanted
-        for part in (items, E.length_mismatches(g, predictions), tokens, E.spearman(cells, "lang"), E.kendall(cells, "lang"), missing):
-            rows = rows.join(part, "lang", "left")
-        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-        rows = rows.select(
-            F.lit(variant).alias("variant"), "lang", zero("n_gold_items"), zero("n_samples"), zero("n_tokens"), zero("len_mismatch_a"), zero("len_mismatch_b"),
-            F.round(F.coalesce(F.try_divide("n_samples", "n_gold_items"), F.lit(0.0)), 6).alias("coverage"), zero("missing"), "spearman", "kendall",
-            invalid_reason(F.coalesce("n_samples", F.lit(0)), F.coalesce("n", F.lit(0)), F.col("spearman")).alias("invalid_reason"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    p = predictions.select("pair_id", F.col("labels_a").alias("pa"), F.col("labels_b").alias("pb"), F.lit(True).alias("there"))
+    both = gold.select("pair_id", "lang", "labels_a", "labels_b").join(p, "pair_id", "left")
+    one, two = F.array(F.lit("all")), F.array(F.lit("all"), F.lit("excluding"))
+    if drop is None:
+        both = both.withColumn("variants", one)
+    else:
+        both = both.join(drop.select("pair_id").distinct().withColumn("_out", F.lit(True)), "pair_id", "left").withColumn("variants", F.when(F.col("_out"), one).otherwise(two))
+    both = stored(both.select("pair_id", "lang", "labels_a", "labels_b", "pa", "pb", F.coalesce("there", F.lit(False)).alias("there"), "variants"), "evaluated")
+    # pairs and tokens are counted with their variants as an array, so each is counted once
+    here, count = F.col("there"), F.count_if
+    n_b = F.when(E.b_counts(), F.size("labels_b")).otherwise(0)
+    pairs = both.groupBy("variants", "lang").agg(
+        F.count(F.lit(1)).alias("n_gold_items"), count(here).alias("n_samples"), F.sum(F.when(here, F.size("labels_a") + n_b).otherwise(0)).alias("n_tokens"),
+        count(here & (F.size("labels_a") != F.size("pa"))).alias("len_mismatch_a"), count(here & E.b_counts() & (F.size("labels_b") != F.size("pb"))).alias("len_mismatch_b"),
+    )
+    counts = ("n_gold_items", "n_samples", "n_tokens", "len_mismatch_a", "len_mismatch_b")
+    pairs = pairs.select(F.explode("variants").alias("variant"), "lang", *counts).groupBy("variant", "lang").agg(*[F.sum(c).alias(c) for c in counts])
+    missing = both.filter(~here).groupBy("lang").agg(F.count(F.lit(1)).alias("missing"))
+    tokens = both.filter(here).select("variants", "lang", F.explode(E.zipped()).alias("x")).select("variants", "lang", "x.pred", "x.gold")
+    cells = E.table(tokens, "variants", "lang").select(F.explode("variants").alias("variant"), "lang", "pred", "gold", "w")
+    cells = stored(cells.groupBy("variant", "lang", "pred", "gold").agg(F.sum("w").alias("w")), "cells")
+    names = [(v, x) for v in (("all", "excluding") if drop is not None else ("all",)) for x in languages]
+    rows = gold.sparkSession.createDataFrame(names, "variant string, lang string")
+    keys = ["variant", "lang"]
+    rows = rows.join(pairs, keys, "left").join(E.spearman(cells, *keys), keys, "left").join(E.kendall(cells, *keys), keys, "left").join(missing, "lang", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select(
+        "variant", "lang", zero("n_gold_items"), zero("n_samples"), zero("n_tokens"), zero("len_mismatch_a"), zero("len_mismatch_b"),
+        F.round(F.coalesce(F.try_divide("n_samples", "n_gold_items"), F.lit(0.0)), 6).alias("coverage"), zero("missing"), "spearman", "kendall",
+        invalid_reason(F.coalesce("n_samples", F.lit(0)), F.coalesce("n", F.lit(0)), F.col("spearman")).alias("invalid_reason"),
+    )
 
 
 def matched(first: DataFrame, second: DataFrame, gold: DataFrame) -> DataFrame:
@@ -82,6 +95,12 @@ def matched(first: DataFrame, second: DataFrame, gold: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def matched_list(first: DataFrame, second: DataFrame, gold: DataFrame) -> DataFrame:
+    """(lang, pair_id): the ids that both methods have, in order."""
+    both = first.select("pair_id").distinct().join(second.select("pair_id").distinct(), "pair_id")
+    return gold.select("lang", "pair_id").join(both, "pair_id", "left_semi").select("lang", "pair_id").orderBy("lang", "pair_id")
+
+
 def compare_systems(systems: DataFrame, gold: DataFrame) -> DataFrame:
     """(system, lang, spearman, kendall, macro): rounded to four places; the macro is the mean of the rounded values, rounded.
 

@@ -108,10 +108,11 @@ def token_labels(tokens: DataFrame, ops: DataFrame, judged: DataFrame, sides: Da
 
 
 def label_stats(judged: DataFrame, sides: DataFrame) -> DataFrame:
-    """(span_matched, span_unmatched, parse_failures): how spans fared over all pairs."""
+    """(span_matched, span_unmatched, parse_failures, repairs): how spans and replies fared over all pairs."""
     p = span_places(judged, sides)
-    fails = judged.agg(F.count_if(F.col("difference").isNull()).alias("parse_failures"))
-    return p.agg(F.count_if(F.col("pos").isNotNull()).alias("span_matched"), F.count_if(F.col("pos").isNull()).alias("span_unmatched")).crossJoin(fails)
+    repairs = F.coalesce(F.sum("repairs"), F.lit(0)) if "repairs" in judged.columns else F.lit(0).cast("long")
+    fails = judged.agg(F.count_if(F.col("difference").isNull()).alias("parse_failures"), repairs.alias("repairs"))
+    return p.agg(F.count_if(F.col("pos").isNotNull()).alias("span_matched"), F.count_if(F.col("pos").isNull()).alias("span_unmatched")).crossJoin(fails)  # a row each
 
 
 def grid(spark: SparkSession, boosts=(0.0, 0.2, 0.4), omits=(0.7, 0.9, 1.0), adds=(0.7, 0.9, 1.0)) -> DataFrame:

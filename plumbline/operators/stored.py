@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -19,3 +20,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder}/plumbline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or a temporary one where that is unset and all run in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", "").rstrip("/")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+    return f"{folder}/plumbline/{name}-{uuid.uuid4().hex}"

@@ -30,14 +30,15 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import continuous, model, runs
 from .stored import stored
 
+_USAGE = {"prompt_tokens": "long", "completion_tokens": "long", "latency_ms": "double", "usage_estimated": "boolean"}
 WAITING, ANSWERED, FAILED = "waiting", "answered", "failed"
-STATE = "order long, key string, prompt string, replies array<string>, attempts int, tries int, repairs int, tokens long, unknown int, text string, model string, backend string, error string, status string"
+STATE = "order long, key string, prompt string, replies array<string>, attempts int, tries int, repairs int, tokens long, unknown int, prompt_tokens long, completion_tokens long, latency_ms double, usage_estimated boolean, text string, model string, backend string, error string, status string"
 
 
 @dataclass(frozen=True)
@@ -82,6 +83,7 @@ def attempt(admitted: DataFrame, backend: Callable[[], model.Backend], understoo
                     reply = client.complete(messages, rules.max_tokens, 0.0, r.tries)
                     known = reply.prompt_tokens is not None and reply.completion_tokens is not None
                     row |= {"tokens": r.tokens + (reply.prompt_tokens + reply.completion_tokens if known else 0), "unknown": r.unknown + (not known)}
+                    row |= {"prompt_tokens": reply.prompt_tokens, "completion_tokens": reply.completion_tokens, "latency_ms": reply.latency_ms, "usage_estimated": reply.usage_estimated}
                     row |= {"text": reply.text, "model": reply.model, "backend": reply.backend, "error": None, "status": ANSWERED}
                     if not understood(reply.text, r.prompt or "") and len(said) < rules.repairs:
                         row |= {"replies": [*said, reply.text], "repairs": r.repairs + 1, "tries": 0, "status": WAITING}
@@ -89,7 +91,8 @@ def attempt(admitted: DataFrame, backend: Callable[[], model.Backend], understoo
                     ended = not e.passing or r.tries >= rules.retries
                     row |= {"unknown": r.unknown + 1, "error": str(e)[:300], "status": FAILED if ended else WAITING}
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=names)
+            out = pd.DataFrame(rows, columns=names)
+            yield out.astype({"prompt_tokens": "Int64", "completion_tokens": "Int64", "usage_estimated": "boolean"})
 
     if rules.lanes:
         admitted = admitted.repartition(rules.lanes)
@@ -116,6 +119,7 @@ def run(
     budget = budget or runs.Budget(1 << 62, 1 << 62)
     numbered = runs.numbered(requests.select("key", "prompt"), "key")
     none = {"replies": F.array().cast("array<string>"), **{c: F.lit(0) for c in ("attempts", "tries", "repairs", "unknown")}, "tokens": F.lit(0).cast("long")}
+    none |= {c: F.lit(None).cast(t) for c, t in _USAGE.items()}
     none |= {c: F.lit(None).cast("string") for c in ("text", "model", "backend", "error")} | {"status": F.lit(WAITING)}
     columns = [c.split()[0] for c in STATE.split(", ")]
     state = stored(numbered.withColumns(none).withColumn("order", F.col("order").cast("long")).select(*columns), "wave-requests")
@@ -167,6 +171,7 @@ def replay(requests: DataFrame, replies: DataFrame) -> Outcome:
     known = F.col("text").isNotNull()
     used = F.floor((F.length("prompt") + F.length("text")) / 4).cast("long")
     columns = {"order": F.lit(0).cast("long"), "replies": F.array().cast("array<string>"), "attempts": F.lit(1), "tries": F.lit(1), "repairs": F.lit(0), "tokens": F.coalesce(used, F.lit(0)), "unknown": (~known).cast("int")}
+    columns |= {"prompt_tokens": F.floor(F.length("prompt") / 4).cast("long"), "completion_tokens": F.floor(F.length("text") / 4).cast("long"), "latency_ms": F.lit(0.0), "usage_estimated": F.lit(True)}
     columns |= {"model": F.lit("replay"), "backend": F.lit("replay"), "error": F.when(~known, F.lit("no reply is known")), "status": F.when(known, F.lit(ANSWERED)).otherwise(F.lit(FAILED))}
     return Outcome(told.withColumns(columns).select(*[c.split()[0] for c in STATE.split(", ")]), False)
 
@@ -182,3 +187,20 @@ def invoke(requests: DataFrame, cache: DataFrame, ask: Callable[[DataFrame], Out
     new = outcome.state.filter(F.col("status") == ANSWERED)
     told = known.select("key", "text", F.lit(True).alias("cached"), F.lit(None).cast("string").alias("error")).unionByName(outcome.state.filter(F.col("status") != WAITING).select("key", F.when(F.col("status") == ANSWERED, F.col("text")).alias("text"), F.lit(False).alias("cached"), "error"))
     return requests.join(told, "key", "left").drop("prompt"), new.select("key", "text", "model", "backend"), outcome
+
+
+def call_log(requests: DataFrame, found: DataFrame, state: DataFrame, run_id: str, kind: str) -> DataFrame:
+    """Call-log rows, one for each request (n, key, prompt, split, item_id) that was answered, failed, or found in the memory.
+
+    ``found`` and ``state`` are what `invoke` returns.  The usage of a call that
+    several requests share stands with the first of them; the others are cached.
+    """
+    told = state.select("key", "model", "backend", "error", *_USAGE, (F.col("status") == ANSWERED).alias("ok"))
+    j = requests.join(found.select("n", "cached"), "n").filter("cached is not null").join(told, "key", "left")
+    first = F.row_number().over(Window.partitionBy("key").orderBy("n")) == 1
+    called = ~F.col("cached") & F.col("_first")
+    usage = [F.when(called, F.col(c)).alias(c) for c in _USAGE]
+    return j.withColumn("_first", first).select(
+        F.current_timestamp().alias("ts"), F.lit(run_id).alias("run_id"), "split", "item_id", F.lit(kind).alias("kind"), "backend", "model", F.sha2(F.coalesce("prompt", F.lit("")), 256).alias("prompt_sha256"),
+        F.coalesce(F.length("prompt"), F.lit(0)).cast("long").alias("prompt_chars"), *usage, (~called).alias("cached"), F.coalesce("ok", F.lit(True)).alias("ok"), "error",
+    )

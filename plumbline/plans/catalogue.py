@@ -67,6 +67,12 @@ def punctuation_mask(spark: SparkSession, sf: str) -> DataFrame:
     return _tokens(spark, sf).groupBy("lang", "side").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(T.is_punctuation(F.col("tok"))).alias("n_punctuation"))
 
 
+@query
+def symbol_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of punctuation and symbols of any script, which a viewer leaves plain."""
+    return _tokens(spark, sf).groupBy("lang", "side").agg(F.count_if(T.is_symbols(F.col("tok"))).alias("n_symbols"))
+
+
 @query
 def terminal_flags(spark: SparkSession, sf: str) -> DataFrame:
     low = F.lower("tok")
@@ -152,6 +158,13 @@ def op_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return align.histogram(Pipeline(spark, sf).ops)
 
 
+@query
+def op_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """What a viewer highlights for each operation."""
+    p = Pipeline(spark, sf)
+    return align.op_tokens(p.ops, p.segments)
+
+
 @query
 def align_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return align.coverage(Pipeline(spark, sf).ops)

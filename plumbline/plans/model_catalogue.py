@@ -73,7 +73,7 @@ def model_token_labels(spark: SparkSession, sf: str) -> DataFrame:
     return score.token_labels(p.tokens, p.ops, _replied(p), p.sides).select("pair_id", "side", "idx", "tok", _r("label"))
 
 
-@says(oracle._with(oracle._replied(), "SELECT count(*) FILTER (pos IS NOT NULL) AS span_matched, count(*) FILTER (pos IS NULL) AS span_unmatched, (SELECT count(*) FROM judged WHERE difference IS NULL) AS parse_failures FROM places"))
+@says(oracle._with(oracle._replied(), "SELECT count(*) FILTER (pos IS NOT NULL) AS span_matched, count(*) FILTER (pos IS NULL) AS span_unmatched, (SELECT count(*) FROM judged WHERE difference IS NULL) AS parse_failures, 0::BIGINT AS repairs FROM places"))
 def model_label_stats(spark: SparkSession, sf: str) -> DataFrame:
     p = Pipeline(spark, sf)
     return score.label_stats(_replied(p), p.sides)

@@ -273,6 +273,8 @@ done AS (SELECT i.lang, n_intended, coalesce(n, 0) AS done, true AS started FROM
     t = {
         "tokens_offsets": _with(_tokens("docs"), "SELECT pair_id, side, idx::INT AS idx, tok, s::INT AS start_char, e::INT AS end_char FROM tokens"),
         "punctuation_mask": _with(_tokens("docs"), f"SELECT lang, side, count(*) AS n_tokens, count(*) FILTER (regexp_matches(tok, {_q(T.PUNCTUATION)})) AS n_punctuation FROM tokens GROUP BY ALL"),
+        "symbol_tokens": _with(_tokens("docs"), f"SELECT lang, side, count(*) FILTER (regexp_matches(tok, {_q(T.SYMBOLS)})) AS n_symbols FROM tokens GROUP BY ALL"),
+        "op_tokens": _with(_aligned(), "SELECT o.pair_id, op_idx::INT AS op_idx, side, min(tok_lo)::INT AS lo, max(tok_hi)::INT AS hi FROM ops o JOIN segments g ON g.pair_id = o.pair_id AND ((side = 'a' AND seg >= a_start AND seg < a_end) OR (side = 'b' AND seg >= b_start AND seg < b_end)) GROUP BY ALL"),
         "terminal_flags": _with(_tokens("docs"), f"SELECT lang, side, count(*) FILTER (regexp_matches(regexp_replace(tok, {_q(T.CLOSERS)}, ''), {_q(T.TERMINAL)})) AS n_terminal, count(*) FILTER (regexp_matches(lower(tok), {LOW_ENUM})) AS n_enumeration, count(*) FILTER (list_contains({_list(T.ABBREVIATIONS)}, lower(tok))) AS n_abbreviation FROM tokens GROUP BY ALL"),
         "segments": _with(_segments("docs"), "SELECT pair_id, side, seg::INT AS seg, tok_lo::INT AS tok_lo, tok_hi::INT AS tok_hi FROM segments"),
         "segment_texts": _with(_segments("docs"), "SELECT pair_id, side, seg::INT AS seg, char_lo::INT AS char_lo, text FROM segments"),
@@ -291,7 +293,7 @@ done AS (SELECT i.lang, n_intended, coalesce(n, 0) AS done, true AS started FROM
         "verbatim_spans": _with(_judged(), "SELECT pair_id, op_idx::INT AS op_idx, span_a, span_b FROM judged WHERE difference >= 2"),
         "span_token_ranges": _with(_judged(), "SELECT pair_id, op_idx::INT AS op_idx, side, pos::INT AS pos, min(idx)::INT AS lo, (max(idx) + 1)::INT AS hi FROM span_toks GROUP BY ALL"),
         "token_labels": _with(_labels(), "SELECT pair_id, side, idx::INT AS idx, tok, round(label, 6) AS label FROM token_labels"),
-        "label_stats": _with(_judged(), "SELECT count(*) FILTER (pos IS NOT NULL) AS span_matched, count(*) FILTER (pos IS NULL) AS span_unmatched, 0::BIGINT AS parse_failures FROM places"),
+        "label_stats": _with(_judged(), "SELECT count(*) FILTER (pos IS NOT NULL) AS span_matched, count(*) FILTER (pos IS NULL) AS span_unmatched, 0::BIGINT AS parse_failures, 0::BIGINT AS repairs FROM places"),
         "baseline_labels": _with(_baseline(), "SELECT pair_id, side, idx::INT AS idx, code::INT AS code, round(label, 6) AS label FROM baseline"),
         "sim_to_diff_map": "SELECT quality, round(CASE WHEN quality >= 0 THEN 1::DOUBLE - quality / 5::DOUBLE ELSE -1::DOUBLE END, 6) AS difference, count(*) AS n FROM labels GROUP BY ALL",
         "pred_gold_join": _with(ev, "SELECT lang, side, count(*) AS n_tokens, round(sum(pred), 4) AS sum_pred, round(sum(gold), 4) AS sum_gold FROM scored GROUP BY ALL"),

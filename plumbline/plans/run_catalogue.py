@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..functions import text as T
-from ..operators import baseline, lifecycle, model, pairs, report, runs, score
+from ..operators import baseline, lifecycle, model, pairs, report, runner, runs, score
+from ..operators.stored import shared_folder
 from ..streaming import scoring
 from . import oracle
 from .catalogue import Pipeline, _gold, _predictions, _r, _table, _tokens, query
@@ -270,3 +271,27 @@ def token_label_coverage(spark: SparkSession, sf: str) -> DataFrame:
     ok = (F.col("label") == -1) | F.col("label").between(0, 1)
     labels = score.token_labels(p.tokens, p.ops, p.judged, p.sides)
     return labels.groupBy("lang", "side").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(ok).alias("n_in_domain"))
+
+
+@says(oracle._with(oracle._labels() + """,
+told AS (SELECT pair_id AS id, n AS sa, m AS sb, 0 AS ops, 0 AS plain, 0 AS hit, 0 AS miss, 0 AS la, 0 AS lb, 0::DOUBLE AS t FROM sizes
+  UNION ALL SELECT pair_id, 0, 0, 1, (op = '1:1')::INT, 0, 0, 0, 0, 0 FROM ops UNION ALL SELECT pair_id, 0, 0, 0, 0, (pos IS NOT NULL)::INT, (pos IS NULL)::INT, 0, 0, 0 FROM places
+  UNION ALL SELECT pair_id, 0, 0, 0, 0, 0, 0, (side = 'a')::INT, (side = 'b')::INT, label FROM token_labels)""", "SELECT id, sum(sa)::BIGINT AS n_segments_a, sum(sb)::BIGINT AS n_segments_b, sum(ops)::BIGINT AS n_ops, sum(plain)::BIGINT AS n_plain, sum(hit)::BIGINT AS span_matched, sum(miss)::BIGINT AS span_unmatched, sum(la)::BIGINT AS n_labels_a, sum(lb)::BIGINT AS n_labels_b, round(sum(t), 4) AS total, false AS failed FROM told GROUP BY id"))
+def run_details(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over conversation pairs, its records written and read again."""
+    items = pairs.pair_conv(spark, sf).select(F.col("pair_id").alias("id"), "lang", "text_a", "text_b")
+    run = runner.predict(spark, shared_folder(spark, "runs"), items, runner.Plan("align", "dev/val", ("xx",)))
+    total = F.round(F.reduce(F.concat("labels_a", "labels_b"), F.lit(0.0), lambda s, x: s + x), 4)
+    stats = F.col("stats")
+    return run.details.select(
+        "id", F.size("segments_a").cast("long").alias("n_segments_a"), F.size("segments_b").cast("long").alias("n_segments_b"), F.size("ops").cast("long").alias("n_ops"),
+        F.coalesce(F.try_element_at(stats["ops"], F.lit("1:1")), F.lit(0)).alias("n_plain"), stats["span_matched"].alias("span_matched"), stats["span_unmatched"].alias("span_unmatched"),
+        F.size("labels_a").cast("long").alias("n_labels_a"), F.size("labels_b").cast("long").alias("n_labels_b"), total.alias("total"), "failed",
+    )
+
+
+@says(f"WITH {oracle.DOCS} SELECT lang, pair_id FROM pair_docs WHERE pair_id IN (SELECT doc_id FROM labels) AND pair_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def matched_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The ids of both methods, in order."""
+    known = _table(spark, sf, "labels").select(F.col("doc_id").alias("pair_id"), "quality")
+    return report.matched_list(known, known.filter("quality = 1"), pairs.pair_docs(spark, sf))

@@ -39,6 +39,17 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def find_predictions(spark: SparkSession, run: str, mode: str, backend: str, lang: str, prefix: str = "") -> str:
+    """The one file of a run's predictions of a mode, backend and language whose name begins with ``prefix``; none, or several, is an error."""
+    folder = f"{run.rstrip('/')}/predictions/mode={mode}/backend={backend}/lang={lang}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}*.json")
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    names = sorted(f.getPath().toString() for f in found or [])
+    if len(names) != 1:
+        raise ValueError(f"several prediction files: {names[:3]}" if names else f"no prediction file in {folder}")
+    return names[0]
+
+
 def write_predictions(df: DataFrame, path: str, partial: bool = False) -> None:
     """One folder for each mode, backend and language; what a cap cut short goes to a place of its own."""
     df.write.partitionBy("mode", "backend", "lang").mode("append").json(f"{path}/partial" if partial else f"{path}/predictions")

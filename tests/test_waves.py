@@ -116,3 +116,16 @@ def test_memory_and_equal_requests(spark):
 def test_no_requests(spark):
     out = waves.run(asked(spark).filter("false"), Moody, understood)
     assert out.state.count() == 0 and not out.capped and out.waves == []
+
+
+def test_the_call_log_has_every_field(spark):
+    from plumbline.sources import files
+
+    requests = spark.createDataFrame([(1, "a", "00", "i1"), (2, "b", "00b", "i2"), (3, "b", "00b", "i3"), (4, "c", "x", "i4")], "n long, key string, prompt string, item_id string").withColumn("split", F.lit("dev/val"))
+    cache = spark.createDataFrame([("a", "old", "m", "b")], "key string, text string, model string, backend string")
+    found, _, out = waves.invoke(requests.select("n", "key", "prompt"), cache, lambda missing: waves.run(missing, Moody, understood))
+    log = waves.call_log(requests, found, out.state, "r1", "judge")
+    assert [c.split()[0] for c in files.CALL.split(", ")] == log.columns
+    rows = {r.item_id: r for r in log.collect()}
+    assert [rows[i].cached for i in ("i1", "i2", "i3", "i4")] == [True, False, True, False]
+    assert rows["i2"].prompt_tokens == 10 and rows["i3"].prompt_tokens is None and rows["i4"].error == "gone" and not rows["i4"].ok and rows["i1"].ok
