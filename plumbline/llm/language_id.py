@@ -6,16 +6,18 @@ language given the true one, and the log-prior of the row's host.  A host's
 prior is its own counts smoothed towards its address suffix's, which are
 smoothed towards those of all rows, so a host with few rows follows its suffix.
 
-Languages are the declared values of the rows themselves, the most frequent
-``most_languages`` of those that ``min_rows`` rows declare.  One more hypothesis, UNKNOWN,
-stands for every other language and for noise: its model is the bigrams of all
-rows mixed with a uniform one, so a text that fits no language better than it
-fits all of them is not accepted.  A row's own bigrams are taken out of the models
-that learnt from it before it is scored.
+Languages are the declared values of the rows themselves, all of which ``min_rows``
+rows or more declare (a row's own bigrams are left out when it is scored, so one
+row alone teaches it nothing).  One more hypothesis, UNKNOWN, stands for every
+other language and for noise: its model is the bigrams of all rows mixed with a
+uniform one, so a text that fits no language better than it fits all of them is
+not accepted.  A row's own bigrams are taken out of the models that learnt from
+it before it is scored.
 
 Models and counts come from all rows by grouped aggregation; what reaches the
-driver is bounded: bigrams x languages, declared x languages, and one count for
-each language.
+driver is bounded by the declared values, a code list: the bigrams that occur
+(65,536 at most) x languages as Arrow columns, declared x languages, and one
+count for each language.
 
 Defined cases: null text is empty; a row without letters has no text evidence
 and is not accepted.  Null declared language, host or suffix are values of
@@ -39,13 +41,14 @@ from .common import store
 
 UNKNOWN = "und"
 CODES = 1 << 16
+#: Languages whose counts a task holds before it passes them on.
+MOST_HELD = 128
 
 
 @dataclass(frozen=True)
 class Settings:
     languages: tuple[str, ...] | None = None  # None: from the declared values
-    most_languages: int = 64
-    min_rows: int = 20
+    min_rows: int = 2
     uniform: float = 0.2  # share of the uniform model in UNKNOWN's
     smoothing: float = 0.5  # added to each bigram count
     text_weight: float = 0.25  # neighbouring bigrams tell much of the same
@@ -65,25 +68,31 @@ def letters(text: str) -> int:
 
 
 def languages_of(rows: DataFrame, s: Settings) -> tuple[str, ...]:
-    """The declared values that are languages, in order; at most ``most_languages``."""
+    """The declared values that are languages, in order."""
     if s.languages is not None:
         return s.languages
     found = rows.filter("declared <> ''").groupBy("declared").count().filter(F.col("count") >= s.min_rows)
-    return tuple(sorted(r["declared"] for r in found.orderBy(F.col("count").desc(), "declared").limit(s.most_languages).collect()))
+    return tuple(sorted(r["declared"] for r in found.collect()))  # a row a language
 
 
-def train(rows: DataFrame, languages: tuple[str, ...], s: Settings) -> np.ndarray:
-    """Counts of bigrams as an array [bigram, language], all languages' in the last column, from all rows (text, declared)."""
+def train(rows: DataFrame, languages: tuple[str, ...], s: Settings) -> Counts:
+    """Counts of bigrams by language, from all rows (text, declared)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), CODES), np.int64)
+        total: dict[int, np.ndarray] = {}
         at = {x: k for k, x in enumerate(languages)}
 
         def add(by: dict[int, list[np.ndarray]]) -> None:
             for k, codes in by.items():
-                total[k] += np.bincount(np.concatenate(codes), minlength=CODES)
+                total[k] = total.get(k, 0) + np.bincount(np.concatenate(codes), minlength=CODES)
             by.clear()
 
+        def told() -> Iterator[pa.RecordBatch]:
+            for k, n in total.items():
+                code = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array(code.astype(np.int32)), pa.array(n[code])], ["k", "code", "n"])
+            total.clear()
+
         for b in batches:
             by: dict[int, list[np.ndarray]] = {}
             held = 0
@@ -96,24 +105,44 @@ def train(rows: DataFrame, languages: tuple[str, ...], s: Settings) -> np.ndarra
                     add(by)
                     held = 0
             add(by)
-        k, code = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(total[k, code])], ["k", "code", "n"])
+            if len(total) > MOST_HELD:
+                yield from told()
+        yield from told()
 
     counted = rows.select("text", "declared").mapInArrow(count, "k int, code int, n long").groupBy("k", "code").agg(F.sum("n").alias("n"))
-    table = np.zeros((len(languages) + 1, CODES))
-    for r in counted.collect():  # at most 65,536 rows a language
-        table[r["k"], r["code"]] = r["n"]
-    table[-1] = table[:-1].sum(axis=0)
-    return np.ascontiguousarray(table.T)
+    found = counted.toArrow()
+    k, code, n = (found.column(c).to_numpy() for c in ("k", "code", "n"))
+    codes, at = np.unique(code, return_inverse=True)
+    table = np.zeros((len(codes), len(languages) + 1))
+    table[at, k] = n
+    table[:, -1] = table[:, :-1].sum(axis=1)
+    return Counts(codes.astype(np.int64), table)
+
+
+@dataclass
+class Counts:
+    """Bigrams that occur, ascending, and how often in each language, in the last column in all."""
+
+    codes: np.ndarray
+    table: np.ndarray
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        """The rows of some bigrams; zeros for those that do not occur."""
+        if not len(self.codes):
+            return np.zeros((len(code), self.table.shape[1]))
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where((self.codes[at] == code)[:, None], self.table[at], 0.0)
 
 
 class Model:
     """log P(second byte | first byte, language) from `train`'s counts; the last column is UNKNOWN's."""
 
-    def __init__(self, table: np.ndarray, s: Settings):
-        self.table, self.s = table, s
-        self.firsts = table.reshape(256, 256, -1).sum(axis=1)
-        self.logs = self._log(table, np.repeat(self.firsts, 256, axis=0))
+    def __init__(self, counts: Counts, s: Settings):
+        self.counts, self.s = counts, s
+        self.firsts = np.zeros((256, counts.table.shape[1]))
+        np.add.at(self.firsts, counts.codes >> 8, counts.table)
+        self.logs = Counts(counts.codes, self._log(counts.table, self.firsts[counts.codes >> 8]))
+        self.unseen = self._log(np.zeros_like(self.firsts), self.firsts)
 
     def _log(self, n: np.ndarray, of: np.ndarray) -> np.ndarray:
         p = (n + self.s.smoothing) / (of + 256 * self.s.smoothing)
@@ -123,16 +152,17 @@ class Model:
     def score(self, codes: np.ndarray, own: int | None) -> np.ndarray:
         """Log-likelihood of bigrams under each language; ``own``: the language that learnt from them."""
         code, n = np.unique(codes, return_counts=True)
-        logs = self.logs[code]
+        code = code.astype(np.int64)
+        first = code >> 8
+        logs = self.logs.of(code)
+        logs = np.where((logs == 0).all(axis=1)[:, None], self.unseen[first], logs)  # the log of a bigram that occurs is below 0
         if own is not None:
-            first = code >> 8
             mine = [own, -1]
-            logs = logs.copy()
-            logs[:, mine] = self._log(self.table[np.ix_(code, mine)] - n[:, None], (self.firsts[:, mine] - np.bincount(first, n, 256)[:, None])[first])
+            logs[:, mine] = self._log(self.counts.of(code)[:, mine] - n[:, None], (self.firsts[:, mine] - np.bincount(first, n, 256)[:, None])[first])
         return n @ logs
 
 
-def text_evidence(rows: DataFrame, languages: tuple[str, ...], table: np.ndarray, s: Settings) -> DataFrame:
+def text_evidence(rows: DataFrame, languages: tuple[str, ...], table: Counts, s: Settings) -> DataFrame:
     """(key, digest, declared, host, suffix, letters, evidence): evidence is each language's weighted log-likelihood, best at 0."""
 
     at, width = {x: k for k, x in enumerate(languages)}, len(languages) + 1
@@ -202,20 +232,30 @@ def identify(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
 
 
+_ADDRESS = r"[a-zA-Z]+://([^/:?#\s\"'<>]+)"
+_MARKUP = r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})"
+
+
+def _suffix(host: Column) -> Column:
+    return F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit(""))
+
+
 def evidence_of_documents(docs: DataFrame) -> DataFrame:
-    """Documents declare a language and have a source for host; they have no address."""
-    none = F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("key"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), none.alias("suffix"))
+    """Documents have a source for host; markup in the text declares a language before the column does, and the first address in it tells a suffix."""
+    text = F.coalesce("text", F.lit(""))
+    marked = F.when(F.contains(text, F.lit("<")), F.nullif(F.lower(F.regexp_extract(text, _MARKUP, 1)), F.lit("")))
+    suffix = F.when(F.contains(text, F.lit("://")), _suffix(F.lower(F.regexp_extract(text, _ADDRESS, 1))))
+    return docs.select(F.col("doc_id").cast("long").alias("key"), "text", F.coalesce(marked, F.col("lang")).alias("declared"), F.col("source").alias("host"), suffix.alias("suffix"))
 
 
 def evidence_of_pages(pages: DataFrame) -> DataFrame:
     """Pages: the text between tags, the language of the html element, the host and its last label."""
     bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " ")
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1))
-    declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})", 1))
+    declared = F.lower(F.regexp_extract("html", _MARKUP, 1))
     return pages.select(
         F.col("page_id").cast("long").alias("key"), bare.alias("text"), F.nullif(declared, F.lit("")).alias("declared"),
-        F.nullif(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit("")).alias("suffix"),
+        F.nullif(host, F.lit("")).alias("host"), _suffix(host).alias("suffix"),
     )
 
 

@@ -12,15 +12,19 @@ from . import bpe, chat, fingerprint, grid_join, language_id, packing, periods,
 from .common import documents, new_folder
 from .tokens import tokenizer_path
 
+ARRIVALS = 4
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Appends the table, compacts it, and reads every row back with its shard."""
+    """The table arrives in ARRIVALS parts, each appended as small shards; compaction after every second one; every row is read back with its shard."""
     shards = sharding.ShardStore(spark, new_folder(spark, "shards"))
-    shards.append(documents(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars"))
-    shards.compact()
-    shards.vacuum(min_age_s=0)  # nobody else writes to this new folder
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars")
+    for k in range(ARRIVALS):
+        shards.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))  # the parts make up the whole table
+        if k % 2:
+            shards.compact()
+            shards.vacuum(min_age_s=0)  # nobody else writes to this new folder
     return shards.read().select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars", "shard")
 
 

@@ -5,8 +5,12 @@ Compaction sorts shards into tiers, each four times as large as the one below,
 fills groups of similarly sized shards up to the target size, and rewrites each
 group of ``min_merge`` or more as one file.  Files never change.  What a reader
 sees is the newest manifest; a writer commits by renaming a finished manifest to
-the next version number, which fails if another writer was first (it then plans
-anew), so a reader or a crash never meets half a change.  Files that no kept
+the next version number, which fails if another writer was first, so a reader or a
+crash never meets half a change.  That needs a file system whose rename is atomic
+and refuses an existing target (HDFS, a local disk; an object store needs its own
+committer).  An append that lost the race adds its shards to the version that won;
+a compaction replaces its inputs in that version if they are all still there,
+since files never change, and gives up only where another compaction took one.  Files that no kept
 version names are removed by `vacuum` once they are too old to belong to an
 append or a compaction that is still at work.
 
@@ -21,6 +25,7 @@ such a column.
 from __future__ import annotations
 
 import json
+import random
 import time
 import uuid
 from dataclasses import asdict, dataclass
@@ -132,21 +137,28 @@ class ShardStore:
         folder = f"data/a-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").option("maxRecordsPerFile", self.small_rows).parquet(f"{self.root}/{folder}")
         new = [s for s in self._files(folder) if s.file.endswith(".parquet")]
+        return self._replace(set(), new, df.schema, attempts)
+
+    def _replace(self, gone: set[str], new: list[Shard], schema: StructType, attempts: int) -> Manifest:
+        """Commits the newest version without the files ``gone`` and with ``new``; a lost race is run again on the version that won it."""
         for k in range(attempts):
             old = self.manifest()
-            if old.schema and StructType.fromJson(json.loads(old.schema)).names != df.columns:
-                raise ValueError(f"columns are {df.columns}")
+            if old.schema and StructType.fromJson(json.loads(old.schema)).names != schema.names:
+                raise ValueError(f"columns are {schema.names}")
+            if not gone <= {s.file for s in old.shards}:
+                raise Conflict("another compaction has replaced some of the files")
             try:
-                return self._commit(old, df.schema.json(), [*old.shards, *new])
+                return self._commit(old, schema.json(), [*(s for s in old.shards if s.file not in gone), *new])
             except Conflict:
                 if k == attempts - 1:
                     raise
-        return old
+                time.sleep(random.uniform(0, 0.05 * 2**k))
+        raise AssertionError
 
-    def compact(self, broadcast_files: int = 100_000) -> Manifest:
+    def compact(self, broadcast_files: int = 100_000, attempts: int = 20) -> Manifest:
         """Rewrites every group of `plan`, and then what can be merged on, until no group is left; rows keep their file until the commit.
 
-        A group is a task and a file.  A lost race leaves the store as the last commit left it.
+        A group is a task and a file.  Appends meanwhile do no harm.
         """
         old = self.manifest()
         while groups := plan(old.shards, self.target, self.min_merge):
@@ -158,7 +170,7 @@ class ShardStore:
             rows.repartitionById(len(groups), F.col("group_no")).select("row.*").write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
             gone = {s.file for g in groups for s in g}
             new = [s for s in self._files(folder) if s.file.endswith(".parquet")]
-            old = self._commit(old, old.schema, [s for s in old.shards if s.file not in gone] + new)
+            old = self._replace(gone, new, StructType.fromJson(json.loads(old.schema)), attempts)
         return old
 
     def _rows(self, shards: list[Shard] | tuple[Shard, ...], schema: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Token ids in succinct binary shards: one wavelet matrix a file.
 
-File format: magic ``PLWM0001``; a little-endian uint32 and that many bytes of
-JSON header, which also says how many tokens the same task has written before;
-then blocks, each zstandard-compressed, whose sizes the header lists: document ids (int64), document token counts (uint32), and for each bit
-of a token, highest first, the bits of that level, eight to a byte.  A level
-holds the sequence in the order left by the levels above: zeros first, ones
-after, each in their old order.  Ranks come from counts kept for every 512 bits,
-built on opening.
+File format: magic ``PLWM0002``; a little-endian uint32 and that many bytes of
+JSON header (tokens, docs, levels, how many tokens the same task has written before,
+the zeros of each level, the sizes of the next three parts); an index; document ids
+(int64) and document token counts (uint32), zstandard-compressed; then for each bit
+of a token, highest first, the bits of that level, eight to a byte, in blocks of BLOCK
+bits, each compressed by itself or plain where that is no gain.  A level holds the
+sequence in the order left by the levels above: zeros first, ones after, each in
+their old order.  The index has the size of each block (uint16) and the ones before
+it in its level (uint32): with it `StoredMatrix` reads one block a level for an
+access, and as many for a rank, wherever in the file the token stands.
 
 Rows are dealt by doc_id ranges and sorted, so shards in name order hold the
 documents in ascending doc_id (null first; equal ids by text).  A task writes a
@@ -22,7 +25,7 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import new_folder, partitions, store
 from .tokens import encoder
 
-MAGIC = b"PLWM0001"
+MAGIC = b"PLWM0002"
+BLOCK = 8192
+MOST_IDS = 1 << 20
 SHARD_TOKENS = 2_000_000
 STEP = 512
 
@@ -172,15 +177,80 @@ class WaveletMatrix:
         return [self.select(symbol, k) for k in range(self.count(symbol))]
 
 
+class StoredMatrix(WaveletMatrix):
+    """The same over a file of which only the blocks that an answer needs are read.
+
+    ``read(at, size)`` returns bytes of the file; ``bytes_read`` adds up what was asked for.
+    """
+
+    def __init__(self, read: Callable[[int, int], bytes], blocks_held: int = 256):
+        import zstandard
+
+        self._read, self.bytes_read, self._held, self._most = read, 0, {}, blocks_held
+        self._plain = zstandard.ZstdDecompressor().decompress
+        start = self._get(0, 12)
+        size = struct.unpack("<I", start[8:])[0]
+        self.header = header_of(start + self._get(12, size))
+        self.n, self.levels, self.zeros = self.header["tokens"], self.header["levels"], self.header["zeros"]
+        index, ids, counts = self.header["parts"]
+        blocks = -(-self.n // BLOCK)
+        raw = self._get(12 + size, index)
+        self.sizes = np.frombuffer(raw, "<u2", blocks * self.levels).reshape(self.levels, blocks).astype(np.int64)
+        self.ones = np.frombuffer(raw, "<u4", offset=2 * blocks * self.levels).reshape(self.levels, blocks).astype(np.int64)
+        self.at = 12 + size + index + ids + counts + (np.cumsum(self.sizes) - self.sizes.ravel()).reshape(self.levels, blocks)
+
+    def _get(self, at: int, size: int) -> bytes:
+        self.bytes_read += size
+        return self._read(at, size)
+
+    def _block(self, k: int, b: int) -> np.ndarray:
+        if (k, b) not in self._held:
+            if len(self._held) >= self._most:
+                self._held.pop(next(iter(self._held)))
+            raw = self._get(int(self.at[k, b]), int(self.sizes[k, b]))
+            width = (min(BLOCK, self.n - b * BLOCK) + 7) // 8
+            self._held[k, b] = np.frombuffer(raw if len(raw) == width else self._plain(raw), np.uint8)
+        return self._held[k, b]
+
+    def _bit(self, k: int, i: int) -> int:
+        return int(self._block(k, i // BLOCK)[i % BLOCK >> 3]) >> (i & 7) & 1
+
+    def _ones(self, k: int, i: int) -> int:
+        b, rest = divmod(i, BLOCK)
+        if not rest:
+            return int(self.ones[k, b]) if b < self.ones.shape[1] else self.n - self.zeros[k]
+        block = self._block(k, b)
+        ones = int(self.ones[k, b]) + int(np.bitwise_count(block[: rest >> 3]).sum())
+        return ones + ((int(block[rest >> 3]) & ((1 << (rest & 7)) - 1)).bit_count() if rest & 7 else 0)
+
+    def _nth(self, k: int, bit: int, nth: int) -> int:
+        begins = np.arange(self.ones.shape[1]) * BLOCK
+        before = self.ones[k] if bit else begins - self.ones[k]
+        b = int(np.searchsorted(before, nth, "right")) - 1  # the last block with nth such bits or fewer before it
+        bits = np.unpackbits(self._block(k, b), count=min(BLOCK, self.n - b * BLOCK), bitorder="little")
+        return b * BLOCK + int(np.flatnonzero(bits == bit)[nth - int(before[b])])
+
+
 def to_bytes(doc_ids: np.ndarray, counts: np.ndarray, tokens: np.ndarray, levels: int, before: int = 0) -> bytes:
     """A shard file. doc_ids: int64, the smallest one for null; before: tokens of the same task in earlier files."""
     import zstandard
 
+    if len(tokens) and int(tokens.max()) >> levels:
+        raise ValueError(f"an id of {int(tokens.max())} does not fit in {levels} levels")
     press = zstandard.ZstdCompressor(level=1).compress
-    planes = WaveletMatrix.build(tokens, levels).planes
-    blocks = [press(x.tobytes()) for x in (doc_ids.astype("<i8"), counts.astype("<u4"), *planes)]
-    header = json.dumps({"tokens": len(tokens), "docs": len(doc_ids), "levels": levels, "before": before, "blocks": [len(b) for b in blocks]}).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *blocks])
+    matrix = WaveletMatrix.build(tokens, levels)
+    step, blocks, ones = BLOCK // 8, [], []
+    for plane in matrix.planes:
+        raw = plane.tobytes()
+        pieces = [raw[k : k + step] for k in range(0, len(raw), step)]
+        small = [press(p) for p in pieces]
+        blocks += [c if len(c) < len(p) else p for c, p in zip(small, pieces, strict=True)]
+        each = np.add.reduceat(np.bitwise_count(plane).astype(np.int64), np.arange(0, len(plane), step)) if len(plane) else np.empty(0, np.int64)
+        ones.append(np.cumsum(each) - each)
+    index = np.array([len(b) for b in blocks], "<u2").tobytes() + np.concatenate([np.empty(0, np.int64), *ones]).astype("<u4").tobytes()
+    parts = [index, press(doc_ids.astype("<i8").tobytes()), press(counts.astype("<u4").tobytes())]
+    header = json.dumps({"tokens": len(tokens), "docs": len(doc_ids), "levels": levels, "before": before, "zeros": matrix.zeros, "parts": [len(p) for p in parts]}).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *parts, *blocks])
 
 
 def header_of(data: bytes) -> dict:
@@ -190,16 +260,19 @@ def header_of(data: bytes) -> dict:
 
 
 def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """Document ids, token counts and the wavelet matrix of a shard file."""
+    """Document ids, token counts and the wavelet matrix, whole, of a shard file."""
     import zstandard
 
-    header, blocks = header_of(data), []
-    at = 12 + struct.unpack("<I", data[8:12])[0]
-    for n in header["blocks"]:
-        blocks.append(zstandard.ZstdDecompressor().decompress(data[at : at + n]))
-        at += n
-    planes = [np.frombuffer(b, np.uint8) for b in blocks[2:]]
-    return np.frombuffer(blocks[0], "<i8"), np.frombuffer(blocks[1], "<u4"), WaveletMatrix(header["tokens"], planes)
+    stored = StoredMatrix(lambda at, size: data[at : at + size])
+    plain = zstandard.ZstdDecompressor().decompress
+    at = 12 + struct.unpack("<I", data[8:12])[0] + stored.header["parts"][0]
+    keys, counts = (plain(data[a : a + n]) for a, n in zip((at, at + stored.header["parts"][1]), stored.header["parts"][1:], strict=True))
+    width = np.minimum(BLOCK, stored.n - np.arange(stored.sizes.shape[1]) * BLOCK) + 7 >> 3
+    planes = []
+    for k in range(stored.levels):
+        cut = zip(stored.at[k].tolist(), stored.sizes[k].tolist(), width.tolist(), strict=True)
+        planes.append(np.frombuffer(b"".join([data[a : a + n] if n == w else plain(data[a : a + n]) for a, n, w in cut]), np.uint8))
+    return np.frombuffer(keys, "<i8"), np.frombuffer(counts, "<u4"), WaveletMatrix(stored.n, planes)
 
 
 NULL_ID = -(1 << 63)
@@ -282,6 +355,35 @@ def read(spark: SparkSession, folder: str, shards: DataFrame, end_id: int = 2) -
     return files.join(few, "task").select("first", "content").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
+def occurrences(spark: SparkSession, folder: str, shards: DataFrame, ids: DataFrame, most: int = 10) -> DataFrame:
+    """(id, shard, n, first): how often each of ``ids`` (id; distinct) stands in each shard that has it, and its first ``most`` places there.
+
+    Nothing is decoded: a file is opened for its index, and blocks are read for the ranks and selects that the answer needs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store_at, base = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            rows = []
+            for shard, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store_at.open_input_file(f"{base}/{shard}") as f:
+                    matrix = StoredMatrix(lambda at, size, f=f: f.read_at(size, at))
+                    for x in wanted:
+                        if n := matrix.count(x):
+                            rows.append((x, shard, n, [matrix.select(x, k) for k in range(min(n, most))]))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "shard", "n", "first"])
+
+    wanted = sorted(r["id"] for r in ids.select("id").distinct().limit(MOST_IDS + 1).collect())
+    if len(wanted) > MOST_IDS:
+        raise ValueError(f"more than {MOST_IDS} ids: no vocabulary has as many")
+    asked = shards.select("shard").repartition(partitions(spark)).withColumn("ids", F.array(*[F.lit(x).cast("long") for x in wanted]) if wanted else F.array().cast("array<long>"))
+    return asked.mapInArrow(run, "id long, shard string, n long, first array<long>")
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2, levels: int = 16, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes all documents as shards into a new shared folder and reads every document back."""
     spark = docs.sparkSession

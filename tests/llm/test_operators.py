@@ -439,3 +439,116 @@ def test_paragraphs_make_a_table_of_words(spark):
     got = {r.doc_id: r.ids for r in bpe.encoded(docs, path, lambda ids, decoded: (ids, decoded), "ids binary, decoded string").collect()}
     encoder = tokens.Encoder(path)
     assert all(bytes(got[k]) == encoder.library(t) for k, t in enumerate(texts[:50]))
+
+
+def test_address_and_markup_decide_in_the_query(spark, tmp_path):
+    """A text that tells nothing is judged by the address in it; markup is believed before the column."""
+    from plumbline.llm.queries import op4_language_id
+
+    # the letters of both suffixes stand equally often in both languages: only the address tells
+    en, fr = "the house and the tree stand there <html lang .fr/ .fr/ .uk/ http://a.uk/", "la maison et un arbre sont là <html lang .fr/ .uk/ .uk/ http://a.fr/"
+    rows = [(k, f"{en if k % 2 else fr} {k}", "en" if k % 2 else "fr", f"s{k % 2}") for k in range(1200)]
+    rows += [(10000, "http://a.fr/ .uk/", None, "new"), (10001, "http://a.uk/ .fr/", None, "new")]
+    rows += [(10003, "<html lang=fr <html lang .fr/ .uk/ <html lang", "en", "new"), (10004, "<html lang fr <html lang .fr/ .uk/ <html lang", "en", "new")]
+    spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op4_language_id(spark, str(tmp_path)).collect()}
+    evidence = language_id.evidence_of_documents(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    without = {r.key: r.lang for r in language_id.identify(evidence.withColumn("suffix", F.lit(None).cast("string"))).collect()}
+    assert [got[k].lang for k in (10000, 10001)] == ["fr", "en"] and without[10000] == without[10001]
+    assert got[10003].declared == "fr" and got[10004].declared == "en"
+    assert got[10003].lang == "fr" and got[10004].lang == "en"
+
+
+def test_a_rare_language_has_a_model(spark):
+    """Seventy languages, of five rows each: each is told from the others."""
+    import random
+
+    r = random.Random(3)
+    alphabet = [chr(c) for c in range(0x100, 0x180)]
+    words = {f"l{k}": ["".join(r.choices(r.sample(alphabet, 12), k=5)) for _ in range(12)] for k in range(70)}
+    rows = [(k * 5 + i, " ".join(r.choices(ws, k=60)), lang, "h", None) for k, (lang, ws) in enumerate(words.items()) for i in range(5)]
+    df = spark.createDataFrame(rows, "key long, text string, declared string, host string, suffix string")
+    got = language_id.identify(df).collect()
+    assert sum(x.lang == x.declared and x.accepted for x in got) >= 0.97 * len(got)
+
+
+def test_a_compaction_that_loses_a_race_commits_on_the_version_that_won(spark, awkward):
+    store = sharding.ShardStore(spark, new_folder(spark, "t-shards"), target=1 << 20, small_rows=2, min_merge=2)
+    store.append(awkward)
+    store.append(awkward)
+    commit, lost = store._commit, []
+
+    def late(*args):
+        if len(lost) < 2:  # an append gets in before the compaction's first two tries
+            lost.append(sharding.ShardStore(spark, store.root, small_rows=100).append(awkward).version)
+        return commit(*args)
+
+    store._commit = late
+    after = store.compact()
+    store._commit = commit
+    assert len(lost) == 2 and after.version > max(lost) and rows(store.read(), *awkward.columns) == Counter({k: 4 * v for k, v in rows(awkward, "*").items()})
+
+
+def test_two_compactions_of_the_same_files_do_not_both_commit(spark, awkward):
+    store = sharding.ShardStore(spark, new_folder(spark, "t-shards"), target=1 << 20, small_rows=2, min_merge=2)
+    store.append(awkward)
+    commit, won = store._commit, []
+
+    def late(*args):
+        if not won:
+            won.append(sharding.ShardStore(spark, store.root, target=1 << 20, min_merge=2).compact())
+        return commit(*args)
+
+    store._commit = late
+    with pytest.raises(sharding.Conflict):
+        store.compact()
+    assert rows(store.read(), *awkward.columns) == rows(awkward, "*")
+
+
+def test_arrivals_make_up_the_whole_table(spark, empty):
+    from plumbline.llm.queries import op1_sharding
+
+    got = op1_sharding(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert rows(got, "doc_id", "text_sha256", "lang", "source", "n_chars") == rows(docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars"), "*")
+
+
+def test_an_access_reads_a_few_blocks_of_a_shard():
+    r = np.random.default_rng(2)
+    x = np.minimum(r.zipf(1.3, 400_000), 50_000).astype(np.uint32)
+    data = wavelet.to_bytes(np.array([3], np.int64), np.array([len(x)], np.uint32), x, 16)
+    keys, counts, whole = wavelet.from_bytes(data)
+    assert keys.tolist() == [3] and counts.tolist() == [len(x)] and (whole.decode() == x).all()
+    open_ = lambda: wavelet.StoredMatrix(lambda at, size: data[at : at + size])
+    m = open_()
+    opened = m.bytes_read
+    assert opened < 8000
+    assert m.access(123_456) == x[123_456] and m.bytes_read - opened <= 16 * (wavelet.BLOCK // 8)
+    for i in (0, 1, wavelet.BLOCK - 1, wavelet.BLOCK, len(x) - 1):
+        assert m.access(i) == x[i]
+    for s in (1, 2, 77, 49_999, 50_000, 60_000, 70_000):
+        at = np.flatnonzero(x == s)
+        assert m.count(s) == len(at) and m.rank(s, 200_000) == (at < 200_000).sum() and m.rank(s, len(x)) == len(at)
+        for k in {0, len(at) // 2, len(at) - 1} if len(at) else ():
+            assert m.select(s, k) == at[k]
+    with pytest.raises(IndexError):
+        m.access(len(x))
+    with pytest.raises(ValueError, match="does not fit"):
+        wavelet.to_bytes(keys, counts, np.array([70_000], np.uint32), 16)
+    empty = wavelet.StoredMatrix(lambda at, size, d=wavelet.to_bytes(np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint32), 16): d[at : at + size])
+    assert empty.count(5) == 0 and len(m._held) <= 256
+
+
+def test_occurrences_over_shards(spark, awkward):
+    folder = new_folder(spark, "t-tokens")
+    shards = wavelet.store(wavelet.write(awkward, BYTE, folder, shard_tokens=60), "t-manifest")
+    ids = spark.createDataFrame([(2,), (13,), (262,), (49_000,)], "id long")
+    got = {(r.id, r.shard): (r.n, list(r.first)) for r in wavelet.occurrences(spark, folder, shards, ids, 3).collect()}
+    want = {}
+    for f in spark.read.format("binaryFile").load(folder + "/*.plwm").collect():
+        x = wavelet.from_bytes(bytes(f.content))[2].decode()
+        for s in (2, 13, 262, 49_000):
+            at = np.flatnonzero(x == s).tolist()
+            if at:
+                want[s, f.path.rsplit("/", 1)[-1]] = (len(at), at[:3])
+    assert got == want and len(want) > 4
