@@ -23,8 +23,12 @@ def aligned(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     Side B counts only where some gold label of it is not -1.
     """
     p = predictions.select("pair_id", F.col("labels_a").alias("pa"), F.col("labels_b").alias("pb"))
-    j = gold.join(p, "pair_id")
-    return j.select("pair_id", "lang", F.explode(zipped()).alias("x")).select("pair_id", "lang", "x.*")
+    return exploded(gold.join(p, "pair_id"))
+
+
+def exploded(joined: DataFrame) -> DataFrame:
+    """`aligned` of rows that hold gold labels (labels_a, labels_b) and predictions (pa, pb) already."""
+    return joined.select("pair_id", "lang", F.explode(zipped()).alias("x")).select("pair_id", "lang", "x.*")
 
 
 def b_counts() -> Column:

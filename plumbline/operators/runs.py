@@ -112,17 +112,10 @@ def within_budget(requests: DataFrame, order: str, call: Callable[[DataFrame], D
         size = min(batch, n - at, (budget.max_requests - budget.requests) // worst)
         if not size:
             return answers, True
-        answer = written(call(requests.filter((F.col(order) >= at) & (F.col(order) < at + size))))
+        answer = stored(call(requests.filter((F.col(order) >= at) & (F.col(order) < at + size))), "answers")
         tries = F.sum("attempts") if "attempts" in answer.columns else F.count(F.lit(1))
         told = answer.agg(tries.alias("n"), F.sum("tokens").alias("t"), F.count_if(F.col("tokens").isNull()).alias("u")).first()
         budget.charge(told["n"] or 0, told["t"] or 0, told["u"])
         answers.append(answer)
         at += size
     return answers, False
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Rows that are made exactly once: in the shared folder, or, where none is set, on the driver, since a batch is small."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", ""):
-        return stored(df, "answers")
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)

@@ -1,4 +1,4 @@
-"""Steps that several later ones read."""
+"""Steps that several later ones read, and the folder they are kept in."""
 
 from __future__ import annotations
 
@@ -7,19 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` made once: written under ``spark.checkpoint.dir`` and read again, so that the loss of an executor costs a reread.
-
-    Where that folder is not set it is persisted instead, and lost parts are made again.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "").rstrip("/")
-    if not folder:
-        return df.persist()
-    path = f"{folder}/plumbline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_own: list[str] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -28,5 +16,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="plumbline-"))
+        folder = _own[0]
     return f"{folder}/plumbline/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` made once: written in a shared folder and read again, so that the loss of an executor costs a reread."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -230,15 +230,27 @@ def _gold(spark: SparkSession, sf: str) -> DataFrame:
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Baseline labels of the pairs whose English document is in ``labels``, as a reader that cuts text at single spaces has them."""
     r = baseline.records(baseline.labels(_tokens(spark, sf)))
-    cut = pairs.pair_docs(spark, sf).select("pair_id", *[F.size(F.split(f"text_{s}", " ")).alias(f"cut_{s}") for s in "ab"])
-    some = _table(spark, sf, "labels").select(F.col("doc_id").alias("pair_id")).distinct()
-    r = r.join(some, "pair_id", "left_semi").join(cut, "pair_id")
-    sized = lambda s: F.transform(F.sequence(F.lit(0), F.col(f"cut_{s}") - 1), lambda k: F.coalesce(F.get(f"labels_{s}", k), F.lit(0.0))).alias(f"labels_{s}")
-    return r.select("pair_id", "lang", sized("a"), sized("b"))
+    r = r.join(_with_predictions(spark, sf), "pair_id", "left_semi").join(_cuts(spark, sf), "pair_id")
+    return r.select("pair_id", "lang", *[_cut(f"labels_{s}", f"cut_{s}").alias(f"labels_{s}") for s in "ab"])
+
+
+def _cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """(pair_id, cut_a, cut_b): words of a text for a reader that cuts it at single spaces."""
+    return pairs.pair_docs(spark, sf).select("pair_id", *[F.size(F.split(f"text_{s}", " ")).alias(f"cut_{s}") for s in "ab"])
+
+
+def _cut(labels: str, size: str) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.col(size) - 1), lambda k: F.coalesce(F.get(labels, k), F.lit(0.0)))
 
 
 def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.aligned(_gold(spark, sf), _predictions(spark, sf))
+    """Gold labels with the `_predictions` of the same tokens, which are made once for both and meet in their pair's row."""
+    t = baseline.labels(_tokens(spark, sf)).withColumn("gold", baseline.gold_label())
+    listed = lambda s, c: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("idx", c)))).getField(c)
+    names = {"labels_a": ("a", "gold"), "labels_b": ("b", "gold"), "pa": ("a", "label"), "pb": ("b", "label")}
+    rows = t.groupBy("pair_id", "lang").agg(*[F.coalesce(listed(*x), F.array().cast("array<double>")).alias(k) for k, x in names.items()])
+    rows = rows.join(_with_predictions(spark, sf), "pair_id", "left_semi").join(_cuts(spark, sf), "pair_id")
+    return evaluate.exploded(rows.withColumns({f"p{s}": _cut(f"p{s}", f"cut_{s}") for s in "ab"}))
 
 
 @query
@@ -438,4 +450,4 @@ def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def last_duplicate_wins(spark: SparkSession, sf: str) -> DataFrame:
     d = _table(spark, sf, "documents").select("source", "doc_id", (F.col("n_chars") * 100000000 + F.col("doc_id")).alias("at"))
-    return d.groupBy("source").agg(F.max_by("doc_id", "at").alias("doc_id"))
+    return evaluate.last_wins(d, "source", "at").select("source", "doc_id")

@@ -129,3 +129,26 @@ def test_the_call_log_has_every_field(spark):
     rows = {r.item_id: r for r in log.collect()}
     assert [rows[i].cached for i in ("i1", "i2", "i3", "i4")] == [True, False, True, False]
     assert rows["i2"].prompt_tokens == 10 and rows["i3"].prompt_tokens is None and rows["i4"].error == "gone" and not rows["i4"].ok and rows["i1"].ok
+
+
+class Breaking:
+    """Labels the first sentence only, and breaks off; all of it when asked again."""
+
+    def complete(self, messages, max_tokens, temperature, seed):
+        prompt = messages[0]["content"]
+        asked = json.loads(prompt[prompt.rfind("<request>") + 9 : prompt.rfind("</request>")])
+        first = json.dumps([[t, 5] for t in asked["sentence1"]])
+        second = json.dumps([[t, 0] for t in asked["sentence2"]])
+        text = f'{{"sentence1": {first}, "sent' if len(messages) == 1 else f'{{"sentence1": {first}, "sentence2": {second}}}'
+        return model.Reply(text, prompt_tokens=1, completion_tokens=1)
+
+
+def test_a_baseline_is_asked_again_until_it_is_complete(spark):
+    from plumbline.operators import baseline
+
+    d = spark.createDataFrame([("p", "de", "a b c", "x y z"), ("q", "de", "a", None)], "pair_id string, lang string, text_a string, text_b string")
+    requests = baseline.requests(d, "m").cache()
+    out = waves.run(requests.select("key", "prompt").dropDuplicates(["key"]), Breaking, baseline.complete, rules=waves.Rules(repairs=1))
+    got = {r.pair_id: r for r in baseline.replied(requests, out.state).collect()}
+    assert got["p"].labels_a == [0.0] * 3 and got["p"].labels_b == [1.0] * 3 and got["q"].labels_a == [0.0] and got["q"].labels_b == []
+    assert sorted(r.repairs for r in out.state.collect()) == [0, 1]
