@@ -134,3 +134,16 @@ def baseline_replies(spark: SparkSession, sf: str) -> DataFrame:
     read = baseline.replied(requests, waves.replay(requests.select("key", "prompt").dropDuplicates(["key"]), replies).state)
     one = F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"labels_{s}").alias("labels")) for s in "ab"]))
     return read.select("pair_id", one).select("pair_id", "side", F.posexplode("labels").alias("idx", "label")).select("pair_id", "side", "idx", _r("label"))
+
+
+@says(f"""WITH q AS (SELECT doc_id, lang, text, length(lang || ':' || text) AS n, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id) = 1 AS called FROM documents)
+SELECT doc_id::VARCHAR AS item_id, NOT called AS cached, true AS ok, n::BIGINT AS prompt_chars, CASE WHEN called THEN (n // 4)::BIGINT END AS prompt_tokens,
+  CASE WHEN called THEN (length('{{"n": ' || n || '}}') // 4)::BIGINT END AS completion_tokens, sha256(lang || ':' || text) AS prompt_sha256 FROM q""")
+def call_log_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of a run over all documents: equal texts share a call."""
+    prompt = F.concat("lang", F.lit(":"), "text")
+    requests = _table(spark, sf, "documents").select(F.col("doc_id").alias("n"), model.call_key(F.lit("m"), prompt, F.lit(0)).alias("key"), prompt.alias("prompt"), F.lit("dev/val").alias("split"), F.col("doc_id").cast("string").alias("item_id"))
+    none = spark.createDataFrame([], "key string, text string, model string, backend string")
+    found, _, out = waves.invoke(requests.select("n", "key", "prompt"), none, lambda missing: waves.run(missing, _Uneven, lambda text, prompt: text.startswith("{"), sleep=lambda s: None))
+    log = waves.call_log(requests, found, out.state, "r1", "judge")
+    return log.select("item_id", "cached", "ok", "prompt_chars", "prompt_tokens", "completion_tokens", "prompt_sha256")
