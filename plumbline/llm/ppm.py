@@ -44,6 +44,8 @@ ORDER = 5
 TEXT_END = 0x0A
 MASKS = [(1 << 8 * k) - 1 for k in range(ORDER + 1)]
 #: Words of a batch of texts whose bytes are made at once.
+#: Text of a block: its steps, in two tasks of an executor, are most of the memory.
+BLOCK_CHARS = 8_000_000
 BATCH_WORDS = 100_000
 _MIX = 0x9E3779B97F4A7C15
 
@@ -312,7 +314,7 @@ def word_counts(of_words: DataFrame) -> DataFrame:
 def scored(docs: DataFrame, test: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; rows with ``test`` true are not learnt from."""
     buckets = words.bucket_count(docs, text)
-    table = words.coded(docs, _splitter, ~test, "ppm-words", buckets, key, text, extra=_steps)
+    table = words.coded(docs, _splitter, ~test, "ppm-words", buckets, key, text, extra=_steps, block_chars=BLOCK_CHARS)
     counts = store(word_counts(words.words_of(table)), "ppm-counts")
     row = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_train = table.select(F.explode("flag").alias("flag")).filter("flag").count()

@@ -1,6 +1,6 @@
 """Documents as numbers into the word table of their block.
 
-A block is a run of documents of one task, about BLOCK_CHARS of text.  Each of
+A block is a run of documents of one task, about BLOCK_CHARS of text (or as many as the caller says).  Each of
 its distinct words is written once; a document is the sequence of its words'
 numbers in the block, most frequent first, so that numbers are short.  What has
 to be known about a word is joined to (block, bucket) rows, each the block's
@@ -109,7 +109,7 @@ def unpack_words(data: bytes) -> list[bytes]:
 Extra = Callable[[list[np.ndarray], list[bool], list[bytes]], bytes]
 
 
-def coded(docs: DataFrame, cut: Callable[[], Callable[[str], list]], flag: Column, name: str, buckets: int, key: str = "doc_id", text: str = "text", extra: Extra | None = None) -> DataFrame:
+def coded(docs: DataFrame, cut: Callable[[], Callable[[str], list]], flag: Column, name: str, buckets: int, key: str = "doc_id", text: str = "text", extra: Extra | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The stored rows of SCHEMA for all documents, in files by hash of block: they are grouped by block without a shuffle.
 
     ``cut()`` gives a worker its function from a text to its words (str or
@@ -163,7 +163,7 @@ def coded(docs: DataFrame, cut: Callable[[], Callable[[str], list]], flag: Colum
                     book[w] = len(book)
                 kept.append((doc, flagged, np.fromiter(map(book.__getitem__, found), np.uint32, len(found))))
                 chars += len(value)
-                if chars >= BLOCK_CHARS:
+                if chars >= block_chars:
                     yield from rows()
         if kept:
             yield from rows()
