@@ -60,7 +60,7 @@ def steps(items: DataFrame, plan: Plan) -> Steps:
     """``items``: (pair_id, lang, text_a, text_b), judged by the deterministic backend."""
     sides = pairs.sides(items)
     tokens = segment.tokens(sides)
-    segments = stored(segment.segments(tokens), "run-segments")
+    segments = stored(segment.segments_of(sides), "run-segments")
     matrix = similarity.matrix(segments, plan.seed)
     ops = stored(align.operations_of(matrix), "run-operations")
     judged = stored(judge.judgments(ops, segments, plan.seed), "run-judgments")
@@ -102,7 +102,7 @@ def align_records(s: Steps, plan: Plan) -> DataFrame:
 
 def baseline_records(items: DataFrame, plan: Plan) -> DataFrame:
     """(pair_id, labels_a, labels_b) by the deterministic whole-document backend."""
-    return baseline.records(baseline.labels(segment.tokens(pairs.sides(items)), plan.seed)).drop("lang")
+    return baseline.records(baseline.labels(segment.words(pairs.sides(items)), plan.seed)).drop("lang")
 
 
 def details(gold: DataFrame, records: DataFrame, plan: Plan, run_id: str, errors: DataFrame | None = None) -> DataFrame:
