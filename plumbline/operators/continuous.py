@@ -22,8 +22,10 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import evaluate
 from .stored import stored
@@ -78,6 +80,33 @@ def range_of(value: Column, cuts: Column, ranges: int) -> Column:
     return F.element_at(F.transform(F.array(below), lambda k: 2 * k + F.coalesce(F.get(cuts, k) == value, F.lit(False)).cast("int")), 1)
 
 
+def ranges_of(values: dict[str, Column], group: Column, known: list[dict[str, np.ndarray]]) -> Column:
+    """A struct of `range_of` for each of ``values``: ``known`` has the cuts of every group, by its number.
+
+    Cuts go to the tasks once; as columns they would be copied into every row.
+    """
+    names = list(values)
+    kind = pa.struct([(c, pa.int32()) for c in names])
+
+    def place(group: pa.Array, *columns: pa.Array) -> pa.Array:
+        groups, out = group.to_numpy(zero_copy_only=False), []
+        for c, column in zip(names, columns, strict=True):
+            value = column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            at = np.zeros(len(value), np.int32)
+            for g in np.unique(groups).tolist():
+                own, cut = groups == g, known[g][c]
+                v = value[own]
+                below = np.searchsorted(cut, v)
+                hit = cut[np.minimum(below, len(cut) - 1)] if len(cut) else np.zeros(len(v))
+                equal = (below < len(cut)) & ((hit == v) | (np.isnan(hit) & np.isnan(v)))
+                at[own] = 2 * below + equal
+            out.append(pa.array(np.where(column.is_null().to_numpy(zero_copy_only=False), 0, at), pa.int32()))
+        return pa.StructArray.from_arrays(out, fields=list(kind))
+
+    place.__annotations__ = {"group": pa.Array, "columns": pa.Array, "return": pa.Array}
+    return F.arrow_udf(place, "struct<" + ",".join(f"`{c}`:int" for c in names) + ">")(group, *values.values())
+
+
 def earlier_and_less(place: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """For each element the weight of earlier elements whose ``place`` (from 0, no gaps) is less: one pass over all for each bit."""
     out = np.zeros(len(place), np.int64)
@@ -135,10 +164,17 @@ def kendall(cells: DataFrame, *keys: str, ranges: int | None = None) -> DataFram
         ranges = min(MOST_RANGES, max(8, cells.count() // RANGE_ROWS))
     bounds = cuts(cells, "pred", ranges, *keys).join(cuts(cells, "gold", ranges, *keys), list(keys))
     bounds = stored(bounds, "cuts")  # a row a group
-    few = bounds.count() * ranges <= BROADCAST_VALUES
-    placed = cells.join(F.broadcast(bounds) if few else bounds, list(keys))
-    for c in ("pred", "gold"):
-        placed = placed.withColumn(f"_{c}", range_of(F.col(c), F.col(f"{c}_cuts"), ranges))
+    columns = ("pred", "gold")
+    if bounds.count() * ranges <= BROADCAST_VALUES and all(cells.schema[c].dataType.simpleString() == "double" for c in columns):
+        own = bounds.collect()
+        known = [{c: np.array([v for v in r[f"{c}_cuts"] or [] if v is not None]) for c in columns} for r in own]
+        numbers = cells.sparkSession.createDataFrame([(*(r[k] for k in keys), g) for g, r in enumerate(own)], StructType([*bounds.select(*keys).schema, StructField("_group", IntegerType())]))
+        placed = cells.join(F.broadcast(numbers), list(keys)).withColumn("_at", ranges_of({c: F.col(c) for c in columns}, F.col("_group"), known))
+        placed = placed.withColumns({f"_{c}": F.col("_at")[c] for c in columns})
+    else:
+        placed = cells.join(bounds, list(keys))
+        for c in columns:
+            placed = placed.withColumn(f"_{c}", range_of(F.col(c), F.col(f"{c}_cuts"), ranges))
     placed = stored(placed.select(*keys, "pred", "gold", "w", "_pred", "_gold"), "ranges")
     coarse = placed.groupBy(*keys, F.col("_pred").alias("pred"), F.col("_gold").alias("gold")).agg(F.sum("w").cast("double").alias("w"))
     between = evaluate.order_sum(coarse, *keys).select(*keys, F.col("s").cast("decimal(38,0)").alias("s"))
