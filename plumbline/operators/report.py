@@ -89,12 +89,17 @@ def evaluate(predictions: DataFrame, gold: DataFrame, languages: list[str], drop
 
 def matched(first: DataFrame, second: DataFrame, gold: DataFrame) -> DataFrame:
     """(method, lang, n_matched, spearman): two methods on the ids that both have."""
+    labels = ("pair_id", "labels_a", "labels_b")
+    first, second, gold = (stored(d.select(*c), "labels") for d, c in ((first, labels), (second, labels), (gold, (*labels, "lang"))))
     both = first.select("pair_id").distinct().join(second.select("pair_id").distinct(), "pair_id")
     parts = []
     for name, p in (("first", first), ("second", second)):
         scored = E.aligned(gold.join(both, "pair_id", "left_semi"), p)
-        n = scored.groupBy("lang").agg(F.count_distinct("pair_id").alias("n_matched"))
-        parts.append(n.join(E.spearman(E.table(scored, "lang"), "lang"), "lang").select(F.lit(name).alias("method"), "lang", "n_matched", "spearman"))
+        cells = stored(E.table(scored, "lang"), "cells")
+        used = (F.size("labels_a") > 0) | E.b_counts()  # a pair with a token that is compared
+        met = gold.join(both, "pair_id", "left_semi").join(p.select("pair_id", F.col("labels_a").alias("pa"), F.col("labels_b").alias("pb")), "pair_id")
+        n = met.filter(used).groupBy("lang").agg(F.count_distinct("pair_id").alias("n_matched"))
+        parts.append(n.join(E.spearman(cells, "lang"), "lang").select(F.lit(name).alias("method"), "lang", "n_matched", "spearman"))
     return parts[0].unionByName(parts[1])
 
 
@@ -109,6 +114,7 @@ def compare_systems(systems: DataFrame, gold: DataFrame) -> DataFrame:
 
     ``systems``: predictions with ``system``.  Every system must have every gold id.
     """
+    systems, gold = stored(systems.select("system", "pair_id", "labels_a", "labels_b"), "systems"), stored(gold.select("pair_id", "lang", "labels_a", "labels_b"), "gold")
     names = [r["system"] for r in systems.select("system").distinct().limit(MOST_SYSTEMS + 1).collect()]
     if len(names) > MOST_SYSTEMS:
         raise ValueError(f"more than {MOST_SYSTEMS} systems")
@@ -119,9 +125,8 @@ def compare_systems(systems: DataFrame, gold: DataFrame) -> DataFrame:
         raise Incomplete("; ".join(f"{r['system']}: {r['n']} missing, {r['one']} among them" for r in short))
     many = gold.join(systems.select("system", "pair_id", F.col("labels_a").alias("pa"), F.col("labels_b").alias("pb")), "pair_id")
     tag = F.concat_ws("\x1f", "system", "lang")  # labels of a system and a language are pooled together
-    tagged = many.select(F.concat_ws("\x1f", "system", F.col("pair_id").cast("string")).alias("pair_id"), tag.alias("lang"), "labels_a", "labels_b", "pa", "pb")
-    scored = E.aligned(tagged.drop("pa", "pb"), tagged.select("pair_id", F.col("pa").alias("labels_a"), F.col("pb").alias("labels_b")))
-    cells = E.table(scored, "lang")
+    scored = E.exploded(many.select("pair_id", tag.alias("lang"), "labels_a", "labels_b", "pa", "pb"))
+    cells = stored(E.table(scored, "lang"), "cells")
     r = E.spearman(cells, "lang").join(E.kendall(cells, "lang"), "lang")
     parts = F.split("lang", "\x1f")
     r = r.select(F.get(parts, F.lit(0)).alias("system"), F.get(parts, F.lit(1)).alias("lang"), F.round("spearman", 4).alias("spearman"), F.round("kendall", 4).alias("kendall"))
