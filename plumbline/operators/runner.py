@@ -62,7 +62,7 @@ def steps(items: DataFrame, plan: Plan) -> Steps:
     tokens = segment.tokens(sides)
     segments = stored(segment.segments_of(sides), "run-segments")
     matrix = similarity.matrix(segments, plan.seed)
-    ops = stored(align.operations_of(matrix), "run-operations")
+    ops = stored(align.operations_from(segments, plan.seed), "run-operations")
     judged = stored(judge.judgments(ops, segments, plan.seed), "run-judgments")
     return Steps(sides, tokens, segments, matrix, ops, judged)
 

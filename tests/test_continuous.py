@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 
+from plumbline.functions import text as T
 from plumbline.operators import align, baseline, batched, continuous, evaluate, model, pairs, resample, score, segment, similarity, waves
 
 
@@ -252,3 +253,38 @@ def test_a_table_that_is_read_often_is_made_once(spark, monkeypatch):
     assert [tuple(r) for r in report.compare_systems(first, gold).collect()] == [("s", "de", 1.0, 1.0, 1.0)]
     assert made == ["systems", "gold", "cells"]
     assert {(r.method, r.n_matched) for r in report.matched(gold, gold.filter("pair_id > 1"), gold).collect()} == {("first", 4), ("second", 4)}
+
+
+def test_no_row_holds_all_cells_of_a_pair(spark, monkeypatch):
+    """Cells and calls leave a pair's row in batches, with the cells and the order of the whole."""
+    monkeypatch.setattr(similarity, "BATCH", 8)
+    text = lambda word: ". ".join(f"{word}{k} energy {k}" for k in range(40)) + ". "
+    d = some_pairs(spark, n=4).unionByName(spark.createDataFrame([("long", "de", text("a"), text("b"))], "pair_id string, lang string, text_a string, text_b string"))
+    segments = segment.segments_of(pairs.sides(d))
+    whole = list(similarity.in_rows(iter([(0, 40, 40, similarity.band_stretches(40, 40, 0.2, 2))]), 3, lambda row, cells: list(cells)))
+    assert len(whole) > 20 and all(ends[-1].as_py() <= 16 for _, ends, _ in whole) and sum(ends[-1].as_py() for _, ends, _ in whole) == len(similarity.band_of_row(np.arange(40), 40, 40, 0.2, 2)[0])
+    monkeypatch.undo()
+    want = similarity.cells(similarity.matrix(segments))
+    rows = lambda d: Counter(map(tuple, d.select("pair_id", "lang", "n", "m", "i", "j", "lexical", "score", "sim").collect()))
+    assert rows(similarity.cells_of(segments)) == rows(want) == rows(similarity.scored(similarity.candidates(similarity.sizes(segments)), segments))
+    parts = similarity.parts(segments, 7).select("pair_id", "part", "cells").collect()
+    calls = {(x.pair_id, x.batch): [tuple(c) for c in x.cells] for x in batched.similarity_requests(segments, "m", 7).collect() if x.key}
+    assert {(x.pair_id, x.part): [(c.i, c.j) for c in x.cells] for x in parts} == calls and max(map(len, calls.values())) == 7
+
+
+def test_operations_straight_from_segments(spark, monkeypatch):
+    """As by way of the matrix, however pairs are grouped."""
+    segments = segment.segments_of(pairs.sides(some_pairs(spark, n=30)))
+    rows = lambda d: Counter(map(tuple, d.collect()))
+    want = rows(align.operations_of(similarity.matrix(segments, 3)))
+    for cells in (1, 100, align.GROUP_CELLS):
+        monkeypatch.setattr(align, "GROUP_CELLS", cells)
+        assert rows(align.operations_from(segments, 3)) == want and len(want) > 50
+
+
+def test_scores_outside_of_spark_are_rounded_alike(spark):
+    lexical = np.r_[np.random.default_rng(1).random(2000), [0.03, 0.05, 0.07, 0.09, 0.11, 0.25]]
+    hashes = np.r_[np.random.default_rng(2).integers(0, 1 << 32, 2000), np.full(6, 2147483648)]
+    d = spark.createDataFrame([(k, float(x), int(h)) for k, (x, h) in enumerate(zip(lexical, hashes, strict=True))], "k int, lexical double, hash long")
+    want = [(x.s, x.sim) for x in d.withColumn("s", similarity._score(F.col)).withColumn("sim", T.clamp01(F.col("s") / 5)).orderBy("k").collect()]
+    assert list(zip(*map(np.ndarray.tolist, similarity.exact_scores(lexical, hashes)), strict=True)) == want
