@@ -155,3 +155,12 @@ def test_a_long_pair_needs_memory_for_its_band_only():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert [o[0] for o in found] == ["1:1"] * n and peak < 20e6  # 9 million cells of choices and 72 MB of similarities if dense
+
+
+def test_cells_are_counted_without_being_made(spark):
+    """For every size of a small matrix, and where the two stretches of the band lie apart."""
+    z = spark.createDataFrame([(f"{n}-{m}", "de", n, m) for n in range(0, 24) for m in [*range(0, 24), 100, 333]], "pair_id string, lang string, n int, m int")
+    want = {r["pair_id"]: r["count"] for r in similarity.candidates(z).groupBy("pair_id").count().collect()}
+    counted = similarity.counted(z)
+    assert {r.pair_id: r.n_cells for r in counted.collect()} == want
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # rows, not cells

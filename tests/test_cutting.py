@@ -69,3 +69,10 @@ def test_tokens_of_segments_and_texts(spark):
     assert found.orderBy(key).select(columns).collect() == want
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
     assert segment.words(sides).orderBy(key).collect() == [r[:5] for r in want]
+
+
+def test_segments_are_counted_as_they_are_cut(spark):
+    texts = ["", None, "a", "a. b! c\n\nd e.g. f. ", "\n \n", "x " * 9, "one. two. three"]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(1)
+    got = d.select("k", cutting.segment_count(F.col("text")).alias("n"), F.coalesce(F.size(cutting.segments(F.col("text"))), F.lit(0)).alias("want")).collect()
+    assert {r.k: r.n for r in got} == {r.k: max(r.want, 0) for r in got} and max(r.n for r in got) > 2
