@@ -28,10 +28,12 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import continuous, model, runs
 from .stored import stored
@@ -41,6 +43,10 @@ WAITING, ANSWERED, FAILED = "waiting", "answered", "failed"
 STATE = "order long, key string, prompt string, replies array<string>, attempts int, tries int, repairs int, tokens long, unknown int, prompt_tokens long, completion_tokens long, latency_ms double, usage_estimated boolean, text string, model string, backend string, error string, status string"
 
 
+#: Requests that a task handles at once.
+PIECE_BYTES, PIECE_ROWS = 2 << 20, 256
+
+
 @dataclass(frozen=True)
 class Rules:
     retries: int = 5
@@ -60,43 +66,52 @@ class Outcome:
     waves: list[tuple[int, int, int]] = field(default_factory=list)
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, PIECE_BYTES or PIECE_ROWS at a time, about: what a task holds as Python values."""
+    for b in batches:
+        step = max(1, min(PIECE_ROWS, int(PIECE_BYTES * b.num_rows // max(b.nbytes, 1))))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def attempt(admitted: DataFrame, backend: Callable[[], model.Backend], understood: Callable[[str, str], bool], rules: Rules) -> DataFrame:
     """STATE rows after one attempt each."""
     names = [c.split()[0] for c in STATE.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = to_arrow_schema(StructType.fromDDL(STATE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = backend()
         gap = rules.lanes / rules.per_second if rules.per_second else 0.0
         next_at = time.monotonic() + (TaskContext.get().partitionId() / rules.per_second if gap else 0.0)
-        for f in frames:
+        for few in pieces(batches):
             rows = []
-            for r in f.itertuples(index=False):
+            for row in few.to_pylist():
                 if gap:
                     time.sleep(max(0.0, next_at - time.monotonic()))
                     next_at = time.monotonic() + gap
-                said = list(r.replies)
-                messages = [{"role": "user", "content": r.prompt or ""}]
+                said, prompt, tries = row["replies"], row["prompt"] or "", row["tries"]
+                messages = [{"role": "user", "content": prompt}]
                 for text in said:
                     messages += [{"role": "assistant", "content": text}, {"role": "user", "content": rules.complaint}]
-                row = dict(zip(names, r, strict=True)) | {"attempts": r.attempts + 1, "tries": r.tries + 1, "replies": said}
+                row |= {"attempts": row["attempts"] + 1, "tries": tries + 1}
                 try:
-                    reply = client.complete(messages, rules.max_tokens, 0.0, r.tries)
+                    reply = client.complete(messages, rules.max_tokens, 0.0, tries)
                     known = reply.prompt_tokens is not None and reply.completion_tokens is not None
-                    row |= {"tokens": r.tokens + (reply.prompt_tokens + reply.completion_tokens if known else 0), "unknown": r.unknown + (not known)}
+                    row |= {"tokens": row["tokens"] + (reply.prompt_tokens + reply.completion_tokens if known else 0), "unknown": row["unknown"] + (not known)}
                     row |= {"prompt_tokens": reply.prompt_tokens, "completion_tokens": reply.completion_tokens, "latency_ms": reply.latency_ms, "usage_estimated": reply.usage_estimated}
                     row |= {"text": reply.text, "model": reply.model, "backend": reply.backend, "error": None, "status": ANSWERED}
-                    if not understood(reply.text, r.prompt or "") and len(said) < rules.repairs:
-                        row |= {"replies": [*said, reply.text], "repairs": r.repairs + 1, "tries": 0, "status": WAITING}
+                    if not understood(reply.text, prompt) and len(said) < rules.repairs:
+                        row |= {"replies": [*said, reply.text], "repairs": row["repairs"] + 1, "tries": 0, "status": WAITING}
                 except model.Unavailable as e:
-                    ended = not e.passing or r.tries >= rules.retries
-                    row |= {"unknown": r.unknown + 1, "error": str(e)[:300], "status": FAILED if ended else WAITING}
+                    ended = not e.passing or tries >= rules.retries
+                    row |= {"unknown": row["unknown"] + 1, "error": str(e)[:300], "status": FAILED if ended else WAITING}
                 rows.append(row)
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"prompt_tokens": "Int64", "completion_tokens": "Int64", "usage_estimated": "boolean"})
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
     if rules.lanes:
         admitted = admitted.repartition(rules.lanes)
-    return admitted.select(*names).mapInPandas(run, STATE)
+    return admitted.select(*names).mapInArrow(run, STATE)
 
 
 def reserve(rules: Rules) -> Column:

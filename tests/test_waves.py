@@ -3,6 +3,7 @@
 import json
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -152,3 +153,12 @@ def test_a_baseline_is_asked_again_until_it_is_complete(spark):
     got = {r.pair_id: r for r in baseline.replied(requests, out.state).collect()}
     assert got["p"].labels_a == [0.0] * 3 and got["p"].labels_b == [1.0] * 3 and got["q"].labels_a == [0.0] and got["q"].labels_b == []
     assert sorted(r.repairs for r in out.state.collect()) == [0, 1]
+
+
+def test_a_task_holds_few_prompts_at_a_time():
+    """Long prompts by bytes, short ones by rows; all rows in order."""
+    rows = [{"key": f"k{k}", "prompt": "x" * (100_000 if k % 2 else 10)} for k in range(300)]
+    short = pa.RecordBatch.from_pylist([{"key": str(k), "prompt": ""} for k in range(1000)])
+    for batch, most in ((pa.RecordBatch.from_pylist(rows), 50), (short, waves.PIECE_ROWS)):
+        found = list(waves.pieces(iter([batch, batch])))
+        assert max(b.num_rows for b in found) <= most and [x for b in found for x in b.column(0).to_pylist()] == 2 * batch.column(0).to_pylist()
