@@ -18,6 +18,7 @@ comparison with each other, so they are not sent to one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
 import numpy as np
@@ -53,10 +54,45 @@ def running(rows: DataFrame, groups: list[str], order: str, *weights: str) -> Da
     return placed.withColumns({f"before_{w}": F.col(f"before_{w}") + F.col(f"_{w}") for w in weights}).drop("_part", *[f"_{w}" for w in weights])
 
 
+def so_far(rows: DataFrame, groups: list[str], weight: str) -> DataFrame:
+    """``rows`` with before, the sum of ``weight`` over earlier rows of the same group and partition; partitions are sorted by group."""
+    schema = StructType([*rows.schema, StructField("before", rows.schema[weight].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first = np.zeros(b.num_rows, bool)
+            for g in groups:
+                code = b.column(g).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                first[1:] |= code[1:] != code[:-1]
+            w = b.column(weight).to_numpy(zero_copy_only=False)
+            total = np.cumsum(w) - w
+            start = np.maximum.accumulate(np.where(first, np.arange(b.num_rows), 0))
+            before = total - total[start]
+            if [b.column(g)[0].as_py() for g in groups] == last:
+                before[start == 0] += carried
+            last, carried = [b.column(g)[-1].as_py() for g in groups], before[-1] + w[-1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, b.schema.field(weight).type)], [*b.schema.names, "before"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def ranks(cells: DataFrame, column: str, *keys: str) -> DataFrame:
-    """(keys..., column, n, rank): average rank of each different value, from ``cells`` (keys..., column, w)."""
+    """(keys..., column, n, rank): average rank of each different value, from ``cells`` (keys..., column, w).
+
+    Values are sorted by range and summed in that order, so they are moved no more; only a sum for each partition and group meets in a window.
+    """
+    groups = list(keys)
     values = cells.groupBy(*keys, column).agg(F.sum("w").alias("n"))
-    return running(values, list(keys), column, "n").select(*keys, column, "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
+    dealt = values.repartitionByRange(*keys, column).sortWithinPartitions(*keys, column).withColumn("_part", F.spark_partition_id())
+    at = stored(so_far(dealt, groups, "n"), "ranks")
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = at.groupBy(*groups, "_part").agg(F.sum("n").alias("_n"))
+    sums = stored(sums.select(*groups, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift")), "rank-shifts")
+    placed = at.join(F.broadcast(sums) if sums.count() <= BROADCAST_VALUES else sums, [*groups, "_part"])
+    return placed.select(*keys, column, "n", (F.col("before") + F.col("_shift") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def spearman(cells: DataFrame, *keys: str) -> DataFrame:

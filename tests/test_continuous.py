@@ -288,3 +288,20 @@ def test_scores_outside_of_spark_are_rounded_alike(spark):
     d = spark.createDataFrame([(k, float(x), int(h)) for k, (x, h) in enumerate(zip(lexical, hashes, strict=True))], "k int, lexical double, hash long")
     want = [(x.s, x.sim) for x in d.withColumn("s", similarity._score(F.col)).withColumn("sim", T.clamp01(F.col("s") / 5)).orderBy("k").collect()]
     assert list(zip(*map(np.ndarray.tolist, similarity.exact_scores(lexical, hashes)), strict=True)) == want
+
+
+def test_sums_so_far_go_on_over_batches(spark):
+    """Ranks are summed in the order of the sort; values are dealt once for them, after they are counted."""
+    r = random.Random(5)
+    rows = [(r.choice(["de", "fr"]), r.choice([r.random(), 0.5]), r.randint(1, 3)) for _ in range(300)]
+    d = spark.createDataFrame(rows, "lang string, pred double, w long").coalesce(1).sortWithinPartitions("lang", "pred")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = continuous.so_far(d, ["lang"], "w").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sums = Counter()
+    for x in got:
+        assert x.before == sums[x.lang]
+        sums[x.lang] += x.w
+    assert len(got) == 300
