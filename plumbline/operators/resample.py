@@ -63,17 +63,22 @@ def token_interval(scored: DataFrame, replicates: int = 2000) -> DataFrame:
 def paired_difference(first: DataFrame, second: DataFrame, replicates: int = 50) -> DataFrame:
     """Document bootstrap of the macro difference between two systems on the same documents.
 
-    Documents are drawn once for both systems; each document enters as its own
-    contingency times its weight.
+    Documents are drawn once for both systems, a number a document and replicate;
+    each document enters as its own contingency times its weight.  Rows are scored
+    tokens, or cells with a weight ``w``.
     """
-    def macro(scored: DataFrame, name: str) -> DataFrame:
-        cells = evaluate.table(scored, "lang", "pair_id")
-        reps = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-        w = poisson1(uniform(F.col("rep").cast("string"), F.col("pair_id").cast("string")))
-        drawn = reps.groupBy("lang", "rep", "pred", "gold").agg(F.sum(F.col("w") * w).alias("w")).filter("w > 0")
-        return evaluate.spearman(drawn, "lang", "rep").groupBy("rep").agg(F.avg("spearman").alias(name))
-
-    d = macro(first, "one").join(macro(second, "two"), "rep").select((F.col("one") - F.col("two")).alias("d"))
+    def cells(scored: DataFrame, name: str) -> DataFrame:
+        counted = evaluate.table(scored, "lang", "pair_id", weight=F.col("w") if "w" in scored.columns else None)
+        return counted.withColumn("system", F.lit(name))
+
+    both = cells(first, "one").unionByName(cells(second, "two"))
+    own = both.groupBy("pair_id").agg(F.collect_list(F.struct("system", "lang", "pred", "gold", "w")).alias("cells"))
+    draw = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda k: poisson1(uniform(k.cast("string"), F.col("pair_id").cast("string")))))
+    reps = own.select("cells", draw.alias("rep", "times")).filter("times > 0").select("rep", "times", F.inline("cells"))
+    drawn = reps.groupBy("system", "lang", "rep", "pred", "gold").agg(F.sum(F.col("w") * F.col("times")).alias("w"))
+    macros = evaluate.spearman(drawn, "system", "lang", "rep").groupBy("rep", "system").agg(F.avg("spearman").alias("macro"))
+    of = lambda name: F.max(F.when(F.col("system") == name, F.col("macro")))
+    d = macros.groupBy("rep").agg((of("one") - of("two")).alias("d"), F.count_distinct("system").alias("n")).filter("n = 2")
     return d.agg(
         F.avg("d").alias("mean_diff"), F.percentile("d", F.lit(0.025)).alias("lo"), F.percentile("d", F.lit(0.975)).alias("hi"),
         F.avg(F.when(F.col("d") <= 0, 1.0).otherwise(0.0)).alias("p_not_above"),
