@@ -45,10 +45,15 @@ def zipped() -> Column:
 
 
 def length_mismatches(gold: DataFrame, predictions: DataFrame) -> DataFrame:
-    p = predictions.select("pair_id", F.size("labels_a").alias("pa"), F.size("labels_b").alias("pb"))
-    return gold.join(p, "pair_id").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_samples"), F.count_if(F.size("labels_a") != F.col("pa")).alias("len_mismatch_a"),
-        F.count_if(b_counts() & (F.size("labels_b") != F.col("pb"))).alias("len_mismatch_b"),
+    p = predictions.select("pair_id", F.size("labels_a").alias("p_a"), F.size("labels_b").alias("p_b"))
+    return mismatches(gold.join(p, "pair_id").select("lang", *[F.size(f"labels_{s}").alias(f"n_{s}") for s in "ab"], "p_a", "p_b", b_counts().alias("b_counts")))
+
+
+def mismatches(sizes: DataFrame) -> DataFrame:
+    """`length_mismatches` from how many labels each side of a pair has: (lang, n_a, n_b) in gold, (p_a, p_b) predicted, and whether side B counts."""
+    return sizes.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_samples"), F.count_if(F.col("n_a") != F.col("p_a")).alias("len_mismatch_a"),
+        F.count_if(F.col("b_counts") & (F.col("n_b") != F.col("p_b"))).alias("len_mismatch_b"),
     )
 
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions import parsing as P
-from plumbline.operators import evaluate, guard, runs
+from plumbline.operators import evaluate, guard, resample, runs
 
 
 def test_first_json():
@@ -153,3 +153,23 @@ def test_run_status(spark):
     intended = rows(("de", 1), ("de", 2), ("fr", 3), ("it", 4), ("en", 5))
     s = runs.language_status(intended, rows(("de", 1), ("fr", 3)), rows(("de", 1), ("fr", 3), ("it", 4)))
     assert {r["lang"]: r["status"] for r in s.collect()} == {"de": "partial", "fr": "complete", "it": "started_no_output", "en": "not_started"}
+
+
+def test_documents_are_drawn_once_for_both_systems_of_cells(spark):
+    """Cells with a weight give what their tokens give."""
+    r = random.Random(4)
+    rows = [(f"p{k % 9}", ["de", "fr"][k % 2], r.choice([0.0, 0.5, 1.0]), r.choice([-1.0, 0.2, 0.6, 1.0])) for k in range(400)]
+    one = spark.createDataFrame(rows, "pair_id string, lang string, pred double, gold double")
+    two = one.withColumn("pred", 1 - F.col("gold"))
+    counted = lambda d: evaluate.table(d, "lang", "pair_id")
+    got = [[round(float(v), 9) for v in resample.paired_difference(a, b, 9).first()] for a, b in ((one, two), (counted(one), counted(two)))]
+    assert got[0] == got[1] and got[0][0] > 0
+
+
+def test_mismatches_of_sizes_are_those_of_labels(spark):
+    rows = [("p0", "de", [0.1, 0.2], [-1.0], [0.1], [0.2, 0.3]), ("p1", "de", [0.1], [0.2], [0.1], []), ("p2", "fr", [], [0.4], [], [0.4])]
+    d = spark.createDataFrame(rows, "pair_id string, lang string, labels_a array<double>, labels_b array<double>, pa array<double>, pb array<double>")
+    want = evaluate.length_mismatches(d.select("pair_id", "lang", "labels_a", "labels_b"), d.select("pair_id", F.col("pa").alias("labels_a"), F.col("pb").alias("labels_b")))
+    sizes = [(r[1], len(r[2]), len(r[3]), len(r[4]), len(r[5]), any(v != -1 for v in r[3])) for r in rows]
+    got = evaluate.mismatches(spark.createDataFrame(sizes, "lang string, n_a int, n_b int, p_a int, p_b int, b_counts boolean"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [("de", 2, 1, 1), ("fr", 1, 0, 0)]
