@@ -51,8 +51,9 @@ def token_interval(scored: DataFrame, replicates: int = 2000) -> DataFrame:
 
     Tokens are counted once, by (prediction, gold); a replicate draws a weight for
     each such cell, so the work after the count does not depend on the tokens.
+    Rows are scored tokens, or cells with a weight ``w``.
     """
-    cells = evaluate.table(scored, "lang")
+    cells = evaluate.table(scored, "lang", weight=F.col("w") if "w" in scored.columns else None)
     drawn = cells.select("lang", "pred", "gold", "w", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).repartition("rep")
     millionths = lambda c: F.round(F.col(c) * 1e6).cast("long").cast("string")
     w = poisson(F.col("w"), F.col("rep").cast("string"), F.col("lang"), millionths("pred"), millionths("gold"))

@@ -22,6 +22,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources import files
 from . import align, baseline, judge, lifecycle, pairs, score, segment, similarity, waves
 from .stored import stored
@@ -102,7 +103,8 @@ def align_records(s: Steps, plan: Plan) -> DataFrame:
 
 def baseline_records(items: DataFrame, plan: Plan) -> DataFrame:
     """(pair_id, labels_a, labels_b) by the deterministic whole-document backend."""
-    return baseline.records(baseline.labels(segment.words(pairs.sides(items)), plan.seed)).drop("lang")
+    some = F.col("text_a").rlike(T.WORD) | F.col("text_b").rlike(T.WORD)
+    return baseline.records_of(items.filter(some), plan.seed).drop("lang")
 
 
 def details(gold: DataFrame, records: DataFrame, plan: Plan, run_id: str, errors: DataFrame | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import baseline, lifecycle, model, pairs, report, runner, runs,
 from ..operators.stored import shared_folder
 from ..streaming import scoring
 from . import oracle
-from .catalogue import Pipeline, _gold, _predictions, _r, _table, _words, query
+from .catalogue import Pipeline, _gold, _predictions, _r, _table, query
 
 SQL: dict[str, str] = {}
 _ID = "cast(doc_id as string)"
@@ -205,8 +205,8 @@ _SECOND = """, second AS (SELECT s.pair_id, s.lang, s.side, s.k, CASE WHEN lengt
 
 def _by_length(spark: SparkSession, sf: str) -> DataFrame:
     """A second system: tokens of over four characters are different."""
-    t = _words(spark, sf).select("pair_id", "lang", "side", "idx", F.when(F.length("tok") > 4, 1.0).otherwise(0.0).alias("label"))
-    return baseline.records(t)
+    labels = lambda text: F.transform(T.split_words(F.coalesce(text, F.lit(""))), lambda tok: F.when(F.length(tok) > 4, 1.0).otherwise(0.0))
+    return pairs.pair_docs(spark, sf).select("pair_id", "lang", *[labels(f"text_{s}").alias(f"labels_{s}") for s in "ab"])
 
 
 _EV = oracle._evaluated()
@@ -260,7 +260,7 @@ def gap_report(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT variant AS system, lang, round(spearman, 4) AS spearman, round(kendall, 4) AS kendall, round(avg(round(spearman, 4)) OVER (PARTITION BY variant), 4) AS macro FROM rho JOIN tau USING (variant, lang)",
 ))
 def system_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    first = baseline.records(baseline.labels(_words(spark, sf))).withColumn("system", F.lit("baseline"))
+    first = baseline.records_of(pairs.pair_docs(spark, sf)).withColumn("system", F.lit("baseline"))
     return report.compare_systems(first.unionByName(_by_length(spark, sf).withColumn("system", F.lit("length"))), _gold(spark, sf))
 
 
