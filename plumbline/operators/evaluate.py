@@ -44,6 +44,16 @@ def zipped() -> Column:
     return F.concat(side("a", padded(F.col("labels_a"), "pa")), side("b", padded(b, "pb")))
 
 
+def compared() -> Column:
+    """Array of (pred, gold) of a row as `zipped` takes it with ``b``, whether side B counts; a prediction that is not there is 0, or null if given so.
+
+    Whole arrays are cut and joined, so nothing is done label by label.
+    """
+    fit = lambda p, g: F.concat(F.slice(p, 1, F.size(g)), F.array_repeat(F.lit(0.0), F.greatest(F.size(g) - F.size(p), F.lit(0))))
+    side = lambda p, g: F.arrays_zip(fit(F.coalesce(p, F.array().cast("array<double>")), g).alias("pred"), F.col(g).alias("gold"))
+    return F.when(F.col("b"), F.concat(side("pa", "labels_a"), side("pb", "labels_b"))).otherwise(side("pa", "labels_a"))
+
+
 def length_mismatches(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     p = predictions.select("pair_id", F.size("labels_a").alias("p_a"), F.size("labels_b").alias("p_b"))
     return mismatches(gold.join(p, "pair_id").select("lang", *[F.size(f"labels_{s}").alias(f"n_{s}") for s in "ab"], "p_a", "p_b", b_counts().alias("b_counts")))

@@ -44,35 +44,36 @@ def invalid_reason(n_samples: Column, n: Column, rho: Column) -> Column:
     return F.when(rho.isNotNull(), F.lit(None).cast("string")).when(n_samples == 0, "no predictions").when(n < 2, "fewer than two scored tokens").otherwise("constant labels")
 
 
-def evaluate(predictions: DataFrame, gold: DataFrame, languages: list[str], drop: DataFrame | None = None, require_full: bool = False) -> DataFrame:
+def evaluate(predictions: DataFrame, gold: DataFrame, languages: list[str], drop: DataFrame | None = None, require_full: bool = False, items: DataFrame | None = None) -> DataFrame:
     """One row for each variant (all ids; those not in ``drop``) and language with every measure.
 
     (variant, lang, n_gold_items, n_samples, n_tokens, len_mismatch_a, len_mismatch_b, coverage, missing, spearman, kendall, invalid_reason).
-    Missing ids are counted before any are dropped; coverage after.  Predictions and
-    gold meet once; all measures of both variants come from what that wrote.
+    Missing ids are counted before any are dropped; coverage after.  Labels of
+    predictions and gold meet once; all measures of both variants come from what that wrote.
+    ``items`` (pair_id, lang) are all gold ids, where ``gold`` has the labels of those with predictions only.
     """
-    if require_full and (g := gaps(gold, predictions, languages).collect()):
+    items = gold if items is None else items
+    if require_full and (g := gaps(items, predictions, languages).collect()):
         raise Incomplete("; ".join(f"{r['lang']}: {'none' if r['absent'] else r['n_missing']} missing {r['first_missing']}" for r in g))
     predictions = E.last_wins(predictions, "pair_id", "at") if "at" in predictions.columns else predictions
-    p = predictions.select("pair_id", F.col("labels_a").alias("pa"), F.col("labels_b").alias("pb"), F.lit(True).alias("there"))
-    both = gold.select("pair_id", "lang", "labels_a", "labels_b").join(p, "pair_id", "left")
+    p = predictions.select("pair_id", F.col("labels_a").alias("pa"), F.col("labels_b").alias("pb"))
     one, two = F.array(F.lit("all")), F.array(F.lit("all"), F.lit("excluding"))
-    if drop is None:
-        both = both.withColumn("variants", one)
-    else:
-        both = both.join(drop.select("pair_id").distinct().withColumn("_out", F.lit(True)), "pair_id", "left").withColumn("variants", F.when(F.col("_out"), one).otherwise(two))
-    both = stored(both.select("pair_id", "lang", "labels_a", "labels_b", "pa", "pb", F.coalesce("there", F.lit(False)).alias("there"), "variants"), "evaluated")
+    out = drop.select("pair_id").distinct().withColumn("_out", F.lit(True)) if drop is not None else None
+    tagged = lambda d: d.withColumn("variants", one) if out is None else d.join(out, "pair_id", "left").withColumn("variants", F.when(F.col("_out"), one).otherwise(two))
+    asked = tagged(items.select("pair_id", "lang").join(p.select("pair_id", F.lit(True).alias("there")), "pair_id", "left"))
+    both = gold.select("pair_id", "lang", "labels_a", "labels_b").join(p, "pair_id")
+    both = stored(tagged(both).select("variants", "lang", "labels_a", "labels_b", "pa", "pb", E.b_counts().alias("b")), "evaluated")
     # pairs and tokens are counted with their variants as an array, so each is counted once
-    here, count = F.col("there"), F.count_if
-    n_b = F.when(E.b_counts(), F.size("labels_b")).otherwise(0)
-    pairs = both.groupBy("variants", "lang").agg(
-        F.count(F.lit(1)).alias("n_gold_items"), count(here).alias("n_samples"), F.sum(F.when(here, F.size("labels_a") + n_b).otherwise(0)).alias("n_tokens"),
-        count(here & (F.size("labels_a") != F.size("pa"))).alias("len_mismatch_a"), count(here & E.b_counts() & (F.size("labels_b") != F.size("pb"))).alias("len_mismatch_b"),
+    count, n = F.count_if, {c: F.size(c) for c in ("labels_a", "labels_b", "pa", "pb")}
+    met = both.groupBy("variants", "lang").agg(
+        F.sum(n["labels_a"] + F.when(F.col("b"), n["labels_b"]).otherwise(0)).alias("n_tokens"), count(n["labels_a"] != n["pa"]).alias("len_mismatch_a"), count(F.col("b") & (n["labels_b"] != n["pb"])).alias("len_mismatch_b"),
     )
+    asked = asked.groupBy("variants", "lang").agg(F.count(F.lit(1)).alias("n_gold_items"), F.count("there").alias("n_samples"))
+    asked = stored(asked.join(met, ["variants", "lang"], "left"), "counted")
     counts = ("n_gold_items", "n_samples", "n_tokens", "len_mismatch_a", "len_mismatch_b")
-    pairs = pairs.select(F.explode("variants").alias("variant"), "lang", *counts).groupBy("variant", "lang").agg(*[F.sum(c).alias(c) for c in counts])
-    missing = both.filter(~here).groupBy("lang").agg(F.count(F.lit(1)).alias("missing"))
-    tokens = both.filter(here).select("variants", "lang", F.explode(E.zipped()).alias("x")).select("variants", "lang", "x.pred", "x.gold")
+    pairs = asked.select(F.explode("variants").alias("variant"), "lang", *counts).groupBy("variant", "lang").agg(*[F.sum(c).alias(c) for c in counts])
+    missing = asked.groupBy("lang").agg(F.sum(F.col("n_gold_items") - F.col("n_samples")).alias("missing"))
+    tokens = both.select("variants", "lang", F.inline(E.compared())).withColumn("pred", F.coalesce("pred", F.lit(0.0)))
     cells = E.table(tokens, "variants", "lang").select(F.explode("variants").alias("variant"), "lang", "pred", "gold", "w")
     cells = stored(cells.groupBy("variant", "lang", "pred", "gold").agg(F.sum("w").alias("w")), "cells")
     names = [(v, x) for v in (("all", "excluding") if drop is not None else ("all",)) for x in languages]

@@ -15,7 +15,7 @@ from ..operators import baseline, lifecycle, model, pairs, report, runner, runs,
 from ..operators.stored import shared_folder
 from ..streaming import scoring
 from . import oracle
-from .catalogue import Pipeline, _gold, _predictions, _r, _table, query
+from .catalogue import Pipeline, _gold, _predictions, _r, _read, _table, query
 
 SQL: dict[str, str] = {}
 _ID = "cast(doc_id as string)"
@@ -242,7 +242,8 @@ _TAU = """, tau AS (SELECT variant, lang, CASE WHEN p > 0 AND g > 0 THEN c / sqr
 def evaluate_report(spark: SparkSession, sf: str) -> DataFrame:
     """The whole evaluation as one call; one language has nothing."""
     toxic = _table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("pair_id")).distinct()
-    r = report.evaluate(_predictions(spark, sf), _gold(spark, sf), ["de", "es", "fr", "it"], toxic)
+    gold = baseline.gold_of(_read(spark, sf))  # the labels of pairs without predictions are compared with nothing
+    r = report.evaluate(_predictions(spark, sf), gold, ["de", "es", "fr", "it"], toxic, items=pairs.pair_docs(spark, sf))
     return r.withColumns({"spearman": F.round("spearman", 6), "kendall": F.round("kendall", 6)})
 
 

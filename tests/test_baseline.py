@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plumbline.functions import cutting
-from plumbline.operators import baseline, evaluate, pairs, segment
+from plumbline.operators import baseline, evaluate, pairs, report, segment
 from plumbline.plans import catalogue
 
 ODD = [
@@ -101,3 +101,14 @@ def test_labels_are_made_once_and_nothing_is_sorted_for_them(spark, of):
     assert "Generate posexplode" not in plan and "norm" not in plan
     plan = of(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_report_counts_items_without_gold_labels(spark):
+    """Pairs without predictions need no gold labels; missing and short predictions count as 0."""
+    names = "pair_id long, labels_a array<double>, labels_b array<double>"
+    gold = spark.createDataFrame([(1, [0.0, 1.0, 0.5], [-1.0]), (2, [0.2], [0.4, -1.0])], names).withColumn("lang", F.lit("de"))
+    said = spark.createDataFrame([(1, [0.3, None], [1.0, 1.0]), (2, [0.5, 0.5], None), (9, [1.0], [1.0])], names)
+    items = spark.createDataFrame([(1, "de"), (2, "de"), (3, "de"), (4, "fr")], "pair_id long, lang string")
+    drop = spark.createDataFrame([(2,)], "pair_id long")
+    got = {(r.variant, r.lang): tuple(r)[2:9] for r in report.evaluate(said, gold, ["de", "fr"], drop, items=items).collect()}
+    assert got["all", "de"] == (3, 2, 6, 2, 0, 0.666667, 1) and got["excluding", "de"] == (2, 1, 3, 1, 0, 0.5, 1) and got["all", "fr"] == (1, 0, 0, 0, 0, 0.0, 1)
