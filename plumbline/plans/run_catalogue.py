@@ -270,7 +270,7 @@ def token_label_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Over document pairs: every token has one label in its domain, whatever the alignment (without SQL; a test holds it against brute force)."""
     p = Pipeline(spark, sf, "docs")
     ok = (F.col("label") == -1) | F.col("label").between(0, 1)
-    labels = score.token_labels(p.tokens, p.ops, p.judged, p.sides)
+    labels = score.token_labels(p.segments, p.ops, p.judged, p.sides)
     return labels.groupBy("lang", "side").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(ok).alias("n_in_domain"))
 
 

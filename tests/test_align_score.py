@@ -164,3 +164,16 @@ def test_cells_are_counted_without_being_made(spark):
     counted = similarity.counted(z)
     assert {r.pair_id: r.n_cells for r in counted.collect()} == want
     assert counted._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # rows, not cells
+
+
+def test_tokens_carry_only_their_segments_operation(spark):
+    """Segments meet their operations before tokens are cut: the rows of tokens that are joined, without arrays of a pair's segments."""
+    df = spark.createDataFrame([("p", "de", "One two. Three! Four five. 6 - x.", "Eins zwei. Drei! Mehr. 6."), ("q", "de", "Only here.", "")], "pair_id string, lang string, text_a string, text_b string")
+    sides = pairs.sides(df)
+    segments = segment.segments_of(sides)
+    ops = align.operations_from(segments)
+    judged = judge.judgments(ops, segments)
+    got = score.token_labels(segments, ops, judged, sides)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, score.token_labels(segment.tokens_of(segments), ops, judged, sides).collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Join LeftOuter")
