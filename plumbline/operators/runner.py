@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources import files
 from . import align, baseline, judge, lifecycle, pairs, score, segment, similarity, waves
-from .stored import stored
+from .stored import met, stored
 
 PROMPTS = "prompts-v2-lang"
 
@@ -81,7 +81,7 @@ def align_records(s: Steps, plan: Plan) -> DataFrame:
     segments = s.segments.groupBy("pair_id").agg(side("a"), side("b"))
     spans = {x: f"spans_{x}" if f"spans_{x}" in s.judged.columns else f"span_{x}" for x in "ab"}
     told = s.judged.select("pair_id", "op_idx", "difference", *[(F.col(c) if c.startswith("spans") else F.filter(F.array(c), lambda v: v.isNotNull())).alias(f"spans_{x}") for x, c in spans.items()], (F.col("repairs") if "repairs" in s.judged.columns else F.lit(0)).alias("repairs"))
-    j = s.ops.join(told.withColumn("there", F.lit(True)), ["pair_id", "op_idx"], "left")
+    j = met(s.ops, told.withColumn("there", F.lit(True)), ["pair_id", "op_idx"], "left")
     op = F.struct("op_idx", "op", "a_start", "a_end", "b_start", "b_end", "sim")
     judgment = F.struct("op_idx", F.when(F.col("there"), F.struct("difference", "spans_a", "spans_b", F.col("difference").isNotNull().alias("ok"), "repairs")).alias("judgment"))
     sorted_list = lambda c: F.sort_array(F.collect_list(c))

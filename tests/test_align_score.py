@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import align, baseline, judge, pairs, score, segment, similarity
+from plumbline.operators.stored import stored
 
 
 def cells(matrix):
@@ -177,3 +178,21 @@ def test_tokens_carry_only_their_segments_operation(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, score.token_labels(segment.tokens_of(segments), ops, judged, sides).collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate posexplode") < plan.index("Join LeftOuter")
+
+
+def kept_steps(spark):
+    df = spark.createDataFrame([("p", "de", "One two. Three! Four five. 6 - x.", "Eins zwei. Drei! Mehr. 6."), ("q", "de", "Only here.", "")], "pair_id string, lang string, text_a string, text_b string")
+    sides = stored(pairs.sides(df), "sides")
+    segments = stored(segment.segments_of(sides), "segments")
+    ops = stored(align.operations_from(segments), "operations")
+    return sides, segments, ops
+
+
+def test_operations_are_not_broadcast_for_their_passages_and_spans(spark):
+    """A stored step looks as small as its compressed files; millions of operations went through the driver to all tasks."""
+    sides, segments, ops = kept_steps(spark)
+    judged = stored(judge.judgments(ops, segments), "judgments")
+    for step in (judge.passages(ops, segments), align.op_tokens(ops, segments), score.span_places(judged, sides)):
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert step.count()
