@@ -196,3 +196,13 @@ def test_operations_are_not_broadcast_for_their_passages_and_spans(spark):
         plan = step._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
         assert step.count()
+
+
+def test_operations_are_not_broadcast_for_labels(spark):
+    """The same where segments meet their operations, judgments and spans."""
+    sides, segments, ops = kept_steps(spark)
+    judged = stored(judge.judgments(ops, segments), "judgments")
+    levels = score.token_levels(segments, ops, judged, sides)
+    plan = levels._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 4 and "Broadcast" not in plan
+    assert levels.count() == sides.selectExpr("sum(size(split(trim(text), ' ')))").first()[0] - 1  # the empty text has no token
