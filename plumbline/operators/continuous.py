@@ -14,6 +14,9 @@ dozen values.  Scores of an encoder have a value a token.  Here
 The values at which ranges are cut are ranges of their own.  A value that many
 rows share is such a cut, and the rows of a range of one value need no
 comparison with each other, so they are not sent to one task.
+
+Where gold labels have few values, `correlations` takes both from one sort: what
+comes earlier is then told by a count for each gold label.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -36,6 +40,10 @@ RANGE_ROWS = 200_000
 MOST_RANGES = 1024
 #: Cuts of all groups that are sent to every task at most; more are joined by a shuffle.
 BROADCAST_VALUES = 1 << 20
+#: Gold labels of a group, and of all groups, that `correlations` counts by value; rows that it takes at once.
+GOLD_VALUES = 32
+ALL_GOLD_VALUES = 1 << 14
+CHUNK = 1 << 17
 
 
 def running(rows: DataFrame, groups: list[str], order: str, *weights: str) -> DataFrame:
@@ -219,3 +227,118 @@ def kendall(cells: DataFrame, *keys: str, ranges: int | None = None) -> DataFram
     s = between.unionByName(same_pred).unionByName(same_gold).groupBy(*keys).agg(F.sum("s").cast("double").alias("s"))
     ties = [evaluate.untied(cells, c, name, *keys) for c, name in (("pred", "p"), ("gold", "g"))]
     return evaluate.tau(s.join(ties[0], list(keys)).join(ties[1], list(keys)), *keys)
+
+
+def _new(values: np.ndarray) -> np.ndarray:
+    """Whether each of some sorted values is another than the one before; NaN equals NaN."""
+    before, now = values[:-1], values[1:]
+    return np.r_[np.ones(min(1, len(values)), bool), (now != before) & ~(np.isnan(now) & np.isnan(before))]
+
+
+class _Passed:
+    """Sums over the rows of one group that came by in order of pred, a column for each gold label."""
+
+    def __init__(self, values: int):
+        self.w, self.s = np.zeros(values, np.int64), np.zeros(values, np.int64)
+        self.rank, self.square, self.tied = np.zeros(values), np.zeros(values), np.zeros(values)
+
+    def add(self, run: np.ndarray, gold: np.ndarray, w: np.ndarray) -> None:
+        """Rows of some values of pred, numbered by ``run`` from 0; no later row has one of these."""
+        values, runs = len(self.w), int(run[-1]) + 1
+        m = np.bincount(run * values + gold, w, runs * values).astype(np.int64).reshape(runs, values)
+        under = self.w + np.cumsum(m, axis=0) - m
+        tied, before = m.sum(axis=1), under.sum(axis=1)
+        less = np.cumsum(under, axis=1) - under
+        rank = before + (tied + 1) / 2
+        self.s += (m * (less - (before[:, None] - less - under))).sum(axis=0)
+        self.rank += rank @ m
+        self.square += (rank * rank) @ m
+        self.tied += tied.astype(np.float64) @ m
+        self.w += m.sum(axis=0)
+
+
+def _passes(rows: DataFrame, values: list[int]) -> DataFrame:
+    """(group, part, gold, w, s, rank, square, tied) of ``rows`` (group, pred, gold, w) sorted by range of pred, whatever the group;
+    ranks count from the partition's first row of a group. ``values``: the number of gold labels, which are numbered from 0, of every group.
+    """
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        kept, size = [], 0
+        for b in batches:
+            kept.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            size += b.num_rows
+            if size >= CHUNK:
+                yield [np.concatenate(x) for x in zip(*kept, strict=True)]
+                kept, size = [], 0
+        if size:
+            yield [np.concatenate(x) for x in zip(*kept, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: dict[int, _Passed] = {}
+
+        def take(group: np.ndarray, pred: np.ndarray, gold: np.ndarray, w: np.ndarray) -> None:
+            order = np.argsort(group, kind="stable")
+            ends = np.cumsum(np.bincount(group, minlength=len(values)))
+            for g in np.unique(group).tolist():
+                own = order[ends[g - 1] if g else 0 : ends[g]]
+                passed.setdefault(g, _Passed(values[g])).add(np.cumsum(_new(pred[own])) - 1, gold[own], w[own])
+
+        held = None  # rows of the last value so far, one for each group and gold label
+        for chunk in chunks(batches):
+            group, pred, gold, w = chunk if held is None else (np.concatenate(x) for x in zip(held, chunk, strict=True))
+            last = int(np.flatnonzero(_new(pred))[-1])
+            take(group[:last], pred[:last], gold[:last], w[:last])
+            cell, at = np.unique(group[last:].astype(np.int64) * GOLD_VALUES + gold[last:], return_inverse=True)
+            held = [(cell // GOLD_VALUES).astype(np.int32), np.full(len(cell), pred[last]), (cell % GOLD_VALUES).astype(np.int32), np.bincount(at, w[last:]).astype(np.int64)]
+        if held is not None:
+            take(*held)
+        part = TaskContext.get().partitionId()
+        for g, p in passed.items():
+            n = len(p.w)
+            columns = [pa.array(np.repeat(x, n), pa.int32()) for x in (g, part)] + [pa.array(np.arange(n), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, (p.w, p.s, p.rank, p.square, p.tied))], ["group", "part", "gold", "w", "s", "rank", "square", "tied"])
+
+    return rows.mapInArrow(run, "group int, part int, gold int, w long, s long, rank double, square double, tied double")
+
+
+def correlations(cells: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., n, spearman, kendall) of ``cells`` (keys..., pred, gold, w), whose rows may repeat and are read several times; w is a whole number.
+
+    With few gold labels a group, rows are sorted once by range and passed once: a rank is what lies before, and the
+    pairs that a row makes with earlier ones are told by how many of those have each gold label.  What is
+    left is a row for each partition, group and gold label.  Rows without a value on either side count in neither.
+    """
+    if not keys:
+        return correlations(cells.withColumn("_all", F.lit(0)), "_all").drop("_all")
+    names = list(keys)
+    cells = cells.filter("pred is not null and gold is not null")
+    golds = stored(cells.groupBy(*names, "gold").agg(F.sum("w").alias("w")), "golds")
+    sizes = golds.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (sizes[0] or 0) > GOLD_VALUES or (sizes[1] or 0) > ALL_GOLD_VALUES or cells.schema["pred"].dataType.simpleString() != "double":
+        once = stored(cells.groupBy(*names, "pred", "gold").agg(F.sum("w").alias("w")), "cells")
+        return spearman(once, *keys).join(kendall(once, *keys), names)
+    place = Window.partitionBy(*names).orderBy("gold")
+    ranked = evaluate.ranks(golds, "gold", *keys).select(*names, "gold", "n", F.col("rank").alias("y"), (F.row_number().over(place) - 1).alias("_gold"))
+    number = ranked.select(*names).distinct().withColumn("_group", F.row_number().over(Window.orderBy(*names)) - 1)  # a row a group
+    known = stored(ranked.join(number, names), "gold-ranks")
+    values = [r["n"] for r in known.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).orderBy("_group").collect()]
+    coded = cells.join(F.broadcast(known.select(*names, "gold", "_group", "_gold")), [*names, "gold"])
+    coded = coded.select(F.col("_group").alias("group"), "pred", F.col("_gold").alias("gold"), F.col("w").cast("long").alias("w"))
+    dealt = coded.repartitionByRange("pred").sortWithinPartitions("pred")  # one number, which Spark sorts by its digits
+    passed = stored(_passes(dealt, values), "passed")
+    earlier = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = passed.groupBy("group", "part").agg(F.sum("w").alias("_n")).select("group", "part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("double").alias("before"))
+    named = known.select(*names, "y", F.col("_group").alias("group"), F.col("_gold").alias("gold"))
+    rows = passed.join(shifts, ["group", "part"]).join(named, ["group", "gold"])
+    x = F.col("before") * F.col("w") + F.col("rank")  # the sum of ranks, and of their squares
+    xx = F.col("before") * F.col("before") * F.col("w") + 2 * F.col("before") * F.col("rank") + F.col("square")
+    y, total = F.col("y"), lambda c: F.sum(c).cast("double")
+    sums = rows.groupBy(*names).agg(
+        total("w").alias("n"), total(x).alias("sx"), total(y * F.col("w")).alias("sy"), total(x * y).alias("sxy"), total(xx).alias("sxx"), total(y * y * F.col("w")).alias("syy"),
+        F.sum(F.col("s").cast("decimal(38,0)")).alias("inside"), total("tied").alias("tied"),
+    )
+    sums = stored(sums, "sums")
+    coarse = rows.filter("w > 0").select(*names, F.col("part").alias("pred"), "gold", F.col("w").cast("double").alias("w"))
+    s = evaluate.order_sum(coarse, *keys).withColumnRenamed("s", "between").join(sums, names)
+    s = s.select(*names, (F.col("between") + F.col("inside").cast("double")).alias("s"), ((F.col("n") * F.col("n") - F.col("tied")) / 2).alias("p"))
+    return evaluate.rho(sums, *keys).join(evaluate.tau(s.join(evaluate.untied(golds, "gold", "g", *keys), names), *keys), names)

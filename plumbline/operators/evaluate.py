@@ -91,10 +91,14 @@ def spearman(contingency: DataFrame, *keys: str) -> DataFrame:
 def pearson(rows: DataFrame, x: Column, y: Column, *keys: str) -> DataFrame:
     """(keys..., n, spearman): correlation of ``x`` and ``y`` over rows of weight w; null where constant or under two rows."""
     s = lambda e: F.sum(F.col("w") * e)
-    sums = rows.groupBy(*keys).agg(F.sum("w").alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * y).alias("sxy"), s(x * x).alias("sxx"), s(y * y).alias("syy"))
+    return rho(rows.groupBy(*keys).agg(F.sum("w").alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * y).alias("sxy"), s(x * x).alias("sxx"), s(y * y).alias("syy")), *keys)
+
+
+def rho(sums: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., n, spearman) from n and the sums sx, sy, sxy, sxx and syy; null where constant or under two rows."""
     n, vx, vy = F.col("n"), F.expr("n * sxx - sx * sx"), F.expr("n * syy - sy * sy")
-    rho = F.when((n >= 2) & (vx > 0) & (vy > 0), (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(F.greatest(vx, F.lit(1e-300))) / F.sqrt(F.greatest(vy, F.lit(1e-300))))
-    return sums.select(*keys, n.cast("long").alias("n"), rho.alias("spearman"))
+    found = F.when((n >= 2) & (vx > 0) & (vy > 0), (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(F.greatest(vx, F.lit(1e-300))) / F.sqrt(F.greatest(vy, F.lit(1e-300))))
+    return sums.select(*keys, n.cast("long").alias("n"), found.alias("spearman"))
 
 
 def kendall(contingency: DataFrame, *keys: str) -> DataFrame:

@@ -305,3 +305,38 @@ def test_sums_so_far_go_on_over_batches(spark):
         assert x.before == sums[x.lang]
         sums[x.lang] += x.w
     assert len(got) == 300
+
+
+def test_few_gold_labels_take_one_sort(spark, monkeypatch):
+    """Ranks and inversions from one pass, whatever the chunks, ties and repeated rows; many gold labels go the general way."""
+    monkeypatch.setattr(continuous, "CHUNK", 1)
+    r = random.Random(7)
+    rows = [("a", r.random(), r.randrange(6) / 5) for _ in range(500)] + [("b", r.randrange(5) / 4, r.randrange(3) / 2) for _ in range(400)]
+    rows += [("c", 1.0, r.randrange(3) / 2) for _ in range(30)] + [("d", 0.1, 0.2), ("d", None, 0.4)] + [("e", 0.5 if r.random() < 0.5 else r.random(), 0.0) for _ in range(50)]
+    few = spark.createDataFrame(rows, "lang string, pred double, gold double").repartition(5).withColumn("w", F.lit(1))
+    many = spark.createDataFrame(some_rows(3), "lang string, pred double, gold double").withColumn("w", F.lit(1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [{x["lang"]: x for x in continuous.correlations(d, "lang").collect()} for d in (few, many)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for found, given in zip(got, (rows, some_rows(3)), strict=True):
+        for lang in "abcde":
+            n, rho, tau = brute([x for x in given if x[0] == lang and x[1] is not None])
+            assert found[lang]["n"] == n
+            assert found[lang]["spearman"] == (None if rho is None else pytest.approx(rho, abs=1e-9)), lang
+            assert found[lang]["kendall"] == (None if tau is None else pytest.approx(tau, abs=1e-12)), lang
+    assert continuous.correlations(few.filter("false"), "lang").collect() == []
+
+
+def test_scores_of_a_pair_are_those_of_its_tokens(spark):
+    """Numbers made in the pair's row are the expressions' own, bit for bit, and no token is a row before."""
+    df = spark.createDataFrame([(1, "de", "One two . three - x", "Eins , zwei"), (22, "fr", "", "Un"), (3, "it", None, "!")], "pair_id long, lang string, text_a string, text_b string")
+    t = segment.words(pairs.sides(df)).withColumn("gold", baseline.gold_label()).filter("gold >= 0")
+    noise = resample.uniform(F.lit("score"), F.col("pair_id").cast("string"), F.col("side"), F.col("idx").cast("string"))
+    want = t.select("lang", (F.col("gold") / 4 + noise).alias("pred"), "gold").collect()
+    got = baseline.scores_of(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
